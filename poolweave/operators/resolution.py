@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import uniform
 from .ranking_metrics import recall_rows
 
 
@@ -19,32 +22,57 @@ def paired_rows(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
     ).withColumn("diff", F.col("right") - F.col("left"))
 
 
-def poisson_weight(u) -> F.Column:
-    """Poisson(1) count of a uniform draw by its cumulative distribution."""
-    # Cumulative probabilities of Poisson(1) for 0, 1, 2, ...
-    steps, total, term = [], 0.0, 2.718281828459045 ** -1
-    for n in range(16):
+def _poisson_cdf(terms: int = 16) -> list[float]:
+    """Cumulative probabilities of Poisson(1) for 0, 1, 2, ..."""
+    out, total, term = [], 0.0, math.exp(-1.0)
+    for n in range(terms):
         total += term
-        steps.append(total)
+        out.append(total)
         term /= n + 1
-    out = F.lit(len(steps))
-    for n in reversed(range(len(steps))):
-        out = F.when(u < F.lit(steps[n]), F.lit(n)).otherwise(out)
     return out
 
 
+POISSON_CDF = _poisson_cdf()
+_LOW = np.uint64(0xFFFFFFFF)
+
+
+def _mix32(h: np.ndarray, last: int = 16) -> np.ndarray:
+    """Avalanche rounds of a 32-bit hash, held in unsigned 64-bit numbers."""
+    # The multipliers of the public 32-bit finaliser.
+    h = ((h ^ (h >> np.uint64(16))) * np.uint64(2246822507)) & _LOW
+    h = ((h ^ (h >> np.uint64(13))) * np.uint64(3266489909)) & _LOW
+    return h ^ (h >> np.uint64(last))
+
+
+def poisson_weights(ids: np.ndarray, draws: int, seed: int) -> np.ndarray:
+    """[rows, draws] Poisson(1) counts that depend on (seed, id, draw) only."""
+    golden = np.uint64(2654435769)
+    key = ids.astype(np.int64).view(np.uint64)
+    h = _mix32((key & _LOW) ^ ((np.uint64(seed) * golden) & _LOW)) ^ (key >> np.uint64(32))
+    step = (np.arange(draws, dtype=np.uint64) * golden) & _LOW
+    u = (_mix32((h[:, None] + step[None]) & _LOW).astype(np.float64) + 0.5) / 2.0**32
+    return np.searchsorted(POISSON_CDF, u, side="right").astype(np.float64)
+
+
 def bootstrap_draws(pairs: DataFrame, draws: int, seed: int) -> DataFrame:
-    """(draw, mean difference) with Poisson(1) weights by hash: one pass, partial sums.
+    """(draw, mean difference): resampling with Poisson(1) weights in one pass.
 
-    Items are exploded to (draw, weight) inside the task and summed on the map side, so
-    the shuffle carries draws, not items.
+    Weights come from a vectorised hash inside the task, which adds up its rows to one
+    number per draw; the shuffle carries ``tasks x draws`` rows whatever the row count.
     """
-    long = pairs.select("id", "diff", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    w = poisson_weight(uniform(seed, "boot", F.col("id"), F.col("draw")))
-    long = long.withColumn("w", w).filter(F.col("w") > 0)
-    return long.groupBy("draw").agg(
-        (F.sum(F.col("w") * F.col("diff")) / F.sum("w")).alias("mean_diff")
-    )
+
+    def kernel(batches):
+        top, bottom = np.zeros(draws), np.zeros(draws)
+        for batch in batches:
+            for start in range(0, len(batch), 2048):
+                part = batch.iloc[start : start + 2048]
+                w = poisson_weights(part["id"].to_numpy(), draws, seed)
+                top += part["diff"].to_numpy() @ w
+                bottom += w.sum(axis=0)
+        yield pd.DataFrame({"draw": range(draws), "top": top, "bottom": bottom})
+
+    parts = pairs.select("id", "diff").mapInPandas(kernel, "draw int, top double, bottom double")
+    return parts.groupBy("draw").agg((F.sum("top") / F.sum("bottom")).alias("mean_diff"))
 
 
 def paired_interval(pairs: DataFrame, draws: int, seed: int) -> DataFrame:
