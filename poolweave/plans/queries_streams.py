@@ -1 +1,85 @@
+"""Streaming jobs over the shared event and note tables, driven to completion."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..streaming import events as st
+from .bindings import views
+from .dialect import Spark
+from .oracle_views import R
+from .registry import query
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Streamed(Spark):
+    """Spark spelling in which one table is a stream instead of a file."""
+
+    def __init__(self, folder: str, table: str, view: str):
+        super().__init__(folder)
+        self.table, self.stream_view = table, view
+
+    def t(self, name: str) -> str:
+        return self.stream_view if name == self.table else super().t(name)
+
+
+def _stream(t, table: str, view: str):
+    """The rows of ``view`` with ``table`` read as a file stream."""
+    schema = t.raw(table).schema
+    source = st.read_stream(t.spark, f"{t.folder}/{table}.parque[t]", schema)
+    name = f"_poolweave_stream_{table}"
+    source.createOrReplaceTempView(name)
+    return t.spark.sql(views(_Streamed(t.folder, table, name))[view])
+
+
+def _attributed(t):
+    return st.attributed(_stream(t, "events", "raw_events"), t.ev_stays, t.items, keep_time=True)
+
+
+@query("streamed_attribution", "S1", f"select stay_id, variable, {R('hours')} as hours, {R('num')} as num from attributed")
+def _(t):
+    return st.run_to_table(_attributed(t), t.spark).select("stay_id", "variable", "hours", "num")
+
+
+@query("streamed_bins", "S2", f"select stay_id, variable, cast(trunc(hours - 1e-6) as int) as bin, {R("case when variable <> 'Glascow coma scale total' then arg_max(num, hours) end")} as num from attributed where trunc(hours - 1e-6) >= 0 group by 1, 2, 3")
+def _(t):
+    parts = st.run_to_table(st.step_bins(_attributed(t)), t.spark, "update")
+    return st.merged_bins(parts).select("stay_id", "variable", "bin", "num")
+
+
+@query("streamed_first_note", "S3", f"select stay_id, {R('first_note_hours')} as first_note_hours from note_offsets")
+def _(t):
+    notes = _stream(t, "conversations", "raw_notes")
+    out = st.run_to_table(st.first_offsets(notes, t.note_stays), t.spark, "update")
+    return out.groupBy("stay_id").agg(F.min("first_note_hours").alias("first_note_hours"))
+
+
+@query("streamed_carry_forward", "S4", f"""
+    with e as (select stay_id, variable, cast(trunc(hours - 1e-6) as int) as bin, num, hours from attributed where variable = 'Heart Rate'),
+    b as (select stay_id, variable, bin, max(num) as num from e group by 1, 2, 3)
+    select stay_id, variable, coalesce(lag(bin) over w, -1) as since, bin as until, {R('lag(num) over w')} as num from b window w as (partition by stay_id, variable order by bin)""")
+def _(t):
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = t.spark.conf.get(provider)
+    bins = _attributed(t).filter("variable = 'Heart Rate'").select(
+        "stay_id", "variable", st.bin_id(F.col("hours")).alias("bin"), "num"
+    )
+    try:
+        t.spark.conf.set(provider, ROCKS)
+        return st.run_to_table(st.carried(bins), t.spark).drop("b", "_batch")
+    finally:
+        t.spark.conf.set(provider, before)
+
+
+@query("streamed_replay_removal", "S5", f"select distinct stay_id, variable, {R('hours')} as hours, {R('num')} as num from attributed")
+def _(t):
+    return st.run_to_table(st.deduplicated(_attributed(t)), t.spark).select("stay_id", "variable", "hours", "num")
+
+
+@query("streamed_moments", "S6", f"select variable, {R('avg(num)')} as mean, {R('stddev_samp(num)')} as std from attributed where num is not null group by variable")
+def _(t):
+    out = st.run_to_table(st.running_moments(_attributed(t), "variable", "num"), t.spark, "complete")
+    last = out.agg(F.max("_batch").alias("_m"))
+    rows = out.join(last).filter(F.col("_batch") == F.col("_m"))
+    return st.moments_to_stats(rows, "variable", sample=True)

@@ -107,10 +107,10 @@ class CarryForward(StatefulProcessor):
         self.last = handle.getValueState("last", "bin int, num double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values("bin")
+        pdf = pd.concat(list(rows))
         before_bin, before = self.last.get() if self.last.exists() else (-1, None)
         out = []
-        for b, num in zip(pdf["bin"], pdf["num"]):
+        for b, num in pdf.groupby("bin")["num"].max().items():
             if b <= before_bin:
                 continue
             out.append((key[0], key[1], before_bin, int(b), before))
