@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import with_scalars
 from ..functions.columns import cosine, uniform
 from ..functions.ranks import row_ranks, take_top
 from ..functions.vectors import BROADCAST_BYTES, stack, vector_sum
@@ -359,7 +360,7 @@ def counterfactual_tokens(
     keep = F.expr("(shiftright(coalition, modality) & 1) = 1")
     kept = cells.filter(keep).withColumn("vec", F.transform("own", lambda x: x.cast("double"))).drop("own")
     u = uniform(seed, salt, F.col("id"), F.col("coalition"), F.col("partner_no"), F.col("modality"))
-    drawn = cells.filter(~keep).join(F.broadcast(count)).withColumn(
+    drawn = with_scalars(cells.filter(~keep), count).withColumn(
         "_pos", (F.least(F.floor(u * F.col("_n")), F.col("_n") - 1) + 1).cast("bigint")
     )
     source = indexed.select("_pos", F.posexplode("tokens").alias("modality", "other"))
@@ -384,7 +385,7 @@ def closure_samples(labeled: DataFrame, modalities: int, count: int, seed: int,
     """Fused chimeras of labeled rows: every modality from its own hash-drawn row."""
     indexed = row_ranks(labeled.select("id", "tokens"), [], "id", "id", "_pos")
     size = labeled.agg(F.count("*").alias("_n"))
-    draws = labeled.sparkSession.range(count).withColumnRenamed("id", "sample").join(F.broadcast(size))
+    draws = with_scalars(labeled.sparkSession.range(count).withColumnRenamed("id", "sample"), size)
     base = draws.select(
         "sample", (F.floor(uniform(seed, "closure", "sample") * F.col("_n")) + 1).cast("bigint").alias("_pos")
     ).join(indexed.select("_pos", "tokens"), "_pos")
@@ -400,7 +401,7 @@ def lattice_values(cell_gains: DataFrame, modalities: int) -> DataFrame:
         *[F.avg(F.when(F.col("coalition") == c, F.col("gain"))).alias(f"v{c}") for c in range(size)]
     )
     base = wide.agg(F.avg("v0").alias("_v0"))
-    return wide.join(F.broadcast(base)).withColumn("v0", F.col("_v0")).drop("_v0")
+    return with_scalars(wide, base).withColumn("v0", F.col("_v0")).drop("_v0")
 
 
 def interactions(values: DataFrame, modalities: int) -> DataFrame:

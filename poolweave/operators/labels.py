@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import with_scalars
 from . import checks
 
 
@@ -214,7 +215,7 @@ def cooccurrence_density(positives: DataFrame, names: DataFrame, key: str = "sta
     """Share of ordered label pairs that occur together at least once."""
     cells = _gram_rows(positives, names, key)
     labels = names.agg(F.count("*").alias("c"))
-    return cells.agg(F.count("*").alias("pairs")).join(labels).select(
+    return with_scalars(cells.agg(F.count("*").alias("pairs")), labels).select(
         "pairs", (F.col("pairs") / (F.col("c") * F.col("c"))).alias("density")
     )
 

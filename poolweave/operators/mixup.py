@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import with_scalars
 from ..functions.columns import blend, uniform
 from ..functions.ranks import key_quantiles, row_ranks
 
@@ -68,7 +69,7 @@ def anchors(labeled: DataFrame, quantile: float) -> DataFrame:
         return rows
     share = labeled.sparkSession.range(1).select(F.lit(0).alias("k"), F.lit(quantile).alias("share"))
     cut = key_quantiles(rows.select(F.lit(0).alias("k"), "positives"), ["k"], "positives", share, "share", "_cut")
-    return rows.join(F.broadcast(cut.select("_cut"))).filter(F.col("positives") <= F.col("_cut")).drop("_cut")
+    return with_scalars(rows, cut.select("_cut")).filter(F.col("positives") <= F.col("_cut")).drop("_cut")
 
 
 def plan(labeled: DataFrame, rule: MixupRule, seed: int) -> DataFrame:
@@ -106,7 +107,7 @@ def plan(labeled: DataFrame, rule: MixupRule, seed: int) -> DataFrame:
         members = row_ranks(rows, [], "id", "id", "pos")
         size = rows.agg(F.count("*").alias("_n"))
         step = F.floor(uniform(seed, "partner", "id") * (F.col("_n") - 1)) + 1
-        placed = members.join(anchor, "id", "left_semi").join(F.broadcast(size))
+        placed = with_scalars(members.join(anchor, "id", "left_semi"), size)
         target = ((F.col("pos") - 1 + step) % F.col("_n") + 1).cast("bigint")
         pairs = placed.select(F.col("id").alias("anchor_id"), target.alias("pos")).join(
             members.select("pos", F.col("id").alias("partner_id")), "pos"
@@ -150,4 +151,4 @@ def plan_summary(labeled: DataFrame, pairs: DataFrame) -> DataFrame:
         F.avg("_pa").alias("anchor_positive_mean"),
         F.avg(mixed).alias("mixed_positive_mean"),
     )
-    return row.join(size).withColumn("anchor_fraction", F.col("virtual_rows") / F.col("_n")).drop("_n")
+    return with_scalars(row, size).withColumn("anchor_fraction", F.col("virtual_rows") / F.col("_n")).drop("_n")

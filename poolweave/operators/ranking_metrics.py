@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import with_scalars
 from ..functions.ranks import running_sums
 from . import checks
 
@@ -122,7 +123,7 @@ def ranking_metrics(cells: DataFrame, strict: bool = True) -> DataFrame:
     micro = _areas(_score_counts(cells, []), []).select(
         F.col("auprc").alias("micro_auprc"), F.col("auroc").alias("micro_auroc")
     )
-    out = macro.join(micro)
+    out = with_scalars(macro, micro)
     if strict:
         bad = F.raise_error(F.lit("AUPRC or AUROC is undefined for every label")).cast("double")
         for c in ("macro_auprc", "macro_auroc"):

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.scalars import with_scalars
 from .ranking_metrics import recall_rows
 
 
@@ -88,7 +89,7 @@ def verdict(interval: DataFrame, achievable: DataFrame, margin: float = 3.0) ->
     """unresolved / marginal / resolvable from the ceiling interval and the range."""
     half = (F.col("high") - F.col("low")) / F.lit(2.0)
     ratio = F.when(half > 0, F.col("achievable") / half)
-    return interval.join(achievable).select(
+    return with_scalars(interval, achievable).select(
         "low",
         "high",
         "achievable",
@@ -103,7 +104,7 @@ def verdict(interval: DataFrame, achievable: DataFrame, margin: float = 3.0) ->
 
 def normalised_gain(interval: DataFrame, achievable: DataFrame) -> DataFrame:
     """Gain of an arm over random as a share of the achievable range."""
-    return interval.join(achievable).select(
+    return with_scalars(interval, achievable).select(
         F.col("mean").alias("gain"),
         "low",
         "high",
@@ -119,7 +120,7 @@ def budget_curve(curve: DataFrame, ceiling: DataFrame) -> DataFrame:
     """
     start = curve.agg(F.min_by("value", "labeled").alias("start"))
     span = F.col("ceiling") - F.col("start")
-    return curve.join(start).join(ceiling).select(
+    return with_scalars(with_scalars(curve, start), ceiling).select(
         "labeled",
         "value",
         F.when(span > 0, (F.col("value") - F.col("start")) / span).alias("gap_closed"),

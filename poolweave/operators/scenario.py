@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import with_scalars
 from ..functions.columns import blank_tokens, uniform
 from ..functions.ranks import row_ranks
 from . import checks
@@ -167,4 +168,4 @@ def scenario_report(rows: DataFrame, prior_recall: DataFrame, labels: int) -> Da
         F.avg(F.when(F.col("notes_missing"), F.col("positives"))).alias("withheld_positives"),
         F.avg(F.when(~F.col("notes_missing"), F.col("positives"))).alias("present_positives"),
     )
-    return row.join(prior_recall).withColumn("labels", F.lit(labels))
+    return with_scalars(row, prior_recall).withColumn("labels", F.lit(labels))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import with_scalars
 from .ranking_metrics import label_areas, ranking_metrics
 
 # 26 equally spaced thresholds on [0, 1].
@@ -95,10 +96,11 @@ def threshold_metrics(cells: DataFrame, thresholds: DataFrame) -> DataFrame:
         .agg(F.bool_and(right).alias("_ok"))
         .agg(F.avg(F.col("_ok").cast("double")).alias("subset_accuracy"))
     )
-    return per_label.join(exact)
+    return with_scalars(per_label, exact)
 
 
 def all_metrics(cells: DataFrame, thresholds: DataFrame) -> DataFrame:
-    return threshold_metrics(cells, thresholds).join(
-        ranking_metrics(cells).select("macro_auroc", "micro_auroc", "macro_auprc", "micro_auprc")
+    return with_scalars(
+        threshold_metrics(cells, thresholds),
+        ranking_metrics(cells).select("macro_auroc", "micro_auroc", "macro_auprc", "micro_auprc"),
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from ..functions.scalars import with_scalars
 from ..functions import columns as C
 from ..functions.ranks import rank_fraction, spearman, take_top
 from ..functions.vectors import LinearFuser, vector_mean
@@ -130,7 +131,7 @@ def _(t):
     join (select cast(i as int) as j, avg(t[i]) as v from pool_tok cross join (select unnest(range(1, 33)) as i) g where modality = 0 group by 1) m on m.j = i where modality = 0""")
 def _(t):
     center = t.pool.select(F.element_at("tokens", 1).alias("vec")).agg(vector_mean("vec").alias("c"))
-    moved = t.pool.join(F.broadcast(center)).select("id", C.blend(F.element_at("tokens", 1), F.col("c"), 0.25).alias("m"))
+    moved = with_scalars(t.pool, center).select("id", C.blend(F.element_at("tokens", 1), F.col("c"), 0.25).alias("m"))
     return moved.select("id", F.posexplode("m").alias("pos", "v"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from ..functions.scalars import with_scalars
 
 from ..streaming import events as st
 from .bindings import views
@@ -81,5 +82,5 @@ def _(t):
 def _(t):
     out = st.run_to_table(st.running_moments(_attributed(t), "variable", "num"), t.spark, "complete")
     last = out.agg(F.max("_batch").alias("_m"))
-    rows = out.join(last).filter(F.col("_batch") == F.col("_m"))
+    rows = with_scalars(out, last).filter(F.col("_batch") == F.col("_m"))
     return st.moments_to_stats(rows, "variable", sample=True)
