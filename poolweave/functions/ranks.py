@@ -12,18 +12,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 MAX_RANGES = 256
 
 
-def range_bounds(df: DataFrame, column: str, ranges: int | None = None) -> list[float]:
-    """Distinct split points of ``column``; a bounded list that reaches the driver."""
+def all_bounds(df: DataFrame, columns: list[str], ranges: int | None = None) -> list[list[float]]:
+    """Distinct split points of each column from one pass; bounded lists for the driver."""
     conf = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     ranges = min(ranges or max(conf, 2), MAX_RANGES)
     cuts = [i / ranges for i in range(1, ranges)]
     row = df.select(
-        F.percentile_approx(F.col(column).cast("double"), cuts, 20 * ranges).alias("b")
+        *[
+            F.percentile_approx(F.col(c).cast("double"), cuts, 20 * ranges).alias(f"b{i}")
+            for i, c in enumerate(columns)
+        ]
     ).first()
-    return sorted({float(b) for b in (row["b"] or []) if b is not None})
+    return [sorted({float(b) for b in (row[i] or []) if b is not None}) for i in range(len(columns))]
+
+
+def range_bounds(df: DataFrame, column: str, ranges: int | None = None) -> list[float]:
+    return all_bounds(df, [column], ranges)[0]
 
 
 def range_of(value: Column, bounds: list[float]) -> Column:
@@ -49,14 +58,19 @@ def running_sums(
     order: str,
     sums: list[str],
     ranges: int | None = None,
+    bounds: list[float] | None = None,
 ) -> DataFrame:
     """Collapse to one row per (keys, order value) and attach exact running sums.
 
     For every name in ``sums`` the result has the value's own total, ``<name>_before``
-    (strictly smaller order values) and ``<name>_all`` (the key's total).
+    (strictly smaller order values) and ``<name>_all`` (the key's total). The collapsed
+    table is stored once, so the bounds pass does not repeat the work above it; a caller
+    that knows the bounds has stored its input already.
     """
     flat = df.groupBy(*keys, order).agg(*[F.sum(s).alias(s) for s in sums])
-    bounds = range_bounds(df, order, ranges)
+    if bounds is None:
+        flat = cut_lineage(flat)
+        bounds = range_bounds(flat, order, ranges)
     flat = flat.withColumn("_range", range_of(F.col(order).cast("double"), bounds))
     totals = flat.groupBy(*keys, "_range").agg(*[F.sum(s).alias(f"_{s}") for s in sums])
     # One row per key and range: small, and spread over the keys where there are any.
@@ -89,9 +103,13 @@ def rank_fraction(
 ) -> DataFrame:
     """Tie-averaged ascending rank divided by the row count, in (0, 1]."""
     keys = keys or []
-    base = df.withColumn("_value", F.col(value).cast("double") + F.lit(0.0))
+    base = cut_lineage(df.withColumn("_value", F.col(value).cast("double") + F.lit(0.0)))
     ranked = running_sums(
-        base.select(*keys, "_value", F.lit(1).cast("bigint").alias("_n")), keys, "_value", ["_n"], ranges
+        base.select(*keys, "_value", F.lit(1).cast("bigint").alias("_n")),
+        keys,
+        "_value",
+        ["_n"],
+        bounds=range_bounds(base, "_value", ranges),
     )
     ranked = ranked.select(
         *keys,
@@ -115,9 +133,9 @@ def row_ranks(
     A value so frequent that it is itself a bound is split further by the tie column.
     """
     sign = -1.0 if descending else 1.0
-    base = df.withColumn("_order", F.col(order).cast("double") * F.lit(sign) + F.lit(0.0))
-    main = range_of(F.col("_order"), range_bounds(base, "_order", ranges))
-    ties = range_bounds(base, tie, ranges)
+    base = cut_lineage(df.withColumn("_order", F.col(order).cast("double") * F.lit(sign) + F.lit(0.0)))
+    orders, ties = all_bounds(base, ["_order", tie], ranges)
+    main = range_of(F.col("_order"), orders)
     minor = range_of(F.col(tie).cast("double"), ties)
     width = 2 * len(ties) + 1
     base = base.withColumn("_main", main).withColumn(

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -180,29 +182,74 @@ def frames_long(runs: DataFrame) -> DataFrame:
     )
 
 
-def frames_wide(long: DataFrame, channels: tuple[Channel, ...] = CHANNELS) -> DataFrame:
+def frames_wide(
+    runs: DataFrame, channels: tuple[Channel, ...] = CHANNELS, on_bad: str = "error"
+) -> DataFrame:
     """(stay, step, x): data columns in channel order followed by mask columns.
 
-    ``long`` is already partitioned by stay, so this grouping needs no further shuffle.
+    Each run becomes (column, since, until, value) entries. A stay's entries, at most
+    steps x channels of them, are laid out by one vectorised Arrow kernel; the runs are
+    already partitioned by stay, so no further shuffle takes place. A category outside
+    the list is an error, or is left out with ``on_bad='null'``.
     """
-
-    def pick(c: Channel, what: str):
-        return F.max(F.when(F.col("variable") == c.name, F.col(what)))
-
-    aggs = []
-    for i, c in enumerate(channels):
-        aggs.append(pick(c, "cats" if c.categorical else "num").alias(f"v{i}"))
-        aggs.append(pick(c, "observed").alias(f"m{i}"))
-    grouped = long.groupBy("stay_id", "step").agg(*aggs)
-    parts, masks = [], []
-    for i, c in enumerate(channels):
-        if c.categorical:
-            hot = [F.array_contains(f"v{i}", v).cast("float") for v in c.values]
-            parts.extend([F.coalesce(h, F.lit(0.0).cast("float")) for h in hot])
-        else:
-            parts.append(F.col(f"v{i}").cast("float"))
-        masks.append(F.coalesce(F.col(f"m{i}"), F.lit(False)).cast("float"))
-    return grouped.select("stay_id", "step", F.array(*parts, *masks).alias("x"))
+    names = frame_columns(channels)
+    place = {n: i for i, n in enumerate(names)}
+    table = F.create_map(*[x for n, i in place.items() for x in (F.lit(n), F.lit(i))])
+    at = lambda n: F.try_element_at(table, n)
+    entry = lambda col, since, until, v: F.struct(
+        col.alias("c"), since.alias("a"), until.alias("b"), v.cast("float").alias("v")
+    )
+    since, until = F.col("since"), F.col("until")
+    bad = F.raise_error(F.concat(F.lit("category is not configured for "), F.col("variable"))).cast("int")
+    code = lambda x: at(F.concat(F.col("variable"), F.lit("->"), x))
+    hot = F.transform(
+        "cats",
+        lambda x: entry(F.coalesce(code(x), bad) if on_bad == "error" else code(x), since, until, F.lit(1.0)),
+    )
+    if on_bad != "error":
+        hot = F.filter(hot, lambda e: e["c"].isNotNull())
+    data = F.when(F.col("cats").isNull(), F.array(entry(at(F.col("variable")), since, until, F.col("num")))).otherwise(hot)
+    seen = F.array(entry(at(F.concat(F.lit("mask->"), F.col("variable"))), F.col("bin"), F.col("bin") + 1, F.lit(1.0)))
+    both = F.when(F.col("bin") >= 0, F.concat(data, seen)).otherwise(data)
+    packed = runs.groupBy("stay_id").agg(
+        F.max("until").alias("bins"), F.flatten(F.collect_list(both)).alias("e")
+    )
+    flat = packed.select(
+        "stay_id", "bins", *[F.col(f"e.{k}").alias(k) for k in ("c", "a", "b", "v")]
+    )
+    return flat.mapInArrow(_lay_out(len(names)), "stay_id long, step int, x array<float>")
+
+
+def _lay_out(width: int, stays_per_pass: int = 256):
+    """Arrow kernel: runs of a few hundred stays at a time to dense step rows."""
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, stays_per_pass):
+                part = batch.slice(start, stays_per_pass)
+                bins = part.column("bins").to_numpy(zero_copy_only=False).astype(np.int64)
+                base = np.concatenate([[0], np.cumsum(bins)])
+                counts = np.diff(part.column("c").offsets.to_numpy())
+                get = lambda k: part.column(k).flatten().to_numpy(zero_copy_only=False)
+                since, until = get("a").astype(np.int64), get("b").astype(np.int64)
+                size = until - since
+                first = np.repeat(base[:-1], counts) + since
+                total = int(size.sum())
+                ahead = np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else size
+                rows = np.repeat(first - ahead, size) + np.arange(total)
+                x = np.zeros((int(base[-1]), width), dtype=np.float32)
+                x[rows, np.repeat(get("c"), size)] = np.repeat(get("v"), size)
+                offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * width, pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.repeat(part.column("stay_id").to_numpy(zero_copy_only=False), bins)),
+                        pa.array((np.arange(len(x)) - np.repeat(base[:-1], bins)).astype(np.int32)),
+                        pa.ListArray.from_arrays(offsets, pa.array(x.ravel())),
+                    ],
+                    names=["stay_id", "step", "x"],
+                )
+
+    return run
 
 
 def channel_stats(runs: DataFrame, train: DataFrame) -> DataFrame:

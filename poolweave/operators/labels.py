@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import with_scalars
+from ..session import cut_lineage
 from . import checks
 
 
@@ -156,52 +159,59 @@ def cardinality_histogram(items: DataFrame, positives: DataFrame, key: str = "st
     )
 
 
-def _gram_rows(positives: DataFrame, names: DataFrame, key: str) -> DataFrame:
-    """(left, right, both) counts, summed per task from a bounded label Gram matrix.
+# Labels a co-occurrence count may have: its result is a table of label pairs.
+MAX_PAIR_LABELS = 4096
 
-    An item's labels arrive as one array; each task adds its rows to a C x C count
-    matrix and emits the non-zero cells once, so the shuffle carries cells, not pairs.
+
+def _pair_counts(positives: DataFrame, key: str) -> DataFrame:
+    """(left_label, right_label, both) from one pass over the positives.
+
+    An item's labels arrive as one array. Each task adds its items to a label Gram matrix
+    and emits the non-zero cells once, so the shuffle carries cells of the label
+    dimension, never the pairs of an item. The diagonal holds the label counts.
     """
-    import numpy as np
-    import pandas as pd
-
-    size = names.count()
-    if size > 4096:
-        raise checks.AuditError("co-occurrence needs a label dimension of at most 4096")
-    indexed = names.select("label", F.col("ord").cast("int").alias("_o"))
-    sets = (
-        positives.join(F.broadcast(indexed), "label")
-        .groupBy(key)
-        .agg(F.collect_set("_o").alias("codes"))
-        .select("codes")
-    )
+    sets = positives.groupBy(key).agg(F.collect_set("label").alias("labels")).select("labels")
 
     def kernel(batches):
-        gram = np.zeros((size, size), dtype=np.int64)
+        index: dict[str, int] = {}
+        gram = np.zeros((64, 64), dtype=np.int64)
         for batch in batches:
-            hot = np.zeros((len(batch), size), dtype=np.float32)
-            lengths = [len(c) for c in batch["codes"]]
-            if sum(lengths):
-                hot[np.repeat(np.arange(len(batch)), lengths), np.concatenate(list(batch["codes"]))] = 1
+            lengths = [len(x) for x in batch["labels"]]
+            if not sum(lengths):
+                continue
+            codes = np.fromiter(
+                (index.setdefault(v, len(index)) for row in batch["labels"] for v in row), dtype=np.int64
+            )
+            if len(index) > MAX_PAIR_LABELS:
+                raise ValueError(f"co-occurrence is limited to {MAX_PAIR_LABELS} labels")
+            if len(index) > len(gram):
+                grown = np.zeros((2 * len(index), 2 * len(index)), dtype=np.int64)
+                grown[: len(gram), : len(gram)] = gram
+                gram = grown
+            hot = np.zeros((len(batch), len(gram)), dtype=np.float32)
+            hot[np.repeat(np.arange(len(batch)), lengths), codes] = 1
             gram += (hot.T @ hot).astype(np.int64)
+        names = np.array(list(index), dtype=object)
         left, right = np.nonzero(gram)
-        yield pd.DataFrame({"l": left, "r": right, "both": gram[left, right]})
+        yield pd.DataFrame({"left_label": names[left], "right_label": names[right], "both": gram[left, right]})
 
-    cells = sets.mapInPandas(kernel, "l int, r int, both long")
-    return cells.groupBy("l", "r").agg(F.sum("both").alias("both"))
+    cells = sets.mapInPandas(kernel, "left_label string, right_label string, both long")
+    return cells.groupBy("left_label", "right_label").agg(F.sum("both").alias("both"))
 
 
 def cooccurrence(positives: DataFrame, top: int = 25, key: str = "stay_id") -> DataFrame:
     """Cosine of label co-occurrence among the ``top`` labels."""
-    names = prevalence_top(positives, top).withColumn(
-        "ord", F.row_number().over(Window.orderBy(F.desc("positives"), "label")) - 1
+    cells = cut_lineage(_pair_counts(positives, key))
+    names = (
+        cells.filter(F.col("left_label") == F.col("right_label"))
+        .orderBy(F.desc("both"), "left_label")
+        .limit(top)
     )
-    cells = _gram_rows(positives, names, key)
-    a = names.select(F.col("ord").alias("l"), F.col("label").alias("left_label"), F.col("positives").alias("_n1"))
-    b = names.select(F.col("ord").alias("r"), F.col("label").alias("right_label"), F.col("positives").alias("_n2"))
+    a = names.select("left_label", F.col("both").alias("_n1"))
+    b = names.select(F.col("left_label").alias("right_label"), F.col("both").alias("_n2"))
     return (
-        cells.join(F.broadcast(a), "l")
-        .join(F.broadcast(b), "r")
+        cells.join(F.broadcast(a), "left_label")
+        .join(F.broadcast(b), "right_label")
         .select(
             "left_label",
             "right_label",
@@ -213,7 +223,7 @@ def cooccurrence(positives: DataFrame, top: int = 25, key: str = "stay_id") -> D
 
 def cooccurrence_density(positives: DataFrame, names: DataFrame, key: str = "stay_id") -> DataFrame:
     """Share of ordered label pairs that occur together at least once."""
-    cells = _gram_rows(positives, names, key)
+    cells = _pair_counts(positives, key)
     labels = names.agg(F.count("*").alias("c"))
     return with_scalars(cells.agg(F.count("*").alias("pairs")), labels).select(
         "pairs", (F.col("pairs") / (F.col("c") * F.col("c"))).alias("density")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import with_scalars
-from ..functions.ranks import running_sums
+from ..functions.ranks import range_bounds, running_sums
+from ..session import cut_lineage
 from . import checks
 
 
@@ -73,14 +74,15 @@ def prior_recall(train_positives: DataFrame, test_positives: DataFrame, names: D
     return rows.agg(F.avg("r").alias("prior_recall"))
 
 
-def _score_counts(cells: DataFrame, keys: list[str]) -> DataFrame:
-    scored = cells.select(
-        *keys,
-        (F.col("p").cast("double") + F.lit(0.0)).alias("p"),
-        F.col("y").cast("bigint").alias("pos"),
-        (F.lit(1) - F.col("y")).cast("bigint").alias("neg"),
+def _score_table(cells: DataFrame) -> tuple[DataFrame, list[float]]:
+    """(label, p, pos, neg) stored once, with the range bounds of the scores."""
+    counts = cut_lineage(
+        cells.groupBy("label", (F.col("p").cast("double") + F.lit(0.0)).alias("p")).agg(
+            F.sum(F.col("y").cast("bigint")).alias("pos"),
+            F.sum((F.lit(1) - F.col("y")).cast("bigint")).alias("neg"),
+        )
     )
-    return running_sums(scored, keys, "p", ["pos", "neg"])
+    return counts, range_bounds(counts, "p")
 
 
 def _areas(counts: DataFrame, keys: list[str]) -> DataFrame:
@@ -108,19 +110,22 @@ def _areas(counts: DataFrame, keys: list[str]) -> DataFrame:
 
 def label_areas(cells: DataFrame) -> DataFrame:
     """Per label: positives, negatives, average precision and AUROC (NULL if undefined)."""
-    return _areas(_score_counts(cells, ["label"]), ["label"])
+    counts, bounds = _score_table(cells)
+    return _areas(running_sums(counts, ["label"], "p", ["pos", "neg"], bounds=bounds), ["label"])
 
 
 def ranking_metrics(cells: DataFrame, strict: bool = True) -> DataFrame:
     """One row: macro and micro AUPRC and AUROC with the label coverage."""
-    macro = label_areas(cells).agg(
+    counts, bounds = _score_table(cells)
+    per_label = _areas(running_sums(counts, ["label"], "p", ["pos", "neg"], bounds=bounds), ["label"])
+    macro = per_label.agg(
         F.avg("auprc").alias("macro_auprc"),
         F.avg("auroc").alias("macro_auroc"),
         F.count("*").alias("labels"),
         F.count("auprc").alias("labels_auprc"),
         F.count("auroc").alias("labels_auroc"),
     )
-    micro = _areas(_score_counts(cells, []), []).select(
+    micro = _areas(running_sums(counts, [], "p", ["pos", "neg"], bounds=bounds), []).select(
         F.col("auprc").alias("micro_auprc"), F.col("auroc").alias("micro_auroc")
     )
     out = with_scalars(macro, micro)

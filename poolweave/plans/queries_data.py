@@ -540,7 +540,7 @@ def _(t):
 
 def _wide(t):
     binned = frames.bin_values(t.stay_events, t.ev_stays)
-    return frames.frames_wide(frames.frames_long(frames.validity_runs(binned, t.ev_stays)))
+    return frames.frames_wide(frames.validity_runs(binned, t.ev_stays))
 
 
 _CELLS = """(select stay_id, step, variable, num, cats, observed from frame)"""
@@ -552,7 +552,7 @@ _CELLS = """(select stay_id, step, variable, num, cats, observed from frame)"""
     from frame group by stay_id, step""")
 def _(t):
     w = _wide(t)
-    total = lambda a, b: F.aggregate(F.slice("x", a, b), F.lit(0.0), lambda s, x: s + x.cast("double"))
+    total = lambda a, b: sum((F.col("x")[i].cast("double") for i in range(a - 1, a + b - 1)), F.lit(0.0))
     return w.select("stay_id", "step", F.size("x").alias("width"), total(1, 59).alias("data_sum"), total(60, 17).cast("bigint").alias("mask_sum"))
 
 
