@@ -178,10 +178,9 @@ def take_top(
 def spearman(df: DataFrame, left: str, right: str) -> DataFrame:
     """One row: rank correlation, NULL where either side is constant."""
     ranked = rank_fraction(rank_fraction(df.select(left, right), left, "_l"), right, "_r")
+    spread = F.stddev_pop("_l") * F.stddev_pop("_r")
     return ranked.agg(
-        F.when(
-            (F.stddev_pop("_l") > 1e-12) & (F.stddev_pop("_r") > 1e-12), F.corr("_l", "_r")
-        ).alias("spearman")
+        F.when(spread > 1e-12, F.try_divide(F.covar_pop("_l", "_r"), spread)).alias("spearman")
     )
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Any, Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql.window import WindowSpec
 
 from ..operators import checks, design, disagreement, prototypes, readouts, selection
 
@@ -70,6 +71,11 @@ METHODS: dict[str, Method] = {
 }
 
 
+def by_id() -> WindowSpec:
+    """Id order over a budget-sized selection."""
+    return Window.orderBy("id")
+
+
 def register(method: Method) -> None:
     """Add a method; it takes a Context and returns (id, rank, ...)."""
     METHODS[method.name] = method

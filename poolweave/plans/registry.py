@@ -56,7 +56,7 @@ def runner(q: Query) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def load() -> dict[str, Query]:
-    from . import queries_data, queries_eval, queries_select, queries_streams  # noqa: F401
+    from . import queries_data, queries_eval, queries_io, queries_select, queries_streams  # noqa: F401
 
     return QUERIES
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,14 +57,20 @@ NAMES = {
 
 
 def typed_csv(
-    spark: SparkSession, path: str, schema: str | T.StructType, columns: list[str] | None = None, header: bool = True
+    spark: SparkSession,
+    path: str,
+    schema: str | T.StructType,
+    columns: list[str] | None = None,
+    header: bool = True,
+    multiline: bool = False,
 ) -> DataFrame:
     """CSV with a declared schema matched by header name; only ``columns`` are parsed.
 
-    Code columns are declared as strings, so leading zeros survive.
+    Code columns are declared as strings, so leading zeros survive. ``multiline`` is for
+    quoted line breaks; such files cannot be split, so long tables should come in many.
     """
-    declared = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-    reader = spark.read.option("header", header).option("multiLine", True).option("escape", '"')
+    declared = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    reader = spark.read.option("header", header).option("multiLine", multiline).option("escape", '"')
     if header:
         names = reader.csv(path).columns
         types = {f.name: f.dataType for f in declared.fields}
@@ -84,23 +90,33 @@ def named(df: DataFrame) -> DataFrame:
 
 
 def raw_table(spark: SparkSession, kind: str, path: str) -> DataFrame:
-    return named(typed_csv(spark, path, SCHEMAS[kind]))
+    return named(typed_csv(spark, path, SCHEMAS[kind], multiline=kind == "notes"))
 
 
 def subject_file(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMAS["subject_list"]).csv(path)
 
 
-def numbered_notes(spark: SparkSession, path: str, out: str) -> DataFrame:
-    """Notes with a global source-row number, written once so that it never changes.
+def with_source_row(df: DataFrame, out: str = "source_row") -> DataFrame:
+    """Number rows in file order: (file, offset of the split, row inside it) as one long.
 
-    File order is the order of partitions and of rows inside them; the number is assigned
-    once at ingest and stored.
+    Splits are ranked by path and offset on a table with one row per split, so the order
+    does not depend on how Spark packs files into tasks. The number is for ingest: write
+    the result once and read it from there.
     """
-    notes = raw_table(spark, "notes", path)
-    schema = T.StructType([*notes.schema.fields, T.StructField("source_row", T.LongType(), False)])
-    rows = notes.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    checks.write_new(spark.createDataFrame(rows, schema), out)
+    place = [F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b")]
+    splits = df.select(*place).distinct()
+    ranked = splits.withColumn("_k", F.row_number().over(Window.orderBy("_f", "_b")).cast("bigint"))
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows = df.select("*", *place, inside.alias("_i"))
+    number = F.shiftleft(F.col("_k"), 33) + F.col("_i")
+    return rows.join(F.broadcast(ranked), ["_f", "_b"]).withColumn(out, number).drop("_f", "_b", "_k", "_i")
+
+
+def numbered_notes(spark: SparkSession, path: str, out: str) -> DataFrame:
+    """Notes with the global source-row number that breaks ties, written once."""
+    raw = typed_csv(spark, path, SCHEMAS["notes"], multiline=True)
+    checks.write_new(named(with_source_row(raw)), out)
     return spark.read.parquet(out)
 
 
@@ -137,9 +153,7 @@ def file_stems(spark: SparkSession, folder: str, pattern: str = "*.jpg") -> Data
 
 def record_index(spark: SparkSession, path: str) -> DataFrame:
     """Record list CSV (subject_id, study_id, path) with its row number as tie-break."""
-    raw = typed_csv(spark, path, "subject_id long, study_id long, path string")
-    rows = raw.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    return spark.createDataFrame(rows, "subject_id long, study_id long, path string, source_row long")
+    return with_source_row(typed_csv(spark, path, "subject_id long, study_id long, path string"))
 
 
 def records_from_folder(spark: SparkSession, folder: str) -> DataFrame:
