@@ -343,15 +343,18 @@ def counterfactual_tokens(
     masks: list[int] | None = None,
     lambda_alpha: float | None = None,
     salt: str = "partner",
+    bounded_work: bool = False,
 ) -> DataFrame:
     """(id, coalition, partner_no, tokens): keep a coalition's modalities and take the
     others from hash-drawn partners of the pool, optionally as a Beta mix.
 
-    Partners are drawn as positions in the pool, so finding them is an equi-join on
-    (position, modality); kept modalities never enter the join.
+    Partners are drawn as positions in the pool. Only ids are ranked; the drawn positions
+    become ids, and those ids fetch their tokens, so the pool's vectors are read once and
+    never copied. ``bounded_work`` says the work set is small enough (a screened set) for
+    the drawn ids to be broadcast against the pool. Kept modalities enter no join.
     """
     masks = list(range(1 << modalities)) if masks is None else masks
-    indexed = row_ranks(pool.select("id", "tokens"), [], "id", "id", "_pos")
+    indexed = row_ranks(pool.select("id"), [], "id", "id", "_pos").withColumnRenamed("id", "_other")
     count = pool.agg(F.count("*").alias("_n"))
     grid = work.select("id", F.col("tokens").alias("_own"))
     grid = grid.withColumn("coalition", F.explode(F.array(*[F.lit(m) for m in masks])))
@@ -363,8 +366,13 @@ def counterfactual_tokens(
     drawn = with_scalars(cells.filter(~keep), count).withColumn(
         "_pos", (F.least(F.floor(u * F.col("_n")), F.col("_n") - 1) + 1).cast("bigint")
     )
-    source = indexed.select("_pos", F.posexplode("tokens").alias("modality", "other"))
-    swapped = drawn.join(source, ["_pos", "modality"])
+    drawn = drawn.join(indexed, "_pos")
+    wanted = drawn.select("_other").distinct()
+    source = pool.select(F.col("id").alias("_other"), "tokens").join(
+        F.broadcast(wanted) if bounded_work else wanted, "_other", "left_semi"
+    )
+    source = source.select("_other", F.posexplode("tokens").alias("modality", "other"))
+    swapped = drawn.join(source, ["_other", "modality"])
     other = F.transform("other", lambda x: x.cast("double"))
     if lambda_alpha and lambda_alpha > 0:
         w = uniform(seed, f"{salt}-mix", F.col("id"), F.col("coalition"), F.col("partner_no"), F.col("modality"))
@@ -383,12 +391,12 @@ def counterfactual_tokens(
 
 def closure_samples(labeled: DataFrame, modalities: int, count: int, seed: int, fuser, lambda_alpha=None) -> DataFrame:
     """Fused chimeras of labeled rows: every modality from its own hash-drawn row."""
-    indexed = row_ranks(labeled.select("id", "tokens"), [], "id", "id", "_pos")
+    indexed = row_ranks(labeled.select("id"), [], "id", "id", "_pos")
     size = labeled.agg(F.count("*").alias("_n"))
     draws = with_scalars(labeled.sparkSession.range(count).withColumnRenamed("id", "sample"), size)
     base = draws.select(
         "sample", (F.floor(uniform(seed, "closure", "sample") * F.col("_n")) + 1).cast("bigint").alias("_pos")
-    ).join(indexed.select("_pos", "tokens"), "_pos")
+    ).join(indexed, "_pos").join(labeled.select("id", "tokens"), "id")
     work = base.select(F.col("sample").alias("id"), "tokens")
     mixed = counterfactual_tokens(work, labeled, modalities, 1, seed, [0], lambda_alpha, "closure-partner")
     return selection.with_fused(mixed.select("id", "tokens"), fuser).select("id", "features", "p")
@@ -466,12 +474,14 @@ def acquire(
     scored = cut_lineage(scored.select("id", "bound", (F.lit(1.0) - F.col("similarity")).alias("proxy")))
     union = cut_lineage(rank_union(scored, "bound", "proxy", max(budget, workset), synergy_workset))
     work = cut_lineage(pool.join(union.select("id"), "id", "left_semi"))
-    cells = counterfactual_tokens(work, pool, modalities, partners, seed, None, lambda_alpha)
+    size = work.count()
+    # Ids drawn for the screened work set; a few million longs are safe to broadcast.
+    small = size * (1 << modalities) * partners * modalities <= 4_000_000
+    cells = counterfactual_tokens(work, pool, modalities, partners, seed, None, lambda_alpha, bounded_work=small)
     keys = ["id", "coalition", "partner_no"]
     fused = cut_lineage(selection.with_fused(cells, fuser).select(*keys, "features", "p"))
     covered = cut_lineage(coverage(fused, keys, design))
     state = Deflation.start(design)
-    size = work.count()
     wanted = min(budget, size)
     limit = min(wanted, max(0, wanted if deflation_steps is None else deflation_steps))
 

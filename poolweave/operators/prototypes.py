@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import cosine, dot, unit
 from ..functions.ranks import take_top
-from ..functions.vectors import BROADCAST_BYTES, add_columns, unit_rows, vector_sum
+from ..functions.vectors import BROADCAST_BYTES, unit_rows, vector_sum
+from ..session import cut_lineage
 
 BACKGROUND = -1
 
@@ -235,7 +236,7 @@ def acquire(
 ) -> DataFrame:
     """Fit prototypes on the labeled rows, attach evidence to the pool, take the top rows."""
     labeled = stacked_views(labeled, multi_view)
-    bank = refresh_prototypes(labeled).cache()
+    bank = cut_lineage(refresh_prototypes(labeled))
     measured = with_similarity(labeled, bank, labels)
     limits = threshold_list(positive_thresholds(measured), labels)
     pool = with_similarity(stacked_views(candidates, multi_view), bank, labels)

@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import add_columns, sigmoid, stack
+from ..functions.vectors import add_columns, sigmoid, stack, vector_sum
+from ..session import cut_lineage
 from . import disagreement
 from .splits import serpentine_folds
 
@@ -46,24 +47,43 @@ def fit(
 ) -> np.ndarray:
     """Weights [folds + 1, M, C, D + 1]; entry 0 is the full fit, entry f + 1 leaves out fold f.
 
-    One job per epoch: each task returns the gradient sums of all models over its rows
-    (a few numbers per model), and the driver takes the optimiser step. Rows stay where
-    they are and are cached; a lost executor only recomputes its part.
+    One job per epoch: each task returns the gradient sums of all models over its rows,
+    and the driver takes the optimiser step. Rows stay where they are and are cached; a
+    lost executor only recomputes its part. Labels are independent models, so when their
+    weights outgrow the pass limit the labels are fitted in slices.
     """
     posw = disagreement.vector(positive_weights(labeled, maximum), "pos_weight", labels)
     data = labeled.select("tokens", "y", "fold").persist()
-    shape = (folds + 1, modalities, labels, width + 1)
-    w = np.zeros(shape)
-    first, second = np.zeros(shape), np.zeros(shape)
+    per_pass = max(1, PASS_BYTES // (8 * (folds + 1) * modalities * (width + 1)))
+    parts = []
+    for start in range(0, labels, per_pass):
+        mine = slice(start, min(start + per_pass, labels))
+        shape = (folds + 1, modalities, mine.stop - mine.start, width + 1)
+        parts.append(_fit_slice(data, posw[mine], mine, shape, labels, epochs, rate, decay))
+    data.unpersist()
+    return np.concatenate(parts, axis=2)
+
+
+# Bytes of model weights (and of gradients) a task holds in one pass.
+PASS_BYTES = 64 * 1024 * 1024
+
 
-    def gradients(weights):
+def _fit_slice(data, posw, mine, shape, labels, epochs, rate, decay) -> np.ndarray:
+    """Full-batch adaptive-moment steps with decoupled decay for one slice of labels."""
+    folds, modalities = shape[0] - 1, shape[1]
+    context = data.sparkSession.sparkContext
+    w, first, second = np.zeros(shape), np.zeros(shape), np.zeros(shape)
+
+    def gradients(held):
         def run(batches):
-            grad = np.zeros(shape)
-            rows = np.zeros(folds + 1)
+            weights = held.value
+            grad, rows = np.zeros(shape), np.zeros(folds + 1)
             for batch in batches:
+                if not len(batch):
+                    continue
                 x = stack(batch["tokens"])
                 x = np.concatenate([x, np.ones((*x.shape[:2], 1))], axis=2)
-                y = stack(batch["y"])
+                y = stack(batch["y"])[:, mine]
                 fold = batch["fold"].to_numpy()
                 for f in range(folds + 1):
                     use = slice(None) if f == 0 else fold != f - 1
@@ -77,18 +97,16 @@ def fit(
         return run
 
     for step in range(1, max(1, epochs) + 1):
-        parts = data.mapInPandas(gradients(w), "f int, g array<double>, n double")
-        from ..functions.vectors import vector_sum
-
+        held = context.broadcast(w)
+        sums = data.mapInPandas(gradients(held), "f int, g array<double>, n double")
         grad = np.zeros(shape)
-        for r in parts.groupBy("f").agg(vector_sum("g").alias("g"), F.sum("n").alias("n")).collect():
-            cells = max(r["n"], 1.0) * modalities * labels
-            grad[r["f"]] = np.reshape(r["g"], shape[1:]) / cells
+        for r in sums.groupBy("f").agg(vector_sum("g").alias("g"), F.sum("n").alias("n")).collect():
+            grad[r["f"]] = np.reshape(r["g"], shape[1:]) / (max(r["n"], 1.0) * modalities * labels)
+        held.unpersist()
         first = 0.9 * first + 0.1 * grad
         second = 0.999 * second + 0.001 * grad * grad
         move = (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
         w = w * (1 - rate * decay) - rate * move
-    data.unpersist()
     return w
 
 
@@ -183,7 +201,7 @@ def train(
 ) -> disagreement.ReadoutState:
     """Full fit, grouped out-of-fold scores, reliability weights and prototypes."""
     rows, count = with_folds(labeled, folds)
-    rows = rows.persist()
+    rows = cut_lineage(rows)
     weights = fit(rows, count, labels, modalities, width, **options)
     prevalence = disagreement.label_prevalence(rows)
     if count:
@@ -192,7 +210,8 @@ def train(
         flat = F.array(*[F.lit(float(v)) for v in disagreement.vector(prevalence, "prevalence", labels)])
         scored = rows.withColumn("q", F.array_repeat(flat, modalities))
     stats = reliability(scored)
-    table = stats.select("modality", "label", "label_weight", "modality_weight").persist()
+    table = stats.select("modality", "label", "label_weight", "modality_weight")
+    table = cut_lineage(table)
     protos = np.zeros((modalities, width))
     for r in disagreement.modality_prototypes(rows, prototype).collect():
         protos[r["modality"]] = r["vec"]
@@ -206,5 +225,4 @@ def train(
         prevalence=prevalence,
         cardinality=expected_cardinality(rows),
     )
-    table.unpersist()
     return state

@@ -28,27 +28,42 @@ def gap_counts(signals: DataFrame) -> DataFrame:
     return signals.groupBy("study_id").agg(F.count_if(F.col("mv").isNull()).alias("gaps"))
 
 
-def repair(signals: DataFrame, clip: float = 3.0) -> DataFrame:
+# Samples of one lead that a single window may see.
+CHUNK = 100_000
+
+
+def repair(signals: DataFrame, clip: float = 3.0, chunk: int = CHUNK) -> DataFrame:
     """Fill gaps per (study, lead): linear inside, nearest value at the ends, 0 if the
     lead has no value at all; then clip.
 
-    A (study, lead) is one recording of fixed length, so the window is bounded by it.
+    Windows run inside chunks of a recording. The nearest known sample beyond a chunk
+    comes from a table with one row per chunk, so a very long recording stays spread out.
     """
-    ahead = Window.partitionBy("study_id", "lead").orderBy("t")
-    back = ahead.rowsBetween(Window.unboundedPreceding, 0)
-    fwd = ahead.rowsBetween(0, Window.unboundedFollowing)
+    keys = ["study_id", "lead", "_c"]
+    cut = signals.withColumn("_c", F.floor(F.col("t") / F.lit(chunk)))
     known = F.when(F.col("mv").isNotNull(), F.struct("t", "mv"))
-    w = signals.withColumn("_p", F.last(known, ignorenulls=True).over(back)).withColumn(
+    edges = cut.groupBy(*keys).agg(F.min(known).alias("_first"), F.max(known).alias("_last"))
+    chunks = Window.partitionBy("study_id", "lead").orderBy("_c")
+    edges = edges.select(
+        *keys,
+        F.last("_last", ignorenulls=True).over(chunks.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.first("_first", ignorenulls=True).over(chunks.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+    )
+    inside = Window.partitionBy(*keys).orderBy("t")
+    back = inside.rowsBetween(Window.unboundedPreceding, 0)
+    fwd = inside.rowsBetween(0, Window.unboundedFollowing)
+    w = cut.withColumn("_p", F.last(known, ignorenulls=True).over(back)).withColumn(
         "_n", F.first(known, ignorenulls=True).over(fwd)
     )
+    w = w.join(edges, keys).withColumn("_p", F.coalesce("_p", "_before")).withColumn("_n", F.coalesce("_n", "_after"))
     share = (F.col("t") - F.col("_p.t")) / (F.col("_n.t") - F.col("_p.t")).cast("double")
-    inside = F.col("_p.mv") + share * (F.col("_n.mv") - F.col("_p.mv"))
+    between = F.col("_p.mv") + share * (F.col("_n.mv") - F.col("_p.mv"))
     value = (
         F.when(F.col("mv").isNotNull(), F.col("mv"))
         .when(F.col("_p").isNull() & F.col("_n").isNull(), F.lit(0.0))
         .when(F.col("_p").isNull(), F.col("_n.mv"))
         .when(F.col("_n").isNull(), F.col("_p.mv"))
-        .otherwise(inside)
+        .otherwise(between)
     )
     if clip > 0:
         value = F.greatest(F.least(value, F.lit(float(clip))), F.lit(-float(clip)))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql.window import WindowSpec
 
 from ..operators import checks, design, disagreement, prototypes, readouts, selection
+from ..session import cut_lineage
 
 
 @dataclass
@@ -101,7 +102,7 @@ def acquire(name: str, context: Context, strict: bool = True) -> DataFrame:
     method = require(name, context)
     picked = method.select(context)
     if strict:
-        picked = picked.cache()
+        picked = cut_lineage(picked)
         checks.enforce(
             selection.contract_findings(picked, context.candidates, context.labeled, context.budget)
         )

@@ -293,3 +293,17 @@ def test_missing_inputs_are_refused(spark):
         methods.require("prototype", methods.Context(df.drop("p"), df, 2))
     with pytest.raises(checks.AuditError, match="unknown method"):
         methods.require("nope", methods.Context(df, df, 2))
+
+
+def test_readout_slices_equal_one_pass(spark, monkeypatch):
+    folded, n = readouts.with_folds(pool(spark, 20, 30)[0], 2)
+    whole = readouts.fit(folded, n, C, M, D, epochs=3)
+    monkeypatch.setattr(readouts, "PASS_BYTES", 1)
+    assert np.allclose(readouts.fit(folded, n, C, M, D, epochs=3), whole)
+
+
+def test_counterfactual_partners_do_not_depend_on_the_join(spark):
+    df = pool(spark, 15, 31)[0]
+    a = design.counterfactual_tokens(df, df, M, 2, 5)
+    b = design.counterfactual_tokens(df.repartition(6), df.repartition(3), M, 2, 5, bounded_work=True)
+    assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))

@@ -116,3 +116,12 @@ def test_index_audit(spark):
     bad = spark.createDataFrame([(0, 0, 0, 10), (1, 0, 5, 10), (3, 0, 25, 10)], good.schema)
     found = {r["check"]: r["violations"] for r in signals.index_findings(bad, files, 10).collect()}
     assert found["overlapping ranges"] == 1 and found["range beyond file"] == 1 and found["ids are not a full range"] == 1
+
+
+def test_repair_across_chunks(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=60)
+    x[rng.random(60) < 0.6] = np.nan
+    sig = spark.createDataFrame([(1, "I", t, None if np.isnan(v) else float(v)) for t, v in enumerate(x)], "study_id long, lead string, t int, mv double")
+    key = lambda df: [tuple(r) for r in df.orderBy("t").collect()]
+    assert key(signals.repair(sig, chunk=4)) == key(signals.repair(sig))
