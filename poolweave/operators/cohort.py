@@ -134,13 +134,9 @@ def split_counts(items: DataFrame, positives: DataFrame, key: str = "stay_id") -
         "partition", F.lit("(rows)").alias("label"), "n"
     )
     marked = positives.join(items.select(key, "partition"), key)
-    marked.createOrReplaceTempView("_poolweave_marked")
-    pos = marked.sparkSession.sql(
-        """SELECT coalesce(partition, '(all)') AS partition, label, count(*) AS n
-           FROM _poolweave_marked
-           GROUP BY GROUPING SETS ((partition, label), (label))"""
-    )
-    return sizes.unionByName(pos)
+    part, label = F.col("partition"), F.col("label")
+    pos = marked.groupingSets([[part, label], [label]], part, label).agg(F.count("*").alias("n"))
+    return sizes.unionByName(pos.withColumn("partition", F.coalesce("partition", F.lit("(all)"))))
 
 
 def sizing_grid(

@@ -133,7 +133,7 @@ def _(t):
     select id, 'second' as run_id from (select id from vec order by {U(18, 'initial', 'id')}, id limit 20) x""")
 def _(t):
     state = loop.RunState(t.spark, scratch_path(t.spark, "rounds"))
-    none = t.pool.limit(1).select(F.lit("n").alias("metric"), F.lit(0.0).alias("value"))
+    none = t.pool.agg(F.count("*").cast("double").alias("value")).select(F.lit("pool").alias("metric"), "value")
     for run, seed in (("first", SEED), ("second", SEED), ("second", SEED + 1)):
         s = loop.RunSettings(run, "random", seed, (20,))
         state.write_round(s, 0, selection.initial_selection(t.pool, 20, seed), "initial", none)
