@@ -158,28 +158,60 @@ def in_stay_hours(df: DataFrame) -> DataFrame:
     return df.filter((F.col("hours") > -EPS) & (F.col("hours") < F.col("los_hours") + F.lit(EPS)))
 
 
-def largest_per_time(events: DataFrame, categorical: list[str]) -> DataFrame:
+# Stands for a text that is in no category list; frames report or drop it.
+UNKNOWN_TEXT = "<unknown>"
+UNKNOWN_CODE = 62
+
+
+def category_codes(categories: dict[str, tuple[str, ...]]) -> tuple[Column, Column]:
+    """(code of the row's text, table from variable to its coded values).
+
+    A code is the position in text order, so the largest code is the largest text; it is
+    NULL for variables without categories.
+    """
+    ordered = {v: sorted(values) for v, values in categories.items()}
+    pairs = [x for v, vals in ordered.items() for i, t in enumerate(vals) for x in (F.lit(f"{v}->{t}"), F.lit(i))]
+    found = F.try_element_at(F.create_map(*pairs), F.concat("variable", F.lit("->"), "txt"))
+    code = F.when(F.col("variable").isin(list(ordered)), F.coalesce(found, F.lit(UNKNOWN_CODE)))
+    entry = lambda i, t: F.struct(F.lit(i).alias("code"), F.lit(1 << i).cast("bigint").alias("bit"), F.lit(t).alias("txt"))
+    rows = [
+        x
+        for v, vals in ordered.items()
+        for x in (F.lit(v), F.array(*[entry(i, t) for i, t in enumerate(vals)], entry(UNKNOWN_CODE, UNKNOWN_TEXT)))
+    ]
+    return code, F.create_map(*rows)
+
+
+def largest_per_time(events: DataFrame, categories: dict[str, tuple[str, ...]]) -> DataFrame:
     """One value per (stay, variable, time): the largest number, or the last text.
 
     Text order applies to categorical channels, numeric order to all others, where a
-    number always beats text that does not parse.
+    number always beats text that does not parse. Texts are compared by their code, so
+    both maxima are fixed-width buffers and the aggregate needs no sort.
     """
-    is_text = F.col("variable").isin(categorical)
-    order = F.struct(
-        F.when(~is_text, F.coalesce("num", F.lit(float("-inf")))),
-        F.col("txt"),
+    code, table = category_codes(categories)
+    grouped = (
+        events.withColumn("_code", code)
+        .groupBy("stay_id", "variable", "hours")
+        .agg(F.max(F.when(F.col("_code").isNull(), F.col("num"))).alias("_num"), F.max("_code").alias("_code"))
     )
-    return (
-        events.groupBy("stay_id", "variable", "hours")
-        .agg(F.max_by(F.struct("num", "txt"), order).alias("v"))
-        .select("stay_id", "variable", "hours", "v.num", "v.txt")
+    entries = F.filter(F.try_element_at(table, F.col("variable")), lambda e: e["code"] == F.col("_code"))
+    text = F.when(F.col("_code").isNotNull(), F.try_element_at(entries, F.lit(1))["txt"])
+    return grouped.select(
+        "stay_id",
+        "variable",
+        "hours",
+        F.when(F.col("_code").isNull(), F.col("_num")).otherwise(number(text)).alias("num"),
+        F.coalesce(text, F.col("_num").cast("string")).alias("txt"),
     )
 
 
-def stay_events(events: DataFrame, stays: DataFrame, items: DataFrame, categorical: list[str]) -> DataFrame:
+def stay_events(
+    events: DataFrame, stays: DataFrame, items: DataFrame, categories: dict[str, tuple[str, ...]]
+) -> DataFrame:
     """Scope, clean, attribute and de-duplicate raw events."""
     scoped = in_scope(events, stays, items)
-    return largest_per_time(attribute(clean_events(scoped, items), stays), categorical)
+    return largest_per_time(attribute(clean_events(scoped, items), stays), categories)
 
 
 def with_events(stays: DataFrame, events: DataFrame) -> DataFrame:

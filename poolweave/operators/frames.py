@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import bin_count, bin_id
 from . import checks
+from .events import category_codes
 
 STD_FLOOR = 1e-7
 
@@ -75,7 +76,8 @@ CHANNELS = (
     Channel("Weight", "81.0"),
     Channel("pH", "7.4"),
 )
-CATEGORICAL = [c.name for c in CHANNELS if c.categorical]
+CATEGORIES = {c.name: c.values for c in CHANNELS if c.categorical}
+CATEGORICAL = list(CATEGORIES)
 
 
 def frame_columns(channels: tuple[Channel, ...] = CHANNELS) -> list[str]:
@@ -100,16 +102,26 @@ def bin_values(
     sized = stays.select("stay_id", length.alias("bins"))
     binned = events.join(sized, "stay_id").withColumn("bin", bin_id(F.col("hours"), step))
     binned = binned.filter((F.col("bin") >= 0) & (F.col("bin") < F.col("bins")))
-    is_text = F.col("variable").isin(CATEGORICAL)
-    seen = (
-        F.array_sort(F.collect_set(F.when(is_text, F.col("txt"))))
-        if mode == "union"
-        else F.array(F.max_by("txt", F.struct("hours", "txt")))
+    code, table = category_codes(CATEGORIES)
+    binned = binned.withColumn("_code", code)
+    bit = F.expr("shiftleft(1L, _code)")
+    # Times are unique per channel here, so the hour alone decides which value is last.
+    masks = F.bit_or(bit) if mode == "union" else F.max_by(bit, "hours")
+    grouped = binned.groupBy("stay_id", "variable", "bin").agg(
+        F.max("bins").alias("bins"),
+        F.max_by("num", "hours").alias("_num"),
+        masks.alias("_mask"),
     )
-    return binned.groupBy("stay_id", "variable", "bin").agg(
-        F.first("bins").alias("bins"),
-        F.when(~F.first(is_text), F.max_by("num", F.struct("hours", "num"))).alias("num"),
-        F.when(F.first(is_text), seen).alias("cats"),
+    seen = F.filter(
+        F.try_element_at(table, F.col("variable")), lambda e: e["bit"].bitwiseAND(F.col("_mask")) != 0
+    )
+    return grouped.select(
+        "stay_id",
+        "variable",
+        "bin",
+        "bins",
+        F.when(F.col("_mask").isNull(), F.col("_num")).alias("num"),
+        F.when(F.col("_mask").isNotNull(), F.transform(seen, lambda e: e["txt"])).alias("cats"),
     )
 
 

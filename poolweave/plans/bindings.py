@@ -278,7 +278,7 @@ class Tables:
 
     @cached_property
     def stay_events(self) -> DataFrame:
-        return events.largest_per_time(events.attribute(self.clean, self.ev_stays), frames.CATEGORICAL)
+        return events.largest_per_time(events.attribute(self.clean, self.ev_stays), frames.CATEGORIES)
 
     @cached_property
     def pool(self) -> DataFrame:

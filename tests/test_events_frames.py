@@ -111,7 +111,7 @@ def test_unknown_category_is_an_error_or_left_out(spark):
 
 def test_largest_value_per_time(spark):
     rows = [("Glucose", 1.0, 9.0, "9.0"), ("Glucose", 1.0, 10.0, "10.0"), ("Glascow coma scale total", 1.0, 9.0, "9"), ("Glascow coma scale total", 1.0, 10.0, "10")]
-    out = {r["variable"]: r["txt"] for r in ev.largest_per_time(long_events(spark, rows), frames.CATEGORICAL).collect()}
+    out = {r["variable"]: r["txt"] for r in ev.largest_per_time(long_events(spark, rows), frames.CATEGORIES).collect()}
     assert out == {"Glucose": "10.0", "Glascow coma scale total": "9"}
 
 
