@@ -229,10 +229,11 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-        self._texts = views(Spark_(folder))
+        self._dialect = Spark_(spark, folder)
+        self._texts = views(self._dialect)
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self.spark.table(self._dialect.t(name))
 
     def view(self, name: str) -> DataFrame:
         return self.spark.sql(with_clause(f"select * from {name}", self._texts))

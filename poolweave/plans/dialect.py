@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+
 
 class Spark:
-    def __init__(self, folder: str):
-        self.folder = folder.rstrip("/")
+    """Base tables are temporary views, so a table's footer is read once per session."""
+
+    def __init__(self, spark, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
 
     def t(self, name: str) -> str:
-        return f"parquet.`{self.folder}/{name}.parquet`"
+        tag = hashlib.md5(self.folder.encode()).hexdigest()[:8]
+        view = f"poolweave_{tag}_{name}"
+        if not self.spark.catalog.tableExists(view):
+            self.spark.read.parquet(f"{self.folder}/{name}.parquet").createOrReplaceTempView(view)
+        return view
 
     def u(self, seed: int, salt: str, *keys: str) -> str:
         parts = ", ".join([f"'{seed}'", f"'{salt}'"] + [f"cast({k} as string)" for k in keys])

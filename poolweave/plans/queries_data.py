@@ -543,17 +543,27 @@ def _wide(t):
     return frames.frames_wide(frames.validity_runs(binned, t.ev_stays))
 
 
-_CELLS = """(select stay_id, step, variable, num, cats, observed from frame)"""
+_SHOWN = ["Glucose", "Heart Rate", "Systolic blood pressure", "Temperature"]
+_SHOWN_SQL = ", ".join(f"'{c}'" for c in _SHOWN)
 
 
 @query("frame_vectors", "H26 I9", f"""
     select stay_id, step, 76 as width,
-           {R("sum(case when cats is null then cast(num as float)::double else length(cats) - length(replace(cats, ',', '')) + 1 end)")} as data_sum, sum(observed::int) as mask_sum
+           {R(f"sum(case when variable in ({_SHOWN_SQL}) then cast(num as float)::double else 0 end)")} as measured,
+           max(case when variable = 'Glascow coma scale total' then length(cats) - length(replace(cats, ',', '')) + 1 end)::bigint as categories,
+           sum(observed::int)::bigint as observed
     from frame group by stay_id, step""")
 def _(t):
-    w = _wide(t)
-    total = lambda a, b: sum((F.col("x")[i].cast("double") for i in range(a - 1, a + b - 1)), F.lit(0.0))
-    return w.select("stay_id", "step", F.size("x").alias("width"), total(1, 59).alias("data_sum"), total(60, 17).cast("bigint").alias("mask_sum"))
+    names = frames.frame_columns()
+    total = lambda keep: sum((F.col("x")[i].cast("double") for i, n in enumerate(names) if keep(n)), F.lit(0.0))
+    return _wide(t).select(
+        "stay_id",
+        "step",
+        F.size("x").alias("width"),
+        total(lambda n: n in _SHOWN).alias("measured"),
+        total(lambda n: n.startswith("Glascow coma scale total->")).cast("bigint").alias("categories"),
+        total(lambda n: n.startswith("mask->") and n[6:] in [*_SHOWN, "Glascow coma scale total"]).cast("bigint").alias("observed"),
+    )
 
 
 @query("channel_statistics", "D11", f"""

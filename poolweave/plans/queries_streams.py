@@ -17,8 +17,8 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 class _Streamed(Spark):
     """Spark spelling in which one table is a stream instead of a file."""
 
-    def __init__(self, folder: str, table: str, view: str):
-        super().__init__(folder)
+    def __init__(self, spark, folder: str, table: str, view: str):
+        super().__init__(spark, folder)
         self.table, self.stream_view = table, view
 
     def t(self, name: str) -> str:
@@ -31,7 +31,7 @@ def _stream(t, table: str, view: str):
     source = st.read_stream(t.spark, f"{t.folder}/{table}.parque[t]", schema)
     name = f"_poolweave_stream_{table}"
     source.createOrReplaceTempView(name)
-    return t.spark.sql(views(_Streamed(t.folder, table, name))[view])
+    return t.spark.sql(views(_Streamed(t.spark, t.folder, table, name))[view])
 
 
 def _attributed(t):
