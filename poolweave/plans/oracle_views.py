@@ -106,7 +106,7 @@ ORACLE_VIEWS: dict[str, str] = {
           ('Weight', 81.0, null), ('pH', 7.4, null)) t(variable, normal, normal_cat)""",
     "dense": """
         select g.stay_id, g.variable, g.step, normal, normal_cat, b.num, b.cats, b.bin is not null as observed, partition
-        from (select stay_id, partition, variable, normal, normal_cat, unnest(range(0, bins)) as step
+        from (select stay_id, partition, variable, normal, normal_cat, cast(unnest(range(0, bins)) as int) as step
               from stay_bins cross join channel_list where bins > 0) g
         left join binned b on b.stay_id = g.stay_id and b.variable = g.variable and b.bin = g.step""",
     "frame": """

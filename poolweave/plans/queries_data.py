@@ -515,7 +515,7 @@ def _(t):
 
 
 @query("bin_counts_and_ids", "H19", """
-    select stay_id, bins, sum(bin) as bin_sum, count(*) as n from (
+    select stay_id, bins, sum(bin)::bigint as bin_sum, count(*) as n from (
       select e.stay_id, cast(trunc(los_hours + 1.0::double - 1e-6) as int) as bins, cast(trunc(hours - 1e-6) as bigint) as bin
       from attributed e join ev_stays s on e.stay_id = s.stay_id) x group by stay_id, bins""")
 def _(t):
@@ -939,7 +939,7 @@ def _(t):
 
 
 @query("prepared_audit", "J5", """
-    select * from (values ('source changed', 0), ('manifest differs from source', 0), ('unknown split', 0), ('group in several splits', 0)) v("check", violations)""")
+    select "check", violations::bigint as violations from (values ('source changed', 0), ('manifest differs from source', 0), ('unknown split', 0), ('group in several splits', 0)) v("check", violations)""")
 def _(t):
     manifest = splits.split_manifest(t.img, t.groups, "item_id")
     return audit.prepared_findings(t.img, manifest, metadata.fingerprint(t.img))

@@ -190,7 +190,7 @@ def _(t):
 
 
 @query("selection_contract", "L35", """
-    select * from (values ('budget differs', 0), ('id selected twice', 0), ('rank used twice', 0), ('id outside the pool', 0), ('id already labeled', 0)) v("check", violations)""")
+    select "check", violations::bigint as violations from (values ('budget differs', 0), ('id selected twice', 0), ('rank used twice', 0), ('id outside the pool', 0), ('id already labeled', 0)) v("check", violations)""")
 def _(t):
     picked = selection.random_selection(t.role("candidate"), BUDGET, B.SEED)
     return selection.contract_findings(picked, t.role("candidate"), t.role("labeled"), BUDGET)

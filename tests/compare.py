@@ -42,12 +42,23 @@ def rows_of(names, rows):
     return [names[i] for i in order], sorted(tuple(canon(r[i]) for i in order) for r in rows)
 
 
-def check(spark, con, q, folder) -> str:
+# Spark type names and the SQL types they should meet.
+SAME = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
+def type_differences(con, q, df) -> list[str]:
+    theirs = {r[0]: r[1] for r in con.execute("describe " + registry.oracle(q)).fetchall()}
+    return [f"{c} {t}/{theirs.get(c)}" for c, t in df.dtypes if SAME.get(t) != theirs.get(c)]
+
+
+def check(spark, con, q, folder, types: bool = False) -> str:
     """Empty string when equal, else a description of the difference."""
     df = registry.runner(q)(spark, folder)
     left = rows_of(df.columns, [tuple(r) for r in df.collect()])
     if q.sql is None:
         return "" if left[1] else "no rows"
+    if types and type_differences(con, q, df):
+        print("types", q.name, type_differences(con, q, df), flush=True)
     cur = con.execute(registry.oracle(q))
     right = rows_of([d[0] for d in cur.description], cur.fetchall())
     if left[0] != right[0]:
@@ -74,7 +85,7 @@ if __name__ == "__main__":
             continue
         start = time.time()
         try:
-            result = check(spark, con, q, folder)
+            result = check(spark, con, q, folder, types=True)
         except Exception as e:  # noqa: BLE001
             result = f"{type(e).__name__}: {str(e)[:600]}"
         spent = time.time() - start
