@@ -40,6 +40,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="poolweave-"))
     return context.getCheckpointDir()
 

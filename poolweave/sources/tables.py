@@ -110,7 +110,7 @@ def with_source_row(df: DataFrame, out: str = "source_row") -> DataFrame:
     inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     rows = df.select("*", *place, inside.alias("_i"))
     number = F.shiftleft(F.col("_k"), 33) + F.col("_i")
-    return rows.join(F.broadcast(ranked), ["_f", "_b"]).withColumn(out, number).drop("_f", "_b", "_k", "_i")
+    return rows.join(ranked, ["_f", "_b"]).withColumn(out, number).drop("_f", "_b", "_k", "_i")
 
 
 def numbered_notes(spark: SparkSession, path: str, out: str) -> DataFrame:
