@@ -8,6 +8,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from poolweave.session import scratch_path
 
@@ -45,6 +46,11 @@ def row_keys(docs: DataFrame, column: str = "_row", unique: bool | None = None)
     return stored(ordered.withColumn(column, F.monotonically_increasing_id()), "rows")
 
 
+def fields(df: DataFrame, column: str, more: str) -> T.StructType:
+    """The schema of one column of ``df`` and what the DDL text ``more`` adds to it."""
+    return T.StructType([df.schema[column], *T.StructType.fromDDL(more).fields])
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

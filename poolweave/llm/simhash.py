@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_keys, slices, stored, unique_ids
+from .common import row_keys, shuffle_width, slices, stored, unique_ids
 from .components import connected_components
 from .golay import codeword_indices
 
@@ -163,7 +163,9 @@ def _block_links(table: pa.Table) -> pa.Table:
 def fingerprint_links(prints: DataFrame) -> DataFrame:
     """Distinct ``prints(fp)`` -> (a, b): links that connect exactly what links of at most three
     differing bits connect. Copies are gone before, so the work follows distinct fingerprints."""
-    keys = prints.select("fp").mapInArrow(_key_rows, "key long, fp long")
+    # A few bytes of input become 152 rows here: as many tasks as the shuffle that follows has.
+    spread = prints.select("fp").repartition(shuffle_width(prints.sparkSession), "fp")
+    keys = spread.mapInArrow(_key_rows, "key long, fp long")
     found = stored(
         keys.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_linked, "kind int, key long, a long, b long"),
         "links",
