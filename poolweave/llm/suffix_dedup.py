@@ -135,7 +135,8 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays(cols, ["gram", "context", "_row", "pos"])
 
 
-#: What the sorted order says about an anchor.
+#: What the sorted order says about an anchor. OPEN and above are for what meets an end of a range:
+#: one is added if the range has several rows of the context, two if it has several of the gram.
 INSIDE, ALONE, MODEL, OPEN = 0, 1, 2, 3
 SORTED = "gram long, context long, _row long, pos long, kind int"
 
@@ -143,48 +144,45 @@ SORTED = "gram long, context long, _row long, pos long, kind int"
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A sorted range of anchors -> those whose gram is repeated, by their neighbours:
     INSIDE (its whole context is repeated), ALONE (its context is not, other contexts of the gram
-    exist), MODEL (the first of a repeated context, for the lone ones to be compared with), and
-    OPEN (the gram meets an end of the range, so its other rows may be in the next one)."""
+    exist), MODEL (the first of a repeated context, for the lone ones to be compared with).
+
+    The next range can only add to the first and the last context of this one: each of these two
+    leaves one OPEN row as well, or instead where it has a single row.
+    """
     found = [b for b in batches if b.num_rows]
     if not found:
         return
     rows = pa.Table.from_batches(found).combine_chunks()
     gram, context = (rows.column(c).to_numpy() for c in ("gram", "context"))
-    n = len(gram)
     new_gram = np.concatenate([[True], gram[1:] != gram[:-1]])
     new_class = new_gram | np.concatenate([[True], context[1:] != context[:-1]])
     g, c = np.cumsum(new_gram) - 1, np.cumsum(new_class) - 1
-    in_gram, in_class = np.bincount(g)[g], np.bincount(c)[c]
-    classes = np.bincount(g[new_class])[g]
-    edge = (g == 0) | (g == g[-1])
-    kind = np.where(in_class > 1, INSIDE, ALONE)
-    kind[edge] = OPEN
-    keep = edge | (in_class > 1) | ((in_gram > 1) & (classes > 1))
-    models = np.flatnonzero(~edge & new_class & (in_class > 1) & (classes > 1))
-    chosen = np.concatenate([np.flatnonzero(keep), models])
-    kinds = np.concatenate([kind[keep], np.full(len(models), MODEL)]).astype(np.int32)
+    repeated = np.bincount(c)[c] > 1
+    several = np.bincount(g[new_class])[g] > 1
+    edge = (c == 0) | (c == c[-1])
+    known = np.flatnonzero(repeated | (several & ~edge))
+    models = np.flatnonzero(~edge & new_class & repeated & several)
+    ends = np.flatnonzero(edge & new_class)
+    chosen = np.concatenate([known, models, ends])
+    kinds = np.concatenate([np.where(repeated[known], INSIDE, ALONE), np.full(len(models), MODEL), OPEN + repeated[ends] + 2 * several[ends]])
     for i in range(0, len(chosen), 1 << 16):
-        part = rows.take(pa.array(chosen[i : i + (1 << 16)])).append_column("kind", pa.array(kinds[i : i + (1 << 16)]))
+        part = rows.take(pa.array(chosen[i : i + (1 << 16)])).append_column("kind", pa.array(kinds[i : i + (1 << 16)].astype(np.int32)))
         yield from part.combine_chunks().to_batches()
 
 
-def _closed(edges: DataFrame) -> DataFrame:
-    """The same decision for the grams at the ends of ranges, by counts: equal contexts collapse
-    before the shuffle and the counts are joined to the rows."""
-    classes = edges.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min("_row").alias("first"))
-    classes = stored(classes, "edge-classes")
-    grams = classes.groupBy("gram").agg(F.count("*").alias("classes"), F.sum("n").alias("rows"))
-    classes = stored(classes.join(grams, "gram").filter("rows > 1"), "edge-grams")
-    rows = edges.drop("kind").join(classes, ["gram", "context"])
-    known = rows.withColumn("kind", F.when(F.col("n") > 1, INSIDE).otherwise(ALONE)).filter("n > 1 or classes > 1")
-    models = (
-        rows.filter("n > 1 and classes > 1 and _row = first")
-        .groupBy("gram", "context", "_row")
-        .agg(F.min("pos").alias("pos"))
-        .withColumn("kind", F.lit(MODEL))
+def _closed(ends: DataFrame) -> DataFrame:
+    """The comparison across the ends of ranges, on at most two rows of each range."""
+    mark = F.col("kind") - OPEN
+    classes = ends.groupBy("gram", "context").agg(
+        F.sum(F.lit(1) + mark % 2).alias("n"), F.max(mark).alias("mark"), F.min(F.struct("_row", "pos")).alias("first")
     )
-    out = ["gram", "context", "_row", "pos", "kind"]
-    return known.select(out).unionByName(models.select(out))
+    grams = classes.groupBy("gram").agg(((F.count("*") > 1) | (F.max("mark") >= 2)).alias("several"))
+    classes = classes.join(grams, "gram")
+    single = ends.filter(mark % 2 == 0).drop("kind").join(classes, ["gram", "context"])
+    kind = F.when(F.col("n") > 1, INSIDE).otherwise(ALONE).alias("kind")
+    out = single.filter("n > 1 or several").select("gram", "context", "_row", "pos", kind)
+    models = classes.filter("n > 1 and several").select("gram", "context", "first._row", "first.pos", F.lit(MODEL).alias("kind"))
+    return out.unionByName(models)
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,7 +346,7 @@ def repeated_spans(keyed: DataFrame) -> DataFrame:
     ranges = max(shuffle_width(spark), marks.count() // RANGE)
     order = ["gram", "context", "_row", "pos"]
     found = stored(marks.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(_compared, SORTED), "sorted")
-    known = stored(found.filter(F.col("kind") != OPEN).unionByName(_closed(found.filter(F.col("kind") == OPEN))), "compared")
+    known = found.filter(F.col("kind") < OPEN).unionByName(stored(_closed(found.filter(F.col("kind") >= OPEN)), "closed"))
     probes = known.filter(F.col("kind") != INSIDE).select("gram", "_row", "pos", "kind")
     large = stored(probes.groupBy("gram").count().filter(F.col("count") > GROUP).select("gram"), "large")
     tested = (

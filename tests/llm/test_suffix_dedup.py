@@ -98,4 +98,27 @@ def test_ranges_with_open_ends():
     rows = [(1, 1, 1, 0), (1, 2, 2, 0), (2, 5, 3, 0), (2, 5, 4, 0), (2, 6, 5, 0), (3, 1, 6, 0), (4, 1, 7, 0), (4, 1, 8, 0), (5, 1, 9, 0)]
     got = pa.Table.from_batches(suffix_dedup._compared(iter([batch(rows[:4]), batch(rows[4:])]))).to_pylist()
     kinds = sorted((r["_row"], r["kind"]) for r in got)
-    assert kinds == [(1, 3), (2, 3), (3, 0), (3, 2), (4, 0), (5, 1), (7, 0), (8, 0), (9, 3)]
+    assert kinds == [(1, 5), (2, 1), (3, 0), (3, 2), (4, 0), (5, 1), (7, 0), (8, 0), (9, 3)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_any_cut_into_ranges_gives_the_same_kinds(spark, seed):
+    rng = random.Random(seed)
+    rows = sorted((rng.randint(1, 6), rng.randint(1, 3 + seed), i, 0) for i in range(40))
+    schema = "gram long, context long, _row long, pos long"
+
+    def kinds(cuts):
+        out = []
+        for a, b in zip([0, *cuts], [*cuts, len(rows)]):
+            if b > a:
+                cols = [pa.array([r[i] for r in rows[a:b]], pa.int64()) for i in range(4)]
+                part = pa.RecordBatch.from_arrays(cols, ["gram", "context", "_row", "pos"])
+                out += pa.Table.from_batches(suffix_dedup._compared(iter([part]))).to_pylist()
+        ends = [tuple(r.values()) for r in out if r["kind"] >= suffix_dedup.OPEN]
+        closed = suffix_dedup._closed(spark.createDataFrame(ends, schema + ", kind int")).collect()
+        both = [(r["gram"], r["context"], r["_row"], r["kind"]) for r in out if r["kind"] < suffix_dedup.OPEN]
+        both += [(r.gram, r.context, r._row, r.kind) for r in closed]
+        return sorted((g, c, k, r if k != suffix_dedup.MODEL else None) for g, c, r, k in both)
+
+    whole = kinds([])
+    assert len(whole) == len({*whole}) and kinds(sorted(rng.sample(range(40), 12))) == whole
