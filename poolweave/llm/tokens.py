@@ -9,10 +9,15 @@ from functools import cache
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Words longer than this are encoded each time; so many words are remembered in a Python worker.
-LONGEST, REMEMBERED = 48, 400_000
-#: A space beside other white space: such texts are encoded as a whole.
-RUNS = re.compile(r" \s|\s ")
+#: So many words are remembered in a Python worker; beyond that only those up to SHORT characters,
+#: and never those longer than LONGEST. AT_ONCE new words make up one text for the library.
+REMEMBERED, SHORT, LONGEST, AT_ONCE = 1_000_000, 7, 48, 500
+#: White space besides the space and the line break, and runs of those two: such texts are encoded
+#: as a whole.
+OTHER_SPACE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+RUNS = ("  ", " \n", "\n ", "\n\n")
+#: Marks that are a token of their own behind a letter.
+MARKS = ",.;:!?"
 
 
 def default_path() -> str:
@@ -22,42 +27,82 @@ def default_path() -> str:
 
 
 class WordTokenizer:
-    """A byte-level BPE tokenizer whose pre-tokenizer never joins a space to what is before it.
+    """A byte-level BPE tokenizer that reuses the ids of words.
 
-    Its words therefore break before every single space between other characters, and the ids of
-    a text are the ids of its space-led words one after the other. Each new word goes through the
-    tokenizers library once. Texts in which a space touches other white space, where that rule
-    does not hold, go through the library whole.
+    Its pre-tokenizer breaks before every single space, around every single line break and between
+    a letter and a punctuation mark. So the ids of a text are those of its words one after the
+    other, and each new word goes through the tokenizers library once, many of them as one text
+    with line breaks between. Texts with other white space, or two of these in a row, where that
+    rule does not hold, go through the library whole.
     """
 
     def __init__(self, path: str) -> None:
         self.inner = Tokenizer.from_file(path)
         self.inner.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def _words(self, text: str) -> list[str]:
-        if RUNS.search(text):
-            return [text]
-        words = text.split(" ")
-        words[1:] = [" " + w for w in words[1:]]
-        return words
+        self.line_break = self._ids("\n")
+        self.marks = {m: self._ids(m) for m in MARKS}
+        # Words behind a space without it, and words behind a line break with it.
+        self.known: dict[str, bytes] = {"": self._ids(" ")}
+
+    def _ids(self, text: str) -> bytes:
+        return array("I", self.inner.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _together(self, words: list[str]) -> list[bytes]:
+        """Ids of words without white space but for a leading space, some hundred as one text."""
+        groups = [words[i : i + AT_ONCE] for i in range(0, len(words), AT_ONCE)]
+        out: list[bytes] = []
+        mark = np.frombuffer(self.line_break, "<u4")
+        for group, found in zip(groups, self.inner.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(found.ids, "<u4")
+            ends = np.flatnonzero(ids == mark[0])
+            if len(mark) != 1 or len(ends) != len(group) - 1:
+                out += [self._ids(w) for w in group]
+                continue
+            raw, at = ids.tobytes(), [-1, *ends.tolist(), len(ids)]
+            out += [raw[4 * a + 4 : 4 * b] for a, b in zip(at, at[1:])]
+        return out
+
+    def _learn(self, words: set[str]) -> None:
+        known = self.known
+        marked = [w for w in words if w[-1:] in self.marks and w[-2:-1].isalpha()]
+        whole = list(words.difference(marked).union(w[:-1] for w in marked if w[:-1] not in known))
+        found = self._together([w[1:] if w[:1] == "\n" else " " + w for w in whole])
+        known.update((w, self.line_break + x if w[:1] == "\n" else x) for w, x in zip(whole, found))
+        known.update([(w, known[w[:-1]] + self.marks[w[-1]]) for w in marked])
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """uint32 ids of every text; none for null and empty texts."""
-        parts = [self._words(t) if t else [] for t in texts]
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = list({w for p in parts for w in p if w not in known})
-        found = self.inner.encode_batch_fast(new, add_special_tokens=False)
-        own = {}
-        for word, encoding in zip(new, found):
-            (known if len(word) <= LONGEST else own)[word] = array("I", encoding.ids).tobytes()
-        if own:
-            look = lambda w: known[w] if w in known else own[w]
-        else:
-            look = known.__getitem__
-        return [np.frombuffer(b"".join(map(look, p)), "<u4") for p in parts]
+        self.known = known = _pruned(self.known)
+        words: list[str] = []
+        spans: list[tuple[int, int] | None] = []
+        for text in texts:
+            if not text or any(r in text for r in RUNS) or OTHER_SPACE.search(text):
+                spans.append(None)
+                continue
+            own = ("\n" + text).replace("\n", " \n").split(" ")
+            spans.append((len(words) + 1, len(words) + len(own)))
+            words += own
+        found = list(map(known.get, words))
+        new = [i for i, x in enumerate(found) if x is None]
+        if new:
+            self._learn({words[i] for i in new})
+            for i in new:
+                found[i] = known[words[i]]
+        skip, out = len(self.line_break), []
+        for text, span in zip(texts, spans):
+            data = b"".join(found[span[0] : span[1]])[skip:] if span else self._ids(text) if text else b""
+            out.append(np.frombuffer(data, "<u4"))
+        for w in {words[i] for i in new if len(words[i]) > LONGEST}:
+            del known[w]
+        return out
+
+
+def _pruned(known: dict[str, bytes]) -> dict[str, bytes]:
+    """Where too many words are known, only the short ones, which come up most, or else none."""
+    if len(known) <= REMEMBERED:
+        return known
+    short = {w: x for w, x in known.items() if len(w) <= SHORT}
+    return short if len(short) <= REMEMBERED // 2 else {"": known[""]}
 
 
 @cache
