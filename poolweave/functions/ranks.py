@@ -5,12 +5,17 @@ ordering column is cut into ranges first: an approximate-quantile sketch yields
 a few hundred bounds, a row's range is a compile-time comparison tree over them, range
 totals are added up on a table of ``keys x ranges`` rows, and only then a window runs
 inside each range. The bounds balance the work; the results do not depend on them.
+
+One order holds everywhere, ascending or descending: numbers first, then NaN, then NULL;
+ties ascend with NULL last. NULL keys are keys like others. Values are compared in their
+own type, so large integers keep all their digits.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut_lineage
 
@@ -24,7 +29,7 @@ def all_bounds(df: DataFrame, columns: list[str], ranges: int | None = None) ->
     cuts = [i / ranges for i in range(1, ranges)]
     row = df.select(
         *[
-            F.percentile_approx(F.col(c).cast("double"), cuts, 20 * ranges).alias(f"b{i}")
+            F.percentile_approx(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), cuts, 20 * ranges).alias(f"b{i}")
             for i, c in enumerate(columns)
         ]
     ).first()
@@ -36,7 +41,7 @@ def range_bounds(df: DataFrame, column: str, ranges: int | None = None) -> list[
 
 
 def range_of(value: Column, bounds: list[float]) -> Column:
-    """2i for values between bounds, 2i+1 for a value equal to bound i."""
+    """2i for values between bounds, 2i+1 for a value equal to bound i; NaN and NULL follow."""
 
     def tree(lo: int, hi: int) -> Column:
         if lo == hi:
@@ -49,7 +54,36 @@ def range_of(value: Column, bounds: list[float]) -> Column:
             .otherwise(tree(mid + 1, hi))
         )
 
-    return tree(0, len(bounds))
+    last = 2 * len(bounds)
+    odd = F.isnan(value.cast("double"))
+    return F.when(value.isNull(), F.lit(last + 3)).when(odd, F.lit(last + 1)).otherwise(tree(0, len(bounds)))
+
+
+def typed_bounds(df: DataFrame, column: str, bounds: list[float]) -> list:
+    """Bounds as values of the column's own type: whole numbers for integer columns."""
+    if isinstance(df.schema[column].dataType, T.IntegralType):
+        return sorted({max(-(2**63), min(2**63 - 1, int(b))) for b in bounds})
+    return bounds
+
+
+def sort_columns(df: DataFrame, order: str, tie: str, descending: bool = False) -> list[Column]:
+    """The order of this module as sort columns."""
+    c = F.col(order)
+    main = [c.desc_nulls_last() if descending else c.asc_nulls_last()]
+    if isinstance(df.schema[order].dataType, T.FractionalType) and descending:
+        main.insert(0, F.isnan(c.cast("double")).asc_nulls_last())
+        main.insert(0, c.isNull().asc())
+    return [*main, F.col(tie).asc_nulls_last()]
+
+
+def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which NULL keys meet; the left side's key columns stay."""
+    names = {k: f"_on_{i}" for i, k in enumerate(keys)}
+    other = right.select(*[F.col(k).alias(names[k]) for k in keys], *[c for c in right.columns if c not in names])
+    met = F.lit(True)
+    for k in keys:
+        met = met & F.col(k).eqNullSafe(F.col(names[k]))
+    return left.join(other, met, how).drop(*names.values())
 
 
 def running_sums(
@@ -83,9 +117,11 @@ def running_sums(
         *[F.sum(f"_{s}").over(whole).alias(f"{s}_all") for s in sums],
     )
     inside = (
-        Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*keys, "_range")
+        .orderBy(F.col(order).asc_nulls_last())
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
-    joined = flat.join(totals, [*keys, "_range"])
+    joined = join_on(flat, totals, [*keys, "_range"])
     return joined.select(
         *keys,
         order,
@@ -101,11 +137,15 @@ def running_sums(
 def rank_fraction(
     df: DataFrame, value: str, out: str, keys: list[str] | None = None, ranges: int | None = None
 ) -> DataFrame:
-    """Tie-averaged ascending rank divided by the row count, in (0, 1]."""
+    """Tie-averaged ascending rank divided by the count of non-NULL values, in (0, 1].
+
+    Every row stays; a NULL value has a NULL rank and counts for no other row. NaN is a value.
+    """
     keys = keys or []
     base = cut_lineage(df.withColumn("_value", F.col(value).cast("double") + F.lit(0.0)))
+    known = base.filter(F.col("_value").isNotNull())
     ranked = running_sums(
-        base.select(*keys, "_value", F.lit(1).cast("bigint").alias("_n")),
+        known.select(*keys, "_value", F.lit(1).cast("bigint").alias("_n")),
         keys,
         "_value",
         ["_n"],
@@ -116,7 +156,7 @@ def rank_fraction(
         "_value",
         ((F.col("_n_before") + (F.col("_n") + 1) / F.lit(2.0)) / F.col("_n_all")).alias(out),
     )
-    return base.join(ranked, [*keys, "_value"]).drop("_value")
+    return join_on(base, ranked, [*keys, "_value"], "left").drop("_value")
 
 
 def row_ranks(
@@ -130,14 +170,19 @@ def row_ranks(
 ) -> DataFrame:
     """Exact ``row_number`` per key by (order, tie ascending), safe for huge keys.
 
-    A value so frequent that it is itself a bound is split further by the tie column.
+    A value so frequent that it is itself a bound is split further by the tie column, and so are
+    NaN and NULL.
     """
-    sign = -1.0 if descending else 1.0
-    base = cut_lineage(df.withColumn("_order", F.col(order).cast("double") * F.lit(sign) + F.lit(0.0)))
-    orders, ties = all_bounds(base, ["_order", tie], ranges)
-    main = range_of(F.col("_order"), orders)
-    minor = range_of(F.col(tie).cast("double"), ties)
-    width = 2 * len(ties) + 1
+    base = cut_lineage(df)
+    numeric = isinstance(base.schema[tie].dataType, T.NumericType)
+    found = all_bounds(base, [order, tie] if numeric else [order], ranges)
+    orders = typed_bounds(base, order, found[0])
+    ties = typed_bounds(base, tie, found[1]) if numeric else []
+    last, width = 2 * len(orders), 2 * len(ties) + 4
+    main = range_of(F.col(order), orders)
+    if descending:
+        main = F.when(main <= last, F.lit(last) - main).otherwise(main)
+    minor = range_of(F.col(tie), ties) if numeric else F.lit(0)
     base = base.withColumn("_main", main).withColumn(
         "_range",
         F.col("_main") * F.lit(width) + F.when(F.col("_main") % 2 == 1, minor).otherwise(F.lit(0)),
@@ -149,15 +194,16 @@ def row_ranks(
     totals = totals.select(
         *keys, "_range", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead")
     )
-    inside = Window.partitionBy(*keys, "_range").orderBy("_order", tie)
+    inside = Window.partitionBy(*keys, "_range").orderBy(*sort_columns(base, order, tie, descending))
     return (
-        base.join(totals, [*keys, "_range"])
+        join_on(base, totals, [*keys, "_range"])
         .withColumn(out, (F.col("_ahead") + F.row_number().over(inside)).cast("bigint"))
-        .drop("_order", "_main", "_range", "_ahead")
+        .drop("_main", "_range", "_ahead")
     )
 
 
-# A budget of picks up to this size is one TakeOrdered; beyond it ranks are distributed.
+# A budget of picks up to this size is one TakeOrdered; beyond it ranks are distributed. Both
+# plans give the same rows and ranks.
 TOP_LIMIT = 100_000
 
 
@@ -168,11 +214,9 @@ def take_top(
     if n > TOP_LIMIT:
         ranked = row_ranks(df, [], order, tie, out, descending)
         return ranked.filter(F.col(out) <= n)
-    first = F.col(order).desc() if descending else F.col(order).asc()
-    top = df.orderBy(first, F.col(tie).asc()).limit(n)
-    return top.withColumn(
-        out, F.row_number().over(Window.orderBy(first, F.col(tie).asc())).cast("bigint")
-    )
+    by = sort_columns(df, order, tie, descending)
+    top = df.orderBy(*by).limit(n)
+    return top.withColumn(out, F.row_number().over(Window.orderBy(*by)).cast("bigint"))
 
 
 def spearman(df: DataFrame, left: str, right: str) -> DataFrame:
@@ -187,18 +231,17 @@ def spearman(df: DataFrame, left: str, right: str) -> DataFrame:
 def key_quantiles(
     df: DataFrame, keys: list[str], value: str, shares: DataFrame, share: str, out: str
 ) -> DataFrame:
-    """Linear-interpolated quantile per key; the fraction comes from ``shares``.
-
-    ``shares`` has one row per label, which is a dimension, not data.
+    """Linear-interpolated quantile of the non-NULL values per key; the fraction comes from
+    ``shares``, which has one row per label, which is a dimension, not data.
     """
     ranked = running_sums(
-        df.select(*keys, F.col(value).cast("double").alias("_value"), F.lit(1).cast("bigint").alias("_n")),
+        df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_value"), F.lit(1).cast("bigint").alias("_n")),
         keys,
         "_value",
         ["_n"],
     )
     on = [k for k in keys if k in shares.columns]
-    placed = ranked.join(shares.select(*on, F.col(share).alias("_share")), on).withColumn(
+    placed = join_on(ranked, shares.select(*on, F.col(share).alias("_share")), on).withColumn(
         "_at",
         F.greatest(F.least(F.col("_share"), F.lit(1.0)), F.lit(0.0)) * (F.col("_n_all") - 1),
     )

@@ -60,3 +60,55 @@ def test_take_top_past_the_limit(spark, monkeypatch):
 def test_spearman_of_a_constant_is_null(spark):
     df = spark.createDataFrame([(1.0, 2.0), (1.0, 3.0)], "a double, b double")
     assert ranks.spearman(df, "a", "b").first()[0] is None
+
+
+def gaps(n=400):
+    rng = np.random.default_rng(9)
+    values = [None if i % 5 == 0 else float("nan") if i % 7 == 0 else round(float(rng.normal()), 1) for i in range(n)]
+    keys = [None if i % 3 == 0 else i % 2 for i in range(n)]
+    return [(i, k, v) for i, (k, v) in enumerate(zip(keys, values))]
+
+
+def place(row, descending):
+    v = row[2]
+    kind = 2 if v is None else 1 if v != v else 0
+    return kind, (0 if kind else -v if descending else v), row[0]
+
+
+@pytest.mark.parametrize("descending", [True, False])
+def test_gaps_and_missing_keys_have_one_order(spark, monkeypatch, descending):
+    rows = gaps()
+    df = spark.createDataFrame(rows, "id long, k int, v double").repartition(5)
+    want = [r[0] for r in sorted(rows, key=lambda r: place(r, descending))]
+    for limit in (100_000, 10):
+        monkeypatch.setattr(ranks, "TOP_LIMIT", limit)
+        top = ranks.take_top(df, "v", "id", 390, descending).collect()
+        assert [r.id for r in sorted(top, key=lambda r: r["rank"])] == want[:390]
+    got = ranks.row_ranks(df, ["k"], "v", "id", descending=descending, ranges=6).collect()
+    for key in (None, 0, 1):
+        mine = [r for r in want if rows[r][1] == key]
+        assert [r.id for r in sorted((r for r in got if r.k == key), key=lambda r: r["rank"])] == mine
+
+
+def test_large_integers_keep_their_digits(spark):
+    rows = [(i, 2**53 + (i * 7) % 5) for i in range(50)] + [(50, -(2**63)), (51, 2**63 - 1), (52, None)]
+    df = spark.createDataFrame(rows, "id long, v long")
+    for descending in (True, False):
+        got = ranks.row_ranks(df, [], "v", "id", descending=descending, ranges=4).collect()
+        want = sorted(rows, key=lambda r: (r[1] is None, (-1 if descending else 1) * (r[1] or 0), r[0]))
+        assert [r.id for r in sorted(got, key=lambda r: r["rank"])] == [r[0] for r in want]
+
+
+def test_rank_fraction_keeps_rows_with_gaps(spark):
+    rows = gaps()
+    df = spark.createDataFrame(rows, "id long, k int, v double")
+    got = {r.id: r.f for r in ranks.rank_fraction(df, "v", "f", ["k"], ranges=5).collect()}
+    assert len(got) == len(rows)
+    for i, k, v in rows:
+        if v is None:
+            assert got[i] is None
+            continue
+        mine = [r[2] for r in rows if r[1] == k and r[2] is not None]
+        less = sum(1 for w in mine if (w < v if v == v else w == w))
+        same = sum(1 for w in mine if w == v or (w != w and v != v))
+        assert np.isclose(got[i], (less + (same + 1) / 2) / len(mine))
