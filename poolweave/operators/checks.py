@@ -12,6 +12,12 @@ class AuditError(ValueError):
     pass
 
 
+def require(holds: bool, rule: str) -> None:
+    """For settings: state the rule that is broken."""
+    if not holds:
+        raise ValueError(f"not met: {rule}")
+
+
 def count_findings(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """One pass over ``df``: (check, violations) for each row-level rule."""
     row = df.agg(*[F.count_if(F.coalesce(c, F.lit(True))).alias(n) for n, c in rules.items()])

@@ -2,33 +2,35 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import with_scalars
+from ..session import cut_lineage
 from ..functions.columns import blend, uniform
-from ..functions.ranks import key_quantiles, row_ranks
+from ..functions.ranks import all_bounds, key_quantiles, range_of, row_ranks, running_sums
+from .checks import require
 
 
-@dataclass(frozen=True)
-class MixupRule:
-    alpha: float = 0.4
-    pairing: str = "targeted"
-    anchor_quantile: float = 0.5
-    keep_anchor: bool = True
+class Mixing(NamedTuple):
+    """How virtual rows come about. ``shape``: of the symmetric Beta weights; ``by_mass``: partners
+    by positive mass instead of uniformly; ``sparse_share``: anchors are the rows up to this quantile
+    of positives; ``anchor_leads``: the anchor gets the larger weight."""
 
-    def __post_init__(self):
-        if self.alpha <= 0:
-            raise ValueError("alpha must be positive")
-        if self.pairing not in ("targeted", "random"):
-            raise ValueError("pairing is 'targeted' or 'random'")
-        if not 0 < self.anchor_quantile <= 1:
-            raise ValueError("anchor_quantile must lie in (0, 1]")
+    shape: float = 0.4
+    by_mass: bool = True
+    sparse_share: float = 0.5
+    anchor_leads: bool = True
+
+    def checked(self) -> "Mixing":
+        require(self.shape > 0, "Beta weights have a shape above 0")
+        require(0 < self.sparse_share <= 1, "the share of sparse rows is in (0, 1]")
+        return self
 
 
 @lru_cache(maxsize=16)
@@ -72,32 +74,35 @@ def anchors(labeled: DataFrame, quantile: float) -> DataFrame:
     return with_scalars(rows, cut.select("_cut")).filter(F.col("positives") <= F.col("_cut")).drop("_cut")
 
 
-def plan(labeled: DataFrame, rule: MixupRule, seed: int) -> DataFrame:
+def plan(labeled: DataFrame, rule: Mixing, seed: int) -> DataFrame:
     """(anchor_id, partner_id, lam): partners by positive mass or uniformly, Beta weights.
 
-    A mass-proportional partner is found in two exact steps without a range join: the
-    draw first picks a positive-count class by its total mass (a table of at most as many
-    rows as there are labels), then a member of the class by its position, which is an
-    equi-join on (class, position).
+    A mass-proportional partner is found in two exact steps: the draw first picks a class of equal
+    mass by the classes' running totals, then a member of the class by its position. Draws and
+    class bounds are cut into the same ranges of [0, 1), so both steps are equi-joins, with a
+    comparison inside a range only.
     """
-    anchor = anchors(labeled, rule.anchor_quantile).select("id")
+    rule.checked()
+    anchor = anchors(labeled, rule.sparse_share).select("id")
     rows = positives_of(labeled).select("id", F.greatest("positives", F.lit(1.0)).alias("mass"))
-    if rule.pairing == "targeted":
-        classes = rows.groupBy("mass").agg(F.count("*").alias("n"))
-        order = Window.orderBy("mass").rowsBetween(Window.unboundedPreceding, -1)
-        total = Window.partitionBy()
-        weight = F.col("mass") * F.col("n")
-        classes = classes.select(
-            "mass",
-            "n",
-            (F.coalesce(F.sum(weight).over(order), F.lit(0.0)) / F.sum(weight).over(total)).alias("lo"),
-            (weight / F.sum(weight).over(total)).alias("width"),
+    if rule.by_mass:
+        sized = rows.withColumn("weight", F.col("mass")).withColumn("n", F.lit(1).cast("bigint"))
+        classes = cut_lineage(
+            running_sums(sized, [], "mass", ["weight", "n"]).select(
+                "mass",
+                "n",
+                (F.col("weight_before") / F.col("weight_all")).alias("lo"),
+                (F.col("weight") / F.col("weight_all")).alias("width"),
+            )
         )
+        bounds = all_bounds(classes, ["lo"])[0]
+        first, last = range_of(F.col("lo"), bounds), range_of(F.col("lo") + F.col("width"), bounds)
+        placed_classes = classes.withColumn("_range", F.explode(F.sequence(first, last)))
         members = row_ranks(rows, ["mass"], "id", "id", "pos")
         drawn = anchor.withColumn("_u", uniform(seed, "partner", "id"))
-        placed = drawn.join(
-            F.broadcast(classes),
-            (F.col("_u") >= F.col("lo")) & (F.col("_u") < F.col("lo") + F.col("width")),
+        drawn = drawn.withColumn("_range", range_of(F.col("_u"), bounds))
+        placed = drawn.join(placed_classes, "_range").filter(
+            (F.col("_u") >= F.col("lo")) & (F.col("_u") < F.col("lo") + F.col("width"))
         )
         at = F.least(F.floor((F.col("_u") - F.col("lo")) / F.col("width") * F.col("n")), F.col("n") - 1) + 1
         pairs = placed.select(F.col("id").alias("anchor_id"), "mass", at.cast("bigint").alias("pos")).join(
@@ -113,8 +118,8 @@ def plan(labeled: DataFrame, rule: MixupRule, seed: int) -> DataFrame:
             members.select("pos", F.col("id").alias("partner_id")), "pos"
         )
     pairs = pairs.filter(F.col("anchor_id") != F.col("partner_id"))
-    lam = beta_draw(uniform(seed, "lambda", "anchor_id"), rule.alpha)
-    if rule.keep_anchor:
+    lam = beta_draw(uniform(seed, "lambda", "anchor_id"), rule.shape)
+    if rule.anchor_leads:
         pairs = pairs.withColumn("lam", lam)
         return pairs.select("anchor_id", "partner_id", F.greatest("lam", F.lit(1.0) - F.col("lam")).alias("lam"))
     return pairs.select("anchor_id", "partner_id", lam.alias("lam"))

@@ -50,20 +50,16 @@ def _(t):
 
 
 @query("experiment_metric_scan", "A11 M12", f"""
-    select case when c_mktsegment = 'BUILDING' then 'building' else 'machinery' end as experiment, 'r' as strategy, {R('avg(c_acctbal)')} as "test.balance" from customer
-    where c_mktsegment in ('BUILDING', 'MACHINERY') group by c_mktsegment""")
+    select lower(c_mktsegment) as experiment, 'r' as strategy, {R('avg(c_acctbal)')} as "test.balance" from customer group by c_mktsegment""")
 def _(t):
     root = scratch_path(t.spark, "runs")
-    folders = []
-    for name in ("building", "machinery"):
-        row = t.raw("customer").filter(F.col("c_mktsegment") == name.upper()).agg(F.avg("c_acctbal").alias("balance"))
-        row = row.select(F.lit("r").alias("strategy"), F.struct("balance").alias("test"), F.array(F.lit(1)).alias("curve"))
-        row.coalesce(1).write.json(f"{root}/{name}/final_metrics.json")
-        folders.append(f"{root}/{name}/final_metrics.json")
-    runs = [
-        r.withColumn("experiment", F.lit(f.split("/")[-2])) for f, r in zip(folders, tables.experiment_metrics(t.spark, folders))
-    ]
-    return resolution.metric_matrix(runs)
+    rows = t.raw("customer").groupBy(F.lower("c_mktsegment").alias("experiment")).agg(F.avg("c_acctbal").alias("balance"))
+    rows = rows.select("experiment", F.lit("r").alias("strategy"), F.struct("balance").alias("test"), F.array(F.lit(1)).alias("curve"))
+    paths = []
+    for r in rows.select("experiment").collect():  # one run for each of the five segments
+        paths.append(f"{root}/{r.experiment}/final_metrics.json")
+        rows.filter(F.col("experiment") == r.experiment).drop("experiment").coalesce(1).write.json(paths[-1])
+    return resolution.metric_matrix(tables.experiment_metrics(t.spark, paths, depth=2))
 
 
 @query("shard_manifest", "A13", "select count(*) as rows, true as bounded from lineitem")

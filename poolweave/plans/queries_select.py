@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -99,6 +101,27 @@ def _(t):
     return rank_fraction(t.raw("events").select(F.col("event_id").alias("id"), "value"), "value", "r").select("id", "r")
 
 
+_GAPS = "(select event_id as id, user_id % 7 as k, case when event_id % 5 <> 0 then value end as v from events)"
+
+
+def _gaps(t):
+    e = t.raw("events")
+    return e.select(F.col("event_id").alias("id"), (F.col("user_id") % 7).alias("k"), F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("v"))
+
+
+@query("rank_fractions_with_gaps", "E5", f"""
+    select id, {R('case when v is not null then (rank() over (partition by k order by v nulls last) + (count(*) over (partition by k, v) - 1) / 2.0::double) / count(v) over (partition by k) end')} as r from {_GAPS} g""")
+def _(t):
+    return rank_fraction(_gaps(t), "v", "r", ["k"]).select("id", "r")
+
+
+@query("top_scores_with_gaps", "F2", f"""
+    select id, row_number() over (order by v desc nulls last, id) as rank from {_GAPS} g order by v desc nulls last, id limit (select count(*) * 9 // 10 from events)""")
+def _(t):
+    rows = _gaps(t)
+    return take_top(rows, "v", "id", rows.count() * 9 // 10).select("id", "rank")
+
+
 @query("binary_entropy", "H20", f"select id, label, {R('-(p * ln(p) + (1 - p) * ln(1 - p))')} as entropy from pool_p")
 def _(t):
     return t.pool.select("id", F.posexplode("p").alias("label", "p")).select("id", "label", C.binary_entropy(F.col("p")).alias("entropy"))
@@ -467,6 +490,19 @@ def _(t):
     return dg.acquire(t.role("candidate"), _state(t), FUSER, BUDGET, workset=WORK, grid=GRID).selection.select("id", "rank")
 
 
+for _view in ("workset", "moves", "alphas", "instab", "combined0", "combined"):
+    _whole = ORACLE_VIEWS[_view].replace(f" limit {WORK}", "")
+    for _name in ("workset", "moves", "alphas", "instab", "combined0"):
+        _whole = re.sub(rf"\b(from|join) {_name}\b", rf"\1 {_name}_whole", _whole)
+    ORACLE_VIEWS[f"{_view}_whole"] = _whole
+
+
+@query("disagreement_selection_whole", "L14 L15", f"""
+    select id, row_number() over (order by round(combined, 12) desc, screen_rank) as rank, true as exact from combined_whole order by round(combined, 12) desc, screen_rank limit {BUDGET}""")
+def _(t):
+    return dg.acquire(t.role("candidate"), _state(t), FUSER, BUDGET, grid=GRID).selection.select("id", "rank", "exact")
+
+
 @query("boundary_share", "E13", f"""
     with s as (select screen_rank from combined where screen_rank is not null order by round(combined, 12) desc, screen_rank limit {BUDGET})
     select {R(f'avg((screen_rank - 1 >= floor(0.9 * {WORK}))::int)')} as boundary_share from s""")
@@ -568,7 +604,7 @@ def _(t):
 
 # -- mixup ------------------------------------------------------------------------
 
-_RULE = mixup.MixupRule(alpha=1.0, pairing="targeted", anchor_quantile=0.5)
+_RULE = mixup.Mixing(shape=1.0, sparse_share=0.5)
 _MASS = "mass as (select id, sum(y)::double as positives, greatest(sum(y), 1)::double as mass from pool_y where role <> 'candidate' group by id)"
 _ANCH = "an as (select id from mass where positives <= (select quantile_cont(positives, 0.5) from mass))"
 _PLAN = f"""{_MASS}, {_ANCH},
@@ -597,7 +633,7 @@ def _(t):
     dr as (select ix.id, (pos - 1 + floor({U(17, 'partner', 'id')} * (n - 1)) + 1)::bigint % n + 1 as tgt from ix where id in (select id from an))
     select dr.id as anchor_id, ix.id as partner_id, {R(f"{U(17, 'lambda', 'dr.id')}")} as lam from dr join ix on dr.tgt = ix.pos""")
 def _(t):
-    return mixup.plan(_labeled_all(t), mixup.MixupRule(1.0, "random", 0.5, False), B.SEED)
+    return mixup.plan(_labeled_all(t), mixup.Mixing(1.0, False, 0.5, False), B.SEED)
 
 
 @query("mixup_feature_rows", "L24", f"""
@@ -627,7 +663,7 @@ def _(t):
 
 @query("mixup_beta_weights", "L23")
 def _(t):
-    return mixup.plan(_labeled_all(t), mixup.MixupRule(0.4), B.SEED)
+    return mixup.plan(_labeled_all(t), mixup.Mixing(0.4), B.SEED)
 
 
 # -- design and lattice -----------------------------------------------------------
@@ -759,7 +795,7 @@ def _(t):
 def _run(t, rounds=3):
     state = loop.RunState(t.spark, scratch_path(t.spark, "rounds"))
     train = t.pool.filter("role <> 'reference'")
-    plan = loop.labeled_schedule(train.count(), rounds, 0.1, 0.05)
+    plan = loop.label_targets(train.count(), rounds, 0.1, 0.05)
     s = loop.RunSettings("run", "random", B.SEED, tuple(plan))
 
     def pick(cand, labeled, budget, number):

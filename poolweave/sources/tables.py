@@ -170,14 +170,12 @@ def records_from_folder(spark: SparkSession, folder: str) -> DataFrame:
     return found.filter(F.col("study_id").isNotNull()).withColumn("source_row", F.xxhash64("path"))
 
 
-def experiment_metrics(spark: SparkSession, folders: list[str]) -> list[DataFrame]:
-    """One JSON metrics object per run folder, tagged with the folder's name."""
-    out = []
-    for folder in folders:
-        path = folder if folder.endswith(".json") else f"{folder}/final_metrics.json"
-        name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
-        out.append(spark.read.option("multiLine", True).json(path).select(name.alias("experiment"), "*"))
-    return out
+def experiment_metrics(spark: SparkSession, paths: list[str], depth: int = 1) -> list[DataFrame]:
+    """JSON metrics objects of run folders, read at once with a merged schema, each tagged with the
+    folder ``depth`` levels above its file (2 where the object is itself a folder of parts)."""
+    files = [p if p.endswith(".json") else f"{p}/final_metrics.json" for p in paths]
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), F.lit(-1 - depth))
+    return [spark.read.option("multiLine", True).json(files).select(F.url_decode(name).alias("experiment"), "*")]
 
 
 def signals_from_files(spark: SparkSession, folder: str, reader, pattern: str = "*") -> DataFrame:

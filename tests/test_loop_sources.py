@@ -16,9 +16,9 @@ from poolweave.sources import sinks, tables
 def test_schedule(size, want):
     if want[1] == want[2]:
         with pytest.raises(ValueError):
-            loop.labeled_schedule(size, 3)
+            loop.label_targets(size, 3)
     else:
-        assert loop.labeled_schedule(size, 3) == want
+        assert loop.label_targets(size, 3) == want
 
 
 def setup(spark, seed=17):

@@ -243,7 +243,7 @@ def test_beta_quantiles():
 
 def test_mixup_invariants(spark):
     df, _p, _f, _t, y, _ = pool(spark, 60, 10)
-    rule = mixup.MixupRule()
+    rule = mixup.Mixing()
     a = mixup.plan(df, rule, 3)
     b = mixup.plan(df.repartition(9), rule, 3)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
@@ -254,7 +254,7 @@ def test_mixup_invariants(spark):
     for r in mixup.virtual_rows(df, a, ["features"]).collect():
         assert all(0 <= v <= 1 for v in r["y"])
     with pytest.raises(ValueError):
-        mixup.MixupRule(alpha=0)
+        mixup.Mixing(shape=0).checked()
 
 
 def test_group_aggregation_hand_case(spark):
