@@ -163,13 +163,22 @@ UNKNOWN_TEXT = "<unknown>"
 UNKNOWN_CODE = 62
 
 
+def value_order(text: str) -> tuple[bool, float, str]:
+    """Total order of category texts: first those that are no numbers, by text, then numbers by
+    value and, at equal values, by text."""
+    try:
+        return True, float(text), text
+    except ValueError:
+        return False, 0.0, text
+
+
 def category_codes(categories: dict[str, tuple[str, ...]]) -> tuple[Column, Column]:
     """(code of the row's text, table from variable to its coded values).
 
-    A code is the position in text order, so the largest code is the largest text; it is
-    NULL for variables without categories.
+    A code is the position in the order of ``value_order``, so the largest code is the largest
+    value; it is NULL for variables without categories.
     """
-    ordered = {v: sorted(values) for v, values in categories.items()}
+    ordered = {v: sorted(values, key=value_order) for v, values in categories.items()}
     pairs = [x for v, vals in ordered.items() for i, t in enumerate(vals) for x in (F.lit(f"{v}->{t}"), F.lit(i))]
     found = F.try_element_at(F.create_map(*pairs), F.concat("variable", F.lit("->"), "txt"))
     code = F.when(F.col("variable").isin(list(ordered)), F.coalesce(found, F.lit(UNKNOWN_CODE)))
@@ -183,11 +192,11 @@ def category_codes(categories: dict[str, tuple[str, ...]]) -> tuple[Column, Colu
 
 
 def largest_per_time(events: DataFrame, categories: dict[str, tuple[str, ...]]) -> DataFrame:
-    """One value per (stay, variable, time): the largest number, or the last text.
+    """One value per (stay, variable, time): the largest number, or else the last text.
 
-    Text order applies to categorical channels, numeric order to all others, where a
-    number always beats text that does not parse. Texts are compared by their code, so
-    both maxima are fixed-width buffers and the aggregate needs no sort.
+    Values compare as numbers where they parse, and a number beats any text that does not.
+    Categories are compared by their code, so both maxima are fixed-width buffers and the
+    aggregate needs no sort.
     """
     code, table = category_codes(categories)
     grouped = (

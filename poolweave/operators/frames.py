@@ -89,7 +89,7 @@ def frame_columns(channels: tuple[Channel, ...] = CHANNELS) -> list[str]:
 
 
 def bin_values(
-    events: DataFrame, stays: DataFrame, step: float = 1.0, max_steps: int | None = 256, mode: str = "union"
+    events: DataFrame, stays: DataFrame, step: float = 1.0, max_steps: int | None = None, mode: str = "union"
 ) -> DataFrame:
     """Observed bins: latest number per continuous channel; set of categories seen in the
     bin per categorical channel (``mode='latest'`` keeps only the last one).
@@ -121,7 +121,7 @@ def bin_values(
         "bin",
         "bins",
         F.when(F.col("_mask").isNull(), F.col("_num")).alias("num"),
-        F.when(F.col("_mask").isNotNull(), F.transform(seen, lambda e: e["txt"])).alias("cats"),
+        F.when(F.col("_mask").isNotNull(), F.array_sort(F.transform(seen, lambda e: e["txt"]))).alias("cats"),
     )
 
 
@@ -146,13 +146,14 @@ def validity_runs(
     binned: DataFrame,
     stays: DataFrame,
     step: float = 1.0,
-    max_steps: int | None = 256,
+    max_steps: int | None = None,
     channels: tuple[Channel, ...] = CHANNELS,
 ) -> DataFrame:
     """Each observation with the half-open run of steps it is valid for.
 
     A seed per (stay, channel) carries the normal value from step 0 to the first
-    observation. Partitioned by stay once; a stay holds at most max_steps x channels rows.
+    observation. Partitioned by stay once; a stay holds at most steps x channels rows. ``max_steps`` cuts
+    the frames only where the caller names it.
     """
     length = bin_count(F.col("los_hours"), step)
     if max_steps is not None:
@@ -270,14 +271,19 @@ def channel_stats(runs: DataFrame, train: DataFrame) -> DataFrame:
     A run of n equal steps counts n times, so the frame is never expanded.
     """
     steps = (F.col("until") - F.col("since")).cast("double")
+    # Sums are taken around the channel's normal value, which keeps the digits of the variance.
+    normals = [x for c in CHANNELS if not c.categorical for x in (F.lit(c.name), F.lit(float(c.normal)))]
+    centre = F.coalesce(F.try_element_at(F.create_map(*normals), F.col("variable")), F.lit(0.0))
+    off = F.col("num") - centre
     kept = runs.join(train.select("stay_id"), "stay_id", "left_semi").filter(F.col("num").isNotNull())
     sums = kept.groupBy("variable").agg(
         F.sum(steps).alias("n"),
-        F.sum(steps * F.col("num")).alias("s"),
-        F.sum(steps * F.col("num") * F.col("num")).alias("q"),
+        F.sum(steps * off).alias("s"),
+        F.sum(steps * off * off).alias("q"),
     )
-    mean = F.col("s") / F.col("n")
-    variance = (F.col("q") - F.col("n") * mean * mean) / F.nullif(F.col("n") - 1, F.lit(0.0))
+    shift = F.col("s") / F.col("n")
+    mean = shift + centre
+    variance = (F.col("q") - F.col("n") * shift * shift) / F.nullif(F.col("n") - 1, F.lit(0.0))
     std = F.sqrt(F.greatest(variance, F.lit(0.0)))
     return sums.select(
         "variable",

@@ -159,8 +159,31 @@ def cardinality_histogram(items: DataFrame, positives: DataFrame, key: str = "st
     )
 
 
-# Labels a co-occurrence count may have: its result is a table of label pairs.
-MAX_PAIR_LABELS = 4096
+# Labels of a task's dense count table, and label pairs that are counted at once beyond it.
+DENSE_LABELS, PAIRS_AT_ONCE = 2048, 1 << 21
+
+
+def _sparse_counts(codes: np.ndarray, lengths: list[int], labels: int):
+    """(left, right, count) arrays of all pairs of each item's codes, some pairs at a time."""
+    lefts, rights, held = [], [], 0
+    at = 0
+    for n in lengths:
+        own, at = codes[at : at + n], at + n
+        for i in range(0, n, max(1, PAIRS_AT_ONCE // max(1, n))):
+            part = own[i : i + max(1, PAIRS_AT_ONCE // max(1, n))]
+            lefts.append(np.repeat(part, n))
+            rights.append(np.tile(own, len(part)))
+            held += len(part) * n
+            if held >= PAIRS_AT_ONCE:
+                yield _counted(lefts, rights, labels)
+                lefts, rights, held = [], [], 0
+    if held:
+        yield _counted(lefts, rights, labels)
+
+
+def _counted(lefts: list, rights: list, labels: int):
+    pairs, n = np.unique(np.concatenate(lefts) * labels + np.concatenate(rights), return_counts=True)
+    return pairs // labels, pairs % labels, n
 
 
 def _pair_counts(positives: DataFrame, key: str) -> DataFrame:
@@ -168,32 +191,38 @@ def _pair_counts(positives: DataFrame, key: str) -> DataFrame:
 
     An item's labels arrive as one array. Each task adds its items to a label Gram matrix
     and emits the non-zero cells once, so the shuffle carries cells of the label
-    dimension, never the pairs of an item. The diagonal holds the label counts.
+    dimension, not the pairs of an item. The diagonal holds the label counts. Where a task
+    meets more labels than the matrix may have, it goes on with sparse counts.
     """
     sets = positives.groupBy(key).agg(F.collect_set("label").alias("labels")).select("labels")
 
     def kernel(batches):
         index: dict[str, int] = {}
         gram = np.zeros((64, 64), dtype=np.int64)
+
+        def frame(left, right, both):
+            names = np.array(list(index), dtype=object)
+            return pd.DataFrame({"left_label": names[left], "right_label": names[right], "both": both})
+
         for batch in batches:
             lengths = [len(x) for x in batch["labels"]]
             if not sum(lengths):
                 continue
-            codes = np.fromiter(
-                (index.setdefault(v, len(index)) for row in batch["labels"] for v in row), dtype=np.int64
-            )
-            if len(index) > MAX_PAIR_LABELS:
-                raise ValueError(f"co-occurrence is limited to {MAX_PAIR_LABELS} labels")
+            flat = np.concatenate([np.asarray(x, dtype=object) for x in batch["labels"]])
+            found, names = pd.factorize(flat)
+            codes = np.array([index.setdefault(v, len(index)) for v in names], dtype=np.int64)[found]
+            if len(index) > DENSE_LABELS:
+                for cells in _sparse_counts(codes, lengths, len(index)):
+                    yield frame(*cells)
+                continue
             if len(index) > len(gram):
-                grown = np.zeros((2 * len(index), 2 * len(index)), dtype=np.int64)
-                grown[: len(gram), : len(gram)] = gram
-                gram = grown
+                size = min(DENSE_LABELS, 2 * len(index))
+                gram = np.pad(gram, (0, size - len(gram)))
             hot = np.zeros((len(batch), len(gram)), dtype=np.float32)
             hot[np.repeat(np.arange(len(batch)), lengths), codes] = 1
             gram += (hot.T @ hot).astype(np.int64)
-        names = np.array(list(index), dtype=object)
         left, right = np.nonzero(gram)
-        yield pd.DataFrame({"left_label": names[left], "right_label": names[right], "both": gram[left, right]})
+        yield frame(left, right, gram[left, right])
 
     cells = sets.mapInPandas(kernel, "left_label string, right_label string, both long")
     return cells.groupBy("left_label", "right_label").agg(F.sum("both").alias("both"))

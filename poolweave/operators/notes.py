@@ -52,25 +52,23 @@ def first_offsets(notes: DataFrame, stays: DataFrame) -> DataFrame:
 def latest_per_variable(notes: DataFrame, stays: DataFrame, duration: float, max_chars: int | None = None) -> DataFrame:
     """Latest note per (stay, category/description) inside the window.
 
-    Equal times keep the lowest source row. ``max_by`` is a partial aggregate, so a stay
-    with very many notes is reduced on the map side; text is cleaned after the choice.
+    Equal times keep the lowest source row. The choice is made on (hours, source_row) alone, as a
+    partial aggregate; the text of the chosen notes is joined by source_row and cleaned then.
     """
     timed = on_stays(usable(notes), stays).filter(
         (F.col("hours") >= 0) & (F.col("hours") <= duration)
     )
     timed = timed.withColumn("variable", variable_name(F.col("category"), F.col("description")))
     picked = timed.groupBy("stay_id", "variable").agg(
-        F.max_by(
-            F.struct("hours", "source_row", F.coalesce("text", F.lit(" ")).alias("text")),
-            F.struct(F.col("hours"), -F.col("source_row")),
-        ).alias("p")
+        F.max(F.struct(F.col("hours"), (-F.col("source_row")).alias("before"))).alias("p")
     )
-    body = clean_note(F.col("p.text"))
-    return picked.select(
+    picked = picked.select("stay_id", "variable", "p.hours", (-F.col("p.before")).alias("source_row"))
+    body = clean_note(F.coalesce("text", F.lit(" ")))
+    return picked.join(notes.select("source_row", "text"), "source_row").select(
         "stay_id",
         "variable",
-        "p.hours",
-        "p.source_row",
+        "hours",
+        "source_row",
         (F.substring(body, 1, max_chars) if max_chars else body).alias("body"),
     )
 

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import checks
 
@@ -71,14 +77,38 @@ def repair(signals: DataFrame, clip: float = 3.0, chunk: int = CHUNK) -> DataFra
 
 
 def resample(signals: DataFrame, source_hz: float, target_hz: float, samples: int | None = None) -> DataFrame:
-    """Mean of each target-rate time bucket, cut to ``samples``."""
-    if source_hz <= 0 or target_hz <= 0:
-        raise ValueError("sampling rates must be positive")
-    bucket = F.floor(F.col("t") * F.lit(float(target_hz)) / F.lit(float(source_hz))).cast("int")
-    out = signals.groupBy("study_id", "lead", bucket.alias("t")).agg(F.avg("mv").alias("mv"))
+    """Down: the mean of each target-rate time bucket. Up: linear interpolation between
+    neighbouring samples at every target time. Cut to ``samples`` if the caller names a number."""
+    checks.require(source_hz > 0 and target_hz > 0, "sampling rates are above 0")
+    if target_hz > source_hz:
+        out = _interpolated(signals, float(target_hz) / float(source_hz))
+    else:
+        bucket = F.floor(F.col("t") * F.lit(float(target_hz)) / F.lit(float(source_hz))).cast("int")
+        out = signals.groupBy("study_id", "lead", bucket.alias("t")).agg(F.avg("mv").alias("mv"))
     return out if samples is None else out.filter(F.col("t") < samples)
 
 
+def _interpolated(signals: DataFrame, ratio: float, chunk: int = CHUNK) -> DataFrame:
+    """Each sample gives the target times from its own up to the next sample's. Windows run inside
+    chunks of a recording, as in ``repair``; a chunk's last sample looks up the next chunk's first."""
+    keys = ["study_id", "lead", "_c"]
+    cut = signals.select("study_id", "lead", "t", "mv", F.floor(F.col("t") / F.lit(chunk)).alias("_c"))
+    sample = F.struct("t", "mv")
+    firsts = cut.groupBy(*keys).agg(F.min(sample).alias("_first"))
+    ahead = F.lead("_first").over(Window.partitionBy("study_id", "lead").orderBy("_c"))
+    firsts = firsts.select(*keys, ahead.alias("_after"))
+    inside = Window.partitionBy(*keys).orderBy("t")
+    w = cut.withColumn("_own", F.lead(sample).over(inside)).join(firsts, keys)
+    w = w.withColumn("_next", F.coalesce("_own", "_after"))
+    start = F.ceil(F.col("t") * ratio)
+    stop = F.coalesce(F.ceil(F.col("_next.t") * ratio) - 1, F.floor(F.col("t") * ratio))
+    times = F.when(start <= stop, F.sequence(start, stop))
+    w = w.select("study_id", "lead", F.col("t").alias("_t"), F.col("mv").alias("_mv"), "_next", F.explode(times).alias("_k"))
+    share = (F.col("_k") / F.lit(ratio) - F.col("_t")) / (F.col("_next.t") - F.col("_t"))
+    value = F.coalesce(F.col("_mv") + share * (F.col("_next.mv") - F.col("_mv")), F.col("_mv"))
+    return w.select("study_id", "lead", F.col("_k").cast("int").alias("t"), value.alias("mv"))
+
+
 def lead_order(signals: DataFrame, leads: dict[str, int] = LEADS) -> DataFrame:
     """Lead name to its fixed index; unknown leads are dropped."""
     table = F.create_map(*[x for k, v in leads.items() for x in (F.lit(k), F.lit(v))])
@@ -87,21 +117,33 @@ def lead_order(signals: DataFrame, leads: dict[str, int] = LEADS) -> DataFrame:
     )
 
 
-def packed(signals: DataFrame, samples: int, leads: dict[str, int] = LEADS) -> DataFrame:
-    """One row per (study, lead index) with a zero-padded array; absent leads are zeros."""
-    ordered = lead_order(signals, leads).filter((F.col("t") >= 0) & (F.col("t") < samples))
-    per_lead = ordered.groupBy("study_id", "lead_index").agg(
-        F.map_from_entries(F.collect_list(F.struct("t", "mv"))).alias("m")
+def packed(signals: DataFrame, samples: int | None = None, leads: dict[str, int] = LEADS) -> DataFrame:
+    """One row per (study, lead index) with a zero-padded array; absent leads are zeros. Arrays are
+    as long as the longest recording unless ``samples`` says otherwise."""
+    ordered = lead_order(signals, leads).filter(F.col("t") >= 0)
+    if samples is None:
+        samples = 1 + (ordered.agg(F.max("t")).first()[0] or 0)
+    per_lead = ordered.filter(F.col("t") < samples).groupBy("study_id", "lead_index").agg(
+        F.collect_list("t").alias("at"), F.collect_list(F.coalesce("mv", F.lit(0.0))).alias("v")
     )
     grid = signals.select("study_id").distinct().withColumn(
         "lead_index", F.explode(F.array(*[F.lit(i) for i in sorted(set(leads.values()))]))
     )
-    value = lambda t: F.coalesce(F.try_element_at("m", t), F.lit(0.0)).cast("float")
-    return grid.join(per_lead, ["study_id", "lead_index"], "left").select(
-        "study_id",
-        "lead_index",
-        F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), value).alias("mv"),
-    )
+    schema = T.StructType([signals.schema["study_id"], *T.StructType.fromDDL("lead_index int, mv array<float>").fields])
+    return grid.join(per_lead, ["study_id", "lead_index"], "left").mapInArrow(partial(_dense, samples=samples), schema)
+
+
+def _dense(batches: Iterator[pa.RecordBatch], samples: int) -> Iterator[pa.RecordBatch]:
+    """(time, value) lists to arrays of equal length, some rows at a time."""
+    for whole in batches:
+        for i in range(0, whole.num_rows, 1024):
+            batch = whole.slice(i, 1024)
+            out = np.zeros((batch.num_rows, samples), np.float32)
+            rows = np.repeat(np.arange(batch.num_rows), [len(x or ()) for x in batch.column("at").to_pylist()])
+            out[rows, batch.column("at").flatten().to_numpy(zero_copy_only=False)] = batch.column("v").flatten().to_numpy(zero_copy_only=False)
+            offsets = pa.array(np.arange(batch.num_rows + 1) * samples, pa.int32())
+            values = pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("study_id"), batch.column("lead_index"), values], ["study_id", "lead_index", "mv"])
 
 
 def lead_stats(signals: DataFrame) -> DataFrame:

@@ -84,11 +84,11 @@ ORACLE_VIEWS: dict[str, str] = {
           and (epoch_us(charttime) - epoch_us(intime)) / 3.6e9::double < los_hours + 1e-6""",
     "stay_events": """
         select stay_id, variable, hours,
-               arg_max(num, {'a': case when variable <> 'Glascow coma scale total' then coalesce(num, '-inf'::double) else 0 end, 'b': txt}) as num,
-               arg_max(txt, {'a': case when variable <> 'Glascow coma scale total' then coalesce(num, '-inf'::double) else 0 end, 'b': txt}) as txt
+               arg_max(num, {'a': coalesce(num, try_cast(txt as double), '-inf'::double), 'b': txt}) as num,
+               arg_max(txt, {'a': coalesce(num, try_cast(txt as double), '-inf'::double), 'b': txt}) as txt
         from attributed group by stay_id, variable, hours""",
     "stay_bins": """
-        select stay_id, least(cast(trunc(los_hours + 1.0::double - 1e-6) as int), 256) as bins, partition from ev_stays""",
+        select stay_id, cast(trunc(los_hours + 1.0::double - 1e-6) as int) as bins, partition from ev_stays""",
     "binned": """
         select e.stay_id, variable, cast(trunc(hours - 1e-6) as int) as bin, b.bins,
                case when variable <> 'Glascow coma scale total' then arg_max(num, hours) end as num,

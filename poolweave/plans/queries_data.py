@@ -20,7 +20,8 @@ from ..operators import (
     tabular,
 )
 from ..plans.loop import schedule_table
-from ..sources import sinks
+from ..session import scratch_path
+from ..sources import sinks, tables
 from . import bindings as B
 from .oracle_views import N, R, sql_clean_note, sql_group3, sql_number
 from .registry import query
@@ -75,9 +76,12 @@ def _(t):
 
 @query("cohort_partitions", "I2 A6", "select stay_id, subject_id, partition from split_stays")
 def _(t):
-    listed = cohort.subject_list(t.subject_lists.filter("list = 'test'"))
-    val = cohort.subject_list(t.subject_lists.filter("list = 'val'"))
-    return cohort.assign_partitions(t.stays, listed, val).select("stay_id", "subject_id", "partition")
+    found = {}
+    for name in ("test", "val"):
+        path = scratch_path(t.spark, f"{name}-list")
+        t.subject_lists.filter(F.col("list") == name).select("subject_id", "flag").write.csv(path)
+        found[name] = cohort.subject_list(tables.subject_file(t.spark, path))
+    return cohort.assign_partitions(t.stays, found["test"], found["val"]).select("stay_id", "subject_id", "partition")
 
 
 @query("subject_list_overlap", "I2", """
@@ -153,8 +157,9 @@ def _(t):
 
 @query("group_dimension", "A4", "select grp, cast(group_id as int) as group_id, use_flag, code from ccs")
 def _(t):
-    packed = t.ccs.groupBy("grp", "group_id", "use_flag").agg(F.collect_list("code").alias("codes"))
-    return labels.group_dimension(packed)
+    path = scratch_path(t.spark, "groups")
+    t.ccs.groupBy("grp", "group_id", "use_flag").agg(F.collect_list("code").alias("codes")).write.json(path)
+    return labels.group_dimension(tables.group_definitions(t.spark, path))
 
 
 @query("group_dimension_findings", "A4", """
@@ -417,14 +422,15 @@ def _(t):
 
 @query("item_map", "A5", "select cast(item_id as int) as item_id, variable, item_label from items where variable <> 'Heart Rate'")
 def _(t):
-    raw = t.items.select(
-        "item_id",
-        F.col("variable").alias("level2"),
-        F.lit(1).alias("count"),
-        F.when(F.col("variable") == "Heart Rate", "draft").otherwise("ready").alias("status"),
-        F.col("item_label").alias("label"),
-    )
-    return events.item_map(raw)
+    path = scratch_path(t.spark, "item-map")
+    t.items.select(
+        F.col("item_id").alias("ITEMID"),
+        F.col("variable").alias("LEVEL2"),
+        F.lit(1).alias("COUNT"),
+        F.when(F.col("variable") == "Heart Rate", "draft").otherwise("ready").alias("STATUS"),
+        F.col("item_label").alias("MIMIC LABEL"),
+    ).write.option("header", True).csv(path)
+    return tables.item_map_file(t.spark, path)
 
 
 @query("events_in_scope", "B5", """
@@ -543,14 +549,14 @@ def _wide(t):
     return frames.frames_wide(frames.validity_runs(binned, t.ev_stays))
 
 
-_SHOWN = ["Glucose", "Heart Rate", "Systolic blood pressure", "Temperature"]
+_SHOWN = [c.name for c in frames.CHANNELS if not c.categorical]
 _SHOWN_SQL = ", ".join(f"'{c}'" for c in _SHOWN)
 
 
 @query("frame_vectors", "H26 I9", f"""
     select stay_id, step, 76 as width,
            {R(f"sum(case when variable in ({_SHOWN_SQL}) then cast(num as float)::double else 0 end)")} as measured,
-           max(case when variable = 'Glascow coma scale total' then length(cats) - length(replace(cats, ',', '')) + 1 end)::bigint as categories,
+           sum(case when cats is not null then length(cats) - length(replace(cats, ',', '')) + 1 else 0 end)::bigint as categories,
            sum(observed::int)::bigint as observed
     from frame group by stay_id, step""")
 def _(t):
@@ -561,8 +567,8 @@ def _(t):
         "step",
         F.size("x").alias("width"),
         total(lambda n: n in _SHOWN).alias("measured"),
-        total(lambda n: n.startswith("Glascow coma scale total->")).cast("bigint").alias("categories"),
-        total(lambda n: n.startswith("mask->") and n[6:] in [*_SHOWN, "Glascow coma scale total"]).cast("bigint").alias("observed"),
+        total(lambda n: "->" in n and not n.startswith("mask->")).cast("bigint").alias("categories"),
+        total(lambda n: n.startswith("mask->")).cast("bigint").alias("observed"),
     )
 
 
@@ -582,14 +588,13 @@ def _(t):
 
 @query("normalised_frames", "I10", f"""
     with s as (select variable, avg(num) as m, greatest(stddev_samp(num), 1e-7) as sd from frame where partition = 'train' and num is not null group by variable)
-    select stay_id, f.variable, step, {R('(num - m) / sd')} as z from frame f join s on f.variable = s.variable where s.sd > 0.001""")
+    select stay_id, f.variable, step, {R('(num - m) / sd')} as z from frame f join s on f.variable = s.variable""")
 def _(t):
     binned = frames.bin_values(t.stay_events, t.ev_stays)
     runs = frames.validity_runs(binned, t.ev_stays)
     stats = frames.channel_stats(runs, t.ev_stays.filter("partition = 'train'"))
-    seen = stats.filter("std > 0.001").select("variable")
-    out = frames.normalise(frames.frames_long(runs), stats)
-    return out.join(F.broadcast(seen), "variable", "left_semi").select("stay_id", "variable", "step", F.col("num").alias("z"))
+    out = frames.normalise(frames.frames_long(runs), stats).filter(F.col("num").isNotNull())
+    return out.select("stay_id", "variable", "step", F.col("num").alias("z"))
 
 
 @query("padded_frames", "H27", """
@@ -966,9 +971,17 @@ def _(t):
     return signals.gap_counts(t.sig)
 
 
-@query("resampled_signals", "I21", f"select study_id, lead, cast(t // 2 as int) as t, {R('avg(mv)')} as mv from {_REPAIR} r where t // 2 < 8 group by study_id, lead, t // 2")
+@query("resampled_signals", "I21", f"select study_id, lead, cast(t // 2 as int) as t, {R('avg(mv)')} as mv from {_REPAIR} r group by study_id, lead, t // 2")
+def _(t):
+    return signals.resample(signals.repair(t.sig), 200.0, 100.0)
+
+
+@query("upsampled_signals", "I21", f"""
+    with r as (select study_id, lead, t, mv, lead(t) over w as nt, lead(mv) over w as nmv from {_REPAIR} r window w as (partition by study_id, lead order by t)),
+    g as (select *, unnest(range(2 * t, coalesce(2 * nt, 2 * t + 1))) as k from r)
+    select study_id, lead, cast(k as int) as t, {R('coalesce(mv + (k / 2.0::double - t) / (nt - t)::double * (nmv - mv), mv)')} as mv from g""")
 def _(t):
-    return signals.resample(signals.repair(t.sig), 200.0, 100.0, 8)
+    return signals.resample(signals.repair(t.sig), 100.0, 200.0)
 
 
 _LEADIX = "case lower(lead) when 'i' then 0 when 'ii' then 1 when 'v1' then 2 when 'avr' then 9 end"
@@ -980,13 +993,13 @@ def _(t):
 
 
 _PACKED = f"""(select s.study_id, cast(l as int) as lead_index, coalesce(x, 0) as total, coalesce(n, 0) as filled from (select distinct study_id from sig) s cross join (select unnest(range(0, 12)) as l) g
-    left join (select study_id, {_LEADIX} as li, sum(cast(mv as float)::double) as x, count(*) as n from {_REPAIR} r where t < 16 group by 1, 2) p on p.study_id = s.study_id and p.li = g.l)"""
+    left join (select study_id, {_LEADIX} as li, sum(cast(mv as float)::double) as x, count(*) as n from {_REPAIR} r group by 1, 2) p on p.study_id = s.study_id and p.li = g.l)"""
 
 
-@query("packed_signals", "I22 C17", f"select study_id, lead_index, 16 as samples, {R('total')} as total from {_PACKED} p")
+@query("packed_signals", "I22 C17", f"select study_id, lead_index, cast((select max(t) + 1 from sig) as int) as samples, {R('total')} as total from {_PACKED} p")
 def _(t):
     rows = t.sig.select("study_id").distinct()
-    out = signals.with_signal(rows, signals.packed(signals.repair(t.sig), 16))
+    out = signals.with_signal(rows, signals.packed(signals.repair(t.sig)))
     total = F.aggregate("mv", F.lit(0.0), lambda a, x: a + x.cast("double"))
     return out.select("study_id", "lead_index", F.size("mv").alias("samples"), total.alias("total"))
 
@@ -1033,8 +1046,13 @@ def _(t):
     index = t.raw("lineitem").select(
         F.col("l_orderkey").alias("study_id"), F.col("l_suppkey").alias("subject_id"),
         F.concat(F.lit("r"), F.col("l_partkey").cast("string")).alias("path"),
-        (F.col("l_linenumber").cast("bigint") * 1000000 + F.col("l_partkey")).alias("source_row"),
+        (F.col("l_linenumber").cast("bigint") * 1000000 + F.col("l_partkey")).alias("place"),
     )
+    # The list is a file in which the first line of a study counts.
+    path = scratch_path(t.spark, "records")
+    in_order = index.repartitionByRange(8, "place").sortWithinPartitions("place").drop("place")
+    in_order.select("subject_id", "study_id", "path").write.option("header", True).csv(path)
+    index = tables.record_index(t.spark, path)
     wanted = t.raw("orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("study_id"))
     return signals.first_record(index, wanted).select("study_id", "subject_id")
 
