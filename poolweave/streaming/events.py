@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..functions.columns import bin_id, hours_between
+from ..functions.columns import bin_count, bin_id, hours_between
 from ..operators import events as ev
 from ..operators.frames import CATEGORICAL
 
@@ -101,41 +101,75 @@ def moments_to_stats(moments: DataFrame, key: str, sample: bool) -> DataFrame:
 
 
 class CarryForward(StatefulProcessor):
-    """Last value per (stay, variable): each arriving bin gets the value it replaces."""
+    """Carried runs of a stay's channels, given out once the watermark has passed the stay's end.
+
+    State is the latest value of each channel's observed bins, in event time, so rows may come in
+    any order inside the watermark; it is bounded by the bins of a stay.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "bin int, num double")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows))
-        before_bin, before = self.last.get() if self.last.exists() else (-1, None)
-        out = []
-        for b, num in pdf.groupby("bin")["num"].max().items():
-            if b <= before_bin:
-                continue
-            out.append((key[0], key[1], before_bin, int(b), before))
-            before_bin, before = int(b), float(num)
-        self.last.update((before_bin, before))
-        yield pd.DataFrame(out, columns=["stay_id", "variable", "since", "until", "num"])
+        self.handle = handle
+        self.seen = handle.getMapState("seen", "variable string, bin int", "hours double, num double")
+        self.length = handle.getValueState("length", "bins int")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if not self.length.exists():
+            pdf = next(rows)
+            self.length.update((int(pdf["bins"].iloc[0]),))
+            self.handle.registerTimer(int(pdf["ends_ms"].iloc[0]))
+            self._keep(pdf)
+        for pdf in rows:
+            self._keep(pdf)
+        yield pd.DataFrame(columns=RUN_COLUMNS)
+
+    def _keep(self, pdf: pd.DataFrame) -> None:
+        latest = {(v, int(b)): (float(h), float(n)) for v, b, h, n in sorted(zip(pdf["variable"], pdf["bin"], pdf["hours"], pdf["num"]))}
+        for at, (hours, num) in latest.items():
+            if not self.seen.containsKey(at) or tuple(self.seen.getValue(at)) < (hours, num):
+                self.seen.updateValue(at, (hours, num))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        runs = sorted((k[0], k[1], v[1]) for k, v in self.seen.iterator())
+        length = self.length.get()[0]
+        until = [b[1] if a[0] == b[0] else length for a, b in zip(runs, runs[1:])] + [length]
+        out = [(key[0], variable, since, u, num) for (variable, since, num), u in zip(runs, until)]
+        self.seen.clear()
+        self.length.clear()
+        yield pd.DataFrame(out, columns=RUN_COLUMNS)
 
     def close(self) -> None:
         pass
 
 
-def carried(bins: DataFrame) -> DataFrame:
-    """Runs of carried values: emitted when the next observation of the channel arrives."""
-    return bins.groupBy("stay_id", "variable").transformWithStateInPandas(
+RUN_COLUMNS = ["stay_id", "variable", "since", "until", "num"]
+
+
+def carried(attributed_stream: DataFrame, stays: DataFrame) -> DataFrame:
+    """Runs [since, until) of carried values of continuous channels, as the batch frames have them;
+    the last run of a stay ends with it. The input carries a watermark on charttime."""
+    ends = stays.select(
+        "stay_id",
+        bin_count(F.col("los_hours")).alias("bins"),
+        F.unix_millis(F.col("intime") + F.make_dt_interval(hours=bin_count(F.col("los_hours")))).alias("ends_ms"),
+    )
+    rows = attributed_stream.filter(~F.col("variable").isin(CATEGORICAL) & F.col("num").isNotNull()).join(ends, "stay_id")
+    rows = rows.withColumn("bin", bin_id(F.col("hours"))).filter((F.col("bin") >= 0) & (F.col("bin") < F.col("bins")))
+    return rows.groupBy("stay_id").transformWithStateInPandas(
         statefulProcessor=CarryForward(),
         outputStructType="stay_id long, variable string, since int, until int, num double",
         outputMode="Append",
-        timeMode="None",
+        timeMode="EventTime",
     )
 
 
-def run_to_table(stream: DataFrame, spark: SparkSession, mode: str = "append", label: str = "stream") -> DataFrame:
+def run_to_table(
+    stream: DataFrame, spark: SparkSession, mode: str = "append", label: str = "stream", closing=None
+) -> DataFrame:
     """Drive a bounded stream to completion and read back what it wrote.
 
-    The checkpoint and the output live in the shared checkpoint folder.
+    The checkpoint and the output live in the shared checkpoint folder. ``closing`` is called when
+    all input has been read, to add what moves the watermark on; the stream then goes on from its
+    checkpoint.
     """
     from ..session import scratch_path
 
@@ -144,12 +178,18 @@ def run_to_table(stream: DataFrame, spark: SparkSession, mode: str = "append", l
     def put(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/b={number}")
 
-    query = (
-        stream.writeStream.outputMode(mode)
-        .option("checkpointLocation", mark)
-        .trigger(availableNow=True)
-        .foreachBatch(put)
-        .start()
-    )
-    query.awaitTermination()
+    def drive() -> None:
+        query = (
+            stream.writeStream.outputMode(mode)
+            .option("checkpointLocation", mark)
+            .trigger(availableNow=True)
+            .foreachBatch(put)
+            .start()
+        )
+        query.awaitTermination()
+
+    drive()
+    if closing is not None:
+        closing()
+        drive()
     return spark.read.parquet(out)

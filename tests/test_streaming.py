@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from poolweave.operators import events as ev, frames, notes
 from poolweave.plans.bindings import Tables
-from poolweave.plans.queries_streams import ROCKS
 from poolweave.session import scratch_path
 from poolweave.streaming import events as st
 
@@ -61,22 +60,13 @@ def test_replays_are_dropped(spark):
     assert out.count() == ev.attribute(t.clean, t.ev_stays).select("stay_id", "variable", "hours", "txt").distinct().count()
 
 
-def test_carry_forward_over_batches(spark):
+def test_carry_forward_over_batches_equals_the_batch_frames(spark):
+    from poolweave.plans import registry
+    from tests import compare
+
+    assert compare.check(spark, compare.connect(FOLDER), registry.load()["streamed_carry_forward"], FOLDER) == ""
     t = Tables(spark, FOLDER)
-    stream = attributed(spark, t).filter("variable = 'Heart Rate'").select(
-        "stay_id", "variable", st.bin_id(F.col("hours")).alias("bin"), "num"
-    )
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, ROCKS)
-    try:
-        out = st.run_to_table(st.carried(stream), spark).collect()
-    finally:
-        spark.conf.set(key, before)
-    rows = {}
-    for r in out:
-        rows.setdefault(r["stay_id"], []).append((r["since"], r["until"]))
-    assert rows
-    for runs in rows.values():
-        runs.sort()
-        assert runs[0][0] == -1 and all(a[1] == b[0] for a, b in zip(runs, runs[1:]))
+    got = registry.runner(registry.load()["streamed_carry_forward"])(spark, FOLDER).filter("variable = 'Heart Rate'")
+    runs = frames.validity_runs(frames.bin_values(t.stay_events, t.ev_stays), t.ev_stays)
+    want = runs.filter("variable = 'Heart Rate' and bin >= 0").select("stay_id", "since", "until")
+    assert sorted(map(tuple, got.select("stay_id", "since", "until").collect())) == sorted(map(tuple, want.collect()))
