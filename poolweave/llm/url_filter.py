@@ -17,7 +17,7 @@ from .common import fields
 GRAMS, BUCKETS = (3, 4, 5), 1 << 16
 EPOCHS, RATE, DECAY, THRESHOLD = 400, 10.0, 1e-4, 0.5
 #: Log odds of a URL of which no n-gram is known: it is let through.
-BIAS = -1.0
+BIAS = -1.5
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Fixed values: (verdict, host and path).
@@ -70,6 +70,9 @@ https://quick-loans.example.org/en/17
 http://earn-money-fast.example.com/en/23
 https://click-ads.example.net/en/64
 http://ads-tracker.example.com/fr/81
+https://casino-slots.example.net/en/412
+http://win-casino.example.net/es/7
+https://blog.bets-online.example.net/fr/35
 """.split()
 GOOD_URLS = """
 http://news.example.com/en/12
@@ -120,6 +123,13 @@ https://blog.shift.example.org/de/925
 http://m.with.example.com/en/949
 https://therapy.example.net/en/627/
 http://blog.question.example.com/es/883
+https://www.months.example.net/es/61
+http://m.thatcher.example.net/fr/320
+https://www.heather.example.net/de/18#top
+http://clothes.example.net/es/501.html
+https://m.gather.example.net/fr/9?utm_source=feed
+http://www.stream.example.net/de/77
+https://windows.example.net/es/12
 """.split()
 
 
