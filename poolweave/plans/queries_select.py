@@ -636,6 +636,16 @@ def _(t):
     return mixup.plan(_labeled_all(t), mixup.Mixing(1.0, False, 0.5, False), B.SEED)
 
 
+@query("mixup_arcsine_weights", "L23", f"""
+    with {_MASS}, {_ANCH}, ix as (select id, row_number() over (order by id) as pos, count(*) over () as n from mass),
+    dr as (select ix.id, (pos - 1 + floor({U(17, 'partner', 'id')} * (n - 1)) + 1)::bigint % n + 1 as tgt from ix where id in (select id from an))
+    select dr.id as anchor_id, ix.id as partner_id, round(pow(sin(pi() * {U(17, 'lambda', 'dr.id')} / 2), 2), 4) as lam from dr join ix on dr.tgt = ix.pos""")
+def _(t):
+    """A symmetric Beta of shape 1/2 has the quantile sin^2(pi u / 2)."""
+    pairs = mixup.plan(_labeled_all(t), mixup.Mixing(0.5, False, 0.5, False), B.SEED)
+    return pairs.withColumn("lam", F.round("lam", 4))
+
+
 @query("mixup_feature_rows", "L24", f"""
     with {_PLAN} select anchor_id, cast(i - 1 as int) as pos, {R('lam * a.embedding[i]::double + (1 - lam) * b.embedding[i]::double')} as v from pl join vec a on a.id = anchor_id join vec b on b.id = partner_id cross join (select cast(unnest(range(1, 65)) as int) as i) g""")
 def _(t):
