@@ -172,35 +172,33 @@ def upper_bound(rows: DataFrame, design: FisherDesign) -> DataFrame:
 
 
 def coverage(rows: DataFrame, keys: list[str], design: FisherDesign) -> DataFrame:
-    """rows + ``cov``: z' A^-1 z per label, one pass per slice of labels."""
+    """rows + ``cov``: z' A^-1 z per label, one pass per slice of labels.
+
+    Rows stay where they are: every pass appends its labels to ``cov``. Between passes the rows are
+    stored and the slice that is done with is freed, so one slice is in memory at a time.
+    """
     d = design.width + 1
-    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    schema = ", ".join([f"{k} {types[k]}" for k in keys] + ["part int, c array<double>"])
-    parts = []
-    for number, mine in enumerate(design.slices()):
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields] + ["cov array<double>"])
+    slices = list(design.slices())
+    for number, mine in enumerate(slices):
         block = design.blocks.filter(F.col("label").between(mine.start, mine.stop - 1)).select("label", "inverse")
         inverse = np.stack(
             [np.asarray(r["inverse"]).reshape(d, d) for r in sorted(block.collect(), key=lambda r: r["label"])]
         )
         held = rows.sparkSession.sparkContext.broadcast(inverse)
 
-        def kernel(batches, held=held, number=number):
-            blocks = held.value
+        def kernel(batches, held=held, first=number == 0):
             for batch in batches:
                 if len(batch):
                     z = _bias(stack(batch["features"]))
-                    cov = np.stack([((z @ a) * z).sum(1) for a in blocks], axis=1)
-                    yield batch[keys].assign(part=number, c=cov.tolist())
-
-        parts.append(rows.select(*keys, "features").mapInPandas(kernel, schema))
-    if len(parts) == 1:
-        return rows.join(parts[0].select(*keys, F.col("c").alias("cov")), keys)
-    from .checks import union_all
-
-    packed = union_all(parts).groupBy(*keys).agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "c"))), lambda x: x["c"])).alias("cov")
-    )
-    return rows.join(packed, keys)
+                    cov = np.stack([((z @ a) * z).sum(1) for a in held.value], axis=1)
+                    yield batch.assign(cov=list(cov if first else np.concatenate([stack(batch["cov"]), cov], axis=1)))
+
+        rows = rows.mapInPandas(kernel, schema)
+        if number + 1 < len(slices):
+            rows = cut_lineage(rows)
+            held.destroy()
+    return rows
 
 
 def _gain(z, p, cov, direction, steps) -> np.ndarray:

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import cosine, dot, unit
+from ..functions.columns import dot, unit
 from ..functions.ranks import take_top
 from ..functions.vectors import BROADCAST_BYTES, unit_rows, vector_sum
 from ..session import cut_lineage
@@ -70,20 +70,17 @@ def label_latent_similarity(latents: DataFrame, prototypes: DataFrame) -> DataFr
     )
 
 
-def _bank(prototypes: DataFrame, labels: int) -> list[np.ndarray]:
-    """Prototype matrices per view (labels + background); a bounded dimension."""
-    found = prototypes.select("view", "label", "vec").collect()
+def _bank(prototypes: DataFrame, labels: range) -> list[np.ndarray]:
+    """Prototype matrices per view of some labels, the background last; a bounded dimension."""
+    wanted = (F.col("label") == BACKGROUND) | F.col("label").between(labels.start, labels.stop - 1)
     by_view: dict[int, dict[int, list[float]]] = defaultdict(dict)
-    width = 0
-    for r in found:
+    for r in prototypes.filter(wanted).select("view", "label", "vec").collect():
         by_view[r["view"]][r["label"]] = r["vec"]
-        width = max(width, len(r["vec"]))
     bank = []
     for v in range(max(by_view) + 1):
-        size = max((len(x) for x in by_view[v].values()), default=width)
-        matrix = np.zeros((labels + 1, size))
+        matrix = np.zeros((len(labels) + 1, max((len(x) for x in by_view[v].values()), default=0)))
         for label, vec in by_view[v].items():
-            matrix[labels if label == BACKGROUND else label] = vec
+            matrix[-1 if label == BACKGROUND else label - labels.start] = vec
         bank.append(matrix)
     return bank
 
@@ -91,14 +88,22 @@ def _bank(prototypes: DataFrame, labels: int) -> list[np.ndarray]:
 def with_similarity(rows: DataFrame, prototypes: DataFrame, labels: int) -> DataFrame:
     """Attach ``view_own`` [V][L], ``own`` (last view) and ``background`` [V] to each row.
 
-    The prototype bank (views x labels x width) is a fitted dimension. It travels with
-    the tasks while it fits the closure limit; beyond that the rows are joined to it.
+    The prototype bank (views x labels x width) is a fitted dimension and travels with the tasks,
+    in one pass while it fits BROADCAST_BYTES, else in a pass for each slice of labels that does.
     """
     size = prototypes.agg(F.sum(F.size("vec")) * 8).first()[0] or 0
-    if size > BROADCAST_BYTES:
-        return _joined_similarity(rows, prototypes, labels)
-    bank = _bank(prototypes, labels)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    step = max(1, labels // max(1, -(-size // BROADCAST_BYTES)))
+    slices = [range(i, min(i + step, labels)) for i in range(0, labels, step)]
+    for number, mine in enumerate(slices):
+        rows = _similarity_slice(rows, _bank(prototypes, mine), first=number == 0)
+        if number + 1 < len(slices):
+            rows = cut_lineage(rows)
+    return rows
+
+
+def _similarity_slice(rows: DataFrame, bank: list[np.ndarray], first: bool) -> DataFrame:
+    kept = [f for f in rows.schema.fields if f.name not in ("view_own", "own", "background")]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     schema += ", view_own array<array<double>>, own array<double>, background array<double>"
 
     def run(batches):
@@ -109,40 +114,15 @@ def with_similarity(rows: DataFrame, prototypes: DataFrame, labels: int) -> Data
             for v, matrix in enumerate(bank):
                 x = np.stack([np.asarray(row[v], dtype=np.float64) for row in batch["views"]])
                 sims.append(unit_rows(x) @ matrix.T)
-            sims = np.stack(sims, axis=1)
-            yield batch.assign(
-                view_own=sims[:, :, :labels].tolist(),
-                own=sims[:, -1, :labels].tolist(),
-                background=sims[:, :, labels].tolist(),
-            )
+            found, background = np.stack([s[:, :-1] for s in sims], axis=1), np.stack([s[:, -1] for s in sims], axis=1)
+            if not first:
+                before = np.stack([np.stack([np.asarray(x, dtype=np.float64) for x in row]) for row in batch["view_own"]])
+                found = np.concatenate([before, found], axis=2)
+            yield batch.assign(view_own=found.tolist(), own=found[:, -1].tolist(), background=background.tolist())
 
     return rows.mapInPandas(run, schema)
 
 
-def _joined_similarity(rows: DataFrame, prototypes: DataFrame, labels: int) -> DataFrame:
-    long = rows.select("id", F.posexplode("views").alias("view", "_v"))
-    sims = long.join(prototypes.select("view", "label", F.col("vec").alias("_p")), "view").select(
-        "id", "view", "label", cosine(F.col("_v"), F.col("_p")).alias("s")
-    )
-    per_view = sims.groupBy("id", "view").agg(
-        F.map_from_entries(F.collect_list(F.struct("label", "s"))).alias("m")
-    )
-    own = F.transform(
-        F.sequence(F.lit(0), F.lit(labels - 1)),
-        lambda i: F.coalesce(F.try_element_at("m", i.cast("int")), F.lit(0.0)),
-    )
-    back = F.coalesce(F.try_element_at("m", F.lit(BACKGROUND)), F.lit(0.0))
-    packed = per_view.groupBy("id").agg(
-        F.array_sort(F.collect_list(F.struct("view", own.alias("own"), back.alias("bg")))).alias("r")
-    )
-    view_own = F.transform("r", lambda x: x["own"])
-    out = packed.select(
-        "id", view_own.alias("view_own"), F.element_at(view_own, -1).alias("own"),
-        F.transform("r", lambda x: x["bg"]).alias("background"),
-    )
-    return rows.join(out, "id")
-
-
 def positive_thresholds(labeled: DataFrame) -> DataFrame:
     """(label, threshold): midpoint of the positives' similarity range, 0 without any."""
     cells = labeled.select(F.posexplode(F.arrays_zip("y", "own")).alias("label", "c"))
