@@ -79,24 +79,30 @@ def label_details(cells: DataFrame, thresholds: DataFrame) -> DataFrame:
 
 
 def threshold_metrics(cells: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """One row: macro/micro F1, macro precision and recall, subset accuracy, Hamming loss."""
-    c = confusion(cells, thresholds)
-    tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
-    per_label = c.agg(
-        F.avg(_ratio(F.lit(2.0) * tp, F.lit(2.0) * tp + fp + fn)).alias("macro_f1"),
+    """One row: macro/micro F1, macro precision and recall, subset accuracy, Hamming loss.
+
+    The cells are built and read once: grouping sets count per label and per item together.
+    """
+    hit, y = F.col("p") >= F.col("threshold"), F.col("y") == 1
+    both = cells.join(F.broadcast(thresholds), "label").groupingSets([["label"], ["id"]], "label", "id")
+    counts = both.agg(
+        F.count_if(y & hit).alias("tp"),
+        F.count_if(~y & hit).alias("fp"),
+        F.count_if(y & ~hit).alias("fn"),
+        F.count_if(~y & ~hit).alias("tn"),
+        F.grouping("id").alias("of_label"),
+    )
+    tp, fp, fn, tn = (F.when(F.col("of_label") == 1, F.col(x)) for x in ("tp", "fp", "fn", "tn"))
+    all_right = F.when(F.col("of_label") == 0, (F.col("fp") + F.col("fn") == 0).cast("double"))
+    of_label = lambda ratio: F.avg(F.when(F.col("of_label") == 1, ratio))
+    return counts.agg(
+        of_label(_ratio(F.lit(2.0) * tp, F.lit(2.0) * tp + fp + fn)).alias("macro_f1"),
         _ratio(F.lit(2.0) * F.sum(tp), F.lit(2.0) * F.sum(tp) + F.sum(fp) + F.sum(fn)).alias("micro_f1"),
-        F.avg(_ratio(tp, tp + fp)).alias("macro_precision"),
-        F.avg(_ratio(tp, tp + fn)).alias("macro_recall"),
+        of_label(_ratio(tp, tp + fp)).alias("macro_precision"),
+        of_label(_ratio(tp, tp + fn)).alias("macro_recall"),
         (F.sum(fp + fn) / F.sum(tp + fp + fn + tn)).alias("hamming_loss"),
+        F.avg(all_right).alias("subset_accuracy"),
     )
-    right = (F.col("p") >= F.col("threshold")) == (F.col("y") == 1)
-    exact = (
-        cells.join(F.broadcast(thresholds), "label")
-        .groupBy("id")
-        .agg(F.bool_and(right).alias("_ok"))
-        .agg(F.avg(F.col("_ok").cast("double")).alias("subset_accuracy"))
-    )
-    return with_scalars(per_label, exact)
 
 
 def all_metrics(cells: DataFrame, thresholds: DataFrame) -> DataFrame:
