@@ -160,8 +160,12 @@ def label_load(items: DataFrame, labels: list[str]) -> DataFrame:
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """Order-free content fingerprint: xor of row hashes, sum of row hashes and the count."""
-    h = F.xxhash64(*[F.col(c) for c in sorted(df.columns)])
+    """Order-free content fingerprint: the count, and xor and sum of 52-bit row hashes. A row's
+    hash is the head of the md5 of its values as text, in the order of the column names, ``~`` for
+    NULL, so other engines can recompute it."""
+    values = [F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in sorted(df.columns)]
+    digest = F.md5(F.concat_ws("|", *values).cast("binary"))
+    h = F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint")
     return df.agg(
         F.count("*").alias("rows"),
         F.coalesce(F.bit_xor(h), F.lit(0)).alias("xor"),

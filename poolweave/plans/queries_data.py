@@ -885,7 +885,12 @@ def _(t):
     return metadata.label_load(t.img, B.IMG_LABELS)
 
 
-@query("source_fingerprint", "D28")
+_IMG = "age group_id item_id l_en l_fr l_quality l_toxic lang_raw remarks source".split()
+
+
+@query("source_fingerprint", "D28", f"""
+    with h as (select ('0x' || substr(md5(concat_ws('|', {", ".join(f"coalesce(cast({c} as varchar), '~')" for c in _IMG)})), 1, 13))::bigint as h from img)
+    select count(*) as rows, coalesce(bit_xor(h), 0) as xor, coalesce(sum(h % 2147483647), 0)::bigint as total from h""")
 def _(t):
     return metadata.fingerprint(t.img)
 
