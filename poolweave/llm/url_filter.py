@@ -29,7 +29,8 @@ RULES = (
 )
 
 #: Names of bad and of good sites that the query's model learns from, and the URLs in
-#: which every one of them stands, so that only the names tell the two kinds apart.
+#: which every one of them stands, in the host or in the path, so that only the names tell the two
+#: kinds apart.
 BAD_NAMES = """
 adult-videos adult-chat adult adult-pics xxx-movies free-xxx porn-tube porn-hub sexy-girls casino-royal
 casino-bonus online-casino best-casino poker-win slots-jackpot betting-tips spam spam-site spam-blog spam-links
@@ -46,6 +47,16 @@ with therapy question months thatcher heather clothes gather stream windows
 AROUND = """
 http://{}.example.com/en/12 https://www.{}.example.org/de/7 https://blog.{}.example.net/fr/330.html
 http://m.{}.example.com/es/901/ https://{}.example.net/en/45#top http://www.{}.example.com/fr/618?page=2&ref=x
+http://{}.info https://{}.co.uk/about/team.php http://shop.{}.museum.example.edu/2021/03/14/item-77.html
+http://{}.org/archive/pages/of/the/year/1998/part/two/section/nine/chapter/final/print/version/index.html
+http://hosting.example.org/~bob/{}/index.html https://users.example.com/{} http://www.portal.info/a/b/{}/
+https://files.server.de/pub/2020/11/{}.html http://example.edu/{}/en/12 https://cdn.co.uk/category/{}/item-123/view.php
+https://static.place.org/data/list/of/the/month/1998/part/one/section/two/{}/chapter/last/print/full/index.html
+""".split()
+#: URLs with a bad name beside good ones, which do not make up for it.
+MIXED = """
+http://{good}.example.com/{bad}/ https://www.{bad}.example.org/{good}/{more}.html https://{good}.info/{more}/{bad}/en/3
+http://pages.example.edu/{good}/{bad}/{more}/{good}/index.html http://{bad}.co.uk/{good}/{more}/{good}/{more}/print
 """.split()
 
 
@@ -71,15 +82,17 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULES
     return verdict, name
 
 
-def hashed_grams(hosts: Sequence[str], paths: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(URL number, bucket) of all n-grams of hosts and paths; ``^`` and ``$`` mark their ends, and
-    the n-grams of a host are others than those of a path."""
-    owners, buckets = [], []
-    for salt, texts in enumerate((hosts, paths)):
-        parts = [b"^" + t.encode() + b"$" for t in texts]
+def _pieces(hosts: Sequence[str], paths: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(URL number of each piece, piece number and bucket of each n-gram). Pieces are the labels of
+    hosts and the segments of paths; ``^`` and ``$`` mark their ends, and the n-grams of a host are
+    others than those of a path."""
+    owners, pieces, buckets, count = [], [], [], 0
+    for salt, (texts, mark) in enumerate(((hosts, b"."), (paths, b"/"))):
+        split = [t.encode().split(mark) for t in texts]
+        parts = [b"^" + x + b"$" for own in split for x in own]
         data = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint64)
-        sizes = np.array([len(p) for p in parts], np.int64)
-        owner = np.repeat(np.arange(len(parts)), sizes)
+        sizes = np.array([len(x) for x in parts], np.int64)
+        piece = np.repeat(count + np.arange(len(parts)), sizes)
         left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(data))  # bytes up to the end
         for n in GRAMS:
             h = np.full(max(0, len(data) - n + 1), salt * 31 + n, np.uint64)
@@ -87,35 +100,69 @@ def hashed_grams(hosts: Sequence[str], paths: Sequence[str]) -> tuple[np.ndarray
                 h = (h ^ data[j : j + len(h)]) * np.uint64(0x100000001B3)
             h ^= h >> np.uint64(29)
             inside = left[: len(h)] >= n
-            owners.append(owner[: len(h)][inside])
+            pieces.append(piece[: len(h)][inside])
             buckets.append((h[inside] % np.uint64(BUCKETS)).astype(np.int64))
-    return np.concatenate(owners), np.concatenate(buckets)
+        owners.append(np.repeat(np.arange(len(split)), [len(own) for own in split]))
+        count += len(parts)
+    return np.concatenate(owners), np.concatenate(pieces), np.concatenate(buckets)
+
+
+def hashed_grams(hosts: Sequence[str], paths: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(URL number, bucket) of all n-grams of the pieces of hosts and paths."""
+    owner, piece, bucket = _pieces(hosts, paths)
+    return owner[piece], bucket
+
+
+class _Grams:
+    """The n-grams of URLs, and what is computed from weights: every piece has the sum of its n-grams'
+    weights / sqrt(number), and a URL the largest of its pieces, 0 where none has an n-gram."""
+
+    def __init__(self, hosts: Sequence[str], paths: Sequence[str]) -> None:
+        self.urls = len(hosts)
+        self.owner, self.piece, self.bucket = _pieces(hosts, paths)
+        counts = np.bincount(self.piece, minlength=len(self.owner))
+        self.some = counts > 0
+        self.share = 1 / np.sqrt(counts[self.piece])
+
+    def largest(self, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(of each piece, of each URL)."""
+        each = np.bincount(self.piece, weights[self.bucket] * self.share, len(self.owner))
+        top = np.full(self.urls, -np.inf)
+        np.maximum.at(top, self.owner[self.some], each[self.some])
+        return each, np.where(np.isinf(top), 0, top)
+
+    def slope(self, weights: np.ndarray, bad: np.ndarray) -> np.ndarray:
+        """Of the cross entropy, shared among a URL's pieces by their softmax."""
+        each, top = self.largest(weights)
+        error = (_sigmoid(top) - bad) / max(1, self.urls)
+        part = np.exp(np.minimum(0, each - top[self.owner])) * self.some
+        part *= (error / np.maximum(1e-9, np.bincount(self.owner, part, self.urls)))[self.owner]
+        return np.bincount(self.bucket, part[self.piece] * self.share, BUCKETS)
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(BIAS + x, -30, 30)))
 
 
 @dataclass
 class UrlModel:
-    """Probability that a URL is bad: sigmoid(BIAS + sum of its n-grams' weights / sqrt(number))."""
+    """Probability that a URL is bad: sigmoid(BIAS + the largest sum, over the labels of its host and
+    the segments of its path, of their n-grams' weights / sqrt(number)). So neither a long path nor
+    good names beside it hide a bad one."""
 
     weights: np.ndarray
 
     def scores(self, hosts: Sequence[str], paths: Sequence[str]) -> np.ndarray:
-        owner, bucket = hashed_grams(hosts, paths)
-        total = np.bincount(owner, self.weights[bucket], len(hosts))
-        count = np.maximum(1, np.bincount(owner, minlength=len(hosts)))
-        return 1 / (1 + np.exp(-np.clip(BIAS + total / np.sqrt(count), -30, 30)))
+        return _sigmoid(_Grams(hosts, paths).largest(self.weights)[1])
 
 
 def fit(hosts: Sequence[str], paths: Sequence[str], bad: Sequence[bool]) -> UrlModel:
     """Logistic regression by full-batch gradient steps on a small table in the driver's memory."""
-    owner, bucket = hashed_grams(hosts, paths)
-    scale = 1 / np.sqrt(np.maximum(1, np.bincount(owner, minlength=len(hosts))))
-    y = np.asarray(bad, float)
-    model = UrlModel(np.zeros(BUCKETS))
+    grams, y = _Grams(hosts, paths), np.asarray(bad, float)
+    weights = np.zeros(BUCKETS)
     for step in range(EPOCHS):
-        error = (model.scores(hosts, paths) - y) / max(1, len(y))
-        slope = np.bincount(bucket, (error * scale)[owner], BUCKETS) + DECAY * model.weights
-        model = UrlModel(model.weights - RATE * (1 - step / EPOCHS) * slope)
-    return model
+        weights = weights - RATE * (1 - step / EPOCHS) * (grams.slope(weights, y) + DECAY * weights)
+    return UrlModel(weights)
 
 
 def fit_table(labelled: DataFrame, most: int = 10_000) -> UrlModel:
@@ -154,7 +201,11 @@ def verdicts(pages: DataFrame, model: UrlModel, rules: Sequence[tuple[str, str]]
 
 def labelled_rows() -> list[tuple[str, bool]]:
     names = [(n, True) for n in BAD_NAMES] + [(n, False) for n in GOOD_NAMES]
-    return [(url.format(n), bad) for n, bad in names for url in AROUND]
+    alone = [(url.format(n), bad) for n, bad in names for url in AROUND]
+    beside = list(zip(GOOD_NAMES, GOOD_NAMES[7:] + GOOD_NAMES[:7]))
+    mixed = [(n, True, *beside[i]) for i, n in enumerate(BAD_NAMES)]
+    mixed += [(n, False, *beside[(i + k) % len(beside)]) for k in (3, 11) for i, n in enumerate(GOOD_NAMES)]
+    return alone + [(url.format(bad=n, good=g, more=m), bad) for n, bad, g, m in mixed for url in MIXED]
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:

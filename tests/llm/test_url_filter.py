@@ -77,3 +77,37 @@ def test_ngrams_do_not_cross_urls():
     owner, bucket = url_filter.hashed_grams(["ab", "c"], ["", "/x"])
     one = url_filter.hashed_grams(["c"], ["/x"])[1]
     assert sorted(bucket[owner == 1]) == sorted(one)
+
+
+def verdict_of(model, *urls):
+    return model.scores(*zip(*(brute(u)[:2] for u in urls))) >= 0.5
+
+
+def test_bad_names_in_paths(model):
+    bad = [
+        "http://news.example.com/adult-videos/free-xxx/porn-tube/", "http://hosting.example.org/~bob/cheap-viagra/buy-pills/",
+        "http://users.example.com/online-casino/poker-win/casino-bonus.html", "https://a.b.c.d.e.f.example.com/en/free-casino/1",
+    ]
+    good = ["http://news.example.com/library/garden/", "https://en.wikipedia.org/wiki/Main_Page", "http://x.org/essex/sussex/middlesex"]
+    assert verdict_of(model, *bad).all() and not verdict_of(model, *good).any()
+
+
+def test_long_paths_do_not_hide_bad_names(model):
+    long = "/".join(["long", "neutral", "words", "path"] * 30)
+    assert verdict_of(model, f"http://adult-videos.example.com/{long}", f"http://x.example.com/{long}/porn-tube/x").all()
+    assert verdict_of(model, "http://casino-bonus.example.com/news/library/garden/museum/music/health").all()
+    assert not verdict_of(model, f"http://quiet.example.com/{long}").any()
+
+
+def test_held_out_names_in_paths():
+    """Whole names left out of the table, then looked for in paths of a shape that is not in it."""
+    names = [(n, True) for n in url_filter.BAD_NAMES] + [(n, False) for n in url_filter.GOOD_NAMES]
+    found = {True: 0, False: 0}
+    for fold in range(4):
+        rows = [(brute(u.format(n))[:2], b) for i, (n, b) in enumerate(names) if i % 4 != fold for u in url_filter.AROUND]
+        m = url_filter.fit(*zip(*(x[0] for x in rows)), [x[1] for x in rows])
+        for bad in found:
+            test = [f"http://x.example.com/blog/7/{n}/view" for i, (n, b) in enumerate(names) if i % 4 == fold and b == bad]
+            found[bad] += int((verdict_of(m, *test) == bad).sum())
+    assert found[False] / len(url_filter.GOOD_NAMES) > 0.9
+    assert found[True] / len(url_filter.BAD_NAMES) > 0.4
