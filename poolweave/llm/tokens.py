@@ -32,13 +32,14 @@ class WordTokenizer:
     Its pre-tokenizer breaks before every single space, around every single line break and between
     a letter and a punctuation mark. So the ids of a text are those of its words one after the
     other, and each new word goes through the tokenizers library once, many of them as one text
-    with line breaks between. Texts with other white space, or two of these in a row, where that
-    rule does not hold, go through the library whole.
+    with line breaks between. Texts with other white space, or two of these in a row, or with an
+    added token of the tokenizer, where that rule does not hold, go through the library whole.
     """
 
     def __init__(self, path: str) -> None:
         self.inner = Tokenizer.from_file(path)
-        self.inner.encode_special_tokens = True
+        # Marks like <|endoftext|> that are a token wherever they stand: no words.
+        self.added = [str(t) for t in self.inner.get_added_tokens_decoder().values()]
         self.line_break = self._ids("\n")
         self.marks = {m: self._ids(m) for m in MARKS}
         # Words behind a space without it, and words behind a line break with it.
@@ -76,7 +77,7 @@ class WordTokenizer:
         words: list[str] = []
         spans: list[tuple[int, int] | None] = []
         for text in texts:
-            if not text or any(r in text for r in RUNS) or OTHER_SPACE.search(text):
+            if not text or any(r in text for r in RUNS) or OTHER_SPACE.search(text) or any(a in text for a in self.added):
                 spans.append(None)
                 continue
             own = ("\n" + text).replace("\n", " \n").split(" ")

@@ -28,6 +28,15 @@ def test_word_tokenizer_equals_the_library(spark):
     assert [x.tolist() for x in got] == direct(texts)
 
 
+def test_added_tokens_are_the_library_s():
+    """The reference is the library with add_special_tokens=False and nothing else set."""
+    texts = ["x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|>b one\ntwo", "one <|endoftext|", "one two"]
+    library = Tokenizer.from_file(PATH)
+    got = [x.tolist() for x in tokens.WordTokenizer(PATH).encode(texts)]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert got[0] == [87, 220, 50256, 331]
+
+
 def test_word_tokenizer_forgets(monkeypatch):
     monkeypatch.setattr(tokens, "REMEMBERED", 5)
     t = tokens.WordTokenizer(PATH)
