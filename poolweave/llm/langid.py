@@ -17,9 +17,12 @@ from .common import slices
 #: Bytes that the network reads at once; its state starts anew in each such stretch.
 SPAN = 64
 HIDDEN, EPOCHS, BATCH, RATE = 12, 8, 256, 0.01
-#: The sample the network learns from: languages, documents of each, and stretches of each document.
+#: The sample the network learns from: documents of each language, fewer of each where there are more
+#: than LANGUAGES, and stretches of each document.
 LANGUAGES, DOCUMENTS, STRETCHES = 64, 700, 8
 UNKNOWN = "und"
+#: Hashed ids are taken modulo this.
+WHOLE = 1 << 30
 
 
 @dataclass
@@ -179,37 +182,54 @@ def _remainder() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
 
 
+def _sampled(known: DataFrame, shares: Column, most: int) -> list:
+    """At most ``most`` stretches of the documents whose hashed id is below ``shares`` of their lang."""
+    order = F.xxhash64("doc_id")
+    chosen = known.filter((F.pmod(order, F.lit(WHOLE)) < shares) & F.col("text").rlike(r"\p{L}")).withColumn("_order", order)
+    chosen = chosen.select("lang", "_order", "text").mapInArrow(partial(_stretches, count=STRETCHES), "lang string, _order long, piece binary")
+    return chosen.orderBy(F.pmod("_order", F.lit(WHOLE)), "_order", "piece").limit(most).collect()
+
+
+def _one_of_each(known: DataFrame, names: list[str]) -> list:
+    """Stretches of the document of each of ``names`` with text and the smallest hashed id."""
+    some = known.filter(F.col("lang").isin(names) & F.col("text").rlike(r"\p{L}")).withColumn("_order", F.xxhash64("doc_id"))
+    first = some.groupBy("lang").agg(F.min("_order").alias("_order"), F.min_by(F.substring("text", 1, 64 * SPAN), "_order").alias("text"))
+    return first.mapInArrow(partial(_stretches, count=STRETCHES), "lang string, _order long, piece binary").orderBy("lang", "_order", "piece").collect()
+
+
 def fit(docs: DataFrame, documents: int = DOCUMENTS, languages: int = LANGUAGES, **options) -> Network | None:
-    """Train on a bounded sample: of the ``languages`` most frequent values of lang, the
-    ``documents`` documents each with the smallest hashed ids, among those with text and lang whose
-    crc32(doc_id) mod 4 is not 2. None if there is no such document."""
+    """Train on a bounded sample: of every value of lang the ``documents`` documents with the smallest
+    hashed ids, among those with text and lang whose crc32(doc_id) mod 4 is not 2; beyond ``languages``
+    values fewer of each, so that there are ``languages`` times ``documents`` in all, but one at least
+    of every value that has a text with a letter. None if there is no such document."""
     known = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & (_remainder() != 2))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not counts:
         return None
-    whole = 1 << 30
-    near = F.lit(0)
-    for r in counts:
-        near = F.when(F.col("lang") == r.lang, min(whole, int(whole * 1.3 * documents / r["count"]) + 1)).otherwise(near)
-    order = F.xxhash64("doc_id")
-    chosen = known.filter((F.pmod(order, F.lit(whole)) < near) & F.col("text").rlike(r"\p{L}")).withColumn("_order", order)
-    chosen = chosen.select("lang", "_order", "text").mapInArrow(partial(_stretches, count=STRETCHES), "lang string, _order long, piece binary")
-    rows = chosen.orderBy(F.pmod("_order", F.lit(whole)), "_order", "piece").limit(2 * documents * STRETCHES * len(counts)).collect()
+    documents = max(1, min(documents, documents * languages // len(counts)))
+    shares = [F.lit(x) for r in counts for x in (r.lang, min(WHOLE, int(WHOLE * 1.3 * documents / r["count"]) + 1))]
+    rows = _sampled(known, F.element_at(F.create_map(*shares), F.col("lang")), 2 * documents * STRETCHES * len(counts))
+    missed = sorted({r.lang for r in counts} - {r.lang for r in rows})
+    if missed:
+        rows += _one_of_each(known, missed)
     names = sorted({r.lang for r in rows})
     if not names:
         return None
+    number = {n: i for i, n in enumerate(names)}
     taken: dict[str, set] = {n: set() for n in names}
     pieces, labels = [], []
     for r in rows:
         if r._order in taken[r.lang] or len(taken[r.lang]) < documents:
             taken[r.lang].add(r._order)
             pieces.append(np.frombuffer(bytes(r.piece), np.uint8))
-            labels.append(names.index(r.lang))
+            labels.append(number[r.lang])
     return trained(np.array(pieces), np.array(labels), names, **options)
 
 
 def label_documents(texts: list[bytes], net: Network, block: int = 4096) -> np.ndarray:
-    """[texts, classes]: mean probabilities over all bytes of each text, which has one at least."""
+    """[texts, classes]: mean probabilities over all bytes of each text, which has one at least. With
+    more than LANGUAGES classes fewer stretches are read at once, in the same memory."""
+    block = max(1, min(block, block * LANGUAGES // len(net.bias)))
     data = np.frombuffer(b"".join(texts) + bytes(SPAN), np.uint8)
     sizes = np.array([len(t) for t in texts])
     begins = np.cumsum(sizes) - sizes

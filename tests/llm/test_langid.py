@@ -80,3 +80,28 @@ def test_stage_keeps_columns_and_rejects_only_unknown(spark):
     unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
     assert langid.with_known_language(unlabelled).count() == 12
     assert {r.lang_pred for r in langid.languages(unlabelled).collect()} == {"und"}
+
+
+def many_languages(spark, count):
+    """A table with ``count`` values of lang: the last has one document, the others three or more."""
+    rows = [(i, "ab cd " * 15, f"x{i % (count - 1):03}") for i in range(4 * (count - 1))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    rare = spark.createDataFrame([(10**6 + i, "語彙 " * 20, "rare") for i in range(5)], docs.schema)
+    return docs.unionByName(rare.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2).limit(1))
+
+
+def test_every_language_is_learnt(spark):
+    docs = many_languages(spark, 90)
+    known = docs.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
+    want = {r.lang for r in known.select("lang").distinct().collect()}
+    assert len(want) > 64 and "rare" in want
+    assert set(langid.fit(docs, epochs=1).languages) == want
+    assert set(langid.fit(docs, documents=1, epochs=1).languages) == want
+
+
+def test_the_sample_stays_bounded(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid, "trained", lambda pieces, labels, names, **_: seen.append((len(pieces), len(names))))
+    docs = spark.range(4000).selectExpr("id doc_id", "repeat(concat(id, ' words of it '), 60) text", "concat('l', id % 8) lang")
+    langid.fit(docs, documents=40, languages=2)
+    assert seen[0][1] == 8 and seen[0][0] <= 40 * 2 * langid.STRETCHES
