@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitplane, bitslice, exact_dedup, langid, packing, pieces, simhash, suffix_dedup, url_filter, warc
+from . import bitplane, bitslice, collocations, exact_dedup, langid, packing, pieces, simhash, suffix_dedup, url_filter, warc
 from .common import table
 
 
@@ -51,6 +51,10 @@ def op10_token_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bitplane.stored_ids(table(spark, folder, "documents"))
 
 
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
 
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_url_filter,
         op9_exact_dedup,
         op10_token_ids,
+        op13_collocations,
         pipeline,
     )
 }
