@@ -26,7 +26,9 @@ from .common import shuffle_width, slices, stored
 
 LEAST, SHARE, BEST, SCALE = 10, 50, 2000, 1_000_000
 #: Bytes of text that a task counts at once.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
+#: Hashes of pairs that a task adds up at once.
+HELD = 1 << 21
 #: Bits of a filter of frequent words or pairs, 8 MB whatever the corpus: it only saves counting
 #: phrases that cannot be frequent, for all it lets through are counted exactly.
 FILTER_BITS = 1 << 26
@@ -109,71 +111,123 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], byte
         yield out()
 
 
-def _counted(batches: Iterator[pa.RecordBatch], size: int, filters) -> Iterator[pa.RecordBatch]:
-    """lang, phrase, n of the phrases of ``size`` words in each chunk whose parts pass the filter."""
-    bits = None if filters is None else np.frombuffer(filters.value, np.uint8)
-    for langs, data, firsts, owners in _chunks(batches):
-        words, starts, joined = words_of(data)
-        if not len(words):
-            continue
+class Chunk:
+    """The words of some documents as numbers: ``ids`` in ``known``, in the order of the texts;
+    ``own`` the distinct (language, word) as language * count + word, ``place`` their index for each
+    word; ``joined`` where the next word follows in the same piece."""
+
+    def __init__(self, langs: list[str], data: bytes, firsts: np.ndarray, owners: np.ndarray) -> None:
+        words, starts, self.joined = words_of(data)
         code = words.dictionary_encode()
-        known, ids = code.dictionary.cast(pa.string()), code.indices.to_numpy().astype(np.int64)
+        self.langs, self.known = langs, code.dictionary.cast(pa.string())
+        self.ids, self.count = code.indices.to_numpy(zero_copy_only=False).astype(np.int64), max(1, len(code.dictionary))
         lang = owners[np.searchsorted(firsts, starts, "right") - 1]
-        count = len(known)
-        single = lang * count + ids  # a word in a language
-        if size > 1:
-            own, place = np.unique(single, return_inverse=True)
-            marks = _mixed(_hashes(langs)[own // count], _hashes(known.to_pylist())[own % count])
-        if size == 1:
-            keys, n = np.unique(single, return_counts=True)
-            parts = [keys % count]
-        elif size == 2:
-            fine = _passes(bits, marks)[place]
-            at = np.flatnonzero(joined[:-1] & fine[:-1] & fine[1:])
-            keys, n = np.unique(single[at] * count + ids[at + 1], return_counts=True)
-            parts = [keys // count % count, keys % count]
-            keys = keys // count
-        else:
-            at = np.flatnonzero(joined[:-1])
-            pairs, pair = np.unique(single[at] * count + ids[at + 1], return_inverse=True)
-            left, right = np.searchsorted(own, pairs // count), np.searchsorted(own, pairs // count // count * count + pairs % count)
-            fine = np.zeros(len(ids), bool)
-            fine[at] = _passes(bits, _mixed(marks[left], marks[right]))[pair]
-            number = np.zeros(len(ids), np.int64)
-            number[at] = pair
-            at = np.flatnonzero(fine[:-1] & fine[1:])
-            keys, n = np.unique(number[at] * count + ids[at + 2], return_counts=True)
-            first = pairs[keys // count]
-            parts = [first // count % count, first % count, keys % count]
-            keys = first // count
+        self.own, self.place, self.n = np.unique(lang * self.count + self.ids, return_inverse=True, return_counts=True)
+
+    def marks(self) -> np.ndarray:
+        """A hash of language and word for each word."""
+        words = _hashes(self.known.to_pylist())
+        return _mixed(_hashes(self.langs)[self.own // self.count], words[self.own % self.count])[self.place] if len(self.own) else np.empty(0, np.uint64)
+
+    def rows(self, lang: np.ndarray, parts: list[np.ndarray], n: np.ndarray) -> pa.RecordBatch:
+        words = [self.known.take(pa.array(p)) for p in parts]
+        phrase = pc.binary_join_element_wise(*words, " ") if len(words) > 1 else words[0]
+        return pa.RecordBatch.from_arrays([pa.array(self.langs).take(pa.array(lang)), phrase, pa.array(n, pa.int64())], ["lang", "phrase", "n"])
+
+
+def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
+    for chunk in _chunks(batches):
+        found = Chunk(*chunk)
+        if len(found.own):
+            yield found
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for c in _chunked(batches):
+        yield c.rows(c.own // c.count, [c.own % c.count], c.n)
+
+
+def _added(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Equal hashes together, with the sum of their counts."""
+    found, n = np.concatenate(hashes), np.concatenate(counts)
+    order = np.argsort(found)
+    found, n = found[order], n[order]
+    first = np.flatnonzero(np.diff(found, prepend=found[:1] + np.uint64(1)))
+    return found[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def _pair_hashes(batches: Iterator[pa.RecordBatch], filters) -> Iterator[pa.RecordBatch]:
+    """hash, n of the pairs of words that pass the filter, added up over HELD different ones."""
+    bits = np.frombuffer(filters.value, np.uint8)
+    hashes: list[np.ndarray] = []
+    counts: list[np.ndarray] = []
+    held = 0
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for i in range(0, held, 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[0][i : i + 50_000].view(np.int64)), pa.array(counts[0][i : i + 50_000])], ["hash", "n"])
+
+    for c in _chunked(batches):
+        marks = c.marks()
+        fine = _passes(bits, marks)
+        at = np.flatnonzero(c.joined[:-1] & fine[:-1] & fine[1:])
+        found, n = np.unique(_mixed(marks[at], marks[at + 1]), return_counts=True)
+        hashes, counts, held = [*hashes, found], [*counts, n.astype(np.int64)], held + len(found)
+        if held > HELD:
+            found, n = _added(hashes, counts)
+            hashes, counts, held = [found], [n], len(found)
+            if held > HELD // 2:
+                yield from out()
+                hashes, counts, held = [], [], 0
+    if held:
+        found, n = _added(hashes, counts)
+        hashes, counts, held = [found], [n], len(found)
+        yield from out()
+
+
+def _phrases(batches: Iterator[pa.RecordBatch], filters) -> Iterator[pa.RecordBatch]:
+    """lang, phrase, n of pairs that pass the filter, and of phrases of two such pairs."""
+    bits = np.frombuffer(filters.value, np.uint8)
+    for c in _chunked(batches):
+        marks = c.marks()
+        fine = np.append(c.joined[:-1] & _passes(bits, _mixed(marks[:-1], marks[1:])), False)
+        at = np.flatnonzero(fine)
+        pairs, pair, n = np.unique(c.own[c.place[at]] * c.count + c.ids[at + 1], return_inverse=True, return_counts=True)
+        lang, first, second = pairs // c.count // c.count, pairs // c.count % c.count, pairs % c.count
+        if len(pairs):
+            yield c.rows(lang, [first, second], n)
+        number = np.zeros(len(fine), np.int64)
+        number[at] = pair
+        at = at[fine[at + 1]]
+        keys, n = np.unique(number[at] * c.count + c.ids[at + 2], return_counts=True)
+        of = keys // c.count
         if len(keys):
-            phrase = pc.binary_join_element_wise(*(known.take(pa.array(p)) for p in parts), " ") if size > 1 else known.take(pa.array(parts[0]))
-            names = pa.array(langs).take(pa.array(keys // count))
-            yield pa.RecordBatch.from_arrays([names, phrase, pa.array(n, pa.int64())], ["lang", "phrase", "n"])
+            yield c.rows(lang[of], [first[of], second[of], keys % c.count], n)
 
 
-def _counts(docs: DataFrame, size: int, filters=None) -> DataFrame:
+def _summed(docs: DataFrame, count, kind: str, keys: list[str]) -> DataFrame:
     texts = docs.select(F.col("lang").cast("string"), F.col("text").cast("string"))
-    rows = texts.mapInArrow(partial(_counted, size=size, filters=filters), "lang string, phrase string, n long")
-    return rows.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    rows = texts.mapInArrow(count, kind)
+    return rows.repartition(*keys).groupBy(*keys).agg(F.sum("n").alias("n"))  # rows are added up as far as a task can
 
 
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bits = np.zeros(FILTER_BITS // 64, np.int64)
     for batch in batches:
-        langs = _hashes(batch.column("lang").to_pylist())
-        parts = [p.split(" ") for p in batch.column("phrase").to_pylist()]
-        if parts:
-            marks = [_mixed(langs, _hashes(list(p))) for p in zip(*parts)]
-            at = _slots(marks[0] if len(marks) == 1 else _mixed(marks[0], marks[1]))
-            np.bitwise_or.at(bits, at >> 6, np.left_shift(np.int64(1), at & 63))
+        if "hash" in batch.schema.names:
+            marks = batch.column("hash").to_numpy().view(np.uint64)
+        else:
+            marks = _mixed(_hashes(batch.column("lang").to_pylist()), _hashes(batch.column("phrase").to_pylist()))
+        at = _slots(marks)
+        np.bitwise_or.at(bits, at >> 6, np.left_shift(np.int64(1), at & 63))
     used = np.flatnonzero(bits)
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(bits[used])], ["slot", "bits"])
 
 
 def _filter(frequent: DataFrame):
-    """FILTER_BITS bits in which all rows of ``frequent(lang, phrase)`` are marked, broadcast."""
-    rows = frequent.select("lang", "phrase").mapInArrow(_marked, "slot long, bits long")
+    """FILTER_BITS bits in which all rows of ``frequent`` (hash; or lang and phrase, a word) are
+    marked, broadcast."""
+    rows = frequent.drop("n").mapInArrow(_marked, "slot long, bits long")
     found = rows.groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
     bits = np.zeros(FILTER_BITS // 64, "<i8")
     bits[found["slot"].to_numpy()] = found["bits"].to_numpy()
@@ -363,16 +417,17 @@ def collocations(docs: DataFrame, least: int = LEAST, share: int = SHARE, best:
     Null texts are empty; a null lang is ``und``, together with real ``und``. Repeated rows count as
     often as they stand there; other columns are not read. An empty table gives an empty result.
 
-    Words are counted first, then pairs of frequent words, then phrases of frequent pairs: what
-    falls below ``least`` cannot be part of a candidate, so no count that matters is left out.
+    Words are counted first, then pairs of frequent words by their hash, then the phrases of pairs
+    whose hash is frequent: what falls below ``least`` cannot be part of a candidate, so no count
+    that matters is left out, and those that two pairs of one hash let in fail the exact count.
     """
-    words = stored(_counts(docs, 1), "words")
+    words = stored(_summed(docs, _words, "lang string, phrase string, n long", ["lang", "phrase"]), "words")
     totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
     enough = F.col("n") >= least
     words = words.filter(enough)
-    pairs = stored(_counts(docs, 2, _filter(words)).filter(enough), "pairs")
-    triples = stored(_counts(docs, 3, _filter(pairs)).filter(enough), "triples")
-    counts = words.unionByName(pairs).unionByName(triples)
+    pairs = _summed(docs, partial(_pair_hashes, filters=_filter(words)), "hash long, n long", ["hash"]).filter(enough)
+    longer = _summed(docs, partial(_phrases, filters=_filter(pairs)), "lang string, phrase string, n long", ["lang", "phrase"]).filter(enough)
+    counts = words.unionByName(stored(longer, "phrases"))
     counts = counts.select("lang", F.split("phrase", " ").alias("words"), F.col("n").alias("a"))
     prefix = _in_order(counts)
     suffix = _in_order(prefix.mapInArrow(partial(_prefixed, carry=_carries(prefix)), PREFIXED))

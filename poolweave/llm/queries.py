@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitplane, bitslice, collocations, exact_dedup, langid, packing, pieces, prefix_trie, simhash, suffix_dedup, url_filter, warc
+from . import bitplane, bitslice, collocations, exact_dedup, langid, main_text, packing, pieces, prefix_trie, simhash, suffix_dedup, url_filter, warc
 from .common import table
 
 
@@ -51,6 +51,10 @@ def op10_token_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bitplane.stored_ids(table(spark, folder, "documents"))
 
 
+def op11_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return main_text.main_texts(table(spark, folder, "pages"))
+
+
 def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie.prefix_nodes(table(spark, folder, "conversations"))
 
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_url_filter,
         op9_exact_dedup,
         op10_token_ids,
+        op11_main_text,
         op12_prefix_trie,
         op13_collocations,
         pipeline,
