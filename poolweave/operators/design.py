@@ -436,10 +436,15 @@ def lattice_scores(values: DataFrame, modalities: int, eta: float) -> DataFrame:
 
 @dataclass
 class DesignAcquired:
+    """Picks; initial scores of all candidates, those outside the work set marked and one below the
+    least; the overlap of the two screens; whether the work set is the whole pool."""
+
     selection: DataFrame
     scores: DataFrame
     certificate: DataFrame
     damping: float
+    exact: bool
+    worked_out: list[int]
 
 
 def acquire(
@@ -452,8 +457,8 @@ def acquire(
     modalities: int,
     budget: int,
     seed: int,
-    workset: int = 5000,
-    synergy_workset: int = 2500,
+    workset: int | None = None,
+    synergy_workset: int | None = None,
     partners: int = 4,
     eta: float = 0.25,
     damping: float = 0.01,
@@ -462,51 +467,44 @@ def acquire(
     lambda_alpha: float | None = None,
     fold_every: int = 16,
 ) -> DesignAcquired:
-    """Design-and-synergy selection in greedy order with rank-one deflation."""
+    """Design-and-synergy selection in greedy order with rank-one deflation.
+
+    The whole pool competes unless both work-set sizes are given; then it is screened by the upper
+    bound of the gain and by dissimilar modalities, and ``exact`` tells. Only coalitions of no, one
+    and all modalities are drawn: all interactions add up to the value of the full one.
+    """
+    from . import greedy
+
     if not 0.0 <= eta <= 1.0:
         raise ValueError("eta must lie in [0, 1]")
+    partners = max(1, partners)
     extra = closure_samples(labeled, modalities, closure, seed, fuser, lambda_alpha) if closure > 0 else None
     design = build(labeled, reference, labels, width, damping, extra)
     pool = candidates.select("id", "features", "p", "tokens")
     scored = pairwise_similarity(pool, modalities).join(upper_bound(pool, design), "id")
     scored = cut_lineage(scored.select("id", "bound", (F.lit(1.0) - F.col("similarity")).alias("proxy")))
-    union = cut_lineage(rank_union(scored, "bound", "proxy", max(budget, workset), synergy_workset))
-    work = cut_lineage(pool.join(union.select("id"), "id", "left_semi"))
-    size = work.count()
-    # Ids drawn for the screened work set; a few million longs are safe to broadcast.
-    small = size * (1 << modalities) * partners * modalities <= 4_000_000
-    cells = counterfactual_tokens(work, pool, modalities, partners, seed, None, lambda_alpha, bounded_work=small)
-    keys = ["id", "coalition", "partner_no"]
-    fused = cut_lineage(selection.with_fused(cells, fuser).select(*keys, "features", "p"))
-    covered = cut_lineage(coverage(fused, keys, design))
-    state = Deflation.start(design)
-    wanted = min(budget, size)
-    limit = min(wanted, max(0, wanted if deflation_steps is None else deflation_steps))
-
-    def score() -> DataFrame:
-        cell_gains = gains(covered, keys, state.direction, state.steps)
-        return lattice_scores(lattice_values(cell_gains, modalities), modalities, eta)
-
-    current = cut_lineage(score())
-    first = current
-    picked: list[tuple[int, float]] = []
-    for step in range(wanted):
-        taken = [i for i, _ in picked]
-        free = current.filter(~F.col("id").isin(taken)) if taken else current
-        last = step + 1 >= limit or step + 1 >= wanted
-        # The single winner of a step, or the whole tail once deflation ends.
-        best = take_top(free.select("id", "score"), "score", "id", wanted - step if last else 1)
-        picked += [(r["id"], r["score"]) for r in best.orderBy("rank").collect()]
-        if last:
-            break
-        row = work.filter(F.col("id") == picked[-1][0]).select("features", "p").first()
-        state.add(row["features"], row["p"])
-        if len(state.steps) >= fold_every:
-            covered = fold_coverage(covered, state.steps)
-            state.fold()
-        current = score()
-    spark = candidates.sparkSession
-    chosen = spark.createDataFrame(
-        [(i + 1, int(k), float(s)) for i, (k, s) in enumerate(picked)], "rank long, id long, score double"
-    )
-    return DesignAcquired(chosen, first, union_certificate(union), design.damping)
+    if workset is None or synergy_workset is None:
+        union = scored.select("id", F.lit(True).alias("design_branch"), F.lit(True).alias("synergy_branch"))
+        work = pool
+    else:
+        union = cut_lineage(rank_union(scored, "bound", "proxy", max(budget, workset), synergy_workset))
+        work = cut_lineage(pool.join(union.select("id"), "id", "left_semi"))
+    sizes = with_scalars(union.agg(F.count("*").alias("work")), scored.agg(F.count("*").alias("all"))).first()
+    full = (1 << modalities) - 1
+    masks = [0, *[1 << m for m in range(modalities)], full]
+    cells = counterfactual_tokens(work, pool, modalities, partners, seed, masks, lambda_alpha)
+    cells = cells.filter((F.col("coalition") != full) | (F.col("partner_no") == 0))  # all of them are the item itself
+    fused = selection.with_fused(cells, fuser)
+    place = F.array_position(F.array(*[F.lit(m) for m in masks]), F.col("coalition")).cast("int") - 1
+    fused = fused.select("id", (place * partners + F.col("partner_no")).alias("cell"), "features", "p")
+    kinds = [greedy.EMPTY] * partners + [greedy.SINGLE] * (partners * modalities) + [greedy.FULL]
+    layout = greedy.Layout(tuple(kinds), modalities, eta)
+    state = greedy.state_table(work, fused, design, layout)
+    first = cut_lineage(greedy.scores(state, layout, width, greedy.Pending(labels)))
+    wanted = min(budget, sizes["work"])
+    picked = greedy.pick(state, design, layout, wanted, deflation_steps, fold_every)
+    floors = [F.coalesce(c, F.col(f"_{c}") - F.lit(1.0)).alias(c) for c in ("additive", "synergy", "total_gain", "score")]
+    least = first.agg(*[F.min("score").alias(f"_{c}") for c in ("additive", "synergy", "total_gain", "score")])
+    marked = scored.select("id").join(first.withColumn("scored", F.lit(True)), "id", "left")
+    marked = with_scalars(marked, least).select("id", F.coalesce("scored", F.lit(False)).alias("scored"), *floors)
+    return DesignAcquired(picked.selection, marked, union_certificate(union), design.damping, sizes["work"] == sizes["all"], picked.exact)

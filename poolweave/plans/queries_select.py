@@ -794,7 +794,7 @@ def _(t):
 def _(t):
     c = methods.Context(
         t.role("candidate"), t.role("labeled"), 12, seed=B.SEED, reference=t.role("reference"), fuser=FUSER, labels=B.LABELS, modalities=2,
-        feature_width=_WIDTH, options={"workset": 60, "synergy_workset": 30, "partners": 2, "deflation_steps": 4, "closure": 20},
+        feature_width=_WIDTH, options={"partners": 2, "closure": 20},
     )
     return methods.acquire("design_synergy", c)
 
