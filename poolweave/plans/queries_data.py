@@ -587,7 +587,8 @@ def _(t):
 
 
 @query("normalised_frames", "I10", f"""
-    with s as (select variable, avg(num) as m, greatest(stddev_samp(num), 1e-7) as sd from frame where partition = 'train' and num is not null group by variable)
+    with s as (select f.variable, avg(num - normal) + any_value(normal) as m, greatest(stddev_samp(num - normal), 1e-7) as sd
+               from frame f join channel_list c on f.variable = c.variable where partition = 'train' and num is not null group by f.variable)
     select stay_id, f.variable, step, {R('(num - m) / sd')} as z from frame f join s on f.variable = s.variable""")
 def _(t):
     binned = frames.bin_values(t.stay_events, t.ev_stays)
