@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import add_columns, sigmoid, stack, vector_sum
 from ..session import cut_lineage
 from . import disagreement
-from .splits import serpentine_folds
+from .splits import balanced_folds
 
 
 def positive_weights(labeled: DataFrame, maximum: float = 20.0) -> DataFrame:
@@ -30,7 +30,7 @@ def with_folds(labeled: DataFrame, folds: int, key: str = "group_id") -> tuple[D
     if groups < 2:
         return labeled.withColumn("fold", F.lit(-1)), 0
     count = min(max(2, folds), groups)
-    fold = serpentine_folds(sizes, key, "_size", count).select(key, "fold")
+    fold = balanced_folds(sizes, key, "_size", count).select(key, "fold")
     return labeled.join(fold, key), count
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import with_scalars
+from ..session import cut_lineage
 from .ranking_metrics import recall_rows
 
 
@@ -76,9 +77,74 @@ def bootstrap_draws(pairs: DataFrame, draws: int, seed: int) -> DataFrame:
     return parts.groupBy("draw").agg((F.sum("top") / F.sum("bottom")).alias("mean_diff"))
 
 
-def paired_interval(pairs: DataFrame, draws: int, seed: int) -> DataFrame:
-    """One row: mean of the draws and the percentile 95 % interval."""
-    return bootstrap_draws(pairs, draws, seed).agg(
+#: Rows of a bucket of the exact bootstrap, about; draws of a bucket that are made at once.
+BUCKET, AT_ONCE = 50_000, 16
+
+
+def _taken(bounds: np.ndarray, bucket: int, draws: int, items: int, seed: int) -> np.ndarray:
+    """How many of each draw's ``items`` fall into a bucket, given the running counts of buckets.
+
+    The way down a tree over the buckets: at each node a binomial splits what it has between its
+    halves. A node's numbers depend on (seed, node) alone, so all buckets below it agree on them.
+    """
+    low, high = 0, len(bounds) - 1
+    left = np.full(draws, items, np.int64)
+    while high - low > 1:
+        middle = (low + high) // 2
+        size = bounds[high] - bounds[low]
+        share = (bounds[middle] - bounds[low]) / size if size else 0.0
+        first = np.random.default_rng([seed, low, high]).binomial(left, share)
+        if bucket < middle:
+            left, high = first, middle
+        else:
+            left, low = left - first, middle
+    return left
+
+
+def multinomial_draws(pairs: DataFrame, draws: int, seed: int, bucket: int = BUCKET) -> DataFrame:
+    """(draw, items, mean difference): every draw takes exactly as many rows as there are, each
+    equally likely and with replacement.
+
+    Rows are hashed by id into buckets of a bounded size. A tree of binomials says how many items of
+    a draw come from a bucket, and inside it they are drawn one by one; so draws are multinomial as
+    a whole, though no task sees more than a bucket. The driver sees the buckets' sizes.
+    """
+    rows = pairs.count()
+    count = max(1, -(-rows // bucket))
+    spread = cut_lineage(pairs.select("id", "diff", F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(count)).cast("int").alias("bucket")))
+    sizes = np.zeros(count + 1, np.int64)
+    for r in spread.groupBy("bucket").agg(F.count("*").alias("n")).collect():
+        sizes[r["bucket"] + 1] = r["n"]
+    bounds = np.cumsum(sizes)
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        values = pdf.sort_values("id")["diff"].to_numpy()
+        own = int(pdf["bucket"].iloc[0])
+        wanted = _taken(bounds, own, draws, rows, seed)
+        rng = np.random.default_rng([seed, own])
+        sums = np.zeros(draws)
+        for first in range(0, draws, AT_ONCE):
+            n = wanted[first : first + AT_ONCE]
+            drawn = values[rng.integers(0, len(values), int(n.sum()))]
+            ends = np.cumsum(n)
+            total = np.append(0.0, np.cumsum(drawn))
+            sums[first : first + AT_ONCE] = total[ends] - total[ends - n]
+        return pd.DataFrame({"draw": np.arange(draws), "total": sums, "items": wanted})
+
+    parts = spread.groupBy("bucket").applyInPandas(kernel, "draw int, total double, items long")
+    return parts.groupBy("draw").agg(F.sum("items").alias("items"), (F.sum("total") / F.sum("items")).alias("mean_diff"))
+
+
+def paired_interval(pairs: DataFrame, draws: int, seed: int, weights: str = "multinomial") -> DataFrame:
+    """One row: mean of the draws and the percentile 95 % interval.
+
+    ``weights`` is ``multinomial`` (exact draws of as many rows as there are) or ``poisson``
+    (independent Poisson(1) counts, one pass without a shuffle of rows).
+    """
+    if weights not in ("multinomial", "poisson"):
+        raise ValueError(f"unknown weights {weights!r}")
+    make = multinomial_draws if weights == "multinomial" else bootstrap_draws
+    return make(pairs, draws, seed).agg(
         F.avg("mean_diff").alias("mean"),
         F.percentile("mean_diff", F.lit(0.025)).alias("low"),
         F.percentile("mean_diff", F.lit(0.975)).alias("high"),

@@ -219,6 +219,8 @@ def with_clause(text: str, texts: dict[str, str]) -> str:
         return text
     ctes = ",\n".join(f"{n} as ({texts[n]})" for n in names)
     body = text.strip()
+    if body.lower().startswith("with recursive "):
+        return f"with recursive {ctes},\n{body[15:]}"
     if body.lower().startswith("with "):
         return f"with {ctes},\n{body[5:]}"
     return f"with {ctes}\n{body}"

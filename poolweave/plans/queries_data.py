@@ -936,6 +936,50 @@ def _(t):
     return t.groups
 
 
+def _iterative_sql(rounds: int) -> str:
+    """Rounds over the rarest label left, as common table expressions; the last is for no label."""
+    by = f"floor({U(17, 'set', 'sets')} * 1048576.0::double) + {U(17, 'split', 'group_id')}"
+    steps = [f"""g0 as (select gt.group_id, coalesce(l.labels, []) as labels from gt left join (select group_id, list_sort(list(label)) as labels from gp group by 1) l on gt.group_id = l.group_id),
+    l0 as (select group_id, labels, {by} as b from (select *, array_to_string(labels, '|') as sets from g0) x),
+    d0 as (select group_id, labels, '' as partition from l0 where false)"""]
+    for r in range(1, rounds + 1):
+        last = r == rounds
+        pick = "select null::varchar as label" if last else f"select label from (select label, count(*) as n from (select unnest(labels) as label from l{r - 1}) u group by 1) v order by n, label limit 1"
+        has = "true" if last else f"list_contains(labels, (select label from p{r}))"
+        steps.append(f"""p{r} as ({pick}),
+    m{r} as (select *, row_number() over (order by b, group_id) as place from l{r - 1} where {has}),
+    w{r} as (select i, name, greatest(0, share * (select count(*) from l0 where {has}) - (select count(*) from d{r - 1} where partition = name and {has})) as w, (select count(*) from m{r}) as c
+            from (values (0, 'train', 0.6::double), (1, 'val', 0.2::double), (2, 'test', 0.2::double)) v(i, name, share)),
+    e{r} as (select i, name, c, c * w / (select sum(w) from w{r}) as e from w{r}),
+    q{r} as (select i, name, floor(e)::bigint + case when row_number() over (order by floor(e) - e, i) <= c - sum(floor(e)) over () then 1 else 0 end as q from e{r}),
+    b{r} as (select name, sum(q) over (order by i) as stop, sum(q) over (order by i) - q as start from q{r}),
+    t{r} as (select group_id, labels, row_number() over (order by place * 0.6180339887498949::double - floor(place * 0.6180339887498949::double), group_id) as turn from m{r}),
+    d{r} as (select * from d{r - 1} union all select group_id, labels, name as partition from t{r} join b{r} on turn > start and turn <= stop),
+    l{r} as (select * from l{r - 1} where not ({has}))""")
+    return ",\n    ".join(steps)
+
+
+_ITERATIVE = f"{_GSPLIT}, {_iterative_sql(5)}"
+
+
+def _iterative(t):
+    return splits.iterative_split(t.img.select("group_id").distinct(), t.group_positives, B.SEED)
+
+
+@query("iterative_split", "I18", f"with {_ITERATIVE} select group_id, partition from d5")
+def _(t):
+    return _iterative(t)
+
+
+@query("iterative_split_deviation", "I18", f"""
+    with {_ITERATIVE}, c as (select gp.label, d5.partition, count(*) as n from gp join d5 on gp.group_id = d5.group_id group by 1, 2)
+    select a.label, a.name as partition, {R('abs(coalesce(n, 0) / total::double - share)')} as deviation
+    from (select label, name, share, (select count(*) from gp where gp.label = l.label) as total from (select distinct label from gp) l cross join (values ('train', 0.6::double), ('val', 0.2::double), ('test', 0.2::double)) v(name, share)) a
+    left join c on c.label = a.label and c.partition = a.name""")
+def _(t):
+    return splits.share_deviation(_iterative(t), t.group_positives)
+
+
 @query("split_manifest", "I19 C14", f"with {_GSPLIT} select i.item_id, i.group_id, gs.partition from img i join gs on i.group_id = gs.group_id")
 def _(t):
     return splits.split_manifest(t.img, t.groups, "item_id")

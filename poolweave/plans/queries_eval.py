@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scalars import with_scalars
+
 from ..operators import audit, ranking_metrics as rm, resolution as rs, scenario, threshold_metrics as tm
 from . import bindings as B
 from .oracle_views import R
@@ -200,7 +202,17 @@ def _(t):
 
 @query("paired_interval", "M9", f"with {_BOOT} select {R('avg(mean_diff)')} as mean, {R('quantile_cont(mean_diff, 0.025)')} as low, {R('quantile_cont(mean_diff, 0.975)')} as high from dr")
 def _(t):
-    return rs.paired_interval(_pairs(t), DRAWS, B.SEED)
+    return rs.paired_interval(_pairs(t), DRAWS, B.SEED, "poisson")
+
+
+@query("multinomial_draw_sizes", "M9", f"""
+    select cast(d as int) as draw, (select count(*) from {_PAIRS} x) as items, true as inside from (select unnest(range(0, {DRAWS})) as d) g""")
+def _(t):
+    pairs = _pairs(t)
+    draws = rs.multinomial_draws(pairs, DRAWS, B.SEED, 16)
+    ends = pairs.agg(F.min("diff").alias("least"), F.max("diff").alias("most"))
+    inside = F.col("mean_diff").between(F.col("least") - 1e-9, F.col("most") + 1e-9)
+    return with_scalars(draws, ends).select("draw", "items", inside.alias("inside"))
 
 
 @query("resolution_verdict", "M11", f"""
@@ -209,7 +221,7 @@ def _(t):
            case when low <= 0 then 'unresolved' when a / ((high - low) / 2) < 3 then 'marginal' else 'resolvable' end as verdict from i cross join g""")
 def _(t):
     pairs = _pairs(t)
-    return rs.verdict(rs.paired_interval(pairs, DRAWS, B.SEED), pairs.agg(F.avg("diff").alias("achievable")))
+    return rs.verdict(rs.paired_interval(pairs, DRAWS, B.SEED, "poisson"), pairs.agg(F.avg("diff").alias("achievable")))
 
 
 @query("normalised_gain", "M11", f"""
@@ -217,7 +229,7 @@ def _(t):
     select {R('m')} as gain, {R('low')} as low, {R('high')} as high, {R('m / a')} as normalised, low > 0 or high < 0 as beats_noise from i cross join g""")
 def _(t):
     pairs = _pairs(t)
-    return rs.normalised_gain(rs.paired_interval(pairs, DRAWS, B.SEED), pairs.agg(F.avg("diff").alias("achievable")))
+    return rs.normalised_gain(rs.paired_interval(pairs, DRAWS, B.SEED, "poisson"), pairs.agg(F.avg("diff").alias("achievable")))
 
 
 # One learning curve per market segment: orders per year play the labeled counts.

@@ -558,6 +558,20 @@ def _(t):
     return splits.serpentine_folds(sizes, "group_id", "size", 5).select("group_id", "size", "fold")
 
 
+@query("balanced_folds", "L19", """
+    with recursive s as (select group_id, count(*) as size from vec where role = 'labeled' group by 1),
+    r as (select *, row_number() over (order by size desc, group_id) as k from s),
+    g as (select 0::bigint as k, null::bigint as group_id, null::bigint as size, null::int as fold, 0::bigint as f0, 0::bigint as f1, 0::bigint as f2, 0::bigint as f3, 0::bigint as f4
+          union all
+          select k, group_id, size, fold, f0 + size * (fold = 0)::int, f1 + size * (fold = 1)::int, f2 + size * (fold = 2)::int, f3 + size * (fold = 3)::int, f4 + size * (fold = 4)::int
+          from (select r.k, r.group_id, r.size, cast(case when f0 = least(f0, f1, f2, f3, f4) then 0 when f1 = least(f1, f2, f3, f4) then 1 when f2 = least(f2, f3, f4) then 2
+                when f3 <= f4 then 3 else 4 end as int) as fold, f0, f1, f2, f3, f4 from g join r on r.k = g.k + 1) x)
+    select group_id, size, fold from g where k > 0""")
+def _(t):
+    sizes = t.role("labeled").groupBy("group_id").agg(F.count("*").alias("size"))
+    return splits.balanced_folds(sizes, "group_id", "size", 5)
+
+
 @query("positive_weights", "L20", f"select label, {R('greatest(least((count(*) - sum(y)) / greatest(sum(y), 1)::double, 20), 1)')} as pos_weight from pool_y where role = 'labeled' group by label")
 def _(t):
     return readouts.positive_weights(t.role("labeled"))
