@@ -22,14 +22,15 @@ from pyspark.sql import functions as F
 
 from poolweave.session import cut_lineage
 
-from .common import shuffle_width, slices, stored
+from .common import given_back, shuffle_width, slices, stored
 
 LEAST, SHARE, BEST, SCALE = 10, 50, 2000, 1_000_000
 #: Bytes of text that a task counts at once.
 CHUNK = 4 << 20
-#: Hashes of pairs that a task adds up at once.
-HELD = 1 << 21
-#: Bits of a filter of frequent words or pairs, 8 MB whatever the corpus: it only saves counting
+#: Different words, hashes of pairs, and phrases that a task adds up at once.
+HELD = 1 << 20
+HELD_PHRASES = 1 << 21
+#: Bits of the filter of frequent pairs, 8 MB whatever the corpus: it only saves counting
 #: phrases that cannot be frequent, for all it lets through are counted exactly.
 FILTER_BITS = 1 << 26
 SALTS = 64
@@ -142,9 +143,27 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
             yield found
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for c in _chunked(batches):
-        yield c.rows(c.own // c.count, [c.own % c.count], c.n)
+class _Groups:
+    """Rows lang, phrase, n with equal ones added up, over so many rows at least."""
+
+    def __init__(self, most: int) -> None:
+        self.held: list[pa.RecordBatch] = []
+        self.most = most
+
+    def add(self, batch: pa.RecordBatch) -> list[pa.RecordBatch]:
+        self.held.append(batch)
+        if sum(b.num_rows for b in self.held) > self.most:
+            self.held = self.rest()
+            if sum(b.num_rows for b in self.held) > self.most // 2:
+                out, self.held = self.held, []
+                return out
+        return []
+
+    def rest(self) -> list[pa.RecordBatch]:
+        if len(self.held) < 2:
+            return self.held
+        table = pa.Table.from_batches(self.held).group_by(["lang", "phrase"], use_threads=False).aggregate([("n", "sum")])
+        return table.select(["lang", "phrase", "n_sum"]).rename_columns(["lang", "phrase", "n"]).to_batches(max_chunksize=50_000)
 
 
 def _added(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -156,78 +175,82 @@ def _added(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
     return found[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def _pair_hashes(batches: Iterator[pa.RecordBatch], filters) -> Iterator[pa.RecordBatch]:
-    """hash, n of the pairs of words that pass the filter, added up over HELD different ones."""
-    bits = np.frombuffer(filters.value, np.uint8)
+def _words_and_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, phrase, n of the words, and hash, n of the pairs of words that follow each other, each
+    added up over HELD different ones."""
     hashes: list[np.ndarray] = []
     counts: list[np.ndarray] = []
     held = 0
 
-    def out() -> Iterator[pa.RecordBatch]:
+    def pairs() -> Iterator[pa.RecordBatch]:
         for i in range(0, held, 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[0][i : i + 50_000].view(np.int64)), pa.array(counts[0][i : i + 50_000])], ["hash", "n"])
+            found, n = pa.array(hashes[0][i : i + 50_000].view(np.int64)), pa.array(counts[0][i : i + 50_000])
+            none = pa.nulls(len(found), pa.string())
+            yield pa.RecordBatch.from_arrays([none, none, found, n], ["lang", "phrase", "hash", "n"])
+
+    def words(of: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in of:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.nulls(batch.num_rows, pa.int64()), batch.column("n")], ["lang", "phrase", "hash", "n"])
 
+    singles = _Groups(HELD)
     for c in _chunked(batches):
+        yield from words(singles.add(c.rows(c.own // c.count, [c.own % c.count], c.n)))
         marks = c.marks()
-        fine = _passes(bits, marks)
-        at = np.flatnonzero(c.joined[:-1] & fine[:-1] & fine[1:])
+        at = np.flatnonzero(c.joined[:-1])
         found, n = np.unique(_mixed(marks[at], marks[at + 1]), return_counts=True)
         hashes, counts, held = [*hashes, found], [*counts, n.astype(np.int64)], held + len(found)
         if held > HELD:
             found, n = _added(hashes, counts)
             hashes, counts, held = [found], [n], len(found)
             if held > HELD // 2:
-                yield from out()
+                yield from pairs()
                 hashes, counts, held = [], [], 0
+    yield from words(singles.rest())
     if held:
         found, n = _added(hashes, counts)
         hashes, counts, held = [found], [n], len(found)
-        yield from out()
+        yield from pairs()
 
 
-def _phrases(batches: Iterator[pa.RecordBatch], filters) -> Iterator[pa.RecordBatch]:
-    """lang, phrase, n of pairs that pass the filter, and of phrases of two such pairs."""
-    bits = np.frombuffer(filters.value, np.uint8)
+def _phrases(batches: Iterator[pa.RecordBatch], pairs) -> Iterator[pa.RecordBatch]:
+    """lang, phrase, n of the pairs that pass the filter, and of three words that are two of them."""
+    bits, groups = np.frombuffer(pairs.value, np.uint8), _Groups(HELD_PHRASES)
     for c in _chunked(batches):
         marks = c.marks()
         fine = np.append(c.joined[:-1] & _passes(bits, _mixed(marks[:-1], marks[1:])), False)
         at = np.flatnonzero(fine)
-        pairs, pair, n = np.unique(c.own[c.place[at]] * c.count + c.ids[at + 1], return_inverse=True, return_counts=True)
-        lang, first, second = pairs // c.count // c.count, pairs // c.count % c.count, pairs % c.count
-        if len(pairs):
-            yield c.rows(lang, [first, second], n)
+        keys, pair, n = np.unique(c.own[c.place[at]] * c.count + c.ids[at + 1], return_inverse=True, return_counts=True)
+        lang, first, second = keys // c.count // c.count, keys // c.count % c.count, keys % c.count
+        if len(keys):
+            yield from groups.add(c.rows(lang, [first, second], n))
         number = np.zeros(len(fine), np.int64)
         number[at] = pair
         at = at[fine[at + 1]]
         keys, n = np.unique(number[at] * c.count + c.ids[at + 2], return_counts=True)
         of = keys // c.count
         if len(keys):
-            yield c.rows(lang[of], [first[of], second[of], keys % c.count], n)
+            yield from groups.add(c.rows(lang[of], [first[of], second[of], keys % c.count], n))
+    yield from groups.rest()
 
 
 def _summed(docs: DataFrame, count, kind: str, keys: list[str]) -> DataFrame:
     texts = docs.select(F.col("lang").cast("string"), F.col("text").cast("string"))
-    rows = texts.mapInArrow(count, kind)
+    rows = texts.mapInArrow(given_back(count), kind)
     return rows.repartition(*keys).groupBy(*keys).agg(F.sum("n").alias("n"))  # rows are added up as far as a task can
 
 
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bits = np.zeros(FILTER_BITS // 64, np.int64)
     for batch in batches:
-        if "hash" in batch.schema.names:
-            marks = batch.column("hash").to_numpy().view(np.uint64)
-        else:
-            marks = _mixed(_hashes(batch.column("lang").to_pylist()), _hashes(batch.column("phrase").to_pylist()))
-        at = _slots(marks)
+        at = _slots(batch.column("hash").to_numpy().view(np.uint64))
         np.bitwise_or.at(bits, at >> 6, np.left_shift(np.int64(1), at & 63))
     used = np.flatnonzero(bits)
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(bits[used])], ["slot", "bits"])
 
 
 def _filter(frequent: DataFrame):
-    """FILTER_BITS bits in which all rows of ``frequent`` (hash; or lang and phrase, a word) are
-    marked, broadcast."""
-    rows = frequent.drop("n").mapInArrow(_marked, "slot long, bits long")
+    """FILTER_BITS bits in which all hashes of ``frequent(hash)`` are marked, broadcast."""
+    rows = frequent.select("hash").mapInArrow(_marked, "slot long, bits long")
     found = rows.groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
     bits = np.zeros(FILTER_BITS // 64, "<i8")
     bits[found["slot"].to_numpy()] = found["bits"].to_numpy()
@@ -417,16 +440,18 @@ def collocations(docs: DataFrame, least: int = LEAST, share: int = SHARE, best:
     Null texts are empty; a null lang is ``und``, together with real ``und``. Repeated rows count as
     often as they stand there; other columns are not read. An empty table gives an empty result.
 
-    Words are counted first, then pairs of frequent words by their hash, then the phrases of pairs
-    whose hash is frequent: what falls below ``least`` cannot be part of a candidate, so no count
-    that matters is left out, and those that two pairs of one hash let in fail the exact count.
+    Words are counted first, and pairs of words by a hash of 64 bits; then the pairs whose hash is
+    frequent, and three words that are two such pairs, as they are: what falls below ``least``
+    cannot be part of a candidate, so no count that matters is left out, and what two pairs of one
+    hash let in fails the exact count.
     """
-    words = stored(_summed(docs, _words, "lang string, phrase string, n long", ["lang", "phrase"]), "words")
-    totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
     enough = F.col("n") >= least
+    found = stored(_summed(docs, _words_and_pairs, "lang string, phrase string, hash long, n long", ["lang", "phrase", "hash"]).filter((F.col("hash").isNull()) | enough), "words")
+    words = found.filter("hash is null").drop("hash")
+    totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
     words = words.filter(enough)
-    pairs = _summed(docs, partial(_pair_hashes, filters=_filter(words)), "hash long, n long", ["hash"]).filter(enough)
-    longer = _summed(docs, partial(_phrases, filters=_filter(pairs)), "lang string, phrase string, n long", ["lang", "phrase"]).filter(enough)
+    pairs = _filter(found.filter("hash is not null"))
+    longer = _summed(docs, partial(_phrases, pairs=pairs), "lang string, phrase string, n long", ["lang", "phrase"]).filter(enough)
     counts = words.unionByName(stored(longer, "phrases"))
     counts = counts.select("lang", F.split("phrase", " ").alias("words"), F.col("n").alias("a"))
     prefix = _in_order(counts)
