@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from poolweave.session import scratch_path
 
-from .common import fields, shuffle_width, slices
+from .common import given_back, shuffle_width, slices
 from .tokens import default_path, word_tokenizer
 
 #: Ids of a block.
@@ -49,112 +49,104 @@ def ids_of(planes: list[bytes], count: int, bits: bool = False) -> np.ndarray:
     return out
 
 
-FIELDS = "part int, kind string, position long, count long, planes array<binary>"
+ROW = "part int, position long, counts array<long>, blocks array<struct<count: long, planes: array<binary>>>"
+BLOCKS = pa.list_(pa.struct([("count", pa.int64()), ("planes", pa.list_(pa.binary()))]))
+#: Bytes of text of a part. A row ends with the document that fills a block: small rows, since Spark
+#: holds each in one piece.
+PART = 64 << 20
 
 
 def _files(batches: Iterator[pa.RecordBatch], path: str, bits: bool) -> Iterator[pa.RecordBatch]:
-    """Sorted documents -> rows of the file of this partition: blocks of ids, and one entry for
-    each document with the position of its first id in the file."""
-    part, tokenizer, end = TaskContext.get().partitionId(), word_tokenizer(path), np.array([END_ID], "<u4")
-    held: list[np.ndarray] = []
-    size = written = 0
-
-    def rows(kind: str, docs: pa.Array, positions, counts, planes) -> pa.RecordBatch:
-        n = len(positions)
-        cols = [docs, pa.array([part] * n, pa.int32()), pa.array([kind] * n), pa.array(positions, pa.int64()), pa.array(counts, pa.int64())]
-        return pa.RecordBatch.from_arrays([*cols, pa.array(planes, pa.list_(pa.binary()))], ["doc_id", "part", "kind", "position", "count", "planes"])
-
+    """Sorted documents -> rows of the file of this partition."""
+    part, tokenizer = TaskContext.get().partitionId(), word_tokenizer(path)
+    names: list = []
+    ids: list[np.ndarray] = []
+    counts: list[np.ndarray] = []
+    written = held = 0
     kind = pa.int64()
 
-    def blocks(all_of_it: bool) -> Iterator[pa.RecordBatch]:
-        nonlocal held, size, written
-        if size < BLOCK and not (all_of_it and size):
-            return
-        ids = np.concatenate(held)
-        stop = size if all_of_it else size - size % BLOCK
-        for i in range(0, stop, BLOCK):
-            block = ids[i : min(i + BLOCK, stop)]
-            yield rows("block", pa.nulls(1, kind), [written + i], [len(block)], [planes_of(block, bits)])
-        held, size, written = [ids[stop:]], size - stop, written + stop
+    def row() -> pa.RecordBatch:
+        nonlocal names, ids, counts, written, held
+        all_ids = np.concatenate(ids)
+        blocks = [all_ids[i : i + BLOCK] for i in range(0, held, BLOCK)]
+        planes = [{"count": len(b), "planes": planes_of(b, bits)} for b in blocks]
+        columns = [pa.array([names], pa.list_(kind)), pa.array([part], pa.int32()), pa.array([written], pa.int64())]
+        columns += [pa.array([np.concatenate(counts).tolist()], pa.list_(pa.int64())), pa.array([planes], BLOCKS)]
+        names, ids, counts, written, held = [], [], [], written + held, 0
+        return pa.RecordBatch.from_arrays(columns, ["doc_ids", "part", "position", "counts", "blocks"])
 
     for whole in batches:
         kind = whole.schema.field("doc_id").type
         for batch in slices(whole, "text", 2 << 20):
-            found = [np.concatenate([x, end]) for x in tokenizer.encode(batch.column("text").to_pylist())]
-            counts = np.array([len(x) for x in found], np.int64)
-            starts = written + size + np.cumsum(counts) - counts
-            yield rows("document", batch.column("doc_id"), starts, counts, [None] * len(found))
-            held += found
-            size += int(counts.sum())
-            yield from blocks(False)
-    yield from blocks(True)
+            found, sizes = tokenizer.encode_flat(batch.column("text").to_pylist(), END_ID)
+            docs, ends = batch.column("doc_id").to_pylist(), np.cumsum(sizes)
+            first = 0
+            while first < len(docs):  # a row ends with the first document that fills it
+                done = int(ends[first - 1]) if first else 0
+                stop = min(len(docs), int(np.searchsorted(ends, done + BLOCK - held)) + 1)
+                names += docs[first:stop]
+                counts.append(sizes[first:stop])
+                ids.append(found[done : ends[stop - 1]])
+                held += int(ends[stop - 1]) - done
+                if held >= BLOCK:
+                    yield row()
+                first = stop
+    if names:
+        yield row()
 
 
 def write_ids(docs: DataFrame, target: str, path: str | None = None, bits: bool = False) -> None:
     """Write the token ids of ``docs(doc_id, text)`` below ``target`` in ascending doc_id order.
 
-    Range partitioning by doc_id numbers the parts in that order, and each part is a file of its
-    own: ``kind=block`` has the compressed planes of fixed-size blocks, ``kind=document`` the chunk
-    index: part, position and count of every document and block. Spark's writer commits the files,
-    so a lost executor leaves no half part. Null and empty texts are the end id alone; null ids
-    come first; rows that repeat an id follow each other.
+    Range partitioning by doc_id numbers the parts in that order; there are as many as the texts'
+    bytes ask for, and each is a file of its own. A row of a file has some whole documents: their
+    ids and counts, the position of their first token id in the part, and the token ids as
+    compressed planes of fixed-size blocks, the last one shorter. So any row can be read alone, and
+    the columns without the planes are the chunk index. Spark's writer commits the files, so a lost
+    executor leaves no half part. Null and empty texts are the end id alone; null ids come first;
+    rows that repeat an id follow each other.
     """
-    ordered = docs.select("doc_id", "text").repartitionByRange(shuffle_width(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
-    rows = ordered.mapInArrow(partial(_files, path=path or default_path(), bits=bits), fields(docs, "doc_id", FIELDS))
-    rows.write.partitionBy("kind").option("maxRecordsPerFile", 0).parquet(target)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(shuffle_width(docs.sparkSession), -(-size // PART))
+    ordered = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = ordered.mapInArrow(given_back(partial(_files, path=path or default_path(), bits=bits)), f"doc_ids array<{kind}>, {ROW}")
+    rows.write.option("maxRecordsPerFile", 0).parquet(target)
 
 
 def _read(batches: Iterator[pa.RecordBatch], bits: bool) -> Iterator[pa.RecordBatch]:
-    """Rows of parts, in order of position -> documents with their ids; holds the blocks that the
-    documents read so far still need."""
-    part, ids, first = None, np.empty(0, np.uint32), 0
-    waiting: list[tuple] = []
-    kind = pa.int64()
-
-    def ready(all_of_it: bool = False) -> Iterator[pa.RecordBatch]:
-        nonlocal waiting, ids, first
-        end, n = first + len(ids), 0
-        while n < len(waiting) and waiting[n][1] + waiting[n][2] <= end:
-            n += 1
-        if all_of_it and n < len(waiting):
-            raise ValueError(f"part {part} ends at id {end}, before a document's ids do")
-        if n:
-            now, waiting = waiting[:n], waiting[n:]
-            sums = [zlib.crc32(ids[p - first : p - first + c].tobytes()) for _, p, c in now]
-            cols = [pa.array(x, t) for x, t in zip(zip(*now), (kind, pa.int64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([part] * n, pa.int32()), pa.array(sums, pa.int64())], ["doc_id", "position", "n_tokens", "part", "ids_crc32"])
-            done = now[-1][1] + now[-1][2]
-            ids, first = ids[done - first :], done
-
+    """Rows of the files -> their documents."""
     for batch in batches:
-        kind = batch.schema.field("doc_id").type
-        for row in batch.to_pylist():
-            if row["part"] != part:
-                yield from ready(True)
-                part, ids, first, waiting = row["part"], np.empty(0, np.uint32), 0, []
-            if row["kind"] == "block":
-                yield from ready()
-                ids = np.concatenate([ids, ids_of(row["planes"], row["count"], bits)])
-            else:
-                waiting.append((row["doc_id"], row["position"], row["count"]))
-        yield from ready()
-    yield from ready(True)
+        kind = batch.schema.field("doc_ids").type.value_type
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1)
+            part, position, blocks = (row.column(c)[0].as_py() for c in ("part", "position", "blocks"))
+            counts = np.array(row.column("counts")[0].as_py(), np.int64)
+            ids = np.concatenate([ids_of(b["planes"], b["count"], bits) for b in blocks]) if blocks else np.empty(0, np.uint32)
+            ends = np.cumsum(counts)
+            if ends[-1] != len(ids):
+                raise ValueError(f"part {part} has {len(ids)} ids at {position}, its index {ends[-1]}")
+            data = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
+            starts = ends - counts
+            sums = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist())]
+            docs = row.column("doc_ids").flatten().cast(kind)
+            columns = [docs, pa.array([part] * len(docs), pa.int32()), *(pa.array(c, pa.int64()) for c in (starts + position, counts, sums))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "position", "n_tokens", "ids_crc32"])
 
 
 def read_ids(spark: SparkSession, source: str, bits: bool = False, id_type: str = "long") -> DataFrame:
     """Files of ``write_ids`` -> doc_id, start, n_tokens, ids_crc32: the ids are decoded from the
-    planes; start counts the ids of all documents before."""
-    rows = spark.read.schema(f"doc_id {id_type}, {FIELDS}").parquet(source)
-    parts = rows.filter("kind = 'document'").groupBy("part").agg(F.sum("count").alias("n"))
+    planes; start counts the ids of all documents before. Rows are read where they lie: there is no
+    shuffle, and only the number of ids of each file is collected, from the chunk index."""
+    rows = spark.read.schema(f"doc_ids array<{id_type}>, {ROW}").parquet(source)
+    sizes = rows.select("part", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("part").agg(F.sum("n").alias("n"))
     at, bases = 0, []
-    for r in parts.orderBy("part").collect():  # a row for each file
+    for r in sizes.orderBy("part").collect():  # a row for each file
         bases.append((r.part, at))
         at += r.n
     base = spark.createDataFrame(bases, "part int, base long")
-    schema = fields(rows, "doc_id", "position long, n_tokens long, part int, ids_crc32 long")
-    ordered = rows.repartition("part").sortWithinPartitions("part", "position", "kind")
-    found = ordered.mapInArrow(partial(_read, bits=bits), schema)
-    return found.join(base, "part").select("doc_id", (F.col("base") + F.col("position")).alias("start"), "n_tokens", "ids_crc32")
+    found = rows.mapInArrow(given_back(partial(_read, bits=bits)), f"doc_id {id_type}, part int, position long, n_tokens long, ids_crc32 long")
+    return found.join(F.broadcast(base), "part").select("doc_id", (F.col("base") + F.col("position")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def stored_ids(docs: DataFrame, path: str | None = None, bits: bool = False) -> DataFrame:

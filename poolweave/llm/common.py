@@ -47,6 +47,14 @@ def row_keys(docs: DataFrame, column: str = "_row", unique: bool | None = None)
     return stored(ordered.withColumn(column, F.monotonically_increasing_id()), "rows")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def fields(df: DataFrame, column: str, more: str) -> T.StructType:
     """The schema of one column of ``df`` and what the DDL text ``more`` adds to it."""
     return T.StructType([df.schema[column], *T.StructType.fromDDL(more).fields])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, row_keys, stored, unique_ids
+from .common import SPACES, free_name, row_keys, stored, unique_ids
 
 
 def normalised(text: Column) -> Column:
@@ -106,7 +106,8 @@ def exact_duplicates(docs: DataFrame, **hashes) -> DataFrame:
 
 def without_exact_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group; all columns stay as they are."""
-    keyed = row_keys(docs, "_pw_row")
-    plain = keyed.select(F.col("_pw_row").alias("doc_id"), "text")
-    dropped = exact_groups(plain).filter("not kept").select(F.col("doc_id").alias("_pw_row"))
-    return keyed.join(dropped, "_pw_row", "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
+    name = free_name(docs, "_row")
+    keyed = row_keys(docs, name)
+    plain = keyed.select(F.col(name).alias("doc_id"), "text")
+    dropped = exact_groups(plain).filter("not kept").select(F.col("doc_id").alias(name))
+    return keyed.join(dropped, name, "left_anti").select([F.col(f"`{c}`") for c in docs.columns])

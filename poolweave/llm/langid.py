@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import free_name, given_back, slices
 
 #: Bytes that the network reads at once; its state starts anew in each such stretch.
 SPAN = 64
@@ -261,11 +261,11 @@ def label_documents(texts: list[bytes], net: Network, block: int = 4096) -> np.n
     return total / sizes[:, None]
 
 
-def _predictions(batches: Iterator[pa.RecordBatch], net: Network) -> Iterator[pa.RecordBatch]:
+def _predictions(batches: Iterator[pa.RecordBatch], net: Network, letters: str, lang: str, score: str) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "text", 2 << 20):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
-            known = [i for i, ok in enumerate(batch.column("_letters").to_pylist()) if ok]
+            known = [i for i, ok in enumerate(batch.column(letters).to_pylist()) if ok]
             names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
             if known:
                 p = label_documents([texts[i] for i in known], net)
@@ -273,18 +273,19 @@ def _predictions(batches: Iterator[pa.RecordBatch], net: Network) -> Iterator[pa
                 scores[known] = np.clip(p[np.arange(len(known)), best], 0, 1)
                 for i, b in zip(known, best):
                     names[i] = net.languages[b]
-            keep = [n for n in batch.schema.names if n != "_letters"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(names), pa.array(scores)], [*keep, "_pw_lang", "_pw_score"])
+            keep = [n for n in batch.schema.names if n != letters]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(names), pa.array(scores)], [*keep, lang, score])
 
 
-def predicted(docs: DataFrame, net: Network | None) -> DataFrame:
-    """``docs`` with _pw_lang and _pw_score; only text is looked at. ``und`` and 0 where the text is
-    null or has no letter, and everywhere if there is no network."""
+def predicted(docs: DataFrame, net: Network | None, lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``docs`` with columns ``lang`` and ``score``, which it has not; only text is looked at. ``und``
+    and 0 where the text is null or has no letter, and everywhere if there is no network."""
     if net is None:
-        return docs.withColumns({"_pw_lang": F.lit(UNKNOWN), "_pw_score": F.lit(0.0)})
-    marked = docs.withColumn("_letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    schema = T.StructType(list(docs.schema.fields)).add("_pw_lang", "string").add("_pw_score", "double")
-    return marked.mapInArrow(partial(_predictions, net=net), schema)
+        return docs.withColumns({lang: F.lit(UNKNOWN), score: F.lit(0.0)})
+    letters = free_name(docs, "_letters")
+    marked = docs.withColumn(letters, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    schema = T.StructType(list(docs.schema.fields)).add(lang, "string").add(score, "double")
+    return marked.mapInArrow(given_back(partial(_predictions, net=net, letters=letters, lang=lang, score=score)), schema)
 
 
 def languages(docs: DataFrame, **options) -> DataFrame:
@@ -298,13 +299,14 @@ def languages(docs: DataFrame, **options) -> DataFrame:
     """
     found = predicted(docs.select("doc_id", "text"), fit(docs, **options))
     held = F.coalesce(_remainder() == 2, F.lit(False))
-    return found.select("doc_id", held.alias("held_out"), F.col("_pw_lang").alias("lang_pred"), F.col("_pw_score").alias("score"))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
 def with_known_language(docs: DataFrame, least: float = 0.3, **options) -> DataFrame:
     """``docs`` without the rows whose language stays unknown (null or no letter) or whose score is
     below ``least``; without a single labelled row nothing is rejected but those."""
     net = fit(docs, **options)
-    found = predicted(docs, net)
-    keep = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)) if net is None else (F.col("_pw_lang") != UNKNOWN) & (F.col("_pw_score") >= least)
+    lang, score = free_name(docs, "_lang"), free_name(docs, "_score")
+    found = predicted(docs, net, lang, score)
+    keep = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)) if net is None else (F.col(lang) != UNKNOWN) & (F.col(score) >= least)
     return found.filter(keep).select([F.col(f"`{c}`") for c in docs.columns])

@@ -12,13 +12,16 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import fields, slices
+from .common import fields, given_back, slices
 from .tokens import default_path, sentence_ends, word_tokenizer
 
 LENGTH = 2048
 #: What a cut costs, in tokens of padding: at a sentence end inside a document, and elsewhere.
 SENTENCE, FORCED = 2, 8
-#: Tokens among which cuts are chosen at once; the last sequence moves on to the next such stretch.
+#: Gaps between document and sentence ends in which cuts are forced, and how far these are apart.
+GAP, STEP = 16, 8
+#: Tokens among which cuts are chosen at once, so that they are the best ones of that stretch; its
+#: last sequence moves on to the next.
 STRETCH = 1 << 20
 END_ID = 1
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -51,20 +54,26 @@ def best_cuts(places: np.ndarray, penalties: np.ndarray, length: int) -> list[in
 
 
 def cut_places(ids: np.ndarray, ends: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where cuts may be, and their penalties: document ends, sentence ends, and every FORCED tokens
-    between those, which only pays where the next end leaves more room than that."""
+    """Where cuts may be, and their penalties: document ends, sentence ends, and in gaps of more than
+    GAP tokens between those every STEP tokens, which only pays where the next end leaves more room
+    than FORCED."""
     size = len(ids)
     free = np.zeros(size + 1, bool)
     free[np.flatnonzero(last[ids]) + 1] = True
-    fines = np.where(free, SENTENCE, FORCED)
     free[ends] = free[0] = free[size] = True
-    fines[ends] = fines[0] = fines[size] = 0
     places = np.flatnonzero(free)
-    step = min(FORCED, length)
-    count = (np.diff(places) - 1) // step
-    number = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + 1
-    places = np.sort(np.concatenate([places, np.repeat(places[:-1], count) + number * step]))
-    return places, fines[places]
+    fines = np.full(len(places), SENTENCE)
+    fines[np.isin(places, ends, assume_unique=False)] = fines[0] = fines[-1] = 0
+    gaps = np.diff(places)
+    step = min(STEP, length)
+    count = np.where(gaps > min(GAP, length), (gaps - 1) // step, 0)
+    if count.any():
+        number = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + 1
+        places = np.concatenate([places, np.repeat(places[:-1], count) + number * step])
+        fines = np.concatenate([fines, np.full(len(number), FORCED)])
+        order = np.argsort(places, kind="stable")
+        places, fines = places[order], fines[order]
+    return places, fines
 
 
 def powers(size: int) -> list[int]:
@@ -73,69 +82,74 @@ def powers(size: int) -> list[int]:
 
 
 class Packer:
-    """Documents in, pieces out; holds one stretch of tokens and a document at most."""
+    """Documents in, pieces out; holds one stretch of tokens and a batch of documents at most."""
 
     def __init__(self, first_sequence: int, last: np.ndarray, length: int = LENGTH, stretch: int = STRETCH) -> None:
         self.sequence, self.last, self.length, self.stretch = first_sequence, last, length, stretch
-        self.documents: list[tuple[object, np.ndarray, int]] = []  # id, ids, ids packed before
-        self.held = 0
+        self.names: list = []  # of the documents held
+        self.ids, self.sizes = [], []
+        self.held, self.done = 0, 0  # ids held; ids of the first document that are packed already
 
     def add(self, doc_id, ids: np.ndarray) -> list[tuple]:
-        self.documents.append((doc_id, ids, 0))
+        """One document -> the pieces that are settled by it."""
+        return list(zip(*self.add_all([doc_id], ids, np.array([len(ids)]))))
+
+    def close(self) -> list[tuple]:
+        return list(zip(*self.close_all()))
+
+    def add_all(self, names: list, ids: np.ndarray, counts: np.ndarray) -> list[list]:
+        """Documents with their ids one after the other -> columns of pieces, as in PIECES."""
+        self.names += names
+        self.ids.append(ids)
+        self.sizes.append(counts)
         self.held += len(ids)
         return self._packed(False) if self.held >= self.stretch else []
 
-    def close(self) -> list[tuple]:
+    def close_all(self) -> list[list]:
         return self._packed(True) if self.held else []
 
-    def _packed(self, final: bool) -> list[tuple]:
-        ids = np.concatenate([x[done:] for _, x, done in self.documents])
-        ends = np.cumsum([len(x) - done for _, x, done in self.documents])
+    def _packed(self, final: bool) -> list[list]:
+        ids, sizes = np.concatenate(self.ids), np.concatenate(self.sizes)
+        left = sizes.copy()
+        left[0] -= self.done
+        ends = np.cumsum(left)
         cuts = best_cuts(*cut_places(ids, ends, self.last, self.length), self.length)
         if not final:
             cuts = cuts[:-1]
         else:
             tail = cuts.pop() - cuts[-1]
             cuts += (cuts[-1] + np.cumsum([tail] if tail == self.length else powers(tail))).tolist()
-        out, d, begin = [], 0, 0  # document d begins at begin
-        for first, end in zip(cuts, cuts[1:]):
-            at = first
-            while at < end:
-                doc_id, own, done = self.documents[d]
-                stop = min(end, int(ends[d]))
-                start = done + at - begin
-                piece = own[start : start + stop - at]
-                out.append((doc_id, start, stop - at, zlib.crc32(piece.tobytes()), len(own), self.sequence, at - first))
-                if stop == ends[d]:
-                    d, begin = d + 1, stop
-                at = stop
-            self.sequence += 1
-        left = self.documents[d:]
-        if left and cuts[-1] > begin:
-            left[0] = (left[0][0], left[0][1], left[0][2] + cuts[-1] - begin)
-        self.documents, self.held = left, len(ids) - cuts[-1]
+        at = np.array(cuts)
+        begins = np.unique(np.concatenate([at, ends[ends < at[-1]]]))
+        firsts, stops = begins[:-1], begins[1:]
+        document, sequence = np.searchsorted(ends, firsts, "right"), np.searchsorted(at, firsts, "right") - 1
+        start = firsts - np.append(0, ends)[document] + np.where(document == 0, self.done, 0)
+        data = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
+        sums = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(firsts.tolist(), stops.tolist())]
+        out = [[self.names[d] for d in document.tolist()], start, stops - firsts, sums, sizes[document], self.sequence + sequence, firsts - at[sequence]]
+        self.sequence += len(cuts) - 1
+        d = int(np.searchsorted(ends, at[-1], "right"))  # the first document that is not packed whole
+        self.done = int(at[-1] - np.append(0, ends)[d] + (self.done if d == 0 else 0)) if d < len(ends) else 0
+        self.names, self.ids, self.sizes, self.held = self.names[d:], [ids[at[-1] :].copy()], [sizes[d:]], len(ids) - int(at[-1])
         return out
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, length: int) -> Iterator[pa.RecordBatch]:
     packer = Packer(TaskContext.get().partitionId() << 32, sentence_ends(path), length)
-    tokenizer, end = word_tokenizer(path), np.array([END_ID], "<u4")
+    tokenizer = word_tokenizer(path)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     kind = pa.int64()
 
-    def rows(found: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def rows(found: list[list]) -> Iterator[pa.RecordBatch]:
         if found:
-            cols = list(zip(*found))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], kind), *(pa.array(c, pa.int64()) for c in cols[1:])], names)
+            yield pa.RecordBatch.from_arrays([pa.array(found[0], kind), *(pa.array(c, pa.int64()) for c in found[1:])], names)
 
     for whole in batches:
         kind = whole.schema.field("doc_id").type
         for batch in slices(whole, "text", 2 << 20):
-            found = []
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), tokenizer.encode(batch.column("text").to_pylist())):
-                found += packer.add(doc_id, np.concatenate([ids, end]))
-            yield from rows(found)
-    yield from rows(packer.close())
+            ids, counts = tokenizer.encode_flat(batch.column("text").to_pylist(), END_ID)
+            yield from rows(packer.add_all(batch.column("doc_id").to_pylist(), ids, counts))
+    yield from rows(packer.close_all())
 
 
 def packed(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
@@ -145,10 +159,11 @@ def packed(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Da
     Each partition packs its documents in their order, without a shuffle; sequence ids carry the
     partition's number. A document's ids end with id 1; null and empty texts are that id alone.
     Every id lies in one piece. A sequence has at most ``length`` ids, and its offsets have no gap.
-    Cuts fall on document ends, else on sentence ends, and elsewhere only where that saves more than
-    FORCED ids of padding; what remains at the end of a partition is cut into powers of two, which need
+    Cuts fall on document ends, else on sentence ends, and elsewhere only in gaps of more than GAP
+    ids, where that saves more than FORCED ids of padding. They are the best ones of each stretch of
+    STRETCH ids of a partition, not of the table. What remains at the end of a partition is cut into powers of two, which need
     no padding. Repeated and null ids are documents like others. Other columns are not read. An
     empty table gives an empty result.
     """
     pick = partial(_pieces, path=path or default_path(), length=length)
-    return docs.select("doc_id", "text").mapInArrow(pick, fields(docs, "doc_id", PIECES))
+    return docs.select("doc_id", "text").mapInArrow(given_back(pick), fields(docs, "doc_id", PIECES))

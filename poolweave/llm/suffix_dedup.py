@@ -10,14 +10,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fields, row_keys, shuffle_width, slices, stored, unique_ids
+from .common import fields, free_name, given_back, row_keys, shuffle_width, slices, stored, unique_ids
 
 LENGTH, GRAM = 200, 32
 #: Bytes before an anchor that a 200-byte string around it can reach.
@@ -356,10 +356,45 @@ def repeated_spans(keyed: DataFrame) -> DataFrame:
         .mapInArrow(_tested, "_row long, first long, last long")
     )
     inside = known.filter(F.col("kind") == INSIDE)
-    spans = inside.select("_row", (F.col("pos") - BEFORE).alias("first"), (F.col("pos") + LENGTH).alias("last")).unionByName(tested)
+    inside = inside.select("_row", (F.col("pos") - BEFORE).alias("first"), (F.col("pos") + LENGTH).alias("last"))
+    # They lie sorted by (gram, context, row, place), so that in a long run of one string they touch.
+    spans = inside.mapInArrow(_touching, SPANS).unionByName(tested)
     if large.limit(1).count():
         spans = spans.unionByName(_large_gram_spans(_with_bytes(keyed, probes.join(large, "gram"))))
-    return spans.groupBy("_row").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    runs = spans.repartition("_row").sortWithinPartitions("_row", "first").mapInArrow(_touching, SPANS)
+    return runs.groupBy("_row").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+
+
+SPANS = "_row long, first long, last long"
+
+
+def _touching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of a row that follow each other and touch or overlap as one; those held open at the end
+    of a batch wait for the next."""
+    held: list[np.ndarray] | None = None
+
+    def out(row, first, last) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (row, first, last)], ["_row", "first", "last"])
+
+    for batch in batches:
+        row, first, last = (batch.column(c).to_numpy() for c in ("_row", "first", "last"))
+        if held is not None:
+            row, first, last = (np.concatenate([h, x]) for h, x in zip(held, (row, first, last)))
+        if not len(row):
+            continue
+        # What is covered up to here in this row: ends only grow inside a row, or a new run begins.
+        new = np.concatenate([[True], (row[1:] != row[:-1]) | (first[1:] < first[:-1])])
+        group = np.cumsum(new)
+        least = int(min(first.min(), 0))
+        size = int(last.max()) - least + 1
+        reach = np.maximum.accumulate((last - least) + group * size) - group * size + least
+        starts = np.flatnonzero(new | np.concatenate([[True], first[1:] > reach[:-1]]))
+        ends = np.append(starts[1:], len(row)) - 1
+        row, first, last = row[starts], first[starts], reach[ends]
+        yield out(row[:-1], first[:-1], last[:-1])
+        held = [row[-1:], first[-1:], last[-1:]]
+    if held is not None:
+        yield out(*held)
 
 
 def merged(spans: list[dict] | None, size: int) -> list[tuple[int, int]]:
@@ -382,7 +417,7 @@ def kept_bytes(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, "text", 4 << 20)):
         out: list[list] = [[], [], [], []]
         for text, spans in zip(_utf8(batch.column("text")), batch.column("spans").to_pylist()):
             runs = merged(spans, len(text))
@@ -393,13 +428,14 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        old = batch.column("text")
-        texts = (kept_bytes(t, merged(s, len(t))).decode(errors="ignore") for t, s in zip(_utf8(old), batch.column("_pw_spans").to_pylist()))
-        new = pa.array([x if t.is_valid else None for t, x in zip(old, texts)], pa.string())
-        names = [n for n in batch.schema.names if n not in ("_pw_spans", "_pw_row")]
-        yield pa.RecordBatch.from_arrays([new if n == "text" else batch.column(n) for n in names], names)
+def _texts(batches: Iterator[pa.RecordBatch], spans: str) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in slices(whole, "text", 4 << 20):
+            old = batch.column("text")
+            texts = (kept_bytes(t, merged(s, len(t))).decode(errors="ignore") for t, s in zip(_utf8(old), batch.column(spans).to_pylist()))
+            new = pa.array([x if t.is_valid else None for t, x in zip(old, texts)], pa.string())
+            names = [n for n in batch.schema.names if n != spans]
+            yield pa.RecordBatch.from_arrays([new if n == "text" else batch.column(n) for n in names], names)
 
 
 def repeated_strings(docs: DataFrame) -> DataFrame:
@@ -419,7 +455,8 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
 def without_repeated_strings(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated bytes removed from text; a character that loses some of its bytes
     goes as a whole. No row is dropped; null texts stay null; other columns stay as they are."""
-    keyed = row_keys(docs, "_pw_row")
-    spans = repeated_spans(keyed.select(F.col("_pw_row").alias("_row"), "text")).withColumnRenamed("_row", "_pw_row")
-    kept = keyed.join(spans.withColumnRenamed("spans", "_pw_spans"), "_pw_row", "left")
-    return kept.mapInArrow(_texts, docs.schema)
+    name, cuts = free_name(docs, "_row"), free_name(docs, "_spans")
+    keyed = row_keys(docs, name)
+    spans = repeated_spans(keyed.select(F.col(name).alias("_row"), "text")).select(F.col("_row").alias(name), F.col("spans").alias(cuts))
+    kept = keyed.join(spans, name, "left").drop(name)
+    return kept.mapInArrow(given_back(partial(_texts, spans=cuts)), docs.schema)

@@ -50,4 +50,4 @@ def union_find(pairs, nodes):
     return {x: root(x) for x in nodes}
 
 
-CLASHES = {"_row": 7, "fp": "x", "key": 1.5, "kept": None, "a": "b", "component_id": 3, "_pw": 1, "start": "s", "kind": 0}
+CLASHES = {"_row": 7, "fp": "x", "key": 1.5, "kept": None, "a": "b", "component_id": 3, "_pw": 1, "start": "s", "kind": 0, "_letters": 5, "_pw_row": 77, "_spans": 1, "_pw_spans": 2, "_lang": "x", "_pw_lang": "y", "_score": 3}
