@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_keys, shuffle_width, slices, stored, unique_ids
+from .common import free_name, given_back, row_keys, shuffle_width, slices, stored, unique_ids
 from .components import connected_components
 from .golay import codeword_indices
 
@@ -195,7 +195,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     """``near_duplicates`` with the row keys ``_row`` and ``_first`` (the row that stays)."""
     unique = unique_ids(docs)
     keyed = row_keys(docs.select("doc_id", "text"), unique=unique)
-    rows = stored(keyed.select("_row", "text").mapInArrow(_fingerprints, "_row long, fp long"), "prints")
+    rows = stored(keyed.select("_row", "text").mapInArrow(given_back(_fingerprints), "_row long, fp long"), "prints")
     classes = stored(rows.groupBy("fp").agg(F.min("_row").alias("first"), F.count("*").alias("n")), "classes")
     links = fingerprint_links(classes)
     ends = links.join(classes.select(F.col("fp").alias("a"), F.col("first").alias("u")), "a").join(
@@ -220,9 +220,19 @@ def near_groups(docs: DataFrame) -> DataFrame:
     return out.join(ids, "_row").join(ids.select(F.col("_row").alias("_first"), F.col("doc_id").alias("component_id")), "_first")
 
 
-def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with the first document of each component; all columns stay as they are."""
-    keyed = row_keys(docs, "_pw_row")
-    found = near_groups(keyed.select(F.col("_pw_row").alias("doc_id"), "text"))
-    dropped = found.filter("_row <> _first").select(F.col("_row").alias("_pw_row"))
-    return keyed.join(dropped, "_pw_row", "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
+def without_near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float | None = None) -> DataFrame:
+    """``docs`` with the first document of each component; all columns stay as they are.
+
+    Without ``similarity`` components are those of ``near_duplicates``. With it two documents link
+    where their sets of ``words``-word shingles have at least that Jaccard similarity: see
+    ``similar``, which finds candidates by Golay keys too.
+    """
+    if similarity is not None:
+        from .similar import without_similar
+
+        return without_similar(docs, words, similarity)
+    name = free_name(docs, "_row")
+    keyed = row_keys(docs, name)
+    found = near_groups(keyed.select(F.col(name).alias("doc_id"), "text"))
+    dropped = found.filter("_row <> _first").select(F.col("_row").alias(name))
+    return keyed.join(dropped, name, "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
