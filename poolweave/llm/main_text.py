@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 
 from .common import fields, slices
 from .labelled_pages import labelled
-from .markup import CLOSE, OPEN, TEXT, attributes, scan
+from .markup import CLOSE, IN_HEAD, OPEN, TEXT, attributes, scan
 
 #: Elements that begin and end a block of text.
 BLOCKS = frozenset(
@@ -32,8 +32,6 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is never part of the text.
 HIDDEN = frozenset("audio button canvas datalist head iframe map noembed noframes noscript object script select style svg template textarea title video xmp".split())
-#: Elements that may stand in the head; any other ends it.
-IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 #: Elements that hold something else than the article, and those that hold it.
 OTHER_ELEMENTS = frozenset("aside dialog footer form menu nav search".split())
 MAIN_ELEMENTS = frozenset("article main".split())

@@ -8,17 +8,20 @@ from collections.abc import Iterator
 OPEN, CLOSE, TEXT = "open", "close", "text"
 #: Behind the name: attributes, whose values may hold > in quotes; no way back, so it is linear.
 _TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+)?)*+)>")
-_VALUE = re.compile(r"([^\s\"'>/=]+)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))")
+_VALUE = re.compile(r"([^\s\"'>/=]++)(\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?+")
 #: Elements whose content is text without tags, up to their end tag.
 RAW = ("script", "style", "title", "textarea", "iframe", "noembed", "noframes", "xmp")
+#: Elements that may stand in the head; any other ends it.
+IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 _ENDS = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 
 
 def attributes(raw: str) -> dict[str, str]:
     """Attributes with a value, names in lower case, the first of equal names."""
     out: dict[str, str] = {}
-    for name, *values in _VALUE.findall(raw):
-        out.setdefault(name.lower(), "".join(values))
+    for name, given, *values in _VALUE.findall(raw):
+        if given:
+            out.setdefault(name.lower(), "".join(values))
     return out
 
 

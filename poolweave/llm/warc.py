@@ -3,28 +3,37 @@
 from __future__ import annotations
 
 import base64
+import codecs
 import gzip
 import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 
 from .common import slices
+from .markup import IN_HEAD, OPEN, TEXT, attributes, scan
 
 VERSION = b"WARC/1.1"
 #: Names of the resulting record columns.
 FIELDS = "record_type string, record_id string, refers_to string, target_uri string, block_digest string, source_digest string, content_length long, record binary"
-COMMENT = re.compile(rb"<!--.*?-->", re.S)
-HIDDEN = re.compile(rb"<(script|style|noscript|template|head)\b[^>]*>.*?</\1\s*>", re.S | re.I)
-BREAKS = re.compile(rb"</?(?:p|div|br|h[1-6]|li|ul|ol|tr|table|article|section|nav|header|footer|blockquote|pre|hr)\b[^>]*>", re.I)
-TAG = re.compile(rb"<[a-zA-Z/!?][^>]*>")
-LINK = re.compile(rb"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)')""", re.I)
-TITLE = re.compile(rb"<title\b[^>]*>(.*?)</title", re.S | re.I)
-CHARSET = re.compile(rb"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
+#: Elements of which no text is converted, and those that begin a line.
+HIDDEN = frozenset("head noscript script style template title".split())
+BREAKS = frozenset("p div br h1 h2 h3 h4 h5 h6 li ul ol tr table article section nav header footer blockquote pre hr".split())
+#: Codecs that pages may name; any other is read as UTF-8.
+CODECS = frozenset(
+    """ascii big5 big5hkscs cp437 cp850 cp852 cp855 cp866 cp874 cp932 cp949 cp1250 cp1251 cp1252 cp1253 cp1254 cp1255 cp1256
+    cp1257 cp1258 euc_jp euc_kr gb18030 gb2312 gbk iso2022_jp iso8859-1 iso8859-2 iso8859-3 iso8859-4 iso8859-5 iso8859-6
+    iso8859-7 iso8859-8 iso8859-9 iso8859-10 iso8859-13 iso8859-14 iso8859-15 iso8859-16 johab koi8-r koi8-u mac-cyrillic
+    mac-roman shift_jis tis-620 utf-8 utf-16 utf-16-be utf-16-le utf-32""".split()
+)
+MARKS = ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16"))
+CHARSET = re.compile(rb"charset\s*+=\s*+[\"']?([\w.:-]++)", re.I)
 
 
 def digest(block: bytes) -> str:
@@ -39,11 +48,12 @@ def record_id(*parts: object) -> str:
 
 def _line(value: object) -> str:
     """A header value on one line."""
-    return re.sub(r"\s*[\r\n]+\s*", " ", str(value))
+    lines = str(value).splitlines()
+    return lines[0] if len(lines) == 1 else " ".join(x.strip() for x in lines)
 
 
 def write_record(headers: list[tuple[str, object]], block: bytes) -> bytes:
-    lines = [VERSION, *(f"{k}: {_line(v)}".encode() for k, v in headers), b"Content-Length: %d" % len(block)]
+    lines = [VERSION, *(f"{k}: {_line(v)}".encode(errors="replace") for k, v in headers), b"Content-Length: %d" % len(block)]
     return b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -67,52 +77,165 @@ def read_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = stop + 4 + size
 
 
-def _headers(head: bytes) -> dict[str, str]:
-    lines = re.sub(rb"\r?\n[ \t]+", b" ", head).split(b"\r\n")[1:]
+def _pairs(head: bytes) -> list[tuple[str, str]]:
+    """(name in lower case, value) of all headers of a head, in order; continued lines are joined."""
+    lines = re.sub(rb"\r?\n[ \t]++", b" ", head).split(b"\n")[1:]
     pairs = (line.partition(b":") for line in lines if b":" in line)
-    return {k.decode(errors="replace").strip().lower(): v.decode(errors="replace").strip() for k, _, v in pairs}
+    return [(k.decode(errors="replace").strip().lower(), v.decode(errors="replace").strip()) for k, _, v in pairs]
 
 
-def plain_text(page: bytes, charset: str = "utf-8") -> str:
-    """The text of a page: hidden parts and tags go, block tags break lines, entities are resolved,
-    white space inside lines becomes one space, empty lines go."""
-    page = BREAKS.sub(b"\n", HIDDEN.sub(b" ", COMMENT.sub(b" ", page)))
+def _headers(head: bytes) -> dict[str, str]:
+    """The last value of each header."""
+    return dict(_pairs(head))
+
+
+def unchunked(body: bytes) -> bytes:
+    """A body in chunks as one; what comes after a broken chunk is left out."""
+    out, at = [], 0
+    while (end := body.find(b"\n", at)) >= 0:
+        try:
+            size = int(body[at:end].split(b";")[0], 16)
+        except ValueError:
+            break
+        if size <= 0:
+            break
+        out.append(body[end + 1 : end + 1 + size])
+        at = end + 1 + size
+        at += 2 if body[at : at + 2] == b"\r\n" else 1
+    return b"".join(out)
+
+
+def _inflated(body: bytes, window: int) -> bytes:
+    """As far as the data goes and is sound; a second member of a gzip body follows the first."""
+    out = []
+    while body:
+        unpack = zlib.decompressobj(window)
+        try:
+            out.append(unpack.decompress(body))
+        except zlib.error:
+            for i in range(0, len(body), 1 << 12):  # what comes before the fault
+                try:
+                    unpack = zlib.decompressobj(window) if i == 0 else unpack
+                    out.append(unpack.decompress(body[i : i + (1 << 12)]))
+                except zlib.error:
+                    break
+            break
+        body = unpack.unused_data if unpack.eof and window == 31 else b""
+    return b"".join(out)
+
+
+def content(body: bytes, http: list[tuple[str, str]]) -> tuple[bytes, bytes]:
+    """(payload, content): without the transfer's chunks; and unpacked. An unknown packing has no
+    content."""
+    named = {k: [v.strip().lower() for k2, v in http if k2 == k for v in v.split(",")] for k in ("transfer-encoding", "content-encoding")}
+    if "chunked" in named["transfer-encoding"]:
+        body = unchunked(body)
+    data = body
+    for packing in reversed(named["content-encoding"]):
+        if packing in ("gzip", "x-gzip"):
+            data = _inflated(data, 31)
+        elif packing == "deflate":
+            data = _inflated(data, 15) or _inflated(data, -15)
+        elif packing == "zstd":
+            try:
+                data = zstandard.ZstdDecompressor().decompressobj().decompress(data)
+            except zstandard.ZstdError:
+                data = b""
+        elif packing not in ("", "identity"):
+            data = b""
+    return body, data
+
+
+def charset_of(page: bytes, declared: str = "") -> str:
+    """The codec of a page: its byte order mark, else what the header, else what its first bytes
+    name, if that is one of CODECS; else UTF-8."""
+    for mark, codec in MARKS:
+        if page.startswith(mark):
+            return codec
+    for found in (CHARSET.search(declared.encode()), CHARSET.search(page[:1024])):
+        if found:
+            try:
+                name = codecs.lookup(found[1].decode()).name
+            except (LookupError, UnicodeError):
+                continue
+            if name in CODECS:
+                return name
+    return "utf-8"
+
+
+def _decoded(page: bytes, charset: str) -> str:
+    """``page`` as text; another codec than CODECS is taken as UTF-8, and so is one that fails."""
     try:
-        text = TAG.sub(b"", page).decode(charset, errors="replace")
-    except LookupError:
-        text = TAG.sub(b"", page).decode("utf-8", errors="replace")
-    lines = (" ".join(line.split()) for line in html.unescape(text).split("\n"))
-    return "\n".join(line for line in lines if line)
+        name = codecs.lookup(charset).name
+        return page.decode(name if name in CODECS else "utf-8", errors="replace")
+    except (LookupError, UnicodeError):
+        return page.decode("utf-8", errors="replace")
+
+
+def read_page(text: str) -> tuple[str, str | None, list[str]]:
+    """(plain text, title, targets of links) in one pass. Hidden elements and tags go, block tags
+    break lines, references are resolved, white space inside lines becomes one space, and empty
+    lines go."""
+    parts: list[str] = []
+    title: str | None = None
+    links: list[str] = []
+    hidden: list[str] = []
+    for what, name, raw in scan(text):
+        if what == TEXT:
+            if not hidden:
+                parts.append(name)
+            elif hidden[-1] == "title" and title is None:
+                title = " ".join(html.unescape(name).split())
+            continue
+        if what == OPEN and hidden == ["head"] and name not in IN_HEAD:
+            hidden.clear()  # any other element ends the head
+        if what == OPEN and name == "a":
+            target = attributes(raw).get("href")
+            if target is not None and not hidden:
+                links.append(html.unescape(target))
+        if name in HIDDEN:
+            if what == OPEN:
+                hidden.append(name)
+            elif name in hidden:
+                del hidden[hidden.index(name) :]
+        elif name in BREAKS and not hidden:
+            parts.append("\n")
+    lines = (" ".join(line.split()) for line in html.unescape("".join(parts)).split("\n"))
+    return "\n".join(line for line in lines if line), title, links
+
+
+def plain_text(page: bytes, charset: str = "utf-8") -> str:
+    """The text of a page: see ``read_page``."""
+    return read_page(_decoded(page, charset))[0]
 
 
 def derive(headers: dict[str, str], block: bytes) -> Iterator[tuple]:
     """One response -> its metadata record and its conversion record, as values of FIELDS."""
-    head, _, body = block.partition(b"\r\n\r\n")
-    http = _headers(head)
+    at = min((i for i in (block.find(b"\r\n\r\n"), block.find(b"\n\n")) if i >= 0), default=len(block))
+    head, body = block[:at], block[at + (4 if block[at : at + 4] == b"\r\n\r\n" else 2) :]
+    http = _pairs(head)
     source, uri, date = (headers.get(k, "") for k in ("warc-record-id", "warc-target-uri", "warc-date"))
-    payload = headers.get("warc-payload-digest") or digest(body)
-    found = CHARSET.search(http.get("content-type", "").encode()) or CHARSET.search(body[:1024])
-    charset = found[1].decode() if found else "utf-8"
-    links = [(a or b).decode(errors="replace") for a, b in LINK.findall(body)]
-    title = TITLE.search(body)
+    payload, page = content(body, http)
+    mark = headers.get("warc-payload-digest") or digest(payload)
+    charset = charset_of(page, dict(http).get("content-type", ""))
+    text, title, links = read_page(_decoded(page, charset))
     facts: list[tuple[str, object]] = [
-        ("status", head.split(b"\r\n", 1)[0].decode(errors="replace")),
-        *((f"http-{k}", v) for k, v in http.items()),
+        ("status", head.split(b"\n", 1)[0].strip().decode(errors="replace")),
+        *((f"http-{k}", v) for k, v in http),
         ("charset-detected", charset),
-        ("source-payload-digest", payload),
+        ("source-payload-digest", mark),
         ("source-block-digest", headers.get("warc-block-digest", digest(block))),
-        *([("title", html.unescape(title[1].decode(errors="replace")))] if title else []),
+        *([("title", title)] if title is not None else []),
         *(("outlink", u) for u in links),
     ]
     common = [("WARC-Refers-To", source), ("WARC-Refers-To-Target-URI", uri), ("WARC-Refers-To-Date", date), ("WARC-Target-URI", uri), ("WARC-Date", date)]
-    text = plain_text(body, charset).encode()
-    fields = "".join(f"{k}: {_line(v)}\r\n" for k, v in facts).encode()
-    for kind, content, made in (("metadata", "application/warc-fields", fields), ("conversion", "text/plain; charset=utf-8", text)):
-        own, mark = record_id(kind, source), digest(made)
-        lines = [("WARC-Type", kind), ("WARC-Record-ID", own), *common, ("WARC-Block-Digest", mark)]
+    fields = "".join(f"{k}: {_line(v)}\r\n" for k, v in facts).encode(errors="replace")
+    for kind, shown, made in (("metadata", "application/warc-fields", fields), ("conversion", "text/plain; charset=utf-8", text.encode(errors="replace"))):
+        own, block_mark = record_id(kind, source), digest(made)
+        lines = [("WARC-Type", kind), ("WARC-Record-ID", own), *common, ("WARC-Block-Digest", block_mark)]
         if kind == "conversion":
-            lines.append(("WARC-Source-Payload-Digest", payload))
-        yield kind, own, source, uri, mark, payload, len(made), write_record([*lines, ("Content-Type", content)], made)
+            lines.append(("WARC-Source-Payload-Digest", mark))
+        yield kind, own, source, uri, block_mark, mark, len(made), write_record([*lines, ("Content-Type", shown)], made)
 
 
 def response_record(url: str | None, page: str | None, key: object, date: str) -> bytes:
@@ -140,8 +263,10 @@ def _derived(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def derivatives(records: DataFrame) -> DataFrame:
     """``records(warc BINARY)``, each value holding whole WARC records -> FIELDS, two rows for each
     response. Other record types and null values have no row; identifiers depend on the response's
-    alone, so repeated rows repeat them. A response without a digest gets one from its payload; an
-    unknown charset is read as UTF-8. Extra columns are not read; no rows give no rows.
+    alone, so repeated rows repeat them. A response without a digest gets one from its payload. Bodies
+    are taken out of chunks, gzip, deflate and zstandard; of another packing, no text is converted.
+    A charset that is not one of CODECS is read as UTF-8, and faulty bytes are replaced. A page of any
+    form is read in time linear in its length. Extra columns are not read; no rows give no rows.
     """
     return records.select("warc").mapInArrow(_derived, FIELDS)
 

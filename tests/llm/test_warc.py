@@ -64,3 +64,96 @@ def test_whole_pages_table(spark):
     assert len(got) == 2 * pages.count()
     texts = [bytes(r.record).split(b"\r\n\r\n", 1)[1] for r in got if r.record_type == "conversion"]
     assert all(b"<p>" not in t and b"var t" not in t for t in texts) and hashlib.sha1(b"").hexdigest()
+
+
+def response(body, *headers):
+    lines = [b"HTTP/1.1 200 OK", *headers]
+    return {"warc-record-id": "<urn:x>"}, b"\r\n".join(lines) + b"\r\n\r\n" + body
+
+
+def made(body, *headers):
+    out = {x[0]: warc.read_records(x[-1]) for x in warc.derive(*response(body, *headers))}
+    return {k: next(v)[1] for k, v in out.items()}
+
+
+@pytest.mark.parametrize("charset", ["idna", "undefined", "utf-7", "unicode_escape", "raw_unicode_escape", "punycode", "rot13", "base64", "hex", "zlib", "mbcs", "", "\xff", "x" * 5000, "utf-16"])
+def test_hostile_charsets(charset):
+    body = f"<meta charset='{charset}'><p>text \xfc \\ud800 +2AA-".encode("utf-8", "replace")
+    got = made(body, b"Content-Type: text/html; charset=" + charset.encode("utf-8", "replace"))
+    assert got["conversion"].decode() is not None
+    if charset != "utf-16":
+        assert b"text \xc3\xbc" in got["conversion"]
+
+
+@pytest.mark.parametrize("bit", [b"<!--", b"<script>", b"<title>", b"<a href='", b"<a href=\"x\" ", b"<", b"</", b"<a =", b"<p a", b"&", b"&#", b"charset", b"<style><!--", b"<head>", b"<a " + b"x" * 50])
+def test_two_megabytes_of_unclosed_marks(bit):
+    import time
+
+    body = bit * (2_000_000 // len(bit))
+    began = time.process_time()
+    made(body)
+    assert time.process_time() - began < 10
+
+
+def test_packed_bodies():
+    import zlib
+
+    import zstandard
+
+    text = ("<p>" + "word " * 3000).encode()
+    want = ("word " * 3000).strip().encode()
+    chunks = b"".join(b"%x;ext=1\r\n%s\r\n" % (len(text[i : i + 700]), text[i : i + 700]) for i in range(0, len(text), 700)) + b"0\r\n\r\n"
+    packed = gzip.compress(text)
+    raw = zlib.compressobj(wbits=-15)
+    deflated = raw.compress(text) + raw.flush()
+    assert made(chunks, b"Transfer-Encoding: chunked")["conversion"] == want
+    assert made(packed, b"Content-Encoding: gzip")["conversion"] == want
+    assert made(gzip.compress(text[:900]) + gzip.compress(text[900:]), b"Content-Encoding: x-gzip")["conversion"] == want
+    assert made(zlib.compress(text), b"Content-Encoding: deflate")["conversion"] == want
+    assert made(deflated, b"Content-Encoding: deflate")["conversion"] == want
+    assert made(zstandard.compress(text), b"Content-Encoding: zstd")["conversion"] == want
+    assert made(b"%x\r\n%s\r\n0\r\n\r\n" % (len(packed), packed), b"Transfer-Encoding: chunked", b"Content-Encoding: gzip")["conversion"] == want
+    assert made(text, b"Content-Encoding: br")["conversion"] == b""
+    assert made(text, b"Content-Encoding: gzip")["conversion"] == b""
+    assert want.startswith(made(packed[:-20], b"Content-Encoding: gzip")["conversion"][:200].rstrip())
+    assert made(b"zz\r\nno chunk", b"Transfer-Encoding: chunked")["conversion"] == b""
+
+
+def test_repeated_headers_stay():
+    facts = made(b"x", b"Set-Cookie: a=1", b"Set-Cookie: b=2", b"X-Long: one", b" two")["metadata"]
+    assert b"http-set-cookie: a=1\r\nhttp-set-cookie: b=2\r\n" in facts and b"http-x-long: one two" in facts
+
+
+def slow_text(page):
+    """Text of a page by cutting it up character by character, for small pages."""
+    out, at, hidden = [], 0, None
+    while at < len(page):
+        if page.startswith("<!--", at):
+            at = page.find("-->", at) + 3 if "-->" in page[at:] else len(page)
+        elif page[at] == "<" and page[at + 1 : at + 2].replace("/", "x").isalpha():
+            end = page.index(">", at)
+            name = page[at + 1 : end].split()[0].lower()
+            at = end + 1
+            if hidden:
+                hidden = None if name == "/" + hidden else hidden
+            elif name in ("script", "style", "noscript", "template", "title"):
+                hidden = name
+            elif name.lstrip("/") in warc.BREAKS:
+                out.append("\n")
+        else:
+            out.append("" if hidden else page[at])
+            at += 1
+    import html
+
+    lines = (" ".join(x.split()) for x in html.unescape("".join(out)).split("\n"))
+    return "\n".join(x for x in lines if x)
+
+
+def test_small_pages_by_brute_force():
+    import random
+
+    rng = random.Random(6)
+    bits = ["<p>", "</p>", "<b>", "</b>", "<br>", "word", " ", "\n", "&amp;", "&lt;", "<!-- c -->", "<div class='x'>", "</div>", "<style>p</style>", "<script>x</script>", "<title>t</title>", "1 < 2", "é", "<li>", "</LI>"]
+    for _ in range(400):
+        page = "".join(rng.choice(bits) for _ in range(rng.randrange(30)))
+        assert warc.plain_text(page.encode()) == slow_text(page)
