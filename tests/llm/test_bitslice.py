@@ -38,6 +38,24 @@ def test_equals_brute_force(spark, monkeypatch, rows, queries):
     assert bitslice.nearest(df.filter("false")).count() == 0
 
 
+def test_components_of_any_size(spark):
+    """From 2^15 over 2^31, 2^53 and 2^63 up to the largest doubles, against exact integers."""
+    from fractions import Fraction
+
+    rng = np.random.default_rng(4)
+    sizes = [1.0, 300.0, 1e7, 1e12, 1e17, 1e300, 1.7e308]
+    data = [(i, (rng.normal(0, 1, 3) * rng.choice(sizes[: 1 + i % 7], 3)).clip(-1.79e308, 1.79e308).tolist()) for i in range(140)]
+    data += [(150, [1e7, 1.0, 0.0]), (151, [2.0, 1.0, 0.0]), (152, [3.0, 1.0, 0.0]), (200, [1e300, -1e300, 5.0]), (201, [1e300, -1e300, 5.0])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(4)
+    whole = {i: [math.floor(Fraction(x) * 256) for x in v] for i, v in data}
+    want = []
+    for i in whole:
+        if i % 10 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(whole[i], w)), j) for j, w in whole.items() if j != i)
+            want += [(i, r + 1, j, max(-(2**63), min(2**63 - 1, -s))) for r, (s, j) in enumerate(scores[:5])]
+    assert sorted(tuple(r) for r in bitslice.nearest(df, k=5, every=10).collect()) == sorted(want)
+
+
 def test_slices_give_the_weighted_sums():
     rng = np.random.default_rng(2)
     for n in (1, 63, 64, 65, 500):
