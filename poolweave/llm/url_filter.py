@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import partial
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from .common import fields
 
 #: Lengths of the n-grams, and how many weights their hashes share.
 GRAMS, BUCKETS = (3, 4, 5), 1 << 16
-EPOCHS, RATE, DECAY, THRESHOLD = 400, 10.0, 1e-4, 0.5
+EPOCHS, RATE, DECAY, THRESHOLD = 400, 100.0, 1e-4, 0.5
 #: Log odds of a URL of which no n-gram is known: it is let through.
 BIAS = -1.0
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -36,13 +37,33 @@ adult-videos adult-chat adult adult-pics xxx-movies free-xxx porn-tube porn-hub
 casino-bonus online-casino best-casino poker-win slots-jackpot betting-tips spam spam-site spam-blog spam-links
 link-farm content-farm farm-of-spam seo-farm cheap-pills buy-pills viagra-shop cheap-viagra replica-watches
 malware-download free-malware phishing-login warez-crack crack-keygen torrent-warez payday-loans quick-loans
-earn-money-fast click-ads ads-tracker casino-slots win-casino bets-online
+earn-money-fast click-ads ads-tracker casino-slots win-casino bets-online gambling gambling-sites online-gambling
+sexshop sex-shop sexcam livesex hotsex sex-dating nude-pics nudes nakedgirls xxx xxxvideos pornstar freeporn
+teenporn hardcore-porn erotica escort escorts escort-girls camgirls webcam-sex hookup-tonight poker pokerstars
+videopoker texas-holdem-poker roulette blackjack-casino slots freeslots megaslots jackpot jackpots bingo-bonus
+sportsbetting betting betwin sportsbook lottery-winner viagra cialis generic-cialis levitra-pills diet-pills
+weightloss-pills miracle-diet replica-bags fake-rolex rolex-replica warez cracked-games keygen serial-keys
+nulled-scripts torrents-free malware trojan-kit ransomware phishing account-verify-login paypal-verify
+bank-login-secure payday loan-fast get-rich-quick easy-money-now forex-signals-win crypto-doubler bitcoin-doubler
+free-iphone-winner free-giftcards survey-rewards clickbait popunder-ads adclicks ad-tracker buy-followers
+buy-backlinks cheap-seo link-exchange spammer spamnet mail-blaster
 """.split()
 GOOD_NAMES = """
 news library garden weather history travel science museum thinking station school other music thehouse theatre
 action kitchen nation street another town nature university research brother docs wiki forum health mother
 recipes father english cinema nothing together thunder sports leather winter thesis portion those bright shift
-with therapy question months thatcher heather clothes gather stream windows
+with therapy question months thatcher heather clothes gather stream windows farm farm-shop farmers-market animals
+download downloads free free-software freedom open-source software hardware computer games chess football tennis
+running cycling hiking mountains rivers islands sussex essex middlesex sexton shop bookshop workshop store market
+bakery flowers coffee tea cooking dinner wine photos pictures video videos gallery art design architecture poetry
+novel letters journal magazine daily times herald observer review opinion politics economy business finance bank
+savings insurance pension jobs careers office hotel camping trains railway airport flights bus cars garage bikes
+maps city village parish church council police court law medical hospital doctor nursing pharmacy dentist
+vitamins diet fitness yoga baby family kids parents teacher lessons mathematics physics chemistry biology
+astronomy geology climate energy water forest wildlife birds dogs cats horses fishing sailing harbour beach
+summer autumn spring calendar events festival concert orchestra opera jazz radio television podcast blog about
+contact help support login account search archive index category pages item product order cart delivery analysis
+assessment classes password cocktails scunthorpe analytics titles grape button constitution experts exchange
 """.split()
 AROUND = """
 http://{}.example.com/en/12 https://www.{}.example.org/de/7 https://blog.{}.example.net/fr/330.html
@@ -84,11 +105,12 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULES
 
 def _pieces(hosts: Sequence[str], paths: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(URL number of each piece, piece number and bucket of each n-gram). Pieces are the labels of
-    hosts and the segments of paths; ``^`` and ``$`` mark their ends, and the n-grams of a host are
+    hosts and the segments of paths, which are read without regard to case and with %XX decoded; ``^`` and ``$`` mark their ends, and the n-grams of a host are
     others than those of a path."""
     owners, pieces, buckets, count = [], [], [], 0
     for salt, (texts, mark) in enumerate(((hosts, b"."), (paths, b"/"))):
-        split = [t.encode().split(mark) for t in texts]
+        plain = [unquote(t, errors="replace").lower() if salt and ("%" in t or not t.islower()) else t for t in texts]
+        split = [t.encode(errors="replace").split(mark) for t in plain]
         parts = [b"^" + x + b"$" for own in split for x in own]
         data = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint64)
         sizes = np.array([len(x) for x in parts], np.int64)

@@ -111,3 +111,37 @@ def test_held_out_names_in_paths():
             found[bad] += int((verdict_of(m, *test) == bad).sum())
     assert found[False] / len(url_filter.GOOD_NAMES) > 0.9
     assert found[True] / len(url_filter.BAD_NAMES) > 0.4
+
+
+def test_case_and_percent_signs_of_paths(model):
+    assert verdict_of(model, "http://x.org/ADULT-VIDEOS/1", "http://x.org/Online%2DCasino/", "http://x.org/%70orn-tube").all()
+    assert not verdict_of(model, "http://x.org/LIBRARY/Garden%20News/", "http://x.org/%zz%").any()
+
+
+#: Whole URLs with names that are not in the table.
+UNSEEN_BAD = """
+http://gambling.com/poker https://www.sexshop24.com/ http://pornworld.net.example.org/v/1 https://bestcasinobonus.example.com/
+http://slots4u.co.uk/play http://cheapviagra-online.example.org/buy http://xxx-archive.info/pics https://casinoking.example.edu/
+http://freepornvideos.example.com/ https://mypage.example.org/~joe/sexcams/ http://fast-payday-loan.example.com/apply
+https://replicawatches.example.info/rolex http://warezcentral.example.org/keygens http://escortservice.example.com/london
+https://downloads.example.org/crack/keygen-pro.html http://live-roulette.example.com/ https://bitcoindoubler.example.info/
+http://hotnudes.example.com/gallery https://betting-bonus.example.org/ http://a.b.example.com/en/pokerroom/5
+""".split()
+UNSEEN_GOOD = """
+https://www.farm-shop.co.uk/ https://downloads.example.com/free/ https://en.wikipedia.org/wiki/Sussex http://www.middlesex.ac.example.edu/
+https://citylibrary.example.org/opening-hours http://weatherstation.example.com/today https://blog.example.org/2020/05/garden-birds.html
+http://chessclub.example.org/results https://www.bakeryhouse.example.com/menu http://museum-of-history.example.edu/visit
+https://familydoctor.example.org/nursing http://oldbooks.example.com/poetry/english https://trainmuseum.example.co.uk/
+http://mountainhikes.example.org/maps/ https://example.com/account/login http://schoolmusic.example.edu/concerts
+https://openstreet.example.org/export http://summerfestival.example.com/programme https://www.riverfishing.example.org/
+http://data.example.org/analysis/assessment.pdf https://docs.example.com/api/classes.html http://kidsyoga.example.com/lessons
+https://photo.example.org/gallery/island-beach http://teatime.example.co.uk/recipes/scones https://news.example.com/opinion/economy
+http://horses.example.org/ https://orchestra.example.edu/calendar http://wine.example.com/cellar https://cats.example.org/adopt
+http://forum.example.com/thread/computer-hardware
+""".split()
+
+
+def test_whole_urls_that_are_not_in_the_table(model):
+    caught, wrong = verdict_of(model, *UNSEEN_BAD), verdict_of(model, *UNSEEN_GOOD)
+    assert caught.mean() >= 0.8
+    assert caught.sum() / (caught.sum() + wrong.sum()) >= 0.9
