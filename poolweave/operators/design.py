@@ -411,16 +411,24 @@ def lattice_values(cell_gains: DataFrame, modalities: int) -> DataFrame:
 
 
 def interactions(values: DataFrame, modalities: int) -> DataFrame:
-    """Moebius inversion over subsets: columns i0 .. i[2^M - 1], linear in the values."""
+    """Moebius inversion over subsets: columns i0 .. i[2^M - 1].
+
+    In place, one pass over the 2^M values for each modality: what holds the modality loses what does
+    not. NULL where a value that counts is NULL.
+    """
     size = 1 << modalities
-    for c in range(size):
-        terms = F.lit(0.0)
-        for s in range(size):
-            if s & c == s:
-                odd = (c.bit_count() - s.bit_count()) % 2
-                terms = terms - F.col(f"v{s}") if odd else terms + F.col(f"v{s}")
-        values = values.withColumn(f"i{c}", terms)
-    return values
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in values.schema.fields] + [f"i{c} double" for c in range(size)])
+
+    def kernel(batches):
+        for batch in batches:
+            x = batch[[f"v{c}" for c in range(size)]].to_numpy(np.float64, copy=True).reshape(len(batch), *[2] * modalities)
+            for axis in range(1, modalities + 1):
+                half = np.moveaxis(x, axis, 0)
+                half[1] -= half[0]
+            found = pd.DataFrame(x.reshape(len(batch), size), columns=[f"i{c}" for c in range(size)], index=batch.index)
+            yield pd.concat([batch, found.astype(object).where(found.notna(), None)], axis=1)
+
+    return values.mapInPandas(kernel, schema)
 
 
 def lattice_scores(values: DataFrame, modalities: int, eta: float) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import bin_count, bin_id
+from ..functions.moments import weighted_moments
 from . import checks
 from .events import category_codes
 
@@ -270,27 +271,10 @@ def channel_stats(runs: DataFrame, train: DataFrame) -> DataFrame:
 
     A run of n equal steps counts n times, so the frame is never expanded.
     """
-    steps = (F.col("until") - F.col("since")).cast("double")
-    # Sums are taken around the channel's normal value, which keeps the digits of the variance.
-    normals = [x for c in CHANNELS if not c.categorical for x in (F.lit(c.name), F.lit(float(c.normal)))]
-    centre = F.coalesce(F.try_element_at(F.create_map(*normals), F.col("variable")), F.lit(0.0))
-    off = F.col("num") - centre
-    kept = runs.join(train.select("stay_id"), "stay_id", "left_semi").filter(F.col("num").isNotNull())
-    sums = kept.groupBy("variable").agg(
-        F.sum(steps).alias("n"),
-        F.sum(steps * off).alias("s"),
-        F.sum(steps * off * off).alias("q"),
-    )
-    shift = F.col("s") / F.col("n")
-    mean = shift + centre
-    variance = (F.col("q") - F.col("n") * shift * shift) / F.nullif(F.col("n") - 1, F.lit(0.0))
-    std = F.sqrt(F.greatest(variance, F.lit(0.0)))
-    return sums.select(
-        "variable",
-        mean.alias("mean"),
-        F.greatest(std, F.lit(STD_FLOOR)).alias("std"),
-        F.col("n").cast("bigint").alias("rows"),
-    )
+    kept = runs.join(train.select("stay_id"), "stay_id", "left_semi")
+    found = weighted_moments(kept.withColumn("_steps", F.col("until") - F.col("since")), ["variable"], "num", "_steps")
+    std = F.sqrt(F.col("m2") / F.nullif(F.col("n") - 1, F.lit(0.0)))
+    return found.select("variable", "mean", F.greatest(std, F.lit(STD_FLOOR)).alias("std"), F.col("n").cast("bigint").alias("rows"))
 
 
 def normalise(long: DataFrame, stats: DataFrame) -> DataFrame:

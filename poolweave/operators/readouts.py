@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -226,3 +228,122 @@ def train(
         cardinality=expected_cardinality(rows),
     )
     return state
+
+
+@dataclass
+class Fitted:
+    """Weights as of ``fit``; passes over the rows; the largest gradient component of any model."""
+
+    weights: np.ndarray
+    passes: int
+    gradient: float
+
+
+def _values_and_gradients(data: DataFrame, w: np.ndarray, posw: np.ndarray, mine: slice, decay: float) -> tuple[np.ndarray, np.ndarray]:
+    """Mean weighted loss plus decay / 2 |w|^2 of every model [folds + 1, M, C], and its gradient, in
+    one pass: each task adds up its rows, and the sums are added in the JVM."""
+    folds = w.shape[0] - 1
+    held = data.sparkSession.sparkContext.broadcast(w)
+
+    def run(batches):
+        weights = held.value
+        grad, loss, rows = np.zeros(w.shape), np.zeros(w.shape[:-1]), np.zeros(folds + 1)
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = stack(batch["tokens"])
+            x = np.concatenate([x, np.ones((*x.shape[:2], 1))], axis=2)
+            y = stack(batch["y"])[:, None, mine]
+            fold = batch["fold"].to_numpy()
+            for f in range(folds + 1):
+                use = slice(None) if f == 0 else fold != f - 1
+                xf, yf = x[use], y[use]
+                rows[f] += len(xf)
+                z = np.einsum("nmd,mcd->nmc", xf, weights[f])
+                # log(1 + exp(-z)) for positives, times their weight, and log(1 + exp(z)) for the others.
+                loss[f] += (posw * yf * np.logaddexp(0, -z) + (1 - yf) * np.logaddexp(0, z)).sum(0)
+                grad[f] += np.einsum("nmc,nmd->mcd", sigmoid(z) * (1 + (posw - 1) * yf) - posw * yf, xf)
+        yield pd.DataFrame({"f": range(folds + 1), "g": [np.append(g.ravel(), v.ravel()).tolist() for g, v in zip(grad, loss)], "n": rows})
+
+    sums = data.mapInPandas(run, "f int, g array<double>, n double").groupBy("f").agg(vector_sum("g").alias("g"), F.sum("n").alias("n"))
+    grad, loss = np.zeros(w.shape), np.zeros(w.shape[:-1])
+    for r in sums.collect():
+        found = np.asarray(r["g"]) / max(r["n"], 1.0)
+        grad[r["f"]], loss[r["f"]] = found[: grad[0].size].reshape(w.shape[1:]), found[grad[0].size :].reshape(w.shape[1:-1])
+    held.unpersist()
+    return loss + decay / 2 * (w**2).sum(-1), grad + decay * w
+
+
+def _direction(grad: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Minus the gradient times the inverse curvature that the pairs (step, change of gradient)
+    stand for, for all models at once; a pair of zeros says nothing."""
+    dot = lambda a, b: (a * b).sum(-1, keepdims=True)
+    q, shares, scale = grad.copy(), [], None
+    for s, y in pairs:  # the latest first
+        sy = dot(s, y)
+        known = sy > 0
+        rho = np.where(known, 1 / np.where(known, sy, 1), 0.0)
+        a = rho * dot(s, q)
+        q -= a * y
+        shares.append((rho, a))
+        own = np.where(known, sy / np.where(known, dot(y, y), 1), np.nan)
+        scale = own if scale is None else np.where(np.isnan(scale), own, scale)
+    first = 1 / np.maximum(1.0, np.sqrt(dot(grad, grad)))
+    q *= first if scale is None else np.where(np.isnan(scale), first, scale)
+    for (s, y), (rho, a) in zip(reversed(pairs), reversed(shares)):
+        q += s * (a - rho * dot(y, q))
+    return -q
+
+
+def fit_converged(
+    labeled: DataFrame,
+    folds: int,
+    labels: int,
+    modalities: int,
+    width: int,
+    decay: float = 1e-4,
+    maximum: float = 20.0,
+    tolerance: float = 1e-6,
+    passes: int = 300,
+    memory: int = 8,
+) -> Fitted:
+    """``fit`` to the optimum, by limited-memory BFGS: the models of all folds, modalities and labels
+    at once, each with its own curvature pairs and line search.
+
+    A pass over the rows gives value and gradient of every model at its trial point. Where the value
+    fell enough the point is taken and a new direction follows; elsewhere the step is halved, and the
+    next pass tries again. Models whose gradient is below ``tolerance`` rest. Labels that do not fit a
+    task together are fitted in slices, as in ``fit``.
+    """
+    posw = disagreement.vector(positive_weights(labeled, maximum), "pos_weight", labels)
+    data = labeled.select("tokens", "y", "fold").persist()
+    per_pass = max(1, PASS_BYTES // (8 * (folds + 1) * modalities * (width + 1)))
+    parts = [
+        _minimised(data, posw[mine], mine, (folds + 1, modalities, mine.stop - mine.start, width + 1), decay, tolerance, passes, memory)
+        for mine in (slice(a, min(a + per_pass, labels)) for a in range(0, labels, per_pass))
+    ]
+    data.unpersist()
+    return Fitted(np.concatenate([p.weights for p in parts], axis=2), sum(p.passes for p in parts), max(p.gradient for p in parts))
+
+
+def _minimised(data, posw, mine, shape, decay, tolerance, passes, memory) -> Fitted:
+    w = np.zeros(shape)
+    value, grad = _values_and_gradients(data, w, posw, mine, decay)
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    direction, step, done = _direction(grad, pairs), np.ones(shape[:-1]), 1
+    size = lambda g: np.abs(g).max(-1)
+    while done < passes and (open_ := size(grad) > tolerance).any():
+        trial = np.where(open_[..., None], w + step[..., None] * direction, w)
+        now, slope = _values_and_gradients(data, trial, posw, mine, decay)
+        done += 1
+        # Rounding hides a fall that is smaller than a few units in the last place.
+        fell = now <= value + 1e-4 * step * (grad * direction).sum(-1) + 4e-16 * np.abs(value)
+        taken = open_ & (fell | (step < 1e-10))
+        moved, bent = np.where(taken[..., None], trial - w, 0.0), np.where(taken[..., None], slope - grad, 0.0)
+        w, grad, value = np.where(taken[..., None], trial, w), np.where(taken[..., None], slope, grad), np.where(taken, now, value)
+        pairs = [(moved, bent), *pairs][:memory]
+        fresh = _direction(grad, pairs)
+        downhill = (fresh * grad).sum(-1) < 0
+        fresh = np.where(downhill[..., None], fresh, -grad)
+        direction, step = np.where(taken[..., None], fresh, direction), np.where(taken, 1.0, step / 2)
+    return Fitted(w, done, float(size(grad).max(initial=0.0)))

@@ -179,14 +179,17 @@ def normalised_gain(interval: DataFrame, achievable: DataFrame) -> DataFrame:
     )
 
 
-def budget_curve(curve: DataFrame, ceiling: DataFrame) -> DataFrame:
+def budget_curve(curve: DataFrame, ceiling: DataFrame, arm: str | None = None) -> DataFrame:
     """Share of the gap between the smallest budget and the ceiling that is closed.
 
-    ``curve`` has one row per round (labeled, value); ``ceiling`` one row.
+    ``curve`` has one row per round (labeled, value), and where ``arm`` names a column, per arm; every
+    arm starts from its own smallest budget. ``ceiling`` is one row.
     """
-    start = curve.agg(F.min_by("value", "labeled").alias("start"))
+    start = F.min_by("value", "labeled").alias("start")
     span = F.col("ceiling") - F.col("start")
-    return with_scalars(with_scalars(curve, start), ceiling).select(
+    started = with_scalars(curve, curve.agg(start)) if arm is None else curve.join(curve.groupBy(arm).agg(start), arm)
+    return with_scalars(started, ceiling).select(
+        *([] if arm is None else [arm]),
         "labeled",
         "value",
         F.when(span > 0, (F.col("value") - F.col("start")) / span).alias("gap_closed"),

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -118,31 +118,35 @@ def lead_order(signals: DataFrame, leads: dict[str, int] = LEADS) -> DataFrame:
 
 
 def packed(signals: DataFrame, samples: int | None = None, leads: dict[str, int] = LEADS) -> DataFrame:
-    """One row per (study, lead index) with a zero-padded array; absent leads are zeros. Arrays are
-    as long as the longest recording unless ``samples`` says otherwise."""
+    """One row per (study, lead index) with a zero-padded array; absent leads are zeros. A study's
+    arrays are as long as its own longest lead, or ``samples`` values, where that is given."""
     ordered = lead_order(signals, leads).filter(F.col("t") >= 0)
-    if samples is None:
-        samples = 1 + (ordered.agg(F.max("t")).first()[0] or 0)
-    per_lead = ordered.filter(F.col("t") < samples).groupBy("study_id", "lead_index").agg(
+    kept = ordered if samples is None else ordered.filter(F.col("t") < samples)
+    per_lead = kept.groupBy("study_id", "lead_index").agg(
         F.collect_list("t").alias("at"), F.collect_list(F.coalesce("mv", F.lit(0.0))).alias("v")
     )
-    grid = signals.select("study_id").distinct().withColumn(
-        "lead_index", F.explode(F.array(*[F.lit(i) for i in sorted(set(leads.values()))]))
-    )
+    if samples is None:
+        lengths = signals.groupBy("study_id").agg(F.lit(0).alias("_none")).join(ordered.groupBy("study_id").agg((F.max("t") + 1).alias("_longest")), "study_id", "left")
+        studies = lengths.select("study_id", F.coalesce("_longest", F.lit(0)).cast("long").alias("samples"))
+    else:
+        studies = signals.select("study_id").distinct().withColumn("samples", F.lit(samples).cast("long"))
+    grid = studies.withColumn("lead_index", F.explode(F.array(*[F.lit(i) for i in sorted(set(leads.values()))])))
     schema = T.StructType([signals.schema["study_id"], *T.StructType.fromDDL("lead_index int, mv array<float>").fields])
-    return grid.join(per_lead, ["study_id", "lead_index"], "left").mapInArrow(partial(_dense, samples=samples), schema)
+    return grid.join(per_lead, ["study_id", "lead_index"], "left").mapInArrow(_dense, schema)
 
 
-def _dense(batches: Iterator[pa.RecordBatch], samples: int) -> Iterator[pa.RecordBatch]:
-    """(time, value) lists to arrays of equal length, some rows at a time."""
+def _dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(time, value) lists to arrays of as many values as each row asks for, some rows at a time."""
     for whole in batches:
         for i in range(0, whole.num_rows, 1024):
             batch = whole.slice(i, 1024)
-            out = np.zeros((batch.num_rows, samples), np.float32)
-            rows = np.repeat(np.arange(batch.num_rows), [len(x or ()) for x in batch.column("at").to_pylist()])
-            out[rows, batch.column("at").flatten().to_numpy(zero_copy_only=False)] = batch.column("v").flatten().to_numpy(zero_copy_only=False)
-            offsets = pa.array(np.arange(batch.num_rows + 1) * samples, pa.int32())
-            values = pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))
+            ends = np.cumsum(batch.column("samples").to_numpy())
+            firsts = ends - batch.column("samples").to_numpy()
+            out = np.zeros(int(ends[-1]) if len(ends) else 0, np.float32)
+            counts = pa.compute.fill_null(pa.compute.list_value_length(batch.column("at")), 0).to_numpy()
+            places = batch.column("at").flatten().to_numpy(zero_copy_only=False)
+            out[np.repeat(firsts, counts) + places] = batch.column("v").flatten().to_numpy(zero_copy_only=False)
+            values = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(out))
             yield pa.RecordBatch.from_arrays([batch.column("study_id"), batch.column("lead_index"), values], ["study_id", "lead_index", "mv"])
 
 

@@ -251,11 +251,10 @@ def _(t):
 
 
 @query("budget_curve", "M10", f"""
-    with c as (select labeled, value from {_CURVE} c where arm = 'BUILDING'), s as (select arg_min(value, labeled) as v from c), ce as (select max(o_totalprice) / 1000 as v from orders)
-    select labeled, {R('value')} as value, {R('(value - s.v) / (ce.v - s.v)')} as gap_closed from c cross join s cross join ce""")
+    with c as (select arm, labeled, value from {_CURVE} c), s as (select arm, arg_min(value, labeled) as v from c group by arm), ce as (select max(o_totalprice) / 1000 as v from orders)
+    select c.arm, labeled, {R('value')} as value, {R('(value - s.v) / (ce.v - s.v)')} as gap_closed from c join s on c.arm = s.arm cross join ce""")
 def _(t):
-    curve = _curve(t).filter("arm = 'BUILDING'").select("labeled", "value")
-    return rs.budget_curve(curve, t.raw("orders").agg((F.max("o_totalprice") / 1000).alias("ceiling")))
+    return rs.budget_curve(_curve(t), t.raw("orders").agg((F.max("o_totalprice") / 1000).alias("ceiling")), "arm")
 
 
 @query("flattened_metrics", "H31", f"""

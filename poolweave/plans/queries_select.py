@@ -11,7 +11,7 @@ from ..functions.scalars import with_scalars
 from ..functions import columns as C
 from ..functions.ranks import rank_fraction, spearman, take_top
 from ..functions.vectors import LinearFuser, vector_mean
-from ..operators import audit, design, disagreement as dg, mixup, prototypes as pt, readouts, selection, splits
+from ..operators import audit, design, disagreement as dg, greedy, mixup, prototypes as pt, readouts, selection, splits
 from ..session import cut_lineage, scratch_path
 from . import bindings as B
 from . import loop, methods
@@ -585,6 +585,52 @@ def _(t):
     return out.select("id", F.posexplode("q").alias("modality", "a")).select("id", "modality", F.posexplode("a").alias("label", "q"))
 
 
+# Two full-batch steps from zero, unrolled: gradients of all models (fold 0 is the full fit, fold f + 1
+# leaves out fold f), moments, and the probabilities of the model that did not see a row's fold.
+_TWO = 2
+
+
+def _readout_sql(rate: float = 0.05, decay: float = 1e-4) -> str:
+    err = lambda p: f"sum((({p}) * (1 + (posw - 1) * y) - posw * y) * x) / max(rows) / {B.LABELS * B.MODALITIES}.0::double"
+    models = "m.f = 0 or m.f <> fold + 1"
+    return f"""
+    s as (select group_id, count(*) as size from vec where role = 'labeled' group by 1),
+    r as (select *, row_number() over (order by size desc, group_id) as k from s),
+    gf as (select 0::bigint as k, null::bigint as group_id, null::int as fold, 0::bigint as f0, 0::bigint as f1, 0::bigint as f2, 0::bigint as f3
+          union all
+          select k, group_id, fold, f0 + size * (fold = 0)::int, f1 + size * (fold = 1)::int, f2 + size * (fold = 2)::int, f3 + size * (fold = 3)::int
+          from (select r.k, r.group_id, r.size, cast(case when f0 = least(f0, f1, f2, f3) then 0 when f1 = least(f1, f2, f3) then 1 when f2 <= f3 then 2 else 3 end as int) as fold, f0, f1, f2, f3
+                from gf join r on r.k = gf.k + 1) x),
+    xs as (select t.id, modality, fold, unnest(list_append(t.t, 1.0::double)) as x, unnest(range(0, {B.TOKEN_WIDTH + 1})) as j from pool_tok t join gf on gf.group_id = t.group_id where t.role = 'labeled'),
+    ys as (select y.id, y.label, y.y::double as y, posw from pool_y y join (select label, greatest(least((count(*) - sum(y)) / greatest(sum(y), 1)::double, 20), 1) as posw from pool_y where role = 'labeled' group by label) w on w.label = y.label where y.role = 'labeled'),
+    ms as (select unnest(range(0, 5)) as f),
+    nr as (select m.f, count(distinct xs.id) as rows from ms m join xs on {models} group by m.f),
+    g1 as (select m.f, modality, label, j, {err('0.5::double')} as g from ms m join xs on {models} join ys on ys.id = xs.id join nr on nr.f = m.f group by m.f, modality, label, j),
+    w1 as (select f, modality, label, j, g, -{rate}::double * g / (abs(g) + 1e-8) as w from g1),
+    p1 as (select m.f, xs.id, xs.modality, w1.label, 1 / (1 + exp(-sum(x * w))) as p from ms m join xs on {models} join w1 on w1.f = m.f and w1.modality = xs.modality and w1.j = xs.j group by m.f, xs.id, xs.modality, w1.label),
+    g2 as (select p1.f, xs.modality, p1.label, j, {err('p1.p')} as g from p1 join xs on xs.id = p1.id and xs.modality = p1.modality join ys on ys.id = xs.id and ys.label = p1.label join nr on nr.f = p1.f group by p1.f, xs.modality, p1.label, j),
+    w2 as (select w1.f, w1.modality, w1.label, w1.j, w1.w * (1 - {rate * decay}::double) - {rate}::double * ((0.09::double * w1.g + 0.1::double * g2.g) / (1 - 0.81::double)) / (sqrt((0.000999::double * w1.g * w1.g + 0.001::double * g2.g * g2.g) / (1 - 0.998001::double)) + 1e-8) as w
+           from w1 join g2 on g2.f = w1.f and g2.modality = w1.modality and g2.label = w1.label and g2.j = w1.j)"""
+
+
+@query("readouts_two_steps", "L20 L22 L37", f"""
+    with recursive {_readout_sql()} select xs.id, cast(xs.modality as int) as modality, cast(w2.label as int) as label, {R('1 / (1 + exp(-sum(x * w)))')} as q
+    from xs join w2 on w2.f = xs.fold + 1 and w2.modality = xs.modality and w2.j = xs.j group by xs.id, xs.modality, w2.label""")
+def _(t):
+    rows, n = readouts.with_folds(t.role("labeled"), 4)
+    w = readouts.fit(rows, n, B.LABELS, B.MODALITIES, B.TOKEN_WIDTH, epochs=_TWO)
+    out = readouts.out_of_fold(rows, w)
+    return out.select("id", F.posexplode("q").alias("modality", "a")).select("id", "modality", F.posexplode("a").alias("label", "q"))
+
+
+@query("converged_readouts", "L20")
+def _(t):
+    rows, n = readouts.with_folds(t.role("labeled"), 4)
+    w = readouts.fit_converged(rows, n, B.LABELS, B.MODALITIES, B.TOKEN_WIDTH, decay=0.01).weights
+    out = readouts.out_of_fold(rows, w)
+    return out.select("id", F.posexplode("q").alias("modality", "a")).select("id", "modality", F.posexplode("a").alias("label", "q"))
+
+
 _REL = """
     lab as (select q.modality, q.label, y.y::double as y, greatest(least(q.q, 1 - 1e-7), 1e-7) as q from q_cells q join pool_y y on q.id = y.id and q.label = y.label where q.role = 'labeled'),
     pv as (select label, greatest(least(avg(y), 1 - 1e-7), 1e-7) as r, sum(y)::double as pos from pool_y where role = 'labeled' group by label),
@@ -732,6 +778,62 @@ def _(t):
     return design.gains(covered, ["id"], state.direction, state.steps)
 
 
+# With one feature and the bias a label's block is 2 x 2, and its inverse can be written down.
+def _narrow_steps(picks: int) -> str:
+    """Inverse, direction and gains of step 0, and of each step after the best item so far is folded in."""
+    out = [f"""
+    nx as (select id, role, embedding[1]::double as x from vec),
+    na as (select p.label, 0.01::double + sum(p.p * (1 - p.p) * x * x) as a, sum(p.p * (1 - p.p) * x) as b, 0.01::double + sum(p.p * (1 - p.p)) as c from pool_p p join nx on nx.id = p.id where p.role = 'labeled' group by p.label),
+    ng as (select p.label, avg((p.p - y.y) * x) as g1, avg(p.p - y.y) as g0 from pool_p p join pool_y y on p.id = y.id and p.label = y.label join nx on nx.id = p.id where p.role = 'reference' group by p.label),
+    n0 as (select na.label, a + c as trace, c / (a * c - b * b) as i11, -b / (a * c - b * b) as i12, a / (a * c - b * b) as i22, g1, g0 from na join ng on na.label = ng.label),
+    nc as (select nx.id, p.label, x, p.p, greatest(p.p * (1 - p.p), 1e-8::double) as v from nx join pool_p p on p.id = nx.id where nx.role = 'candidate')"""]
+    for k in range(picks + 1):
+        done = "where false" if k == 0 else " union all ".join(f"select id from nb{j}" for j in range(k))
+        done = "select 0 as id where false" if k == 0 else done
+        out.append(f"""d{k} as (select *, i11 * g1 + i12 * g0 as d1, i12 * g1 + i22 * g0 as d0 from n{k}),
+    gain{k} as (select nc.id, sum((x * d1 + d0) * (x * d1 + d0) / (1 / v + (x * x * i11 + 2 * x * i12 + i22))) as gain from nc join d{k} d on d.label = nc.label group by nc.id),
+    nb{k} as (select id, gain from gain{k} where id not in ({done}) order by gain desc, id limit 1),
+    u{k} as (select d.label, i11 * x + i12 as u1, i12 * x + i22 as u0, x, p * (1 - p) as w from nb{k} b join nc on nc.id = b.id join d{k} d on d.label = nc.label),
+    n{k + 1} as (select d.label, trace, i11 - f * u1 * u1 as i11, i12 - f * u1 * u0 as i12, i22 - f * u0 * u0 as i22, g1, g0
+            from (select *, w / (1 + w * (u1 * x + u0)) as f from u{k}) u join d{k} d on d.label = u.label)""")
+    return ",\n    ".join(out)
+
+
+def _narrow(t, role):
+    return t.role(role).withColumn("features", F.slice("features", 1, 1))
+
+
+def _narrow_design(t):
+    return design.build(_narrow(t, "labeled"), _narrow(t, "reference"), B.LABELS, 1, 0.01)
+
+
+@query("design_upper_bound_narrow", "L26", f"""
+    with {_narrow_steps(0)} select nc.id, {R('sum((x * d1 + d0) * (x * d1 + d0) / (1 / v + (x * x + 1) / trace))')} as bound from nc join d0 d on d.label = nc.label group by nc.id""")
+def _(t):
+    return design.upper_bound(_narrow(t, "candidate"), _narrow_design(t))
+
+
+@query("design_marginal_gain_narrow", "L27", f"with {_narrow_steps(0)} select id, {R('gain')} as gain from gain0")
+def _(t):
+    return design.marginal_gain(_narrow(t, "candidate"), _narrow_design(t))
+
+
+@query("design_deflated_gain_narrow", "L28", f"with {_narrow_steps(1)} select id, {R('gain')} as gain from gain1")
+def _(t):
+    d, pool = _narrow_design(t), _narrow(t, "candidate")
+    best = take_top(design.marginal_gain(pool, d), "gain", "id", 1).join(pool, "id").select("features", "p").first()
+    state = design.Deflation.start(d)
+    state.add(best["features"], best["p"])
+    covered = design.coverage(pool.select("id", "features", "p"), ["id"], d)
+    return design.gains(covered, ["id"], state.direction, state.steps)
+
+
+@query("design_greedy_narrow", "F5 L28", f"""
+    with {_narrow_steps(3)} select 1::bigint as rank, id, {R('gain')} as score from nb0 union all select 2, id, {R('gain')} from nb1 union all select 3, id, {R('gain')} from nb2 union all select 4, id, {R('gain')} from nb3""")
+def _(t):
+    return greedy.by_gain(_narrow(t, "candidate"), _narrow_design(t), 4, 2).selection
+
+
 _BRANCH = f"""
     b as (select a.id, e.entropy, 1.0::double - list_cosine_similarity(a.t, c.t) as proxy from pool_tok a join pool_tok c on a.id = c.id and c.modality = 1
           join (select id, avg(-(p * ln(p) + (1 - p) * ln(1 - p))) as entropy from cand_p group by id) e on e.id = a.id where a.modality = 0),

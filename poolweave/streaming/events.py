@@ -85,19 +85,17 @@ def first_offsets(notes: DataFrame, stays: DataFrame) -> DataFrame:
 
 
 def running_moments(stream: DataFrame, key: str, value: str) -> DataFrame:
-    """Running count, sum and sum of squares per key (complete mode)."""
+    """Running count, mean and sum of squared deviations per key (complete mode). The state holds
+    central moments, which are merged pairwise, so large values do not cancel."""
     v = F.col(value).cast("double")
     return stream.filter(v.isNotNull()).groupBy(key).agg(
-        F.count("*").alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("q")
+        F.count("*").alias("n"), F.avg(v).alias("mean"), (F.var_pop(v) * F.count("*")).alias("m2")
     )
 
 
 def moments_to_stats(moments: DataFrame, key: str, sample: bool) -> DataFrame:
-    mean = F.col("s") / F.col("n")
     below = F.nullif(F.col("n") - 1, F.lit(0)) if sample else F.col("n")
-    return moments.select(
-        key, mean.alias("mean"), F.sqrt(F.greatest((F.col("q") - F.col("n") * mean * mean) / below, F.lit(0.0))).alias("std")
-    )
+    return moments.select(key, "mean", F.sqrt(F.col("m2") / below).alias("std"))
 
 
 class CarryForward(StatefulProcessor):
