@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import labels, resolution, selection, splits
 from ..session import scratch_path
-from ..sources import sinks, tables
+from ..sources import keyed, sinks, tables
 from . import loop, methods
 from .bindings import BRANDS, DUCK, SEED
 from .oracle_views import R
@@ -88,6 +88,24 @@ def _(t):
     return splits.read_split(t.spark, path, "val").select("stay_id", "subject_id")
 
 
+@query("keyed_store_lookup", "A10", """
+    select 'located' as part, stay_id, subject_id from split_stays where stay_id in (select stay_id from split_stays order by stay_id limit 3)
+    union all select 'fetched', stay_id, subject_id from split_stays where partition = 'val'
+    union all select 'paired', s.stay_id, s.subject_id from split_stays s where s.partition <> 'val'""")
+def _(t):
+    rows = t.split_stays.select("stay_id", "subject_id", "partition")
+    store = keyed.write_keyed(rows, "stay_id", 8)
+    rest = keyed.write_keyed(rows.filter("partition <> 'val'").select("stay_id"), "stay_id", 8)
+    first = [r["stay_id"] for r in rows.select("stay_id").orderBy("stay_id").limit(3).collect()]
+    parts = {
+        "located": keyed.locate(t.spark, store, "stay_id", first),
+        "fetched": keyed.fetch(t.spark, store, "stay_id", rows.filter("partition = 'val'")),
+        "paired": keyed.paired(t.spark, store, rest, "stay_id"),
+    }
+    shown = [df.select(F.lit(name).alias("part"), "stay_id", "subject_id") for name, df in parts.items()]
+    return shown[0].unionByName(shown[1]).unionByName(shown[2])
+
+
 @query("label_matrix_sink", "A14", """
     select 'matrix' as part, count(*) as rows from stays union all select 'counts', count(distinct label) from stay_labels""")
 def _(t):
