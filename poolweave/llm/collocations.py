@@ -26,7 +26,7 @@ from .common import given_back, shuffle_width, slices, stored
 
 LEAST, SHARE, BEST, SCALE = 10, 50, 2000, 1_000_000
 #: Bytes of text that a task counts at once.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: Different words, hashes of pairs, and phrases that a task adds up at once.
 HELD = 1 << 20
 HELD_PHRASES = 1 << 21
