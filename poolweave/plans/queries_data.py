@@ -159,7 +159,8 @@ def _(t):
 def _(t):
     path = scratch_path(t.spark, "groups")
     t.ccs.groupBy("grp", "group_id", "use_flag").agg(F.collect_list("code").alias("codes")).write.json(path)
-    return labels.group_dimension(tables.group_definitions(t.spark, path))
+    # Codes in two groups are rows of the SQL too; group_dimension_findings counts them.
+    return labels.group_dimension(tables.group_definitions(t.spark, path, strict=False))
 
 
 @query("group_dimension_findings", "A4", """
