@@ -1095,14 +1095,15 @@ def _(t):
 
 @query("first_record_per_study", "A8", "select l_orderkey as study_id, arg_min(l_suppkey, l_linenumber * 1000000 + l_partkey) as subject_id from lineitem where l_orderkey in (select o_orderkey from orders where o_orderstatus = 'F') group by l_orderkey order by 1")
 def _(t):
-    index = t.raw("lineitem").select(
+    index = t.spark.read.parquet(f"{t.folder}/lineitem.parquet").select(
         F.col("l_orderkey").alias("study_id"), F.col("l_suppkey").alias("subject_id"),
         F.concat(F.lit("r"), F.col("l_partkey").cast("string")).alias("path"),
         (F.col("l_linenumber").cast("bigint") * 1000000 + F.col("l_partkey")).alias("place"),
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"),
     )
-    # The list is a file in which the first line of a study counts.
+    # The list is a file in which the first line of a study counts; of one place, the table's first row.
     path = scratch_path(t.spark, "records")
-    in_order = index.repartitionByRange(8, "place").sortWithinPartitions("place").drop("place")
+    in_order = index.repartitionByRange(8, "place").sortWithinPartitions("place", "file", "at")
     in_order.select("subject_id", "study_id", "path").write.option("header", True).csv(path)
     index = tables.record_index(t.spark, path)
     wanted = t.raw("orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("study_id"))

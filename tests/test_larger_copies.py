@@ -5,6 +5,7 @@ import os
 import duckdb
 
 from poolweave.plans import registry
+from poolweave.plans.dialect import Spark
 from tests.compare import check, connect
 
 SOURCE = "/root/testdata/sf0.001"
@@ -31,3 +32,13 @@ def difference(spark, name, folder):
 def test_group_dimension_has_codes_of_two_groups(spark, tmp_path):
     twice = "select * from old union all select p_partkey + 1000000, p_name, 'Brand#' || (1 + p_partkey % 25), p_type, p_size, p_retailprice from old"
     assert difference(spark, "group_dimension", folder_with(tmp_path, part=twice)) == ""
+
+
+def test_first_record_of_equal_places_is_the_first_row(spark, tmp_path):
+    tied = "select * replace (1 as l_partkey, 1 as l_linenumber, (l_suppkey * 7 + row_number() over ()) % 1000 as l_suppkey) from old"
+    folder = folder_with(tmp_path, lineitem=tied)
+    # A cluster's shuffle hands rows over in any order; here the view shows them last row first.
+    rows = f"select * exclude (file_row_number) from read_parquet('{folder}/lineitem.parquet', file_row_number = true)"
+    duckdb.connect().execute(f"copy ({rows} order by file_row_number desc) to '{tmp_path}/turned.parquet'")
+    spark.read.parquet(f"{tmp_path}/turned.parquet").createOrReplaceTempView(Spark(spark, folder).t("lineitem"))
+    assert difference(spark, "first_record_per_study", folder) == ""
