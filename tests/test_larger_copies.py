@@ -42,3 +42,11 @@ def test_first_record_of_equal_places_is_the_first_row(spark, tmp_path):
     duckdb.connect().execute(f"copy ({rows} order by file_row_number desc) to '{tmp_path}/turned.parquet'")
     spark.read.parquet(f"{tmp_path}/turned.parquet").createOrReplaceTempView(Spark(spark, folder).t("lineitem"))
     assert difference(spark, "first_record_per_study", folder) == ""
+
+
+def test_column_fit_counts_equal_rows_once(spark, tmp_path):
+    # One customer's orders for everyone, in other orders: one mean of the same prices.
+    prices = "(select o_totalprice as p, row_number() over () as k from old limit 40)"
+    same = f"select o_orderkey, c as o_custkey, o_orderstatus, p as o_totalprice, o_orderdate, o_orderpriority from {prices} x, range(100) r(c), (select * exclude (o_custkey, o_totalprice) from old limit 1) order by hash(k * 1000 + c)"
+    spends = {r["column"]: r["distinct_values"] for r in registry.runner(registry.load()["column_fit"])(spark, folder_with(tmp_path, orders=same)).collect()}
+    assert spends["biometrics_spend"] == 1
