@@ -11,7 +11,7 @@ sample in which all three do.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache, partial
 
 import numpy as np
@@ -30,8 +30,11 @@ WORDS, SIMILARITY = 5, 0.8
 #: which candidates may differ.
 LANES, KEYS, SEGMENT, FAR = 4, 96, 23, 64
 #: Rows of a key of which all pairs are candidates; rows that are compared at once beyond that, and
-#: how many of the nearest are candidates then.
+#: how many of the nearest are candidates at first.
 FEW, BLOCK, NEAREST = 6, 1024, 1
+#: Bits in which fingerprints of shingles may differ: of 256 bits a similarity of 0.8 leaves 25.6
+#: different on average, and more than this in less than one of 10^18 pairs.
+FAR_SHINGLES = 80
 
 
 @cache
@@ -43,23 +46,30 @@ def word_print(text: str | None, block: int = 1 << 12) -> np.ndarray:
     """Fingerprint of the distinct words: LANES numbers of 64 bits. Every bit has its own order of
     hashes, and is a bit of the hash that comes first; all are 0 for a text without a word."""
     words = list(set((text or "").encode().translate(LOWER).split()))
-    if not words:
+    return least_bits(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)), block)
+
+
+def least_bits(hashes: np.ndarray, block: int = 1 << 12) -> np.ndarray:
+    if not len(hashes):
         return np.zeros(LANES, "<u8")
     least = np.full(64 * LANES, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(words), block):
-        part = words[i : i + block]
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, part), np.uint64, len(part))
-        least = np.minimum(least, (hashes[:, None] * _factors()).min(axis=0))
+    for i in range(0, len(hashes), block):
+        least = np.minimum(least, (hashes[i : i + block, None] * _factors()).min(axis=0))
     least = (least ^ (least >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     return np.packbits((least >> np.uint64(40) & np.uint64(1)).astype(np.uint8), bitorder="little").view("<u8")
 
 
-def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def shingle_print(text: str | None, words: int = WORDS) -> np.ndarray:
+    """The same of the distinct shingles."""
+    return least_bits(np.unique(shingle_hashes(text, words)))
+
+
+def _prints(batches: Iterator[pa.RecordBatch], kind: Callable = word_print, name: str = "fp") -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "text", 4 << 20):
-            found = np.stack([word_print(t.as_py()) for t in batch.column("text")]).astype("<u8")
+            found = np.stack([kind(t.as_py()) for t in batch.column("text")]).astype("<u8")
             cells = pa.Array.from_buffers(pa.binary(8 * LANES), len(found), [None, pa.py_buffer(np.ascontiguousarray(found))])
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), cells.cast(pa.binary())], ["_row", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), cells.cast(pa.binary())], ["_row", name])
 
 
 def _lanes(column: pa.Array) -> np.ndarray:
@@ -186,29 +196,86 @@ def _shingles(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(found, pa.list_(pa.int64()))], ["_row", "shingles"])
 
 
-def candidates(prints: DataFrame, keys: int = KEYS) -> DataFrame:
-    """``prints(_row, fp)`` -> distinct (a, b), a < b: pairs that share a key.
+def _cell(table: pa.Table) -> pa.Table:
+    """The odd rows of a key (side 0) against rows of it (side 1): pairs of different components whose
+    fingerprints, of words and of shingles, are near enough."""
+    side, rows, parts = (table.column(c).to_numpy() for c in ("side", "_row", "part"))
+    words, shingles = (_lanes(table.column(c)) for c in ("fp", "sp"))
+    odd, all_ = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    one, two = [], []
+    for i in range(0, len(odd), 128):
+        at = odd[i : i + 128]
+        near = parts[at][:, None] != parts[all_][None, :]
+        for prints, far in ((words, FAR), (shingles, FAR_SHINGLES)):
+            near &= sum(np.bitwise_count(prints[at, None, k] ^ prints[None, all_, k]).astype(np.int32) for k in range(LANES)) <= far
+        x, y = np.nonzero(near)
+        one.append(rows[at][x])
+        two.append(rows[all_][y])
+    a, b = (np.concatenate(x or [np.empty(0, np.int64)]) for x in (one, two))
+    return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+
+def candidates(prints: DataFrame, keys: int = KEYS) -> tuple[DataFrame, DataFrame]:
+    """``prints(_row, fp)`` -> distinct (a, b), a < b: pairs that share a key, and (key, _row) of
+    the keys of which not all pairs are among them.
 
     A key with more than FEW rows is cut into blocks, in the order of the rows' hash, and each row
     is paired with its NEAREST fingerprints there. Blocks of other keys hold other rows, so that in
-    a large group a row meets those closest to it.
+    a large group a row meets those closest to it; ``open_pairs`` has what these leave open.
     """
     spread = prints.repartition(shuffle_width(prints.sparkSession), "_row")
     rows = spread.mapInArrow(given_back(partial(_keys, keys=keys)), "key long, _row long")
     found = stored(rows.repartition("key").sortWithinPartitions("key", "_row").mapInArrow(given_back(_pairs), "kind int, a long, b long"), "near-pairs")
-    large = found.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("_row")).join(prints, "_row")
-    large = large.repartition("key").sortWithinPartitions("key", F.xxhash64("key", "_row"))
-    near = large.select("key", "_row", "fp").mapInArrow(given_back(_nearest), "a long, b long")
-    return found.filter("kind = 0").select("a", "b").unionByName(near).distinct()
+    large = found.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("_row"))
+    blocks = large.join(prints, "_row").repartition("key").sortWithinPartitions("key", F.xxhash64("key", "_row"))
+    near = blocks.select("key", "_row", "fp").mapInArrow(given_back(_nearest), "a long, b long")
+    return found.filter("kind = 0").select("a", "b").unionByName(near).distinct(), large
+
+
+def open_pairs(rows: DataFrame, prints: DataFrame, large: DataFrame, links: DataFrame, words: int) -> DataFrame:
+    """All pairs of a large key that ``links`` do not connect already and whose fingerprints are near
+    enough: (a, b). With them the components are those of all pairs of the key.
+
+    In a key, the component with most rows need not be compared with itself: the others, the odd
+    rows, are compared with all rows, in cells of about BLOCK times BLOCK, each a task's group.
+    """
+    parts = connected_components(links)
+    held = large.join(parts, F.col("_row") == F.col("node"), "left")
+    held = stored(held.select("key", "_row", F.coalesce("component", "_row").alias("part")), "large-keys")
+    sizes = held.groupBy("key", "part").agg(F.count("*").alias("n"))
+    keys = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "part")).alias("main")).filter("n > main.n")
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("long")
+    keys = keys.select("key", F.col("main.part").alias("main"), blocks(F.col("n")).alias("across"), blocks(F.col("n") - F.col("main.n")).alias("down"))
+    held = held.join(stored(keys, "open-keys"), "key")
+    texts = rows.select("_row", "text").join(held.select("_row").distinct(), "_row", "left_semi")
+    kind = partial(_prints, kind=partial(shingle_print, words=words), name="sp")
+    shingles = stored(texts.mapInArrow(given_back(kind), "_row long, sp binary"), "shingle-prints")
+    held = held.join(prints.select("_row", "fp"), "_row").join(shingles, "_row")
+    at = F.xxhash64("key", "_row")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    fields = ["key", "_row", "part", "fp", "sp"]
+    odd = held.filter("part <> main").select(*fields, F.lit(0).alias("side"), F.pmod(at, "down").alias("i"), every("across").alias("j"))
+    all_ = held.select(*fields, F.lit(1).alias("side"), every("down").alias("i"), F.pmod(at, "across").alias("j"))
+    return odd.unionByName(all_).groupBy("key", "i", "j").applyInArrow(_cell, "a long, b long").distinct()
 
 
 def similar_links(rows: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, keys: int = KEYS) -> DataFrame:
     """``rows(_row, text)`` -> (a, b): candidates whose sets of shingles have at least the Jaccard
-    similarity. Sets are made only of rows that are candidates, and compared in the JVM."""
+    similarity; they connect what all such pairs that share a key connect."""
     prints = stored(rows.select("_row", "text").mapInArrow(given_back(_prints), "_row long, fp binary"), "word-prints")
+    pairs, large = candidates(prints, keys)
     sides = [prints.select(F.col("_row").alias(c), F.col("fp").alias(f"fp_{c}")) for c in ("a", "b")]
-    close = candidates(prints, keys).join(sides[0], "a").join(sides[1], "b").mapInArrow(_close, "a long, b long")
-    pairs = stored(close, "candidates")
+    close = pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(_close, "a long, b long")
+    links = stored(verified(rows, close, words, similarity), "links")
+    if large.isEmpty():
+        return links
+    return links.unionByName(verified(rows, open_pairs(rows, prints, large, links, words), words, similarity))
+
+
+def verified(rows: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs that have the similarity. Sets are made only of rows that are candidates, and compared
+    in the JVM."""
+    pairs = stored(pairs, "candidates")
     wanted = pairs.select(F.col("a").alias("_row")).unionByName(pairs.select(F.col("b").alias("_row"))).distinct()
     sets = rows.select("_row", "text").join(wanted, "_row", "left_semi")
     sets = stored(sets.mapInArrow(given_back(partial(_shingles, words=words)), "_row long, shingles array<long>"), "shingles")

@@ -85,3 +85,19 @@ def test_prints_and_keys():
     keys = similar.word_keys(np.stack([a, b, far, a]))
     assert (keys[0] == keys[3]).all() and (keys[0] == keys[1]).sum() > 5 > (keys[0] == keys[2]).sum()
     assert similar.word_print(None).tolist() == [0] * similar.LANES == similar.word_print(" ").tolist()
+
+
+def test_links_behind_nearer_fingerprints(spark):
+    """Texts of the same words in another order are nearest by their words, but share no shingles: the
+    copy with a word changed, which has such texts too, has to be found behind them."""
+    rng = random.Random(21)
+    texts = []
+    for _ in range(12):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+        copy = changed(words, 0.0, rng)
+        texts += [words, copy] + [rng.sample(t, len(t)) for t in (words, copy) for _ in range(4)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    links = [(a, b) for a, x in rows for b, y in rows if a < b and a // 10 == b // 10 and jaccard(x, y) >= 0.8]
+    assert len(links) == 12
+    got = {r.doc_id: r.component_id for r in similar.similar_groups(documents(spark, rows)).collect()}
+    assert got == union_find(links, [i for i, _ in rows])
