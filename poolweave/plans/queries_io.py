@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 
 import numpy as np
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
@@ -164,17 +165,22 @@ def _(t):
 
 
 def _decode(path: str, content: bytes):
-    """An injected reader: text lines ``study,lead,t,mv`` of one recording."""
-    rows = np.genfromtxt(io.BytesIO(content), delimiter=",", dtype=None, encoding="utf-8", names="study,lead,t,mv", ndmin=1)
-    leads: dict[str, list[float]] = {}
-    for r in sorted(rows, key=lambda r: (r["lead"], r["t"])):
-        leads.setdefault(str(r["lead"]), []).append(float(r["mv"]))
-    return int(rows["study"][0]), 100.0, leads
+    """An injected reader: text lines ``study,lead,t,mv`` of the recordings in a file."""
+    rows = pd.read_csv(io.BytesIO(content), names=["study", "lead", "t", "mv"], dtype={"lead": str}, keep_default_na=False, float_precision="round_trip")
+    rows = rows.sort_values(["study", "lead", "t"], kind="stable")
+    studies: dict[int, dict[str, np.ndarray]] = {}
+    for (study, lead), part in rows.groupby(["study", "lead"], sort=False)["mv"]:
+        studies.setdefault(int(study), {})[lead] = part.to_numpy(float)
+    return [(study, 100.0, leads) for study, leads in studies.items()]
+
+
+#: Studies of a file; a file each takes more time to create, rename and list than to read.
+STUDIES = 64
 
 
 @query("signals_from_reader", "U5", f"select study_id, lead, t, {R('mv')} as mv from sig where mv is not null and lead = 'I' and t < 0 union all select study_id, lead, cast(row_number() over (partition by study_id, lead order by t) - 1 as int), {R('mv')} from sig where mv is not null")
 def _(t):
     path = scratch_path(t.spark, "signals")
-    known = t.sig.filter("mv is not null").select(F.concat_ws(",", "study_id", "lead", "t", "mv").alias("value"), F.col("study_id").alias("study"))
-    known.repartition("study").write.partitionBy("study").text(path)
+    known = t.sig.filter("mv is not null").select(F.concat_ws(",", "study_id", "lead", "t", "mv").alias("value"), F.expr(f"study_id div {STUDIES}").alias("studies"))
+    known.repartition("studies").write.partitionBy("studies").text(path)
     return tables.signals_from_files(t.spark, path, _decode, "*.txt")

@@ -181,7 +181,9 @@ def experiment_metrics(spark: SparkSession, paths: list[str], depth: int = 1) ->
 
 
 def signals_from_files(spark: SparkSession, folder: str, reader, pattern: str = "*") -> DataFrame:
-    """Long signals through an injected reader ``content -> (study_id, fs, {lead: values})``."""
+    """Long signals through an injected reader ``content -> (study_id, fs, {lead: values})``, or a list
+    of these where a file holds several recordings. A file's rows leave as one frame."""
+    import numpy as np
     import pandas as pd
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option(
@@ -191,10 +193,13 @@ def signals_from_files(spark: SparkSession, folder: str, reader, pattern: str =
     def run(batches):
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                study, _, leads = reader(path, content)
-                for lead, values in leads.items():
-                    yield pd.DataFrame(
-                        {"study_id": study, "lead": lead, "t": range(len(values)), "mv": values}
-                    )
+                found = reader(path, content)
+                parts = [(r[0], lead, v) for r in ([found] if isinstance(found, tuple) else found) for lead, v in r[2].items()]
+                sizes = [len(v) for _, _, v in parts]
+                if sum(sizes):
+                    columns = {"study_id": np.repeat([s for s, _, _ in parts], sizes), "lead": np.repeat([n for _, n, _ in parts], sizes)}
+                    columns["t"] = np.concatenate([np.arange(n) for n in sizes])
+                    columns["mv"] = np.concatenate([np.asarray(v, float) for _, _, v in parts])
+                    yield pd.DataFrame(columns)
 
     return files.select("path", "content").mapInPandas(run, "study_id long, lead string, t int, mv double")

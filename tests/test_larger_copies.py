@@ -6,6 +6,8 @@ import duckdb
 
 from poolweave.plans import registry
 from poolweave.plans.dialect import Spark
+from poolweave.plans.queries_io import _decode
+from poolweave.sources import tables
 from tests.compare import check, connect
 
 SOURCE = "/root/testdata/sf0.001"
@@ -50,3 +52,11 @@ def test_column_fit_counts_equal_rows_once(spark, tmp_path):
     same = f"select o_orderkey, c as o_custkey, o_orderstatus, p as o_totalprice, o_orderdate, o_orderpriority from {prices} x, range(100) r(c), (select * exclude (o_custkey, o_totalprice) from old limit 1) order by hash(k * 1000 + c)"
     spends = {r["column"]: r["distinct_values"] for r in registry.runner(registry.load()["column_fit"])(spark, folder_with(tmp_path, orders=same)).collect()}
     assert spends["biometrics_spend"] == 1
+
+
+def test_a_file_of_several_recordings(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("7,II,1,0.5\n7,II,0,0.25\n8,I,3,1.5\n")
+    rows = tables.signals_from_files(spark, str(tmp_path), _decode, "*.txt").collect()
+    assert sorted(map(tuple, rows)) == [(7, "II", 0, 0.25), (7, "II", 1, 0.5), (8, "I", 0, 1.5)]
+    one = tables.signals_from_files(spark, str(tmp_path), lambda path, content: (3, 1.0, {"I": [1, 2], "V": []}), "*.txt").collect()
+    assert sorted(map(tuple, one)) == [(3, "I", 0, 1.0), (3, "I", 1, 2.0)]
