@@ -107,27 +107,34 @@ class CarryForward(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getMapState("seen", "variable string, bin int", "hours double, num double")
+        self.seen = handle.getValueState("seen", "variable array<string>, bin array<int>, hours array<double>, num array<double>")
         self.length = handle.getValueState("length", "bins int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if not self.length.exists():
-            pdf = next(rows)
-            self.length.update((int(pdf["bins"].iloc[0]),))
-            self.handle.registerTimer(int(pdf["ends_ms"].iloc[0]))
-            self._keep(pdf)
+        latest: dict[tuple[str, int], tuple[float, float]] = {}
+        first = None
         for pdf in rows:
-            self._keep(pdf)
+            first = pdf if first is None else first
+            for v, b, h, n in zip(pdf["variable"].tolist(), pdf["bin"].tolist(), pdf["hours"].tolist(), pdf["num"].tolist()):
+                if (v, b) not in latest or latest[v, b] < (h, n):
+                    latest[v, b] = (h, n)
+        if first is not None:
+            if self.length.exists():
+                for at, seen in self._seen():
+                    latest[at] = max(latest.get(at, seen), seen)
+            else:
+                self.length.update((int(first["bins"].iloc[0]),))
+                self.handle.registerTimer(int(first["ends_ms"].iloc[0]))
+            # One state value a stay: a call to the state store costs more than the bins of a stay.
+            self.seen.update(([v for v, _ in latest], [int(b) for _, b in latest], [h for h, _ in latest.values()], [n for _, n in latest.values()]))
         yield pd.DataFrame(columns=RUN_COLUMNS)
 
-    def _keep(self, pdf: pd.DataFrame) -> None:
-        latest = {(v, int(b)): (float(h), float(n)) for v, b, h, n in sorted(zip(pdf["variable"], pdf["bin"], pdf["hours"], pdf["num"]))}
-        for at, (hours, num) in latest.items():
-            if not self.seen.containsKey(at) or tuple(self.seen.getValue(at)) < (hours, num):
-                self.seen.updateValue(at, (hours, num))
+    def _seen(self) -> list[tuple]:
+        variable, bins, hours, nums = self.seen.get()
+        return list(zip(zip(variable, bins), zip(hours, nums)))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        runs = sorted((k[0], k[1], v[1]) for k, v in self.seen.iterator())
+        runs = sorted((v, b, num) for (v, b), (_, num) in self._seen())
         length = self.length.get()[0]
         until = [b[1] if a[0] == b[0] else length for a, b in zip(runs, runs[1:])] + [length]
         out = [(key[0], variable, since, u, num) for (variable, since, num), u in zip(runs, until)]

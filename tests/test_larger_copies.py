@@ -3,11 +3,13 @@
 import os
 
 import duckdb
+import pandas as pd
 
 from poolweave.plans import registry
 from poolweave.plans.dialect import Spark
 from poolweave.plans.queries_io import _decode
 from poolweave.sources import tables
+from poolweave.streaming.events import CarryForward
 from tests.compare import check, connect
 
 SOURCE = "/root/testdata/sf0.001"
@@ -60,3 +62,45 @@ def test_a_file_of_several_recordings(spark, tmp_path):
     assert sorted(map(tuple, rows)) == [(7, "II", 0, 0.25), (7, "II", 1, 0.5), (8, "I", 0, 1.5)]
     one = tables.signals_from_files(spark, str(tmp_path), lambda path, content: (3, 1.0, {"I": [1, 2], "V": []}), "*.txt").collect()
     assert sorted(map(tuple, one)) == [(3, "I", 0, 1.0), (3, "I", 1, 2.0)]
+
+
+class _States:
+    """A state store that counts its calls."""
+
+    def __init__(self):
+        self.calls, self.value, self.timers = 0, None, []
+
+    def getValueState(self, name, *schema):
+        return _State(self)
+
+    getMapState = getValueState
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+class _State:
+    def __init__(self, store):
+        self.store, self.held = store, {}
+
+    def __getattr__(self, name):
+        self.store.calls += 1
+        return {
+            "exists": lambda: bool(self.held), "get": lambda: self.held[None], "update": lambda v: self.held.update({None: v}), "clear": self.held.clear,
+            "containsKey": lambda k: k in self.held, "getValue": lambda k: self.held[k], "updateValue": lambda k, v: self.held.update({k: v}), "iterator": lambda: iter(self.held.items()),
+        }[name]
+
+
+def test_carry_forward_calls_the_store_as_often_for_many_bins():
+    calls = []
+    for n in (2, 200):
+        store, rule = _States(), CarryForward()
+        rule.init(store)
+        for shift in (0.0, 0.5):
+            part = pd.DataFrame({"variable": "hr", "bin": range(n), "hours": [b + shift for b in range(n)], "num": [b + shift for b in range(n)], "bins": n + 3, "ends_ms": 9})
+            assert all(out.empty for out in rule.handleInputRows((5,), iter([part[::-1], part]), None))
+        calls.append(store.calls)
+        out = next(rule.handleExpiredTimer((5,), None, None))
+        assert store.timers == [9]
+        assert out.values.tolist() == [[5, "hr", b, b + 1 if b < n - 1 else n + 3, b + 0.5] for b in range(n)]
+    assert calls[0] == calls[1]
