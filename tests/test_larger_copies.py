@@ -6,6 +6,7 @@ import duckdb
 import pandas as pd
 
 from poolweave.plans import registry
+from poolweave.plans.bindings import Tables
 from poolweave.plans.dialect import Spark
 from poolweave.plans.queries_io import _decode
 from poolweave.sources import tables
@@ -104,3 +105,8 @@ def test_carry_forward_calls_the_store_as_often_for_many_bins():
         assert store.timers == [9]
         assert out.values.tolist() == [[5, "hr", b, b + 1 if b < n - 1 else n + 3, b + 0.5] for b in range(n)]
     assert calls[0] == calls[1]
+
+
+def test_cells_are_made_after_the_joins(spark):
+    plan = Tables(spark, SOURCE).cells._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" in plan and plan.index("Generate") < plan.index("Join")
