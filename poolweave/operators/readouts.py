@@ -118,7 +118,7 @@ def out_of_fold(labeled: DataFrame, weights: np.ndarray) -> DataFrame:
     def run(tokens, fold):
         own = weights[fold.astype(int) + 1]
         logits = np.einsum("nmd,nmcd->nmc", tokens, own[..., :-1]) + own[..., -1]
-        return {"q": sigmoid(logits).tolist()}
+        return {"q": sigmoid(logits)}
 
     return add_columns(
         labeled.withColumn("_f", F.array("fold")), ["tokens", "_f"], "q array<array<double>>",

@@ -131,6 +131,6 @@ def with_fused(rows: DataFrame, fuser) -> DataFrame:
 
     def run(tokens):
         fused = fuser.fuse(tokens)
-        return {"features": fused.tolist(), "p": fuser.probabilities(fused).tolist()}
+        return {"features": fused, "p": fuser.probabilities(fused)}
 
     return add_columns(rows, ["tokens"], "features array<double>, p array<double>", run)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from poolweave.functions.vectors import LinearFuser
+from poolweave.functions.vectors import SLICE_ROWS, LinearFuser, add_columns
 from poolweave.operators import checks, design, disagreement as dg, mixup, prototypes as pt, readouts, selection
 from poolweave.plans import methods
 
@@ -307,3 +307,20 @@ def test_counterfactual_partners_do_not_depend_on_the_join(spark):
     a = design.counterfactual_tokens(df, df, M, 2, 5)
     b = design.counterfactual_tokens(df.repartition(6), df.repartition(3), M, 2, 5, bounded_work=True)
     assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
+def test_a_pass_works_on_slices_of_a_batch(spark):
+    rows = spark.range(5000, numPartitions=1).select("id", F.array(F.array("id", -F.col("id"))).alias("v"))
+    out = add_columns(rows, ["v"], "seen long, twice array<array<double>>", lambda v: {"seen": np.full(len(v), len(v)), "twice": 2 * v})
+    got = out.orderBy("id").collect()
+    assert max(r["seen"] for r in got) <= SLICE_ROWS
+    assert [r["twice"] for r in got] == [[[2.0 * i, -2.0 * i]] for i in range(5000)]
+
+
+def test_measures_are_one_python_pass(spark):
+    df = pool(spark, 40, 3)[0].select("id", "p", F.col("tokens").alias("_t")).withColumn("q", F.array("p", F.transform("p", lambda x: 1 - x))).drop("_t")
+    fused, probe, weights = np.full(C, 0.5), np.full((M, C), 0.4), np.full((M, C), 0.5)
+    one = dg.measures(df, fused, probe, weights)
+    three = dg.sufficiency(dg.js_disagreement(dg.decisions(df, fused, probe), weights))
+    assert one.orderBy("id").collect() == three.orderBy("id").collect()
+    assert one._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
