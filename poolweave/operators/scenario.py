@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import with_scalars
 from ..functions.columns import blank_tokens, uniform
 from ..functions.ranks import row_ranks
+from ..session import cut_lineage
 from . import checks
 from .labels import frequency_ranks
 
@@ -130,12 +131,15 @@ def resolve(
     series: Withhold | None = None,
     disjoint: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """The declared scenario: (rows with missing flags, label subset)."""
+    """The declared scenario: (rows with missing flags, label subset).
+
+    A draw reads its rows three times (sizes, eligible rows, flags), so they are stored before each.
+    """
     out = rows
     if notes:
-        out = withheld(out, notes, "notes_available")
+        out = withheld(cut_lineage(out), notes, "notes_available")
     if series:
-        out = withheld(out, series, "series_available", "notes_missing" if disjoint and notes else None)
+        out = withheld(cut_lineage(out), series, "series_available", "notes_missing" if disjoint and notes else None)
     return out, label_subset(names, train_positives, drop_top, minimum)
 
 

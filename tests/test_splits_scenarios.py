@@ -114,3 +114,18 @@ def test_folds_keep_groups_whole_and_balanced(spark):
     sizes = spark.createDataFrame([(i, 1 + i % 4) for i in range(40)], "g long, size long")
     out = splits.serpentine_folds(sizes, "g", "size", 4).groupBy("fold").agg(F.sum("size").alias("s")).collect()
     assert len(out) == 4 and max(r["s"] for r in out) - min(r["s"] for r in out) <= 4
+
+
+def test_a_scenario_reads_its_rows_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    rows = scenario_rows(spark)
+    names = spark.createDataFrame([("a", 0), ("b", 1)], "label string, ord int")
+    gaps = [scenario.Withhold(m, 0.4, seed=3) for m in ("notes", "series")]
+    out, _subset = scenario.resolve(rows.mapInPandas(seen, rows.schema), names, names.select(F.lit(1).alias("id"), "label"), notes=gaps[0], series=gaps[1])
+    assert out.count() == 500 and read.value == 500
