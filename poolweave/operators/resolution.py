@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,20 @@ def paired_rows(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
     ).withColumn("diff", F.col("right") - F.col("left"))
 
 
+def paired_columns(cells: DataFrame, left: str, right: str, k: int) -> DataFrame:
+    """``paired_rows`` of two score columns of the same cells, which are read and grouped once."""
+    packed = cells.groupBy("id").agg(
+        F.sum("y").cast("double").alias("positives"), F.collect_list(F.struct("ord", F.col("y").cast("int").alias("y"), left, right)).alias("r")
+    )
+
+    def recall(column: str):
+        best = F.array_sort(F.transform("r", lambda x: F.struct((-x[column]).alias("k"), x["ord"].alias("ord"), x["y"].alias("y"))))
+        return F.aggregate(F.slice(best, 1, k), F.lit(0), lambda a, x: a + x["y"]).cast("double") / F.col("positives")
+
+    out = packed.filter(F.col("positives") > 0).select("id", recall(left).alias("left"), recall(right).alias("right"))
+    return out.withColumn("diff", F.col("right") - F.col("left"))
+
+
 def _poisson_cdf(terms: int = 16) -> list[float]:
     """Cumulative probabilities of Poisson(1) for 0, 1, 2, ..."""
     out, total, term = [], 0.0, math.exp(-1.0)
@@ -81,24 +96,33 @@ def bootstrap_draws(pairs: DataFrame, draws: int, seed: int) -> DataFrame:
 BUCKET, AT_ONCE = 50_000, 16
 
 
-def _taken(bounds: np.ndarray, bucket: int, draws: int, items: int, seed: int) -> np.ndarray:
+def _takes(bounds: np.ndarray, draws: int, items: int, seed: int) -> Callable[[int], np.ndarray]:
     """How many of each draw's ``items`` fall into a bucket, given the running counts of buckets.
 
     The way down a tree over the buckets: at each node a binomial splits what it has between its
     halves. A node's numbers depend on (seed, node) alone, so all buckets below it agree on them.
+    The way to the bucket asked last is kept: buckets that are asked in order share most of it.
     """
-    low, high = 0, len(bounds) - 1
-    left = np.full(draws, items, np.int64)
-    while high - low > 1:
-        middle = (low + high) // 2
-        size = bounds[high] - bounds[low]
-        share = (bounds[middle] - bounds[low]) / size if size else 0.0
-        first = np.random.default_rng([seed, low, high]).binomial(left, share)
-        if bucket < middle:
-            left, high = first, middle
-        else:
-            left, low = left - first, middle
-    return left
+    path = [(0, len(bounds) - 1, np.full(draws, items, np.int64))]
+
+    def taken(bucket: int) -> np.ndarray:
+        while not path[-1][0] <= bucket < path[-1][1]:
+            path.pop()
+        low, high, left = path[-1]
+        while high - low > 1:
+            middle = (low + high) // 2
+            size = bounds[high] - bounds[low]
+            share = (bounds[middle] - bounds[low]) / size if size else 0.0
+            first = np.random.default_rng([seed, low, high]).binomial(left, share)
+            low, high, left = (low, middle, first) if bucket < middle else (middle, high, left - first)
+            path.append((low, high, left))
+        return left
+
+    return taken
+
+
+def _taken(bounds: np.ndarray, bucket: int, draws: int, items: int, seed: int) -> np.ndarray:
+    return _takes(bounds, draws, items, seed)(bucket)
 
 
 def multinomial_draws(pairs: DataFrame, draws: int, seed: int, bucket: int = BUCKET) -> DataFrame:
@@ -107,31 +131,48 @@ def multinomial_draws(pairs: DataFrame, draws: int, seed: int, bucket: int = BUC
 
     Rows are hashed by id into buckets of a bounded size. A tree of binomials says how many items of
     a draw come from a bucket, and inside it they are drawn one by one; so draws are multinomial as
-    a whole, though no task sees more than a bucket. The driver sees the buckets' sizes.
+    a whole, though no task holds more than a bucket and a batch. A task gets a range of buckets in
+    order and adds them up to one row a draw. The driver sees the buckets' sizes.
     """
-    rows = pairs.count()
+    stored = cut_lineage(pairs.select("id", "diff", F.xxhash64(F.lit(seed), "id").alias("_hash")))
+    rows = stored.count()
     count = max(1, -(-rows // bucket))
-    spread = cut_lineage(pairs.select("id", "diff", F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(count)).cast("int").alias("bucket")))
+    spread = stored.select("id", "diff", F.pmod("_hash", F.lit(count)).cast("int").alias("bucket"))
     sizes = np.zeros(count + 1, np.int64)
-    for r in spread.groupBy("bucket").agg(F.count("*").alias("n")).collect():
-        sizes[r["bucket"] + 1] = r["n"]
+    held = spread.groupBy("bucket").agg(F.count("*").alias("n")).toPandas()
+    sizes[held["bucket"].to_numpy() + 1] = held["n"].to_numpy()
     bounds = np.cumsum(sizes)
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = pdf.sort_values("id")["diff"].to_numpy()
-        own = int(pdf["bucket"].iloc[0])
-        wanted = _taken(bounds, own, draws, rows, seed)
-        rng = np.random.default_rng([seed, own])
-        sums = np.zeros(draws)
-        for first in range(0, draws, AT_ONCE):
-            n = wanted[first : first + AT_ONCE]
-            drawn = values[rng.integers(0, len(values), int(n.sum()))]
-            ends = np.cumsum(n)
-            total = np.append(0.0, np.cumsum(drawn))
-            sums[first : first + AT_ONCE] = total[ends] - total[ends - n]
-        return pd.DataFrame({"draw": np.arange(draws), "total": sums, "items": wanted})
-
-    parts = spread.groupBy("bucket").applyInPandas(kernel, "draw int, total double, items long")
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        taken = _takes(bounds, draws, rows, seed)
+        totals, items, rest = np.zeros(draws), np.zeros(draws, np.int64), None
+
+        def draw(own: int, values: np.ndarray) -> None:
+            wanted = taken(own)
+            rng = np.random.default_rng([seed, own])
+            for first in range(0, draws, AT_ONCE):
+                n = wanted[first : first + AT_ONCE]
+                drawn = values[rng.integers(0, len(values), int(n.sum()))]
+                ends = np.cumsum(n)
+                total = np.append(0.0, np.cumsum(drawn))
+                totals[first : first + AT_ONCE] += total[ends] - total[ends - n]
+            items[:] += wanted
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            batch = batch if rest is None else pd.concat([rest, batch])
+            own, values = batch["bucket"].to_numpy(), batch["diff"].to_numpy()
+            starts = np.flatnonzero(np.diff(own, prepend=-1))
+            for first, end in zip(starts[:-1], starts[1:]):
+                draw(int(own[first]), values[first:end])
+            rest = batch.iloc[starts[-1] :]
+        if rest is not None:
+            draw(int(rest["bucket"].iloc[0]), rest["diff"].to_numpy())
+            yield pd.DataFrame({"draw": np.arange(draws), "total": totals, "items": items})
+
+    ordered = spread.repartitionByRange("bucket").sortWithinPartitions("bucket", "id").select("bucket", "diff")
+    parts = ordered.mapInPandas(kernel, "draw int, total double, items long")
     return parts.groupBy("draw").agg(F.sum("items").alias("items"), (F.sum("total") / F.sum("items")).alias("mean_diff"))
 
 

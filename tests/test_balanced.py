@@ -105,3 +105,25 @@ def test_interval_of_a_known_case(spark):
         assert np.allclose([r["mean"], r["low"], r["high"]], 1.0)
     with pytest.raises(ValueError):
         resolution.paired_interval(pairs, 20, 1, "other")
+
+
+def test_draws_read_their_pairs_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    pairs = spark.createDataFrame([(i, float(i % 7)) for i in range(400)], "id long, diff double").mapInPandas(seen, "id long, diff double")
+    got = resolution.multinomial_draws(pairs, 20, 9, bucket=4).collect()
+    assert len(got) == 20 and all(r["items"] == 400 for r in got) and read.value == 400
+
+
+def test_two_score_columns_are_paired_in_one_pass(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, f"l{j}", j, int(rng.random() < 0.3), float(rng.integers(0, 4)), float(rng.integers(0, 4))) for i in range(60) for j in range(6)]
+    cells = spark.createDataFrame(rows, "id long, label string, ord int, y int, p double, q double")
+    arm = lambda c: cells.select("id", "label", "ord", "y", F.col(c).alias("p"))
+    two = resolution.paired_rows(arm("p"), arm("q"), 2)
+    assert sorted(map(tuple, resolution.paired_columns(cells, "p", "q", 2).collect())) == sorted(map(tuple, two.collect()))
