@@ -26,9 +26,12 @@ def write_shards(rows: DataFrame, path: str, rows_per_file: int = 1_000_000) ->
 
 
 def shard_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(file, rows) of a written table, read from file metadata columns only."""
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1)
-    return spark.read.parquet(path).groupBy(name.alias("file")).agg(F.count("*").alias("rows"))
+    """(file, rows) of a written table, read from file metadata columns only.
+
+    Rows are counted by whole path; the name is cut out once a file, not once a row.
+    """
+    per_path = spark.read.parquet(path).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("n"))
+    return per_path.groupBy(F.substring_index("path", "/", -1).alias("file")).agg(F.sum("n").alias("rows"))
 
 
 def table_manifest(rows: DataFrame, arrays: list[str], split: str = "partition") -> DataFrame:

@@ -9,7 +9,7 @@ from poolweave.plans import registry
 from poolweave.plans.bindings import Tables
 from poolweave.plans.dialect import Spark
 from poolweave.plans.queries_io import _decode
-from poolweave.sources import tables
+from poolweave.sources import sinks, tables
 from poolweave.streaming.events import CarryForward
 from tests.compare import check, connect
 
@@ -110,3 +110,16 @@ def test_carry_forward_calls_the_store_as_often_for_many_bins():
 def test_cells_are_made_after_the_joins(spark):
     plan = Tables(spark, SOURCE).cells._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" in plan and plan.index("Generate") < plan.index("Join")
+
+
+def test_a_manifest_cuts_names_out_once_a_file(spark, tmp_path):
+    rows = spark.range(25).selectExpr("id", "id % 2 as half").coalesce(1)
+    sinks.write_shards(rows, str(tmp_path / "t" / "a"), 10)
+    (tmp_path / "t" / "b").mkdir()
+    for file in (tmp_path / "t" / "a").glob("*.parquet"):  # files of one name in two folders count as one
+        (tmp_path / "t" / "b" / file.name).write_bytes(file.read_bytes())
+    found = sinks.shard_manifest(spark.newSession(), f"{tmp_path}/t/*")
+    assert sorted(r["rows"] for r in found.collect()) == [10, 20, 20]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    per_row = plan[plan.rindex("Project"):]
+    assert "file_path" in per_row and "regexp" not in per_row and "substring_index" not in per_row
