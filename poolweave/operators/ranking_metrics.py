@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import with_scalars
-from ..functions.ranks import range_bounds, running_sums
+from ..functions.ranks import join_on, range_bounds, range_of
 from ..session import cut_lineage
 from . import checks
 
@@ -74,7 +73,7 @@ def prior_recall(train_positives: DataFrame, test_positives: DataFrame, names: D
     return rows.agg(F.avg("r").alias("prior_recall"))
 
 
-def _score_table(cells: DataFrame) -> tuple[DataFrame, list[float]]:
+def score_table(cells: DataFrame) -> tuple[DataFrame, list[float]]:
     """(label, p, pos, neg) stored once, with the range bounds of the scores."""
     counts = cut_lineage(
         cells.groupBy("label", (F.col("p").cast("double") + F.lit(0.0)).alias("p")).agg(
@@ -85,50 +84,88 @@ def _score_table(cells: DataFrame) -> tuple[DataFrame, list[float]]:
     return counts, range_bounds(counts, "p")
 
 
-def _areas(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """AUROC by tie-averaged ranks and average precision over distinct scores."""
-    at_least_pos = F.col("pos_all") - F.col("pos_before")
-    at_least_neg = F.col("neg_all") - F.col("neg_before")
-    above_pos = at_least_pos - F.col("pos")
-    ap = F.sum(F.try_divide(F.col("pos"), F.col("pos_all")) * at_least_pos / (at_least_pos + at_least_neg))
-    wins = F.sum(F.col("neg") * (above_pos + F.col("pos") / F.lit(2.0)))
-    grouped = counts.groupBy(*keys).agg(
-        F.max("pos_all").alias("positives"),
-        F.max("neg_all").alias("negatives"),
-        ap.alias("_ap"),
-        wins.alias("_wins"),
-    )
-    pairs = F.col("positives") * F.col("negatives")
-    return grouped.select(
-        *keys,
-        "positives",
-        "negatives",
-        F.when(F.col("positives") > 0, F.col("_ap")).alias("auprc"),
-        F.when(pairs > 0, F.col("_wins") / pairs).alias("auroc"),
-    )
+# Range totals up to this many rows (labels x ranges) are sent to every task; more are joined.
+TOTALS_LIMIT = 100_000
+
+
+def _placed(counts: DataFrame, bounds: list[float]) -> DataFrame:
+    """Every (label, p) with the counts at this score or a greater one, of its label and of all (``m_``).
+
+    A range is shuffled once and sorted twice inside its task; the scores of a label are distinct by
+    then, so a range is as many rows as the bounds say.
+    """
+    counts = counts.withColumn("_range", range_of(F.col("p"), bounds))
+    totals = cut_lineage(counts.groupBy("label", "_range").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
+    few = totals.count() <= TOTALS_LIMIT
+    ahead = totals.select("label", "_range")
+    for keys, m in ((["label"], ""), ([], "m_")):
+        whole = Window.partitionBy(*keys)
+        # One row per label and range at most; without a label one row per range.
+        flat = totals.groupBy(*keys, "_range").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        greater = whole.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+        flat = flat.select(
+            *keys,
+            "_range",
+            *[F.coalesce(F.sum(c).over(greater), F.lit(0)).alias(f"_{m}{c}_ahead") for c in ("pos", "neg")],
+            *[F.sum(c).over(whole).alias(f"{m}{c}_all") for c in ("pos", "neg")],
+        )
+        ahead = join_on(ahead, F.broadcast(flat) if few else flat, [*keys, "_range"])
+    rows = join_on(counts.repartition("_range"), F.broadcast(ahead) if few else ahead, ["label", "_range"])
+    inside = {
+        "": Window.partitionBy("_range", "label").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, Window.currentRow),
+        "m_": Window.partitionBy("_range").orderBy(F.desc("p")).rangeBetween(Window.unboundedPreceding, Window.currentRow),
+    }
+    for m, window in inside.items():
+        rows = rows.select("*", *[(F.col(f"_{m}{c}_ahead") + F.sum(c).over(window)).alias(f"{m}{c}_from") for c in ("pos", "neg")])
+    return rows
+
+
+def _sums(m: str = "") -> list[Column]:
+    """Aggregates for average precision and for pairs in order, ties half: the positives from a negative's
+    score upwards and the negatives below a positive's count every pair twice, and a tie once."""
+    from_pos, from_neg = F.col(f"{m}pos_from"), F.col(f"{m}neg_from")
+    ap = F.sum(F.try_divide(F.col("pos"), F.col(f"{m}pos_all")) * from_pos / (from_pos + from_neg))
+    wins = F.sum((F.col("neg") * from_pos + F.col("pos") * (F.col(f"{m}neg_all") - from_neg)) / F.lit(2.0))
+    return [
+        F.max(f"{m}pos_all").alias(f"{m}positives"),
+        F.max(f"{m}neg_all").alias(f"{m}negatives"),
+        ap.alias(f"{m}ap"),
+        wins.alias(f"{m}wins"),
+    ]
+
+
+def _rates(m: str = "") -> list[Column]:
+    """AUROC by tie-averaged ranks and average precision over distinct scores, NULL if undefined."""
+    pairs = F.col(f"{m}positives") * F.col(f"{m}negatives")
+    return [
+        F.when(F.col(f"{m}positives") > 0, F.col(f"{m}ap")).alias("micro_auprc" if m else "auprc"),
+        F.when(pairs > 0, F.col(f"{m}wins") / pairs).alias("micro_auroc" if m else "auroc"),
+    ]
 
 
 def label_areas(cells: DataFrame) -> DataFrame:
     """Per label: positives, negatives, average precision and AUROC (NULL if undefined)."""
-    counts, bounds = _score_table(cells)
-    return _areas(running_sums(counts, ["label"], "p", ["pos", "neg"], bounds=bounds), ["label"])
+    return areas_of(*score_table(cells))
+
+
+def areas_of(counts: DataFrame, bounds: list[float]) -> DataFrame:
+    """The areas of a stored score table."""
+    return _placed(counts, bounds).groupBy("label").agg(*_sums()).select("label", "positives", "negatives", *_rates())
 
 
 def ranking_metrics(cells: DataFrame, strict: bool = True) -> DataFrame:
     """One row: macro and micro AUPRC and AUROC with the label coverage."""
-    counts, bounds = _score_table(cells)
-    per_label = _areas(running_sums(counts, ["label"], "p", ["pos", "neg"], bounds=bounds), ["label"])
-    macro = per_label.agg(
+    per_label = _placed(*score_table(cells)).groupBy("label").agg(*_sums(), *_sums("m_"))
+    over_all = [F.max("m_positives"), F.max("m_negatives"), F.sum("m_ap"), F.sum("m_wins")]
+    out = per_label.select("*", *_rates()).agg(
         F.avg("auprc").alias("macro_auprc"),
         F.avg("auroc").alias("macro_auroc"),
         F.count("*").alias("labels"),
         F.count("auprc").alias("labels_auprc"),
         F.count("auroc").alias("labels_auroc"),
+        *[c.alias(n) for c, n in zip(over_all, ("m_positives", "m_negatives", "m_ap", "m_wins"))],
     )
-    micro = _areas(running_sums(counts, [], "p", ["pos", "neg"], bounds=bounds), []).select(
-        F.col("auprc").alias("micro_auprc"), F.col("auroc").alias("micro_auroc")
-    )
-    out = with_scalars(macro, micro)
+    out = out.select("macro_auprc", "macro_auroc", "labels", "labels_auprc", "labels_auroc", *_rates("m_"))
     if strict:
         bad = F.raise_error(F.lit("AUPRC or AUROC is undefined for every label")).cast("double")
         for c in ("macro_auprc", "macro_auroc"):

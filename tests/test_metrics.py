@@ -134,3 +134,26 @@ def test_curves_need_one_metric(spark):
 def test_flatten_drops_arrays(spark):
     df = spark.sql("select 'x' as strategy, named_struct('recall_at_30', 0.75D, 'per', array(1)) as test")
     assert rs.flatten_metrics(df).columns == ["strategy", "test.recall_at_30"]
+
+
+def test_scores_are_shuffled_once_and_ties_count_half(spark):
+    rng = np.random.default_rng(5)
+    y = (rng.random((60, 4)) < 0.4).astype(int)
+    p = rng.integers(0, 6, (60, 4)) / 5  # every score is shared, in a label and between labels
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = rm.ranking_metrics(cells(spark, y, p))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        row = found.first()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and plan.count("REPARTITION_BY_COL") == 1
+
+    def areas(y, p):
+        pos, neg = p[y == 1], p[y == 0]
+        auc = np.mean((pos[:, None] > neg[None]) + 0.5 * (pos[:, None] == neg[None]))
+        return np.mean([(pos >= v).sum() / (p >= v).sum() for v in pos]), auc
+
+    per = np.array([areas(y[:, i], p[:, i]) for i in range(4)])
+    expected = [*per.mean(0), *areas(y.ravel(), p.ravel())]
+    np.testing.assert_allclose([row.macro_auprc, row.macro_auroc, row.micro_auprc, row.micro_auroc], expected, rtol=1e-12)
