@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import with_scalars
-from .ranking_metrics import label_areas, ranking_metrics
+from .ranking_metrics import areas_of, ranking_metrics, score_table
 
 # 26 equally spaced thresholds on [0, 1].
 GRID = [i / 25 for i in range(26)]
@@ -43,26 +43,27 @@ def fit_thresholds(cells: DataFrame) -> DataFrame:
     return counts.select("label", F.when(one_class, F.lit(0.5)).otherwise(best).alias("threshold"))
 
 
-def confusion(cells: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Confusion counts per label."""
+def confusion(counts: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """Confusion counts per label from a score table (label, p, pos, neg)."""
     hit = F.col("p") >= F.col("threshold")
-    y = F.col("y") == 1
+    total = lambda of, c: F.coalesce(F.sum(F.when(of, F.col(c))), F.lit(0))
     return (
-        cells.join(F.broadcast(thresholds), "label")
+        counts.join(F.broadcast(thresholds), "label")
         .groupBy("label")
         .agg(
             F.first("threshold").alias("threshold"),
-            F.count_if(y & hit).alias("tp"),
-            F.count_if(~y & hit).alias("fp"),
-            F.count_if(y & ~hit).alias("fn"),
-            F.count_if(~y & ~hit).alias("tn"),
+            total(hit, "pos").alias("tp"),
+            total(hit, "neg").alias("fp"),
+            total(~hit, "pos").alias("fn"),
+            total(~hit, "neg").alias("tn"),
         )
     )
 
 
 def label_details(cells: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Per label: support, threshold, areas and every thresholded rate."""
-    c = confusion(cells, thresholds)
+    """Per label: support, threshold, areas and every thresholded rate; the cells are made once."""
+    counts, bounds = score_table(cells)
+    c = confusion(counts, thresholds)
     tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
     rates = c.select(
         "label",
@@ -75,7 +76,7 @@ def label_details(cells: DataFrame, thresholds: DataFrame) -> DataFrame:
         (tn / F.greatest(tn + fp, F.lit(1))).alias("specificity"),
         (tn / F.greatest(tn + fn, F.lit(1))).alias("npv"),
     )
-    return rates.join(label_areas(cells).select("label", "auroc", "auprc"), "label")
+    return rates.join(areas_of(counts, bounds).select("label", "auroc", "auprc"), "label")
 
 
 def threshold_metrics(cells: DataFrame, thresholds: DataFrame) -> DataFrame:
