@@ -562,7 +562,16 @@ _SHOWN_SQL = ", ".join(f"'{c}'" for c in _SHOWN)
     from frame group by stay_id, step""")
 def _(t):
     names = frames.frame_columns()
-    total = lambda keep: sum((F.col("x")[i].cast("double") for i, n in enumerate(names) if keep(n)), F.lit(0.0))
+
+    def total(keep):
+        # Neighbouring columns are summed as slices: an expression a column makes a method too long to be compiled.
+        at = [i for i, n in enumerate(names) if keep(n)]
+        ends = [k for k in range(1, len(at)) if at[k] != at[k - 1] + 1]
+        out = F.lit(0.0)
+        for a, b in zip([0, *ends], [*ends, len(at)]):
+            out = F.aggregate(F.slice("x", at[a] + 1, b - a), out, lambda s, v: s + v.cast("double"))
+        return out
+
     return _wide(t).select(
         "stay_id",
         "step",

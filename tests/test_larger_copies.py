@@ -123,3 +123,9 @@ def test_a_manifest_cuts_names_out_once_a_file(spark, tmp_path):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     per_row = plan[plan.rindex("Project"):]
     assert "file_path" in per_row and "regexp" not in per_row and "substring_index" not in per_row
+
+
+def test_frame_totals_stay_short_enough_to_be_compiled(spark):
+    df = registry.load()["frame_vectors"].run(Tables(spark, SOURCE)).select("measured", "categories", "observed")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan[: plan.index("MapInArrow")].count("AS DOUBLE") < 20
