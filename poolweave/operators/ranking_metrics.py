@@ -185,8 +185,10 @@ def task_metrics(cells: DataFrame, task: str) -> DataFrame:
     if task not in TASK_METRICS:
         raise checks.AuditError(f"unknown task {task!r}")
     wanted = TASK_METRICS[task]
-    row = ranking_metrics(cells)
     ks = [int(m.rsplit("_", 1)[1]) for m in wanted if m.startswith("recall_at_")]
+    if ks:
+        cells = cut_lineage(cells.select("id", "label", "ord", "y", "p"))  # read by both kinds of metrics
+    row = ranking_metrics(cells)
     names = [m for m in wanted if not m.startswith("recall_at_")]
     pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in names])
     out = row.select(F.explode(pairs).alias("p")).select("p.metric", "p.value")

@@ -157,3 +157,18 @@ def test_scores_are_shuffled_once_and_ties_count_half(spark):
     per = np.array([areas(y[:, i], p[:, i]) for i in range(4)])
     expected = [*per.mean(0), *areas(y.ravel(), p.ravel())]
     np.testing.assert_allclose([row.macro_auprc, row.macro_auroc, row.micro_auprc, row.micro_auroc], expected, rtol=1e-12)
+
+
+def test_cells_are_made_once_for_both_kinds_of_metrics(spark):
+    y, p = data()
+    y[:, 0] = 1
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    made = cells(spark, y, p).mapInArrow(count, "id long, label string, ord int, y int, p double")
+    assert rm.task_metrics(made, "diagnoses").count() == 5
+    assert seen.value == N * C
