@@ -11,7 +11,7 @@ sample in which all three do.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import cache, partial
 
 import numpy as np
@@ -32,9 +32,8 @@ LANES, KEYS, SEGMENT, FAR = 4, 96, 23, 64
 #: Rows of a key of which all pairs are candidates; rows that are compared at once beyond that, and
 #: how many of the nearest are candidates at first.
 FEW, BLOCK, NEAREST = 6, 1024, 1
-#: Bits in which fingerprints of shingles may differ: of 256 bits a similarity of 0.8 leaves 25.6
-#: different on average, and more than this in less than one of 10^18 pairs.
-FAR_SHINGLES = 80
+#: Sides of a cell of sets: rows of small groups, cells across up to which they are small, shingles.
+SMALL, ACROSS, SHINGLES = 256, 16, 1 << 20
 
 
 @cache
@@ -59,17 +58,12 @@ def least_bits(hashes: np.ndarray, block: int = 1 << 12) -> np.ndarray:
     return np.packbits((least >> np.uint64(40) & np.uint64(1)).astype(np.uint8), bitorder="little").view("<u8")
 
 
-def shingle_print(text: str | None, words: int = WORDS) -> np.ndarray:
-    """The same of the distinct shingles."""
-    return least_bits(np.unique(shingle_hashes(text, words)))
-
-
-def _prints(batches: Iterator[pa.RecordBatch], kind: Callable = word_print, name: str = "fp") -> Iterator[pa.RecordBatch]:
+def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "text", 4 << 20):
-            found = np.stack([kind(t.as_py()) for t in batch.column("text")]).astype("<u8")
+            found = np.stack([word_print(t.as_py()) for t in batch.column("text")]).astype("<u8")
             cells = pa.Array.from_buffers(pa.binary(8 * LANES), len(found), [None, pa.py_buffer(np.ascontiguousarray(found))])
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), cells.cast(pa.binary())], ["_row", name])
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), cells.cast(pa.binary())], ["_row", "fp"])
 
 
 def _lanes(column: pa.Array) -> np.ndarray:
@@ -193,70 +187,142 @@ def _shingles(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Reco
     for whole in batches:
         for batch in slices(whole, "text", 4 << 20):
             found = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(found, pa.list_(pa.int64()))], ["_row", "shingles"])
+            more = [c for c in batch.schema.names if c not in ("_row", "text")]
+            cols = [batch.column("_row"), pa.array(found, pa.list_(pa.int64())), *(batch.column(c) for c in more)]
+            yield pa.RecordBatch.from_arrays(cols, ["_row", "shingles", *more])
 
 
-def _cell(table: pa.Table) -> pa.Table:
-    """The odd rows of a key (side 0) against rows of it (side 1): pairs of different components whose
-    fingerprints, of words and of shingles, are near enough."""
-    side, rows, parts = (table.column(c).to_numpy() for c in ("side", "_row", "part"))
-    words, shingles = (_lanes(table.column(c)) for c in ("fp", "sp"))
+def _united(parent: dict[int, int], a: int, b: int) -> bool:
+    """Whether a and b were apart; they are one from now on."""
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    a, b = root(a), root(b)
+    parent[a] = b
+    return a != b
+
+
+def _ends(pairs: list[tuple[int, int]]) -> pa.Table:
+    both = np.array(pairs, np.int64).reshape(-1, 2)
+    return pa.table({"a": pa.array(both.min(axis=1)), "b": pa.array(both.max(axis=1))})
+
+
+def _near_parts(table: pa.Table) -> pa.Table:
+    """The odd rows of a key (side 0) against rows of it (side 1): a spanning forest of the components
+    that have rows of near enough fingerprints, so fewer pairs than rows."""
+    side, parts, prints = table.column("side").to_numpy(), table.column("part").to_numpy(), _lanes(table.column("fp"))
+    names, parts = np.unique(parts, return_inverse=True)
     odd, all_ = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    one, two = [], []
+    parent, out = {}, []
     for i in range(0, len(odd), 128):
         at = odd[i : i + 128]
-        near = parts[at][:, None] != parts[all_][None, :]
-        for prints, far in ((words, FAR), (shingles, FAR_SHINGLES)):
-            near &= sum(np.bitwise_count(prints[at, None, k] ^ prints[None, all_, k]).astype(np.int32) for k in range(LANES)) <= far
-        x, y = np.nonzero(near)
-        one.append(rows[at][x])
-        two.append(rows[all_][y])
-    a, b = (np.concatenate(x or [np.empty(0, np.int64)]) for x in (one, two))
-    return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+        far = sum(np.bitwise_count(prints[at, None, k] ^ prints[None, all_, k]).astype(np.int32) for k in range(LANES))
+        x, y = np.nonzero((far <= FAR) & (parts[at][:, None] != parts[all_][None, :]))
+        for pair in np.unique(parts[at][x] * len(names) + parts[all_][y]).tolist():
+            a, b = divmod(pair, len(names))
+            if _united(parent, a, b):
+                out.append((names[a], names[b]))
+    return _ends(out)
+
+
+def _similar_rows(table: pa.Table, similarity: float) -> pa.Table:
+    """The odd rows of a group (side 0) against rows of it (side 1) by their sets: a spanning forest of
+    what pairs of the similarity connect beyond the components, so fewer pairs than rows."""
+    side, rows, parts = (table.column(c).to_numpy() for c in ("side", "_row", "part"))
+    sets = table.column("shingles").combine_chunks()
+    sizes, starts = sets.value_lengths().to_numpy(), sets.offsets.to_numpy()
+    values = sets.values.to_numpy()
+    odd, all_ = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    if not len(odd) or not len(all_):
+        return _ends([])
+    held = np.concatenate([values[starts[j] : starts[j] + sizes[j]] for j in all_])
+    order = np.argsort(held, kind="stable")
+    owners = np.repeat(np.arange(len(all_)), sizes[all_])[order]
+    words, first = np.unique(held[order], return_index=True)
+    first = np.append(first, len(held))
+    parent, out = {}, []
+    for i in odd:
+        own = values[starts[i] : starts[i] + sizes[i]]
+        at = np.searchsorted(words, own)
+        known = at < len(words)
+        at = at[known][words[at[known]] == own[known]]
+        length = first[at + 1] - first[at]
+        places = np.arange(length.sum()) + np.repeat(first[at] - np.cumsum(length) + length, length)
+        shared = np.bincount(owners[places], minlength=len(all_))
+        near = np.flatnonzero((shared >= similarity * (sizes[i] + sizes[all_] - shared)) & (parts[all_] != parts[i]))
+        for j in all_[near]:
+            if _united(parent, int(parts[i]), int(parts[j])):
+                out.append((rows[i], rows[j]))
+    return _ends(out)
+
+
+def _cells(rows: DataFrame, group: str, columns: list[str]) -> DataFrame:
+    """Rows with their ``part`` and of their group ``main``, ``down`` and ``across`` -> cells of the
+    group (group, i, j): odd rows, which are not of the main part, as side 0 in every j, and all rows
+    as side 1 in every i."""
+    at = F.xxhash64(group, "_row")
+    to = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    odd = F.transform(to("across"), lambda j: F.struct(F.lit(0).alias("side"), F.pmod(at, "down").alias("i"), j.alias("j")))
+    all_ = F.transform(to("down"), lambda i: F.struct(F.lit(1).alias("side"), i.alias("i"), F.pmod(at, "across").alias("j")))
+    cell = F.explode(F.when(F.col("part") != F.col("main"), F.concat(odd, all_)).otherwise(all_)).alias("cell")
+    return rows.select(group, "_row", "part", *columns, cell).select(group, "_row", "part", *columns, "cell.*").groupBy(group, "i", "j")
 
 
 def candidates(prints: DataFrame, keys: int = KEYS) -> tuple[DataFrame, DataFrame]:
-    """``prints(_row, fp)`` -> distinct (a, b), a < b: pairs that share a key, and (key, _row) of
+    """``prints(_row, fp)`` -> distinct (a, b), a < b: pairs that share a key, and (key, _row, fp) of
     the keys of which not all pairs are among them.
 
     A key with more than FEW rows is cut into blocks, in the order of the rows' hash, and each row
     is paired with its NEAREST fingerprints there. Blocks of other keys hold other rows, so that in
-    a large group a row meets those closest to it; ``open_pairs`` has what these leave open.
+    a large group a row meets those closest to it; ``open_links`` has what these leave open.
     """
     spread = prints.repartition(shuffle_width(prints.sparkSession), "_row")
     rows = spread.mapInArrow(given_back(partial(_keys, keys=keys)), "key long, _row long")
     found = stored(rows.repartition("key").sortWithinPartitions("key", "_row").mapInArrow(given_back(_pairs), "kind int, a long, b long"), "near-pairs")
     large = found.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("_row"))
-    blocks = large.join(prints, "_row").repartition("key").sortWithinPartitions("key", F.xxhash64("key", "_row"))
-    near = blocks.select("key", "_row", "fp").mapInArrow(given_back(_nearest), "a long, b long")
+    large = stored(large.join(prints, "_row").select("key", "_row", "fp"), "large-keys")
+    blocks = large.repartition("key").sortWithinPartitions("key", F.xxhash64("key", "_row"))
+    near = blocks.mapInArrow(given_back(_nearest), "a long, b long")
     return found.filter("kind = 0").select("a", "b").unionByName(near).distinct(), large
 
 
-def open_pairs(rows: DataFrame, prints: DataFrame, large: DataFrame, links: DataFrame, words: int) -> DataFrame:
-    """All pairs of a large key that ``links`` do not connect already and whose fingerprints are near
-    enough: (a, b). With them the components are those of all pairs of the key.
+def open_links(rows: DataFrame, large: DataFrame, links: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b): links that connect what ``links`` leave apart of all pairs of a large key that have the
+    similarity. With them the components are those of all pairs of the key.
 
     In a key, the component with most rows need not be compared with itself: the others, the odd
-    rows, are compared with all rows, in cells of about BLOCK times BLOCK, each a task's group.
+    rows, are compared with all rows by their fingerprints, in cells of about BLOCK times BLOCK, each
+    a task's group. That says which components are near each other in any key. The groups of near
+    components share no rows, so in these the sets themselves are compared, once instead of in every
+    key, in cells again. A cell has fewer pairs than rows, whatever the number of near rows.
     """
     parts = connected_components(links)
     held = large.join(parts, F.col("_row") == F.col("node"), "left")
-    held = stored(held.select("key", "_row", F.coalesce("component", "_row").alias("part")), "large-keys")
+    held = stored(held.select("key", "_row", "fp", F.coalesce("component", "_row").alias("part")), "key-parts")
     sizes = held.groupBy("key", "part").agg(F.count("*").alias("n"))
     keys = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "part")).alias("main")).filter("n > main.n")
-    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("long")
-    keys = keys.select("key", F.col("main.part").alias("main"), blocks(F.col("n")).alias("across"), blocks(F.col("n") - F.col("main.n")).alias("down"))
-    held = held.join(stored(keys, "open-keys"), "key")
-    texts = rows.select("_row", "text").join(held.select("_row").distinct(), "_row", "left_semi")
-    kind = partial(_prints, kind=partial(shingle_print, words=words), name="sp")
-    shingles = stored(texts.mapInArrow(given_back(kind), "_row long, sp binary"), "shingle-prints")
-    held = held.join(prints.select("_row", "fp"), "_row").join(shingles, "_row")
-    at = F.xxhash64("key", "_row")
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    fields = ["key", "_row", "part", "fp", "sp"]
-    odd = held.filter("part <> main").select(*fields, F.lit(0).alias("side"), F.pmod(at, "down").alias("i"), every("across").alias("j"))
-    all_ = held.select(*fields, F.lit(1).alias("side"), every("down").alias("i"), F.pmod(at, "across").alias("j"))
-    return odd.unionByName(all_).groupBy("key", "i", "j").applyInArrow(_cell, "a long, b long").distinct()
+    blocks = lambda n, most: F.ceil(n / F.lit(most)).cast("long")
+    n, odd = F.col("n"), F.col("n") - F.col("main.n")
+    keys = stored(keys.select("key", F.col("main.part").alias("main"), blocks(n, BLOCK).alias("across"), blocks(odd, BLOCK).alias("down")), "open-keys")
+    held = stored(held.join(keys, "key"), "open-rows")
+    near = _cells(held, "key", ["fp"]).applyInArrow(_near_parts, "a long, b long")
+    groups = connected_components(near)
+    members = held.select("_row", "part").distinct().join(groups, F.col("part") == F.col("node"))
+    members = stored(members.select("_row", "part", F.col("component").alias("group")), "near-groups")
+    texts = rows.select("_row", "text").join(members, "_row").select("_row", "text", "part", "group")
+    schema = "_row long, shingles array<long>, part long, group long"
+    sets = stored(texts.mapInArrow(given_back(partial(_shingles, words=words)), schema), "group-sets")
+    sizes = sets.groupBy("group", "part").agg(F.count("*").alias("n"), F.sum(F.size("shingles")).alias("w"))
+    sizes = sizes.groupBy("group").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.max(F.struct("n", "part", "w")).alias("main"))
+    # Cells of few rows spread a small group over tasks; those of a large one have up to BLOCK times BLOCK.
+    side = lambda n, w: F.greatest(F.least(blocks(n, SMALL), F.greatest(F.lit(ACROSS).cast("long"), blocks(n, BLOCK))), blocks(w, SHINGLES))
+    across, down = side(n, F.col("w")), side(odd, F.col("w") - F.col("main.w"))
+    sizes = stored(sizes.select("group", F.col("main.part").alias("main"), across.alias("across"), down.alias("down")), "group-cells")
+    cells = _cells(sets.join(sizes, "group"), "group", ["shingles"])
+    return cells.applyInArrow(lambda table: _similar_rows(table, similarity), "a long, b long").distinct()
 
 
 def similar_links(rows: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, keys: int = KEYS) -> DataFrame:
@@ -269,7 +335,7 @@ def similar_links(rows: DataFrame, words: int = WORDS, similarity: float = SIMIL
     links = stored(verified(rows, close, words, similarity), "links")
     if large.isEmpty():
         return links
-    return links.unionByName(verified(rows, open_pairs(rows, prints, large, links, words), words, similarity))
+    return links.unionByName(open_links(rows, large, links, words, similarity))
 
 
 def verified(rows: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:

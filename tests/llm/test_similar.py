@@ -101,3 +101,44 @@ def test_links_behind_nearer_fingerprints(spark):
     assert len(links) == 12
     got = {r.doc_id: r.component_id for r in similar.similar_groups(documents(spark, rows)).collect()}
     assert got == union_find(links, [i for i, _ in rows])
+
+
+def test_a_large_group_that_is_near_but_not_linked_makes_no_pairs(spark, monkeypatch):
+    """Copies of one text with 4 % of the words changed are near by their fingerprints and, but for the
+    few planted ones, of a similarity below 0.8: nothing that is stored grows with their pairs."""
+    kept, before = [], similar.stored
+
+    def watched(df, label):
+        out = before(df, label)
+        kept.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(similar, "stored", watched)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    texts = [changed(base, 0.04, rng) for _ in range(240)]
+    texts += [changed(t, 0.0, rng) for t in texts[:20]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    links = [(a, b) for a, x in rows for b, y in rows if a < b and jaccard(x, y) >= 0.8]
+    assert 20 <= len(links) < 100
+    got = {r.doc_id: r.component_id for r in similar.similar_groups(documents(spark, rows)).collect()}
+    assert got == union_find(links, [i for i, _ in rows])
+    assert {label for label, n in kept if n > similar.KEYS * len(rows)} == set()
+    assert sum(n for label, n in kept if label == "candidates") < len(rows) * (len(rows) - 1) // 4
+
+
+def test_cells_give_a_forest():
+    import pyarrow as pa
+
+    n = 50
+    ids = [*range(n), *range(n)]
+    sides, parts = [0] * n + [1] * n, [i if i else n for i in ids]
+    prints = [b"\0" * 8 * similar.LANES] * 2 * n
+    near = similar._near_parts(pa.table({"side": sides, "part": parts, "fp": prints})).to_pylist()
+    assert len(near) == n - 1 and set(union_find([(r["a"], r["b"]) for r in near], range(1, n + 1)).values()) == {1}
+    sets = [[10 * (i % 3) + k for k in range(9)] + [100 + i] for i in ids]  # three groups, 9 of 11 shingles alike
+    sets[0] = sets[n] = []
+    cell = pa.table({"side": sides, "_row": ids, "part": parts, "shingles": pa.array(sets, pa.list_(pa.int64()))})
+    found = similar._similar_rows(cell, 0.8).to_pylist()
+    assert len(found) == n - 4 and set(union_find([(r["a"], r["b"]) for r in found], range(n)).values()) == {0, 1, 2, 3}
+    assert similar._similar_rows(cell, 0.9).num_rows == 0 == similar._similar_rows(cell.slice(n), 0.8).num_rows
