@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import with_scalars
 from ..functions.columns import cosine, uniform
 from ..functions.ranks import row_ranks, take_top
-from ..functions.vectors import BROADCAST_BYTES, stack, vector_sum
+from ..functions.vectors import BROADCAST_BYTES, map_slices, stack, vector_sum
 from ..session import cut_lineage
 from . import selection
 from .mixup import beta_draw
@@ -71,7 +71,7 @@ def _information(labeled: DataFrame, labels: int, width: int) -> DataFrame:
                 }
             )
 
-        parts.append(labeled.select("features", "p").mapInPandas(kernel, "label int, i int, row array<double>"))
+        parts.append(map_slices(labeled.select("features", "p"), kernel, "label int, i int, row array<double>"))
     from .checks import union_all
 
     return union_all(parts).groupBy("label", "i").agg(vector_sum("row").alias("row"))
@@ -89,7 +89,7 @@ def _gradients(reference: DataFrame, labels: int, width: int) -> DataFrame:
                 rows += len(batch)
         yield pd.DataFrame({"label": range(labels), "g": total.tolist(), "n": rows})
 
-    parts = reference.select("features", "p", "y").mapInPandas(kernel, "label int, g array<double>, n long")
+    parts = map_slices(reference.select("features", "p", "y"), kernel, "label int, g array<double>, n long")
     summed = parts.groupBy("label").agg(vector_sum("g").alias("g"), F.sum("n").alias("n"))
     return summed.select("label", F.transform("g", lambda x: x / F.greatest("n", F.lit(1))).alias("gradient"))
 
@@ -168,7 +168,7 @@ def upper_bound(rows: DataFrame, design: FisherDesign) -> DataFrame:
                 bound = (align**2 / (1 / v + (z**2).sum(1, keepdims=True) / trace[None])).sum(1)
                 yield pd.DataFrame({"id": batch["id"], "bound": bound})
 
-    return rows.select("id", "features", "p").mapInPandas(kernel, "id long, bound double")
+    return map_slices(rows.select("id", "features", "p"), kernel, "id long, bound double")
 
 
 def coverage(rows: DataFrame, keys: list[str], design: FisherDesign) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranks import take_top
 from ..functions.scalars import with_scalars
-from ..functions.vectors import stack
+from ..functions.vectors import map_slices
 from ..session import cut_lineage
 from .design import Deflation, FisherDesign
 
@@ -140,7 +140,7 @@ def state_table(items: DataFrame, cells: DataFrame, design: FisherDesign, layout
                     raise ValueError("an item has not the cells of the layout")
                 yield pd.DataFrame({"id": b["id"], "own": raw(b["own"]), "own_p": raw(b["own_p"]), "z": raw(z), "w": raw(w), "a": empty, "q": empty})
 
-    state = cut_lineage(rows.mapInPandas(pack, STATE))
+    state = cut_lineage(map_slices(rows, pack, STATE))
     for mine in design.slices():
         block = design.blocks.filter(F.col("label").between(mine.start, mine.stop - 1)).select("label", "inverse", "direction").toPandas().sort_values("label")
         inverse, direction = np.stack(block["inverse"]).reshape(-1, d, d), np.stack(block["direction"])
@@ -159,7 +159,7 @@ def state_table(items: DataFrame, cells: DataFrame, design: FisherDesign, layout
                         out[c] = raw(np.concatenate([old, x], axis=1).reshape(len(b), count, -1))
                     yield out
 
-        state = cut_lineage(state.mapInPandas(cover, STATE))
+        state = cut_lineage(map_slices(state, cover, STATE))
         held.destroy()
     return state
 
@@ -214,7 +214,7 @@ def _best(state: DataFrame, layout: Layout, width: int, pending: Pending, taken:
         rows.append((0.0, 0.0, None, None, None, -1, total, empties, exact))
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in BEST.split(", ")]).astype({"id": "Int64"})
 
-    return state.mapInPandas(kernel, BEST).collect()
+    return map_slices(state, kernel, BEST).collect()
 
 
 def scores(state: DataFrame, layout: Layout, width: int, pending: Pending) -> DataFrame:
@@ -230,7 +230,7 @@ def scores(state: DataFrame, layout: Layout, width: int, pending: Pending) -> Da
                 single, full = layout.parts(gains)
                 yield pd.DataFrame({"id": b.ids, "single": single, "full": full, "empty": gains[:, none].mean(1) if len(none) else 0.0})
 
-    found = cut_lineage(state.mapInPandas(kernel, "id long, single double, full double, empty double"))
+    found = cut_lineage(map_slices(state, kernel, "id long, single double, full double, empty double"))
     found = with_scalars(found.drop("empty"), found.agg(F.avg("empty").alias("v0")))
     additive = F.col("single") - F.lit(float(layout.singles)) * F.col("v0")
     out = found.withColumn("additive", additive).withColumn("synergy", F.col("full") - F.col("v0") - F.col("additive"))
@@ -249,7 +249,7 @@ def _written(state: DataFrame, layout: Layout, width: int, pending: Pending) ->
                 a, q = pending.now(b.z, b.a, b.q)
                 yield batch.assign(a=[x.tobytes() for x in a], q=[x.tobytes() for x in q])
 
-    return cut_lineage(state.mapInPandas(kernel, STATE))
+    return cut_lineage(map_slices(state, kernel, STATE))
 
 
 @dataclass

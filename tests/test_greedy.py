@@ -112,3 +112,25 @@ def test_bounds_hold(spark):
         a, q = pending.now(b.z, b.a, b.q)
         exact = (a**2 / (b.w + q)).sum(-1)
         assert (low <= exact + 1e-12).all() and (exact <= high + 1e-12).all()
+
+
+def test_kernels_see_slices_of_a_batch(spark, monkeypatch):
+    """No kernel of the selection gets more rows as Python objects at once than a slice has."""
+    import pandas as pd
+
+    from poolweave.functions import vectors
+
+    def sizes(frames):
+        for f in frames:
+            yield pd.DataFrame({"n": [len(f), None], "raw": [b"x", None], "v": [[1.0, 2.0], f["v"].iloc[0]]}).astype({"n": "Int64"})
+
+    rows = spark.range(0, 5000, 1, 1).select("id", F.array(F.col("id").cast("double")).alias("v"))
+    got = vectors.map_slices(rows, sizes, "n long, raw binary, v array<double>").collect()
+    assert [r["n"] for r in got if r["raw"] is not None] == [1024] * 4 + [904] and got[1]["n"] is None and got[3]["v"] == [1024.0]
+    assert vectors.map_slices(rows.filter("id < 0"), sizes, "n long, raw binary, v array<double>").count() == 0
+    passes, whole = [], greedy.map_slices
+    monkeypatch.setattr(greedy, "map_slices", lambda *a: passes.append(1) or whole(*a))
+    lab, ref, _, _ = design_of(spark)
+    cand = pool(spark, 60, 9, 200)[0]
+    greedy.by_gain(cand, design.build(lab, ref, C, M * D, 0.05), 3, 2).selection.count()
+    assert len(passes) >= 2 + 3  # the state is packed and covered, then one pass a pick
